@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dac
+from . import bpe, dac, fingerprint
 from .common import read
 
 
@@ -19,8 +19,12 @@ def op7_addressable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.write_and_read(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op7_addressable_ids)}
+    return {f.__name__: f for f in (op2_byte_bpe, op7_addressable_ids, op8_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
