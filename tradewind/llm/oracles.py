@@ -16,8 +16,8 @@ common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM e x JOIN e y
 links AS (
     SELECT a, b FROM common JOIN s x ON a = x.doc_id JOIN s y ON b = y.doc_id
     WHERE 100 * c >= 90 * (len(x.sh) + len(y.sh) - c)
-), both AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-reach AS (SELECT a, b FROM both UNION SELECT r.a, x.b FROM reach r JOIN both x ON r.b = x.a)
+), linked AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a, b FROM linked UNION SELECT r.a, x.b FROM reach r JOIN linked x ON r.b = x.a)
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(min(r.b), s.doc_id)) AS component_id
 FROM s LEFT JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, sh
 """
