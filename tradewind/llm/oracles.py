@@ -22,3 +22,21 @@ SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce
 FROM s LEFT JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, sh
 """
 )
+
+OP5 = (
+    """
+WITH w AS (
+    SELECT doc_id, """
+    + WORDS.format(text="coalesce(text, '')")
+    + """ AS ws FROM documents
+), g AS (
+    SELECT doc_id, unnest(range(1, len(ws) - 11)) AS pos, unnest(list_transform(range(1, len(ws) - 11), lambda i: array_to_string(ws[i:i + 12], ' '))) AS phrase
+    FROM w WHERE len(ws) >= 13
+), f AS (SELECT phrase, min(doc_id) AS earliest FROM g GROUP BY phrase),
+c AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 13)) AS pos FROM g JOIN f USING (phrase) WHERE earliest < doc_id),
+r AS (SELECT doc_id, list(pos) AS gone FROM c GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+    sha256(array_to_string(list_filter(ws, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), ' ')) AS kept_sha256
+FROM w LEFT JOIN r USING (doc_id)
+"""
+)
