@@ -1,16 +1,20 @@
 """Document fingerprints: a homomorphic multiset hash, in DataFrame functions alone.
 
 A text is the multiset of its paragraphs (lines). Each paragraph is hashed to a wide vector, and a fingerprint
-is the sum of these vectors modulo 2^60, so it doesn't depend on the paragraphs' order, and a paragraph is
+is the sum of these vectors modulo 2^48, so it doesn't depend on the paragraphs' order, and a paragraph is
 inserted or deleted by adding or subtracting its vector. The vector has: a count of paragraphs, a count of
-word triples (each once in a line), sums of whole-paragraph hashes (for equality), and a sketch. The sketch packs five 12-bit
-counters into each long; a counter sums one bit of the hash of every word triple, so the differences between
-two fingerprints' counters estimate how many triples two texts don't share.
+word triples (each word with its neighbours in the line; the middle of a word thrice in a row is left out), sums
+of whole-paragraph hashes (for equality), and a sketch. The sketch packs four 12-bit counters into each long; a
+counter sums one bit of the hash of every word triple, so the differences between two fingerprints' counters
+estimate how many triples two texts don't share.
+
+Words are exploded to rows and summed again by document before any shuffle, all in generated code.
 
 Defined results: null texts are empty; equal texts, and texts with the same paragraphs, have equal
 fingerprints and likeness 1; two texts without words are alike. Rows that repeat a doc_id all have the next
-larger doc_id as the next document (of its texts, the smallest; of its fingerprints, the smallest). Rows without doc_id stand outside the order:
-nothing follows them. Further columns are left out; an empty table gives an empty one.
+larger doc_id as the next document (of its texts, the smallest; of its fingerprints, the smallest).
+Rows without doc_id stand outside the order: nothing follows them. Further columns are left out; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,11 +24,11 @@ from pyspark.sql import functions as F
 
 from .common import documents, written
 
-#: All sums are modulo 2^60, which leaves room to add two without overflow.
-MASK = (1 << 60) - 1
+#: All sums are modulo 2^48: those of 2^27 words still fit a long before they are cut.
+MASK = (1 << 48) - 1
 EQUALITY_SUMS = 4
-LANE_BITS, LANES = 12, 5
-#: Two hashes of twelve shifts: 24 longs, 120 counters.
+LANE_BITS, LANES = 12, 4
+#: Two hashes of twelve shifts: 24 longs, 96 counters.
 HASHES = 2
 _ONES = sum(1 << (LANE_BITS * k) for k in range(LANES))
 FIRST_SKETCH = 2 + EQUALITY_SUMS
@@ -35,27 +39,31 @@ def _plus(a: Column, b: Column) -> Column:
     return (a + b).bitwiseAND(F.lit(MASK))
 
 
-def _sum(values: Column, of) -> Column:
-    return F.aggregate(values, F.lit(0).cast("long"), lambda acc, x: _plus(acc, of(x)))
-
+def of_texts(df: DataFrame, keys: list[str], text: str, kept: tuple[str, ...] = ()) -> DataFrame:
+    """keys, kept, fingerprint array<long>: of column `text`, for rows that differ in their keys.
 
-def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add `out` array<long>: the fingerprint of column `text`."""
-    lines, words, triples, again = (f"{out}_{x}" for x in ("lines", "words", "triples", "again"))
-    df = df.withColumn(lines, F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
-    df = df.withColumn(words, F.transform(lines, lambda p: F.filter(F.split(p, "[ \\t\\r\\f\\x0B]+", -1), lambda w: w != "")))
+    All that is summed or kept is long, so that Spark sums in a hash table."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    lines = F.split(t, "\n", -1)
 
-    def of_line(w: Column) -> Column:
-        long = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-        short = F.transform(F.slice(w, 1, 1), lambda _: F.xxhash64(F.array_join(w, " "), F.size(w)))
-        return F.array_distinct(F.when(F.size(w) >= 3, long).otherwise(short))
+    def of_lines(j: int) -> Column:
+        return F.aggregate(lines, F.lit(0).cast("long"), lambda acc, p: _plus(acc, F.xxhash64(p, F.lit(j)).bitwiseAND(F.lit(MASK))))
 
-    df = df.withColumn(triples, F.flatten(F.transform(words, of_line)))
-    df = df.withColumn(again, F.transform(triples, lambda h: F.xxhash64(h, F.lit(1))))
-    sketch = [_sum(F.col(c), lambda h, j=j: F.shiftrightunsigned(h, j).bitwiseAND(F.lit(_ONES))) for c in (triples, again) for j in range(LANE_BITS)]
-    whole = [_sum(F.col(lines), lambda p, j=j: F.xxhash64(p, F.lit(j)).bitwiseAND(F.lit(MASK))) for j in range(EQUALITY_SUMS)]
-    counts = [F.size(lines).cast("long"), F.size(triples).cast("long")]
-    return df.withColumn(out, F.array(*counts, *whole, *sketch)).drop(lines, words, triples, again)
+    # Each line break is a word of its own, and one more stands at either end, so that the split has an empty first and last piece.
+    words = F.split(F.replace(F.concat(F.lit("\n"), t, F.lit("\n")), F.lit("\n"), F.lit(" \n ")), "[ \\t\\r\\f\\x0B]+", -1)
+    whole = {"lines": F.size(lines).cast("long"), **{f"line{j}": of_lines(j) for j in range(EQUALITY_SUMS)}}
+    once = [*whole, *kept]
+    rows = df.select(*keys, *kept, *(c.alias(n) for n, c in whole.items()), words.alias("words"))
+    rows = rows.select(*keys, *once, "words", F.explode(F.sequence(F.lit(1), F.size("words") - 2)).alias("i"))
+    before, word, after = (F.get("words", F.col("i") + d) for d in (-1, 0, 1))
+    counted = (word != "\n") & ((before != word) | (word != after))
+    rows = rows.select(*keys, *once, "i", F.when(counted, F.xxhash64(before, word, after)).alias("h0"))
+    rows = rows.withColumn("h1", F.when(F.col("h0").isNotNull(), F.xxhash64("h0", F.lit(1))))
+    sums = [F.sum(F.shiftrightunsigned(f"h{x}", j).bitwiseAND(F.lit(_ONES))).alias(f"s{x}_{j}") for x in range(HASHES) for j in range(LANE_BITS)]
+    first = [F.max(F.when(F.col("i") == 1, F.col(c))).alias(c) for c in once]
+    summed = rows.groupBy(*keys).agg(F.count("h0").alias("n"), *first, *sums)
+    sketch = [F.coalesce(F.col(f"s{x}_{j}"), F.lit(0)).bitwiseAND(F.lit(MASK)) for x in range(HASHES) for j in range(LANE_BITS)]
+    return summed.select(*keys, *kept, F.array("lines", "n", *(f"line{j}" for j in range(EQUALITY_SUMS)), *sketch).alias("fingerprint"))
 
 
 def inserted(fingerprint: Column, paragraphs: Column) -> Column:
@@ -94,7 +102,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def as_string(fingerprint: Column) -> Column:
-    return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x)), 15, "0")), "")
+    return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x)), 12, "0")), "")
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
@@ -132,14 +140,27 @@ def edited_texts(docs: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    df = with_fingerprint(with_fingerprint(edited_texts(docs), "text", "own"), "edited", "changed")
-    df = df.select("doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", "changed")
-    df = written(df, "fingerprints")
+    texts = edited_texts(docs)
+    # Rows of one doc_id are told apart by a number.
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    texts = texts.select("doc_id", number.alias("row"), "next_id", "text", "edited")
+    sha = F.sha2(F.col("edited").cast("binary"), 256)
+    texts = texts.select("doc_id", "row", "next_id", F.length("text").cast("long").alias("n_chars"), "text", "edited", sha.alias("sha"))
+    # A digest goes along as four longs.
+    parts = [F.conv(F.substring("sha", 1 + 16 * k, 16), 16, -10).cast("long").alias(f"sha{k}") for k in range(4)]
+    facts = ("next_id", "n_chars", *(f"sha{k}" for k in range(4)))
+    both = F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("t"))))
+    two = texts.select("doc_id", "row", "next_id", "n_chars", *parts, both.alias("x")).select("doc_id", "row", *facts, "x.which", "x.t")
+    prints = of_texts(two, ["doc_id", "row", "which"], "t", facts)
+    of = lambda which: F.max(F.when(F.col("which") == which, F.col("fingerprint")))
+    df = prints.groupBy("doc_id", "row").agg(*(F.max(c).alias(c) for c in facts), of(0).alias("own"), of(1).alias("changed"))
+    digest = F.concat(*(F.lpad(F.lower(F.hex(f"sha{k}")), 16, "0") for k in range(4)))
+    df = df.select("doc_id", "row", "next_id", "n_chars", digest.alias("edited_sha256"), "own", "changed")
+    df = written(df.drop("row"), "fingerprints")
     following = df.filter("doc_id is not null").groupBy(F.col("doc_id").alias("key")).agg(F.min("own").alias("next_own"))
     df = df.join(following, df["next_id"] == following["key"], "left")
-    empty = F.lit(0).cast("long")
-    none = F.array(*[empty] * WIDTH)
+    empty = F.array(*[F.lit(0).cast("long")] * WIDTH)
     return df.select(
         "doc_id", "n_chars", "edited_sha256", as_string(F.col("own")).alias("fingerprint"), as_string(F.col("changed")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.coalesce("next_own", none)).alias("near_next"),
+        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.coalesce("next_own", empty)).alias("near_next"),
     )
