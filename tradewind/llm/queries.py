@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dac, fingerprint, mixing, ngram_join, oracles, pii, substring_dedup
+from . import bpe, dac, fingerprint, mixing, ngram_join, oracles, pii, substring_dedup, topk
 from .common import read
 
 
@@ -28,6 +28,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(read(spark, sf_dir, "documents"))
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(read(spark, sf_dir, "embeddings"))
+
+
 def op7_addressable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.write_and_read(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -42,8 +46,8 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_personal_data, op2_byte_bpe, op3_ngram_join, op5_substring_dedup, op7_addressable_ids, op8_fingerprints, op9_source_mixing)}
+    return {f.__name__: f for f in (op1_personal_data, op2_byte_bpe, op3_ngram_join, op5_substring_dedup, op6_exact_top_k, op7_addressable_ids, op8_fingerprints, op9_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": oracles.OP3, "op5_substring_dedup": oracles.OP5}
+    return {"op3_ngram_join": oracles.OP3, "op5_substring_dedup": oracles.OP5, "op6_exact_top_k": oracles.OP6}
