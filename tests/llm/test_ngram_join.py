@@ -84,30 +84,23 @@ def test_linked_sets_share_a_key():
                 assert set(nj.tree_keys(h, num, den)) & set(nj.tree_keys(other, num, den))
 
 
-def test_dual_traversal_equals_all_pairs():
+def test_dual_traversal_loses_no_pair():
     rng = np.random.default_rng(6)
     base = np.unique(rng.integers(0, 2**64, 100, np.uint64))
     sets = [np.unique(np.r_[rng.choice(base, 100 - rng.integers(0, 9), replace=False), rng.integers(0, 2**64, rng.integers(0, 5), np.uint64)]) for _ in range(150)]
-    b = nj.Block(np.arange(150), np.arange(150), sets, nj.bitmap_width(110))
-    found = nj.dual_traversal(b, b, 9, 10)
-    root = list(range(150))
-
-    def find(v):
-        while root[v] != v:
-            v = root[v]
-        return v
-
-    for i in range(150):
-        for j in range(i):
+    sets += [np.unique(rng.integers(0, 2**64, 100, np.uint64)) for _ in range(50)]
+    labels = np.arange(200) % 190
+    blocks = [nj.Block(np.arange(200)[at], labels[at], np.array([len(s) for s in sets])[at], [nj.bitmap(s) for s in sets[at]], nj.bitmap_width(nj.band(80)[0])) for at in (slice(0, 200), slice(0, 90), slice(90, 200))]
+    want = set()
+    for i in range(200):
+        for j in range(i + 1, 200):
             c = len(np.intersect1d(sets[i], sets[j]))
-            if c * 10 >= 9 * (len(sets[i]) + len(sets[j]) - c):
-                root[find(i)] = find(j)
-    want = [find(i) for i in range(150)]
-    root = list(range(150))
-    for p, q in found:
-        root[find(p)] = find(q)
-    got = [find(i) for i in range(150)]
-    assert len(set(zip(want, got, strict=True))) == len(set(want)) == len(set(got))
+            if c * 10 >= 9 * (len(sets[i]) + len(sets[j]) - c) and labels[i] != labels[j]:
+                want.add((i, j))
+    got = set(zip(*(x.tolist() for x in nj.dual_traversal(blocks[0], blocks[0], 9, 10)), strict=True))
+    assert want <= got and len(got) < 3 * len(want)
+    parts = [nj.dual_traversal(x, y, 9, 10) for x, y in ((blocks[1], blocks[1]), (blocks[2], blocks[2]), (blocks[1], blocks[2]))]
+    assert {p for a, b in parts for p in zip(a.tolist(), b.tolist(), strict=True)} == got
 
 
 def test_components_of_paths_and_stars(spark):

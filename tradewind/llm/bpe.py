@@ -59,16 +59,21 @@ def decode_ids(ids: list[int], rank_file: str, pattern: str) -> bytes:
     return encoding(rank_file, pattern).decode_bytes(ids)
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """doc_id, ids array<int>: the token ids of each whole text."""
+def encode(docs: DataFrame, rank_file: str, pattern: str, kept: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ids array<int>, and the columns in `kept`: the token ids of each whole text."""
     small_batches(docs.sparkSession)
+    text = F.coalesce(F.col("text"), F.lit("")).alias("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, F.struct(*kept).alias("kept")) if kept else documents(docs)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = [encode_text(t, rank_file, pattern) for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            extra = [b["kept"]] if kept else []
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(ids, pa.list_(pa.int32())), *extra], ["doc_id", "ids", *["kept"] * bool(kept)])
 
-    return documents(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    schema = "doc_id long, ids array<int>" + (f", kept {rows.schema['kept'].dataType.simpleString()}" if kept else "")
+    out = rows.mapInArrow(run, schema)
+    return out.select("doc_id", *(F.col(f"kept.`{c}`").alias(c) for c in kept), "ids") if kept else out
 
 
 def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:

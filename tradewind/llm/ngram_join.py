@@ -11,9 +11,9 @@ differ in, so that any pair to be linked has a part, with members, in common: ea
 Links. First every class of a tree is checked against the tree's smallest one, and what is connected by then
 gets a label. Only trees with further labels are searched: their nodes hold the OR of their sets' token bitmaps
 and their range of sizes, and a dual traversal drops pairs of nodes whose largest possible overlap is too small,
-whose sizes are too far apart, or that have one label throughout. What is left is checked on the whole sets.
-Large trees are split into blocks; the blocks of a tree are its upper nodes, and block pairs are tested the same
-way before two blocks meet in a task.
+whose sizes are too far apart, or that have one label throughout. Trees carry bitmaps alone; the pairs they leave,
+each once, are checked on the whole sets. Large trees are split into blocks; the blocks of a tree are its upper
+nodes, and block pairs are tested the same way before two blocks meet in a task.
 
 Defined results: null, empty and blank texts have no members and are their own component; rows that repeat a
 doc_id are handled each for itself; rows without doc_id link, but give no id to a component; other columns are
@@ -33,7 +33,7 @@ from .common import documents, gram_hashes, mix64, small_batches, word_hashes, w
 from .components import components
 
 #: Members of the sets in one block at most (but for a single larger set), and classes in one block at most.
-BLOCK_MEMBERS, BLOCK_CLASSES = 1 << 17, 512
+BLOCK_MEMBERS, BLOCK_CLASSES = 1 << 20, 512
 #: Children of a node.
 FAN = 8
 #: Further parts, beyond what a pair may differ in.
@@ -70,7 +70,7 @@ def band(n: int) -> tuple[int, int, int]:
 
 
 def tree_keys(h: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of all trees that a set belongs to."""
+    """Keys of all trees that a set belongs to; a key's lowest byte is its band."""
     n = len(h)
     if not n:
         return np.empty(0, np.int64)
@@ -84,10 +84,11 @@ def tree_keys(h: np.ndarray, num: int, den: int) -> np.ndarray:
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         sums, used, counts = np.add.reduceat(mixed, first), at[first], np.diff(np.r_[first, n]).astype(np.uint64)
         base = mix64(np.array([i * 4 + 1], np.uint64))
-        out.append(mix64(sums + counts * GOLD + mix64(used + base)))
+        tag = lambda x, i=i: (x & np.uint64(0xFFFFFFFFFFFFFF00)) | np.uint64(i)
+        out.append(tag(mix64(sums + counts * GOLD + mix64(used + base))))
         if parts - len(used) > SLACK:
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), used)
-            out.append(mix64(mix64(empty + base) + np.uint64(7)))
+            out.append(tag(mix64(mix64(empty + base) + np.uint64(7))))
         if high >= n:
             return np.unique(np.concatenate(out)).view(np.int64)
         least = high + 1
@@ -103,29 +104,45 @@ def set_hash(h: np.ndarray) -> tuple[int, int]:
 # Trees
 
 
+def bitmap_width(i: int) -> int:
+    """Bits for sets of band i: at least four a member."""
+    low = 1
+    for _ in range(i):
+        low = low + low // 2 + 1
+    return max(64, 1 << (4 * (low + low // 2) - 1).bit_length())
+
+
+def bitmap(h: np.ndarray) -> bytes:
+    """A set's token bitmap, as wide as its own band has it."""
+    width = bitmap_width(band(max(1, len(h)))[0])
+    bits = np.zeros(width, np.uint8)
+    bits[(h & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def folded(bits: bytes, width: int) -> np.ndarray:
+    """A bitmap brought to the width of a lower band's trees."""
+    words = np.frombuffer(bits, np.uint64)
+    while len(words) > width // 64:
+        words = words[: len(words) // 2] | words[len(words) // 2 :]
+    return words
+
+
 class Block:
-    """Classes in order, with their sets, as the leaves of a signature tree."""
-
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], width: int):
-        self.ids, self.labels, self.sets = ids, labels, sets
-        bits = np.zeros((len(sets), width // 64), np.uint64)
-        for row, h in zip(bits, sets, strict=True):
-            at = (h & np.uint64(width - 1)).astype(np.int64)
-            np.bitwise_or.at(row, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-        n = np.array([len(h) for h in sets], np.int64)
+    """Classes in order, with their bitmaps, as the leaves of a signature tree."""
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, bitmaps: list[bytes], width: int):
+        self.ids = ids
+        bits = np.stack([folded(b, width) for b in bitmaps])
         ones = np.bitwise_count(bits).sum(1).astype(np.int64)
         #: Level by level from the leaves: bitmaps, least and largest size, least number of set bits, lowest and highest label.
-        self.levels = [(bits, n, n, ones, labels, labels)]
+        self.levels = [(bits, sizes, sizes, ones, labels, labels)]
         while len(self.levels[-1][0]) > 1:
             b, low, high, few, l0, l1 = self.levels[-1]
             starts = np.arange(0, len(b), FAN)
             self.levels.append((np.bitwise_or.reduceat(b, starts), np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts), np.minimum.reduceat(few, starts), np.minimum.reduceat(l0, starts), np.maximum.reduceat(l1, starts)))
 
 
-def bitmap_width(largest: int) -> int:
-    return max(64, 1 << (4 * largest - 1).bit_length())
-
-
 def _possible(x: tuple, y: tuple, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
     """Which pairs of nodes may hold a link between different labels."""
     keep = ~((x[4][i] == x[5][i]) & (y[4][j] == y[5][j]) & (x[4][i] == y[4][j]))
@@ -139,49 +156,31 @@ def _possible(x: tuple, y: tuple, i: np.ndarray, j: np.ndarray, num: int, den: i
     return keep
 
 
-def dual_traversal(x: Block, y: Block, num: int, den: int) -> list[tuple[int, int]]:
-    """Links that join the labels of two blocks (or of one, given twice) as far as they can be joined."""
+def dual_traversal(x: Block, y: Block, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of classes with different labels, of two blocks (or of one, given twice), whose bitmaps allow a link."""
     same = x is y
     depth = max(len(x.levels), len(y.levels)) - 1
     level = lambda b, d: b.levels[min(d, len(b.levels) - 1)]
+
+    def children(block: Block, nodes: np.ndarray, d: int) -> tuple[np.ndarray, int]:
+        if d > len(block.levels) - 1:
+            return nodes[:, None], 1
+        return nodes[:, None] * FAN + np.arange(FAN), FAN
+
     i = j = np.zeros(1, np.int64)
     for d in range(depth, -1, -1):
         keep = _possible(level(x, d), level(y, d), i, j, num, den)
         i, j = i[keep], j[keep]
         if d:
-
-            def children(block: Block, nodes: np.ndarray, d: int = d) -> tuple[np.ndarray, int]:
-                if d > len(block.levels) - 1:
-                    return nodes[:, None], 1
-                return nodes[:, None] * FAN + np.arange(FAN), FAN
-
-            (ci, a), (cj, b) = children(x, i), children(y, j)
+            (ci, a), (cj, b) = children(x, i, d), children(y, j, d)
             i, j = np.repeat(ci, b, axis=1).ravel(), np.tile(cj, (1, a)).ravel()
             inside = (i < len(level(x, d - 1)[0])) & (j < len(level(y, d - 1)[0]))
             if same:
                 inside &= i <= j
             i, j = i[inside], j[inside]
-    root: dict[int, int] = {}
-
-    def find(v: int) -> int:
-        while root.get(v, v) != v:
-            root[v] = root.get(root[v], root[v])
-            v = root[v]
-        return v
-
-    out = []
-    for p, q in zip(i.tolist(), j.tolist(), strict=True):
-        if same and p >= q:
-            continue
-        a, b = find(int(x.labels[p])), find(int(y.labels[q]))
-        if a == b:
-            continue
-        s, t = x.sets[p], y.sets[q]
-        common = len(np.intersect1d(s, t, assume_unique=True))
-        if common * den >= num * (len(s) + len(t) - common):
-            out.append((int(x.ids[p]), int(y.ids[q])))
-            root[max(a, b)] = min(a, b)
-    return out
+    if same:
+        i, j = i[i < j], j[i < j]
+    return x.ids[i], y.ids[j]
 
 
 # The join
@@ -218,7 +217,7 @@ def _filter_words(hashes: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
 
 
 def sets_of(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
-    """cid, members of the needed classes (cid, rep, s1, s2), from the texts of their representatives.
+    """cid, members, bits of the needed classes (cid, rep, s1, s2), from the texts of their representatives.
 
     Texts are not shuffled: a filter of bounded size drops most rows before their words are hashed again."""
     spark = docs.sparkSession
@@ -240,11 +239,11 @@ def sets_of(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
             hashes = [set_hash(h) for h in rows]
             ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
             flat = np.concatenate(rows).view(np.int64) if rows else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([x[0] for x in hashes], pa.int64()), pa.array([x[1] for x in hashes], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["rep", "s1", "s2", "members"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([x[0] for x in hashes], pa.int64()), pa.array([x[1] for x in hashes], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(map(bitmap, rows), pa.binary())], ["rep", "s1", "s2", "members", "bits"])
 
-    found = hashed.mapInArrow(run, "rep long, s1 long, s2 long, members array<long>")
+    found = hashed.mapInArrow(run, "rep long, s1 long, s2 long, members array<long>, bits binary")
     same = F.col("found.rep").eqNullSafe(F.col("needed.rep")) & (F.col("found.s1") == F.col("needed.s1")) & (F.col("found.s2") == F.col("needed.s2"))
-    return found.alias("found").join(needed.alias("needed"), same).select("needed.cid", "found.members")
+    return found.alias("found").join(needed.alias("needed"), same).select("needed.cid", "found.members", "found.bits")
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -257,67 +256,58 @@ def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 
 def _searched(trees: DataFrame, num: int, den: int) -> DataFrame:
-    """Links in trees, by dual traversal. trees: key, salt, heavy, cid, label, n, members."""
+    """Pairs a, b that trees leave to be checked, by dual traversal. trees: key, salt, heavy, cid, label, n, bits."""
     spark = trees.sparkSession
     small_batches(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    in_order = trees.repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "label", "n", "cid")
-    schema = pa.schema([("key", pa.int64()), ("block", pa.string()), ("low", pa.int64()), ("high", pa.int64()), ("l0", pa.int64()), ("l1", pa.int64()), ("ids", pa.list_(pa.int64())), ("labels", pa.list_(pa.int64())), ("sets", pa.list_(pa.list_(pa.int64()))), ("links", pa.list_(pa.list_(pa.int64())))])
-    ddl = "key long, block string, low long, high long, l0 long, l1 long, ids array<long>, labels array<long>, sets array<array<long>>, links array<array<long>>"
-
-    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-        for b in batches:
-            offsets, flat = b["members"].offsets.to_numpy(), b["members"].values.to_numpy().view(np.uint64)
-            for r, (key, salt, heavy, cid, label) in enumerate(zip(*(b[c].to_pylist() for c in ("key", "salt", "heavy", "cid", "label")), strict=True)):
-                yield key, salt, heavy, cid, label, flat[offsets[r] : offsets[r + 1]]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    in_order = trees.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "label", "n", "cid")
+    longs, binaries = pa.list_(pa.int64()), pa.list_(pa.binary())
+    schema = pa.schema([("key", pa.int64()), ("block", pa.string()), ("low", pa.int64()), ("high", pa.int64()), ("l0", pa.int64()), ("l1", pa.int64()), ("ids", longs), ("labels", longs), ("sizes", longs), ("bits", binaries), ("a", longs), ("b", longs)])
+    ddl = "key long, block string, low long, high long, l0 long, l1 long, ids array<long>, labels array<long>, sizes array<long>, bits array<binary>, a array<long>, b array<long>"
+    columns = ("key", "salt", "heavy", "cid", "label", "n", "bits")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, ids, labels, sets, total, seq = None, [], [], [], 0, 0
+        tree, rows, total, seq = None, [], 0, 0
 
         def block() -> pa.RecordBatch:
-            b = Block(np.array(ids), np.array(labels), sets, bitmap_width(max(map(len, sets))))
-            links = dual_traversal(b, b, num, den)
             key, salt, heavy = tree
-            size = [len(s) for s in sets]
-            kept = heavy and {"ids": ids, "labels": labels, "sets": [s.view(np.int64) for s in sets]} or {"ids": [], "labels": [], "sets": []}
-            row = {"key": key, "block": f"{salt}-{seq}", "low": min(size), "high": max(size), "l0": min(labels), "l1": max(labels), "links": links, **kept}
+            ids, labels, sizes, bits = (list(c) for c in zip(*rows, strict=True))
+            whole = Block(np.array(ids), np.array(labels), np.array(sizes), bits, bitmap_width(key & 255))
+            a, b = dual_traversal(whole, whole, num, den)
+            kept = {"ids": ids, "labels": labels, "sizes": sizes, "bits": bits} if heavy else {"ids": [], "labels": [], "sizes": [], "bits": []}
+            row = {"key": key, "block": f"{salt}-{seq}", "low": min(sizes), "high": max(sizes), "l0": min(labels), "l1": max(labels), "a": a, "b": b, **kept}
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
-        for key, salt, heavy, cid, label, h in rows(batches):
-            if (key, salt, heavy) != tree or len(ids) >= BLOCK_CLASSES or total + len(h) > BLOCK_MEMBERS and ids:
-                if ids:
+        for batch in batches:
+            for key, salt, heavy, cid, label, n, bits in zip(*(batch[c].to_pylist() for c in columns), strict=True):
+                if rows and ((key, salt, heavy) != tree or len(rows) >= BLOCK_CLASSES or total + n > BLOCK_MEMBERS):
                     yield block()
-                    seq += 1
-                tree, ids, labels, sets, total = (key, salt, heavy), [], [], [], 0
-            ids.append(cid)
-            labels.append(label)
-            sets.append(h)
-            total += len(h)
-        if ids:
+                    rows, total, seq = [], 0, seq + 1
+                tree = key, salt, heavy
+                rows.append((cid, label, n, bits))
+                total += n
+        if rows:
             yield block()
 
-    blocks = written(in_order.select("key", "salt", "heavy", "cid", "label", "members").mapInArrow(run, ddl), "blocks")
-    links = blocks.select(F.explode("links").alias("l")).select(F.col("l")[0].alias("a"), F.col("l")[1].alias("b"))
+    blocks = written(in_order.select(*columns).mapInArrow(run, ddl), "blocks")
+    pairs = blocks.select(F.explode(F.arrays_zip("a", "b")).alias("p")).select("p.a", "p.b")
     upper = blocks.filter(F.size("ids") > 0)
     brief = upper.select("key", "block", "low", "high", "l0", "l1")
     x, y = brief.alias("x"), brief.alias("y")
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") < F.col("y.block")))
     met = met.filter("not (x.l0 = x.l1 and y.l0 = y.l1 and x.l0 = y.l0)").filter((F.col("x.high") * den >= F.col("y.low") * num) & (F.col("y.high") * den >= F.col("x.low") * num))
     met = met.select(F.col("x.key").alias("key"), F.col("x.block").alias("bx"), F.col("y.block").alias("by"))
-    whole = upper.select("key", "block", "ids", "labels", "sets")
     for side in ("x", "y"):
-        met = met.join(whole.toDF("key", f"b{side}", *(f"{c}_{side}" for c in ("ids", "labels", "sets"))), ["key", f"b{side}"])
+        whole = upper.select("key", F.col("block").alias(f"b{side}"), F.struct("ids", "labels", "sizes", "bits").alias(side))
+        met = met.join(whole, ["key", f"b{side}"])
 
     def across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                sets = {s: [np.array(h, np.int64).view(np.uint64) for h in r[f"sets_{s}"]] for s in "xy"}
-                width = bitmap_width(max(len(h) for s in sets.values() for h in s))
-                bx, by = (Block(np.array(r[f"ids_{s}"]), np.array(r[f"labels_{s}"]), sets[s], width) for s in "xy")
-                found = dual_traversal(bx, by, num, den)
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+            for key, *sides in zip(*(batch[c].to_pylist() for c in ("key", "x", "y")), strict=True):
+                bx, by = (Block(np.array(s["ids"]), np.array(s["labels"]), np.array(s["sizes"]), s["bits"], bitmap_width(key & 255)) for s in sides)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in dual_traversal(bx, by, num, den)], ["a", "b"])
 
-    return links.union(met.mapInArrow(across, "a long, b long"))
+    return pairs.union(met.select("key", "x", "y").mapInArrow(across, "a long, b long"))
 
 
 def join_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -346,8 +336,14 @@ def join_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> tup
     # Trees of the same classes do the same work: one of them is enough.
     groups = groups.groupBy("who", "count", "weight").agg(F.min("key").alias("key"))
     groups = groups.select("key", ((F.col("weight") > BLOCK_MEMBERS) | (F.col("count") > BLOCK_CLASSES)).alias("heavy"), F.ceil(F.greatest(F.col("weight") / (16 * BLOCK_MEMBERS), F.col("count") / (16 * BLOCK_CLASSES))).alias("salts"))
-    open_trees = named.join(groups, "key").withColumn("salt", F.pmod(F.xxhash64("label"), F.col("salts"))).join(sets, "cid")
-    more = _searched(open_trees.select("key", "salt", "heavy", "cid", "label", "n", "members"), num, den)
+    # A tree's first class has been checked against all others.
+    open_trees = named.filter(~F.col("first")).join(groups, "key").withColumn("salt", F.pmod(F.xxhash64("label"), F.col("salts"))).join(sets.select("cid", "bits"), "cid")
+    pairs = _searched(open_trees.select("key", "salt", "heavy", "cid", "label", "n", "bits"), num, den)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    checked = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = written(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
+    met = written(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "met")
+    more = _checked(pairs, sets.join(met, "cid", "left_semi"), num, den)
     roots = components(links.union(more))
     linked = classes.join(roots.withColumnRenamed("node", "cid"), "cid").select("cid", "root", "rep", "s1", "s2")
     return rows, linked

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dac, fingerprint, mixing, ngram_join, oracles, pii, substring_dedup, topk
+from . import bpe, dac, fingerprint, mixing, ngram_join, oracles, pii, quality, substring_dedup, topk, toxicity
 from .common import read
 
 
@@ -24,6 +24,11 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_components(read(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(read(spark, sf_dir, "documents"))
 
@@ -45,8 +50,17 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_rate").alias("rate"), F.col("mix_copies").alias("copies"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_personal_data, op2_byte_bpe, op3_ngram_join, op5_substring_dedup, op6_exact_top_k, op7_addressable_ids, op8_fingerprints, op9_source_mixing)}
+    all_of_them = (
+        op1_personal_data, op2_byte_bpe, op3_ngram_join, op4_quality, op5_substring_dedup, op6_exact_top_k,
+        op7_addressable_ids, op8_fingerprints, op9_source_mixing, op10_toxicity,
+    )
+    return {f.__name__: f for f in all_of_them}
 
 
 def oracle_sql() -> dict[str, str]:
