@@ -50,7 +50,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def documents(docs: DataFrame) -> DataFrame:
     """doc_id and text alone; null texts become empty. Other columns, of whatever name, are left out."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    # No cast where none is needed: equal plans then share one shuffle.
+    doc_id = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    return docs.select(doc_id, F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
 def fold(doc_id: Column) -> Column:

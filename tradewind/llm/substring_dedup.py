@@ -40,9 +40,15 @@ def anchors(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.n
     return g, runs.argmin(1) + np.arange(len(runs))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows with a key that tells rows of one doc_id apart."""
-    return documents(docs).filter("doc_id is not null").withColumn("row", F.xxhash64("doc_id", "text"))
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id and text of the rows with doc_id; and `row`, which tells rows of one doc_id apart, where ids repeat."""
+    rows = documents(docs).filter("doc_id is not null")
+    unique = rows.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    return rows if unique else rows.withColumn("row", F.xxhash64("doc_id", "text"))
+
+
+def keys_of(rows: DataFrame) -> list[str]:
+    return [c for c in ("doc_id", "row") if c in rows.columns]
 
 
 def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
@@ -51,9 +57,13 @@ def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(kind.to_pandas_dtype())))
 
 
-def anchor_rows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """gram, doc_id, row, at: the anchors of all documents."""
-    small_batches(docs.sparkSession)
+def _ddl(keys: list[str], *rest: str) -> str:
+    return ", ".join([*(f"{k} long" for k in keys), *rest])
+
+
+def anchor_rows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """gram, the keys, at: the anchors of all documents."""
+    keys = keys_of(rows)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -63,18 +73,18 @@ def anchor_rows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
                 at = np.unique(at)
                 grams.append(g[at].view(np.int64))
                 places.append(at)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["row"], _lists(grams, pa.int64()), _lists(places, pa.int32())], ["doc_id", "row", "grams", "places"])
+            yield pa.RecordBatch.from_arrays([*(b[k] for k in keys), _lists(grams, pa.int64()), _lists(places, pa.int32())], [*keys, "grams", "places"])
 
-    found = _keyed(docs).mapInArrow(run, "doc_id long, row long, grams array<long>, places array<int>")
-    return found.select("doc_id", "row", F.explode(F.arrays_zip("grams", "places")).alias("x")).select(F.col("x.grams").alias("gram"), "doc_id", "row", F.col("x.places").alias("at"))
+    found = rows.mapInArrow(run, _ddl(keys, "grams array<long>", "places array<int>"))
+    return found.select(*keys, F.explode(F.arrays_zip("grams", "places")).alias("x")).select(F.col("x.grams").alias("gram"), *keys, F.col("x.places").alias("at"))
 
 
-def seeds(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """seed, more, doc_id, row, at: windows whose anchor gram two documents share. The seed is 96 bits wide."""
-    by_gram = Window.partitionBy("gram")
-    shared = anchor_rows(docs, window, gram).withColumn("low", F.min("doc_id").over(by_gram)).withColumn("high", F.max("doc_id").over(by_gram)).filter("low < high")
-    places = shared.groupBy("doc_id", "row").agg(F.collect_set("at").alias("places"))
-    joined = _keyed(docs).join(places, ["doc_id", "row"]).select("doc_id", "row", "text", "places")
+def seeds(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """seed, more, the keys, at: windows whose anchor gram two documents share. The seed is 96 bits wide."""
+    by_gram, keys = Window.partitionBy("gram"), keys_of(rows)
+    shared = anchor_rows(rows, window, gram).withColumn("low", F.min("doc_id").over(by_gram)).withColumn("high", F.max("doc_id").over(by_gram)).filter("low < high")
+    places = shared.groupBy(*keys).agg(F.collect_set("at").alias("places"))
+    joined = rows.join(places, keys).select(*keys, "text", "places")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -83,23 +93,22 @@ def seeds(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
                 h = word_hashes(text.encode().split())
                 _, at = anchors(h, window, gram)
                 p = np.flatnonzero(np.isin(at, wanted.values.to_numpy()))
-                w = gram_hashes(h, window)[p]
                 starts.append(p)
-                one.append(w.view(np.int64))
+                one.append(gram_hashes(h, window)[p].view(np.int64))
                 other = gram_hashes(mix64(h), window)[p]
                 two.append((other >> np.uint64(32)).astype(np.uint32).view(np.int32))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["row"], _lists(one, pa.int64()), _lists(two, pa.int32()), _lists(starts, pa.int32())], ["doc_id", "row", "seeds", "mores", "starts"])
+            yield pa.RecordBatch.from_arrays([*(b[k] for k in keys), _lists(one, pa.int64()), _lists(two, pa.int32()), _lists(starts, pa.int32())], [*keys, "seeds", "mores", "starts"])
 
-    found = joined.mapInArrow(run, "doc_id long, row long, seeds array<long>, mores array<int>, starts array<int>")
-    found = found.select("doc_id", "row", F.explode(F.arrays_zip("seeds", "mores", "starts")).alias("x"))
-    return found.select(F.col("x.seeds").alias("seed"), F.col("x.mores").alias("more"), "doc_id", "row", F.col("x.starts").alias("at"))
+    found = joined.mapInArrow(run, _ddl(keys, "seeds array<long>", "mores array<int>", "starts array<int>"))
+    found = found.select(*keys, F.explode(F.arrays_zip("seeds", "mores", "starts")).alias("x"))
+    return found.select(F.col("x.seeds").alias("seed"), F.col("x.mores").alias("more"), *keys, F.col("x.starts").alias("at"))
 
 
-def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, row, starts: where the windows begin that an earlier document has too."""
+def repeated(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """The keys, starts: where the windows begin that an earlier document has too."""
     first = F.min("doc_id").over(Window.partitionBy("seed", "more"))
-    found = seeds(docs, window, gram).withColumn("first", first).filter("first < doc_id")
-    return found.groupBy("doc_id", "row").agg(F.collect_set("at").alias("starts"))
+    found = seeds(rows, window, gram).withColumn("first", first).filter("first < doc_id")
+    return found.groupBy(*keys_of(rows)).agg(F.collect_set("at").alias("starts"))
 
 
 def factors(starts: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -123,9 +132,9 @@ def digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
 
 def _cut(docs: DataFrame, window: int, gram: int, result: str) -> DataFrame:
     small_batches(docs.sparkSession)
-    everything = documents(docs).withColumn("row", F.xxhash64("doc_id", "text"))
-    joined = _keyed(docs).join(repeated(docs, window, gram), ["doc_id", "row"], "left").select("doc_id", "text", "starts")
-    none = everything.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"))
+    rows = keyed(docs)
+    joined = rows.join(repeated(rows, window, gram), keys_of(rows), "left").select("doc_id", "text", "starts")
+    none = documents(docs).filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
