@@ -127,15 +127,18 @@ def neighbours(docs: DataFrame) -> DataFrame:
 def edited_texts(docs: DataFrame) -> DataFrame:
     """doc_id, text, next_id, edited: the last quarter of each text replaced by the start of the next document."""
     docs = documents(docs)
-    order = neighbours(docs).withColumnRenamed("doc_id", "key")
-    placed = docs.join(order.hint("shuffle_hash"), docs["doc_id"] == order["key"], "left").drop("key")
-    heads = placed.filter("prev_id is not null").select(F.col("prev_id").alias("of"), F.expr("substring(text, 1, cast(prev_chars div 4 as int))").alias("head"))
+    known = docs.filter("doc_id is not null")
+    order = written(neighbours(docs), "neighbours").withColumnRenamed("doc_id", "key")
+    # Both uses of `placed` read the same shuffle of the texts.
+    placed = known.join(order.hint("shuffle_hash"), known["doc_id"] == order["key"]).drop("key")
+    heads = placed.select(F.col("prev_id").alias("of"), F.expr("substring(text, 1, cast(prev_chars div 4 as int))").alias("head"))
     heads = heads.groupBy("of").agg(F.min("head").alias("head"))
-    both = placed.join(heads, placed["doc_id"] == heads["of"], "left")
+    both = placed.join(heads, placed["doc_id"] == heads["of"], "left").select("doc_id", "text", "next_id", "head")
+    rest = docs.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("long").alias("next_id"), F.lit(None).cast("string").alias("head"))
     chars = F.length("text")
     quarter = F.expr("cast(length(text) div 4 as int)")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), chars - quarter), F.substring(F.coalesce("head", F.lit("")), F.lit(1), quarter))
-    return both.select("doc_id", "text", "next_id", edited.alias("edited"))
+    return both.union(rest).select("doc_id", "text", "next_id", edited.alias("edited"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
