@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import reports as r
 from ..sources.testdata import Star
+from . import more
 from .oracles_shop import ORACLES as SHOP
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,8 +36,8 @@ SHOP_QUERIES: dict[str, Query] = {
 
 
 def queries() -> dict[str, Query]:
-    return dict(SHOP_QUERIES)
+    return SHOP_QUERIES | more.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SHOP)
+    return SHOP | more.ORACLES
