@@ -11,9 +11,11 @@ differ in, so that any pair to be linked has a part, with members, in common: ea
 Links. First every class of a tree is checked against the tree's smallest one, and what is connected by then
 gets a label. Only trees with further labels are searched: their nodes hold the OR of their sets' token bitmaps
 and their range of sizes, and a dual traversal drops pairs of nodes whose largest possible overlap is too small,
-whose sizes are too far apart, or that have one label throughout. Trees carry bitmaps alone; the pairs they leave,
-each once, are checked on the whole sets. Large trees are split into blocks; the blocks of a tree are its upper
-nodes, and block pairs are tested the same way before two blocks meet in a task.
+whose sizes are too far apart, or that have one label throughout. For this, trees with classes in common are merged
+and cut by size (powers of two, a class near the lower bound going to both sides), so that a class is shipped once or
+twice, and its bitmap has at least 16 bits a member. The pairs that are left are checked on the whole sets. Large
+trees are split into blocks; the blocks of a tree are its upper nodes, and block pairs are tested the same way before
+two blocks meet in a task.
 
 Defined results: null, empty and blank texts have no members and are their own component; rows that repeat a
 doc_id are handled each for itself; rows without doc_id link, but give no id to a component; other columns are
@@ -70,7 +72,7 @@ def band(n: int) -> tuple[int, int, int]:
 
 
 def tree_keys(h: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of all trees that a set belongs to; a key's lowest byte is its band."""
+    """Keys of all trees that a set belongs to."""
     n = len(h)
     if not n:
         return np.empty(0, np.int64)
@@ -84,11 +86,10 @@ def tree_keys(h: np.ndarray, num: int, den: int) -> np.ndarray:
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         sums, used, counts = np.add.reduceat(mixed, first), at[first], np.diff(np.r_[first, n]).astype(np.uint64)
         base = mix64(np.array([i * 4 + 1], np.uint64))
-        tag = lambda x, i=i: (x & np.uint64(0xFFFFFFFFFFFFFF00)) | np.uint64(i)
-        out.append(tag(mix64(sums + counts * GOLD + mix64(used + base))))
+        out.append(mix64(sums + counts * GOLD + mix64(used + base)))
         if parts - len(used) > SLACK:
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), used)
-            out.append(tag(mix64(mix64(empty + base) + np.uint64(7))))
+            out.append(mix64(mix64(empty + base) + np.uint64(7)))
         if high >= n:
             return np.unique(np.concatenate(out)).view(np.int64)
         least = high + 1
@@ -104,24 +105,21 @@ def set_hash(h: np.ndarray) -> tuple[int, int]:
 # Trees
 
 
-def bitmap_width(i: int) -> int:
-    """Bits for sets of band i: at least four a member."""
-    low = 1
-    for _ in range(i):
-        low = low + low // 2 + 1
-    return max(64, 1 << (4 * (low + low // 2) - 1).bit_length())
+def bitmap_width(octave: int) -> int:
+    """Bits for sets of 2^octave members or more, less than twice as many: at least 16 a member."""
+    return max(64, 1 << (octave + 5))
 
 
 def bitmap(h: np.ndarray) -> bytes:
-    """A set's token bitmap, as wide as its own band has it."""
-    width = bitmap_width(band(max(1, len(h)))[0])
+    """A set's token bitmap, as wide as its own size has it."""
+    width = bitmap_width(max(1, len(h)).bit_length() - 1)
     bits = np.zeros(width, np.uint8)
     bits[(h & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
 def folded(bits: bytes, width: int) -> np.ndarray:
-    """A bitmap brought to the width of a lower band's trees."""
+    """A bitmap brought to the width of smaller sets."""
     words = np.frombuffer(bits, np.uint64)
     while len(words) > width // 64:
         words = words[: len(words) // 2] | words[len(words) // 2 :]
@@ -256,34 +254,34 @@ def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 
 def _searched(trees: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs a, b that trees leave to be checked, by dual traversal. trees: key, salt, heavy, cid, label, n, bits."""
+    """Pairs a, b that trees leave to be checked, by dual traversal. trees: key, octave, salt, heavy, cid, label, n, bits."""
     spark = trees.sparkSession
     small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    in_order = trees.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "label", "n", "cid")
+    in_order = trees.repartition(parts, "key", "octave", "salt").sortWithinPartitions("key", "octave", "salt", "label", "n", "cid")
     longs, binaries = pa.list_(pa.int64()), pa.list_(pa.binary())
-    schema = pa.schema([("key", pa.int64()), ("block", pa.string()), ("low", pa.int64()), ("high", pa.int64()), ("l0", pa.int64()), ("l1", pa.int64()), ("ids", longs), ("labels", longs), ("sizes", longs), ("bits", binaries), ("a", longs), ("b", longs)])
-    ddl = "key long, block string, low long, high long, l0 long, l1 long, ids array<long>, labels array<long>, sizes array<long>, bits array<binary>, a array<long>, b array<long>"
-    columns = ("key", "salt", "heavy", "cid", "label", "n", "bits")
+    schema = pa.schema([("key", pa.int64()), ("octave", pa.int32()), ("block", pa.string()), ("low", pa.int64()), ("high", pa.int64()), ("l0", pa.int64()), ("l1", pa.int64()), ("ids", longs), ("labels", longs), ("sizes", longs), ("bits", binaries), ("a", longs), ("b", longs)])
+    ddl = "key long, octave int, block string, low long, high long, l0 long, l1 long, ids array<long>, labels array<long>, sizes array<long>, bits array<binary>, a array<long>, b array<long>"
+    columns = ("key", "octave", "salt", "heavy", "cid", "label", "n", "bits")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, rows, total, seq = None, [], 0, 0
 
         def block() -> pa.RecordBatch:
-            key, salt, heavy = tree
+            key, octave, salt, heavy = tree
             ids, labels, sizes, bits = (list(c) for c in zip(*rows, strict=True))
-            whole = Block(np.array(ids), np.array(labels), np.array(sizes), bits, bitmap_width(key & 255))
+            whole = Block(np.array(ids), np.array(labels), np.array(sizes), bits, bitmap_width(octave))
             a, b = dual_traversal(whole, whole, num, den)
             kept = {"ids": ids, "labels": labels, "sizes": sizes, "bits": bits} if heavy else {"ids": [], "labels": [], "sizes": [], "bits": []}
-            row = {"key": key, "block": f"{salt}-{seq}", "low": min(sizes), "high": max(sizes), "l0": min(labels), "l1": max(labels), "a": a, "b": b, **kept}
+            row = {"key": key, "octave": octave, "block": f"{salt}-{seq}", "low": min(sizes), "high": max(sizes), "l0": min(labels), "l1": max(labels), "a": a, "b": b, **kept}
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
-            for key, salt, heavy, cid, label, n, bits in zip(*(batch[c].to_pylist() for c in columns), strict=True):
-                if rows and ((key, salt, heavy) != tree or len(rows) >= BLOCK_CLASSES or total + n > BLOCK_MEMBERS):
+            for key, octave, salt, heavy, cid, label, n, bits in zip(*(batch[c].to_pylist() for c in columns), strict=True):
+                if rows and ((key, octave, salt, heavy) != tree or len(rows) >= BLOCK_CLASSES or total + n > BLOCK_MEMBERS):
                     yield block()
                     rows, total, seq = [], 0, seq + 1
-                tree = key, salt, heavy
+                tree = key, octave, salt, heavy
                 rows.append((cid, label, n, bits))
                 total += n
         if rows:
@@ -292,22 +290,22 @@ def _searched(trees: DataFrame, num: int, den: int) -> DataFrame:
     blocks = written(in_order.select(*columns).mapInArrow(run, ddl), "blocks")
     pairs = blocks.select(F.explode(F.arrays_zip("a", "b")).alias("p")).select("p.a", "p.b")
     upper = blocks.filter(F.size("ids") > 0)
-    brief = upper.select("key", "block", "low", "high", "l0", "l1")
+    brief = upper.select("key", "octave", "block", "low", "high", "l0", "l1")
     x, y = brief.alias("x"), brief.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") < F.col("y.block")))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.octave") == F.col("y.octave")) & (F.col("x.block") < F.col("y.block")))
     met = met.filter("not (x.l0 = x.l1 and y.l0 = y.l1 and x.l0 = y.l0)").filter((F.col("x.high") * den >= F.col("y.low") * num) & (F.col("y.high") * den >= F.col("x.low") * num))
-    met = met.select(F.col("x.key").alias("key"), F.col("x.block").alias("bx"), F.col("y.block").alias("by"))
+    met = met.select(F.col("x.key").alias("key"), F.col("x.octave").alias("octave"), F.col("x.block").alias("bx"), F.col("y.block").alias("by"))
     for side in ("x", "y"):
-        whole = upper.select("key", F.col("block").alias(f"b{side}"), F.struct("ids", "labels", "sizes", "bits").alias(side))
-        met = met.join(whole, ["key", f"b{side}"])
+        whole = upper.select("key", "octave", F.col("block").alias(f"b{side}"), F.struct("ids", "labels", "sizes", "bits").alias(side))
+        met = met.join(whole, ["key", "octave", f"b{side}"])
 
     def across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, *sides in zip(*(batch[c].to_pylist() for c in ("key", "x", "y")), strict=True):
-                bx, by = (Block(np.array(s["ids"]), np.array(s["labels"]), np.array(s["sizes"]), s["bits"], bitmap_width(key & 255)) for s in sides)
+            for octave, *sides in zip(*(batch[c].to_pylist() for c in ("octave", "x", "y")), strict=True):
+                bx, by = (Block(np.array(s["ids"]), np.array(s["labels"]), np.array(s["sizes"]), s["bits"], bitmap_width(octave)) for s in sides)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in dual_traversal(bx, by, num, den)], ["a", "b"])
 
-    return pairs.union(met.select("key", "x", "y").mapInArrow(across, "a long, b long"))
+    return pairs.union(met.select("octave", "x", "y").mapInArrow(across, "a long, b long"))
 
 
 def join_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -331,14 +329,19 @@ def join_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> tup
 
     named = trees.join(labels.select(F.col("node").alias("cid"), "root"), "cid", "left").select("key", "cid", "n", F.coalesce("root", "cid").alias("label"), (F.col("cid") == F.col("pivot")).alias("first"))
     named = written(named, "named")
-    rest = F.when(~F.col("first"), F.col("label"))
-    groups = named.groupBy("key").agg(F.min(rest).alias("l0"), F.max(rest).alias("l1"), F.count("*").alias("count"), F.sum("n").alias("weight"), F.bit_xor(F.xxhash64("cid")).alias("who")).filter("l0 <> l1")
-    # Trees of the same classes do the same work: one of them is enough.
-    groups = groups.groupBy("who", "count", "weight").agg(F.min("key").alias("key"))
-    groups = groups.select("key", ((F.col("weight") > BLOCK_MEMBERS) | (F.col("count") > BLOCK_CLASSES)).alias("heavy"), F.ceil(F.greatest(F.col("weight") / (16 * BLOCK_MEMBERS), F.col("count") / (16 * BLOCK_CLASSES))).alias("salts"))
-    # A tree's first class has been checked against all others.
-    open_trees = named.filter(~F.col("first")).join(groups, "key").withColumn("salt", F.pmod(F.xxhash64("label"), F.col("salts"))).join(sets.select("cid", "bits"), "cid")
-    pairs = _searched(open_trees.select("key", "salt", "heavy", "cid", "label", "n", "bits"), num, den)
+    # A tree's first class has been checked against all others, so a tree is open only if further ones have several labels.
+    rest = named.filter(~F.col("first")).select("key", "cid", "n", "label")
+    still = rest.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("cid").alias("least")).filter("l0 <> l1").select("key", "least")
+    rest = written(rest.join(still, "key"), "open")
+    merged = components(rest.select(F.col("cid").alias("a"), F.col("least").alias("b")))
+    octaves = F.array_distinct(F.transform(F.array(F.col("n"), F.ceil(F.col("n") * num / den)), lambda n: F.length(F.bin(n)) - 1))
+    placed = rest.select("cid", "n", "label").distinct().join(merged.select(F.col("node").alias("cid"), F.col("root").alias("key")), "cid")
+    placed = written(placed.select("key", F.explode(octaves).alias("octave"), "cid", "n", "label"), "placed")
+    groups = placed.groupBy("key", "octave").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("count"), F.sum("n").alias("weight")).filter("l0 <> l1")
+    heavy = ((F.col("weight") > BLOCK_MEMBERS) | (F.col("count") > BLOCK_CLASSES)).alias("heavy")
+    salts = F.ceil(F.greatest(F.col("weight") / (16 * BLOCK_MEMBERS), F.col("count") / (16 * BLOCK_CLASSES))).alias("salts")
+    open_trees = placed.join(groups.select("key", "octave", heavy, salts), ["key", "octave"]).withColumn("salt", F.pmod(F.xxhash64("label"), F.col("salts"))).join(sets.select("cid", "bits"), "cid")
+    pairs = _searched(open_trees.select("key", "octave", "salt", "heavy", "cid", "label", "n", "bits"), num, den)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     checked = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = written(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
