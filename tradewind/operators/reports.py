@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Shelf = Mapping[str, DataFrame]
-ALL = Window.partitionBy()
 
 
 def money(c: Column | str) -> Column:
@@ -146,7 +145,7 @@ def by_label(df: DataFrame, label: str, amount: str, out: str, blank: str) -> Da
     """Sums by a label, where blank has a name, with each one's share of all; the largest first."""
     name = F.coalesce(F.nullif(F.trim(label), F.lit("")), F.lit(blank))
     g = df.groupBy(name.alias("label")).agg(F.sum(amount).alias("n"))
-    return g.select("label", as_double(F.col("n")).alias(out), ratio(F.col("n"), F.sum("n").over(ALL), 100).alias("share_percent")).orderBy(F.desc(out), "label")
+    return g.select("label", as_double(F.col("n")).alias(out), ratio(F.col("n"), F.sum("n").over(Window.partitionBy()), 100).alias("share_percent")).orderBy(F.desc(out), "label")
 
 
 def operating_costs(shelf: Shelf, period: str | None = None) -> DataFrame:
