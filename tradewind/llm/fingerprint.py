@@ -125,7 +125,9 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
 
 def edited_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_id, edited: the last quarter of each text replaced by the start of the next document."""
+    """doc_id, row, text, next_id, edited: the last quarter of each text replaced by the start of the next document.
+
+    `row` tells rows of one doc_id apart; it is counted where the join has them together, so that no text moves again."""
     docs = documents(docs)
     known = docs.filter("doc_id is not null")
     order = written(neighbours(docs), "neighbours").withColumnRenamed("doc_id", "key")
@@ -133,20 +135,18 @@ def edited_texts(docs: DataFrame) -> DataFrame:
     placed = known.join(order.hint("shuffle_hash"), known["doc_id"] == order["key"]).drop("key")
     heads = placed.select(F.col("prev_id").alias("of"), F.expr("substring(text, 1, cast(prev_chars div 4 as int))").alias("head"))
     heads = heads.groupBy("of").agg(F.min("head").alias("head"))
-    both = placed.join(heads, placed["doc_id"] == heads["of"], "left").select("doc_id", "text", "next_id", "head")
-    rest = docs.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("long").alias("next_id"), F.lit(None).cast("string").alias("head"))
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))).cast("long")
+    both = placed.join(heads, placed["doc_id"] == heads["of"], "left").select("doc_id", number.alias("row"), "text", "next_id", "head")
+    rest = docs.filter("doc_id is null").select("doc_id", F.monotonically_increasing_id().alias("row"), "text", F.lit(None).cast("long").alias("next_id"), F.lit(None).cast("string").alias("head"))
     chars = F.length("text")
     quarter = F.expr("cast(length(text) div 4 as int)")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), chars - quarter), F.substring(F.coalesce("head", F.lit("")), F.lit(1), quarter))
-    return both.union(rest).select("doc_id", "text", "next_id", edited.alias("edited"))
+    return both.union(rest).select("doc_id", "row", "text", "next_id", edited.alias("edited"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     texts = edited_texts(docs)
-    # Rows of one doc_id are told apart by a number.
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    texts = texts.select("doc_id", number.alias("row"), "next_id", "text", "edited")
     sha = F.sha2(F.col("edited").cast("binary"), 256)
     texts = texts.select("doc_id", "row", "next_id", F.length("text").cast("long").alias("n_chars"), "text", "edited", sha.alias("sha"))
     # A digest goes along as four longs.
