@@ -184,8 +184,22 @@ def dual_traversal(x: Block, y: Block, num: int, den: int) -> tuple[np.ndarray,
 # The join
 
 
-def profiles(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, s1, s2, keys: each row's set in brief, with the keys of its trees."""
+def profiles(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, n, s1, s2: each row's set in brief."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [members(t, k) for t in b["text"].to_pylist()]
+            hashes = [set_hash(h) for h in found]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(map(len, found), pa.int64()), pa.array([x[0] for x in hashes], pa.int64()), pa.array([x[1] for x in hashes], pa.int64())], ["doc_id", "n", "s1", "s2"])
+
+    return documents(docs).mapInArrow(run, "doc_id long, n long, s1 long, s2 long")
+
+
+def routes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, n, s1, s2, keys: each row's set in brief, with the keys of its trees. Words are hashed again, as the keys
+    would take more room than that time is worth."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,21 +324,27 @@ def _searched(trees: DataFrame, num: int, den: int) -> DataFrame:
 
 def join_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, s1, s2 of each row; cid, root of each linked class with rep, s1, s2)."""
-    found = written(profiles(docs, k, num, den), "profiles")
-    rows = found.select("doc_id", "n", "s1", "s2")
+    rows = written(profiles(docs, k), "profiles")
     classes = rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    one = found.filter("n > 0").join(classes.withColumnRenamed("n", "size"), ["s1", "s2"]).filter(F.col("doc_id").eqNullSafe(F.col("rep")))
+    one = routes(docs, k, num, den).filter("n > 0").join(classes.select("s1", "s2", "rep", "cid").withColumnRenamed("s1", "c1").withColumnRenamed("s2", "c2"), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")))
     routed = one.select(F.explode("keys").alias("key"), "cid", "n")
     tree = Window.partitionBy("key").orderBy("n", "cid")
     routed = routed.select("key", "cid", "n", F.first("cid").over(tree).alias("pivot"), F.lead("cid").over(tree).alias("after"))
     trees = written(routed.filter("pivot <> cid or after <> cid").select("key", "cid", "n", "pivot"), "trees")
 
-    stars = trees.filter("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
+    stars = trees.filter("cid <> pivot").groupBy(F.col("pivot").alias("a"), F.col("cid").alias("b")).agg(F.count("*").alias("votes"))
     stars = written(stars, "stars")
     needed = classes.join(stars.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi").select("cid", "rep", "s1", "s2")
     sets = written(sets_of(docs, written(needed, "needed"), k), "sets")
-    links = written(_checked(stars, sets, num, den), "links")
+    # Each class is checked against the first class that it shares most trees with; then, where labels still differ, the others.
+    likely = stars.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b")
+    links = written(_checked(likely, sets, num, den), "links")
+    labels = components(links)
+    at = lambda c: labels.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    apart = stars.select("a", "b").join(likely, ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left")
+    apart = written(apart.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), "apart")
+    links = links.union(written(_checked(apart, sets, num, den), "links"))
     labels = components(links)
 
     named = trees.join(labels.select(F.col("node").alias("cid"), "root"), "cid", "left").select("key", "cid", "n", F.coalesce("root", "cid").alias("label"), (F.col("cid") == F.col("pivot")).alias("first"))
