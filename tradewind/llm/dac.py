@@ -30,8 +30,8 @@ END_ID = 2
 #: A shard is closed once it has this many ids; a longer document still is one shard.
 SHARD_IDS = 1 << 20
 #: Words, and pieces of words, whose ids a worker keeps.
-KEPT_WORDS = 200_000
-KEPT_PIECES = 400_000
+KEPT_WORDS = 400_000
+KEPT_PIECES = 600_000
 MAGIC = b"TDAC"
 BLOCK = 512
 
