@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..operators import chunking
 from ..operators import dashboard as d
 from ..operators import evaluation as e
 from ..operators import market as m
@@ -139,7 +140,7 @@ QUERIES: dict[str, Query] = {
     "ret01_bm25": _of(bm25), "ret02_dense": _of(dense), "ret04_fusion": _of(fusion), "ev01_ranking_metrics": _of(metrics), "ev03_summaries": _of(summaries),
     "ev04_classification": _of(classification), "ev04_confusion": _of(confusion), "ev05_tool_metrics": _of(tools), "mk03_price_bands": _of(price_bands), "mk04_opportunities": _of(opportunities),
     "mk07_what_if": _of(what_if), "mk08_stock_risk": _of(stock_risk), "src12_html_text": _of(html), "ag40_term_stats": _of(term_statistics), "str03_token_counts": _of(token_counts),
-    "str02_match_forms": _of(matched_forms), "ag46_grouping_sets": _of(grouping), "jn12_context": _of(context), "wn08_budget": _of(budget),
+    "str02_match_forms": _of(matched_forms), "ag46_grouping_sets": _of(grouping), "jn12_context": _of(context), "wn08_budget": _of(budget), "str12_chunks": _of(lambda s: chunking.chunks(_docs(s))),
 }
 
 _TOKENS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '')"
