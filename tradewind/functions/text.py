@@ -34,8 +34,9 @@ def header_form(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(fold(text), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
-def unigrams(text: Column, pattern: str = "[^a-z0-9]+") -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), pattern, -1), lambda t: t != "")
+def unigrams(text: Column) -> Column:
+    """Runs of a-z and 0-9 in lower case."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
 def with_bigrams(tokens: Column) -> Column:

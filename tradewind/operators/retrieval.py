@@ -23,7 +23,8 @@ def terms(text: Column) -> Column:
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
     """One row: n_docs, avg_length (at least 1)."""
-    n = F.size(terms(F.col("text"))).cast("long")
+    words = F.size(unigrams(F.col("text")))
+    n = F.greatest(2 * words - 1, F.lit(0)).cast("long")
     return docs.agg(F.count("*").alias("n_docs"), F.greatest(F.sum(n).cast("double") / F.count("*"), F.lit(1.0)).alias("avg_length"))
 
 
