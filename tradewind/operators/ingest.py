@@ -25,7 +25,9 @@ MOST_BYTES = 10 * 1024 * 1024
 def mapped_headers(df: DataFrame, table: str, aliases: Mapping[str, str] | None = None) -> DataFrame:
     """Columns renamed by their folded form; two headers with one meaning, or a missing column, are errors."""
     forms = df.sparkSession.range(1).select(*(header_form(F.lit(c)).alias(f"c{i}") for i, c in enumerate(df.columns))).first()
-    names = [(aliases or {}).get(f, f) for f in forms]
+    # The payable column is named after the marketplace that pays.
+    named = lambda f: "marketplace_payable_vnd" if table == "settlements" and f.endswith("_payable_vnd") else f
+    names = [(aliases or {}).get(f, named(f)) for f in forms]
     repeated = sorted({n for n in names if names.count(n) > 1})
     if repeated:
         raise ValueError(f"{table}: several columns mean {', '.join(repeated)}")

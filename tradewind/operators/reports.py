@@ -276,7 +276,7 @@ def shipping_summary(shelf: Shelf, period: str | None = None) -> DataFrame:
 
 
 def settlement_summary(shelf: Shelf, period: str | None = None) -> DataFrame:
-    s = shelf["settlements"].filter(in_period("settlement_date", period)).agg(F.count("*").alias("settlement_count"), total("shopee_payable_vnd").alias("p"), total("actual_fee_vnd").alias("f"), total("received_amount_vnd").alias("r"), F.count_if(F.lower(F.trim("status")) == "pending").alias("pending"))
+    s = shelf["settlements"].filter(in_period("settlement_date", period)).agg(F.count("*").alias("settlement_count"), total("marketplace_payable_vnd").alias("p"), total("actual_fee_vnd").alias("f"), total("received_amount_vnd").alias("r"), F.count_if(F.lower(F.trim("status")) == "pending").alias("pending"))
     expected = F.col("p") - F.col("f")
     return s.select("settlement_count", as_double(F.col("p")).alias("payable"), as_double(F.col("f")).alias("fees"), as_double(expected).alias("expected"), as_double(F.col("r")).alias("received"), as_double(F.col("r") - expected).alias("difference"), "pending")
 

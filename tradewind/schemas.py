@@ -26,7 +26,7 @@ TABLES: dict[str, dict[str, str]] = {
     "inventory_batches": dict(batch_id="s", sku="s", received_date="d", available_units="i", unit_cost_vnd="m"),
     "search_performance": dict(date="d", sku="s", search_term="s", impressions="i", clicks="i", average_position="f"),
     "shipping_performance": dict(order_id="s", order_date="d", status="s", is_late="b", cancellation_reason="s", processing_hours="f"),
-    "settlements": dict(settlement_id="s", settlement_date="d", payout_date="d", shopee_payable_vnd="m", actual_fee_vnd="m", received_amount_vnd="m", status="s"),
+    "settlements": dict(settlement_id="s", settlement_date="d", payout_date="d", marketplace_payable_vnd="m", actual_fee_vnd="m", received_amount_vnd="m", status="s"),
     "competitor_catalog": dict(observed_date="d", reference_sku="s", competitor_shop="s", product_name="s", price_vnd="m", rating="f", review_count="i", estimated_monthly_units="i"),
 }
 REQUIRED = ("orders", "products", "inventory")

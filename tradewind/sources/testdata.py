@@ -129,7 +129,7 @@ class Star(dict):
     def _settlements(self) -> DataFrame:
         price = self._dec("l_extendedprice")
         fee = (price * self._dec("l_tax")).cast("decimal(18,4)")
-        return self["lines"].select(F.col("ship_date").alias("settlement_date"), price.cast("decimal(18,4)").alias("shopee_payable_vnd"), fee.alias("actual_fee_vnd"), (price - fee - F.lit(1)).cast("decimal(18,4)").alias("received_amount_vnd"), F.when(F.col("l_linestatus") == "O", "pending").otherwise("paid").alias("status"))
+        return self["lines"].select(F.col("ship_date").alias("settlement_date"), price.cast("decimal(18,4)").alias("marketplace_payable_vnd"), fee.alias("actual_fee_vnd"), (price - fee - F.lit(1)).cast("decimal(18,4)").alias("received_amount_vnd"), F.when(F.col("l_linestatus") == "O", "pending").otherwise("paid").alias("status"))
 
     def _competitor_catalog(self) -> DataFrame:
         return self["lines"].select(F.col("order_date").alias("observed_date"), (F.col("l_partkey") * 2).alias("reference_sku"), F.col("l_suppkey").alias("competitor_shop"), self._dec("l_extendedprice").cast("decimal(18,4)").alias("price_vnd"))
