@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -41,6 +42,29 @@ def test_likeness_estimates_shared_triples(spark):
     assert near[0, 2] < 0.45 and near[0, 3] < 0.45
 
 
+def test_likeness_of_a_line_repeated_many_times(spark):
+    """Counters of much-repeated triples neither wrap nor spoil each other: the estimate follows exact counts."""
+    line = [f"w{i}" for i in range(12)]
+    for repeats in (1_000, 10_000):
+        kept = repeats * 3 // 4
+        pair = [[line] * repeats, [line] * kept + [[f"r{i}" for i in range(12 * (repeats - kept))]]]
+        counts = []
+        for lines in pair:
+            c = Counter()
+            for w in lines:
+                around = ["\n", *w, "\n"]
+                c.update(zip(around, around[1:], around[2:]))
+            counts.append(c)
+        square = lambda c: sum(v * v for v in c.values())
+        apart = Counter(counts[0])
+        apart.subtract(counts[1])
+        want = 1 - square(apart) / sum(map(square, counts))
+        texts = [(k, "\n".join(map(" ".join, lines))) for k, lines in enumerate(pair)]
+        f = {r.k: r.fingerprint for r in fp.of_texts(spark.createDataFrame(texts, "k long, t string"), ["k"], "t").collect()}
+        got = spark.createDataFrame([(f[0], f[1])], "a array<long>, b array<long>").select(fp.likeness(F.col("a"), F.col("b"))).first()[0]
+        assert abs(got - want) < 0.03, (repeats, got, want)
+
+
 def test_order_free_and_incremental(spark):
     df = spark.createDataFrame([(1, "a b c d\ne f\ng h i"), (2, "g h i\na b c d\ne f"), (3, "a b c d\ng h i"), (4, "e f"), (5, "a b c d\nE f\ng h i")], "k long, t string")
     f = {r.k: r.fingerprint for r in fp.of_texts(df, ["k"], "t").collect()}

@@ -4,9 +4,9 @@ A text is the multiset of its paragraphs (lines). Each paragraph is hashed to a
 is the sum of these vectors modulo 2^48, so it doesn't depend on the paragraphs' order, and a paragraph is
 inserted or deleted by adding or subtracting its vector. The vector has: a count of paragraphs, a count of
 word triples (each word with its neighbours in the line; the middle of a word thrice in a row is left out), sums
-of whole-paragraph hashes (for equality), and a sketch. The sketch packs four 12-bit counters into each long; a
-counter sums one bit of the hash of every word triple, so the differences between two fingerprints' counters
-estimate how many triples two texts don't share.
+of whole-paragraph hashes (for equality), and a sketch. Each of the sketch's 96 counters is a long of its own and
+sums one bit of the hash of every word triple, so the differences between two fingerprints' counters estimate how
+many triples two texts don't share. A text has under 2^31 words, so no counter of one can reach 2^48.
 
 Words are exploded to rows and summed again by document before any shuffle, all in generated code.
 
@@ -27,12 +27,14 @@ from .common import documents, written
 #: All sums are modulo 2^48: those of 2^27 words still fit a long before they are cut.
 MASK = (1 << 48) - 1
 EQUALITY_SUMS = 4
-LANE_BITS, LANES = 12, 4
-#: Two hashes of twelve shifts: 24 longs, 96 counters.
-HASHES = 2
+#: Two counters are summed in one long: a text, an array of under 2^31 words, can't carry one into the other.
+LANE_BITS, LANES = 32, 2
+#: Two hashes of 24 shifts of two lanes: 96 counters.
+HASHES, SHIFTS = 2, 24
 _ONES = sum(1 << (LANE_BITS * k) for k in range(LANES))
+COUNTERS = HASHES * SHIFTS * LANES
 FIRST_SKETCH = 2 + EQUALITY_SUMS
-WIDTH = FIRST_SKETCH + HASHES * LANE_BITS
+WIDTH = FIRST_SKETCH + COUNTERS
 
 
 def _plus(a: Column, b: Column) -> Column:
@@ -59,10 +61,11 @@ def of_texts(df: DataFrame, keys: list[str], text: str, kept: tuple[str, ...] =
     counted = (word != "\n") & ((before != word) | (word != after))
     rows = rows.select(*keys, *once, "i", F.when(counted, F.xxhash64(before, word, after)).alias("h0"))
     rows = rows.withColumn("h1", F.when(F.col("h0").isNotNull(), F.xxhash64("h0", F.lit(1))))
-    sums = [F.sum(F.shiftrightunsigned(f"h{x}", j).bitwiseAND(F.lit(_ONES))).alias(f"s{x}_{j}") for x in range(HASHES) for j in range(LANE_BITS)]
+    sums = [F.sum(F.shiftrightunsigned(f"h{x}", j).bitwiseAND(F.lit(_ONES))).alias(f"s{x}_{j}") for x in range(HASHES) for j in range(SHIFTS)]
     first = [F.max(F.when(F.col("i") == 1, F.col(c))).alias(c) for c in once]
     summed = rows.groupBy(*keys).agg(F.count("h0").alias("n"), *first, *sums)
-    sketch = [F.coalesce(F.col(f"s{x}_{j}"), F.lit(0)).bitwiseAND(F.lit(MASK)) for x in range(HASHES) for j in range(LANE_BITS)]
+    packed = [F.coalesce(F.col(f"s{x}_{j}"), F.lit(0)) for x in range(HASHES) for j in range(SHIFTS)]
+    sketch = [F.shiftrightunsigned(s, LANE_BITS * k).bitwiseAND(F.lit((1 << LANE_BITS) - 1)) for s in packed for k in range(LANES)]
     return summed.select(*keys, *kept, F.array("lines", "n", *(f"line{j}" for j in range(EQUALITY_SUMS)), *sketch).alias("fingerprint"))
 
 
@@ -78,27 +81,19 @@ def deleted(fingerprint: Column, paragraphs: Column) -> Column:
 
 def _size(a: Column, b: Column) -> Column:
     """The estimated sum of squares of the differences between two multisets' counts of triples."""
-    n = F.get(a, F.lit(1)) - F.get(b, F.lit(1))
-    middle = F.floor(n / 2).cast("long")
-    half = 1 << (LANE_BITS - 1)
-    # The counters' differences around their expected middle, moved to be positive: then no counter borrows from the next.
-    offset = sum((F.shiftleft(middle, LANE_BITS * k).bitwiseAND(F.lit(MASK)) for k in range(LANES)), F.lit(0).cast("long")).bitwiseAND(F.lit(MASK))
-    odd = (2 * middle - n).cast("double")
-
-    def squares(x: Column) -> Column:
-        packed = (x - offset + F.lit(half * _ONES)).bitwiseAND(F.lit(MASK))
-        lanes = (F.shiftright(packed, LANE_BITS * k).bitwiseAND(F.lit((1 << LANE_BITS) - 1)) - half for k in range(LANES))
-        return sum(((2.0 * lane + odd) * (2.0 * lane + odd) for lane in lanes), F.lit(0.0))
-
-    moved = F.slice(deleted(a, b), FIRST_SKETCH + 1, WIDTH)
-    return F.aggregate(moved, F.lit(0.0), lambda acc, x: acc + squares(x)) / (HASHES * LANE_BITS * LANES)
+    n = (F.get(a, F.lit(1)) - F.get(b, F.lit(1))).cast("double")
+    counters = (F.slice(f, FIRST_SKETCH + 1, COUNTERS) for f in (a, b))
+    # A counter's difference around its expected middle, doubled.
+    apart = F.zip_with(*counters, lambda x, y: 2.0 * (x - y) - n)
+    return F.aggregate(apart, F.lit(0.0), lambda acc, d: acc + d * d) / COUNTERS
 
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1: one minus the estimated difference of two fingerprints over their own estimated sizes."""
     none = F.array(*[F.lit(0).cast("long")] * WIDTH)
     whole = _size(a, none) + _size(b, none)
-    return F.when((a == b) | (whole == 0), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - _size(a, b) / whole)))
+    # Nothing over nothing is null, which greatest and least pass over: two empty texts are alike.
+    return F.when(a == b, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - F.try_divide(_size(a, b), whole))))
 
 
 def as_string(fingerprint: Column) -> Column:
