@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tradewind.llm import ngram_join as nj
 from tradewind.llm.components import components
@@ -71,6 +72,24 @@ def test_split_trees(spark, monkeypatch):
     assert got == brute(rows, 3, 9, 10)
 
 
+def test_sets_have_one_row_for_each_class(spark):
+    """Rows that repeat a doc_id with its text, and copies without doc_id, don't multiply a class."""
+    rows = [(d, f"a{d} b c d e f {d}") for d in range(5)] * 3 + [(None, "no id but the same words in every copy")] * 600
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    profiles = nj.profiles(docs, 3)
+    needed = profiles.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")).withColumn("cid", F.monotonically_increasing_id())
+    got = [r.cid for r in nj.sets_of(docs, nj.written(needed, "needed"), 3).collect()]
+    assert len(got) == len(set(got)) == 6
+
+
+def test_open_trees_of_repeated_rows(spark, monkeypatch):
+    """A tree of as many classes as a block holds, and more rows than that, loses no link across blocks."""
+    monkeypatch.setattr(nj, "BLOCK_CLASSES", 40)
+    rows = [r for r in corpus(7, 5) for _ in range(4)]
+    got = sorted(tuple(r) for r in nj.similarity_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 9, 10).collect())
+    assert got == brute(rows, 3, 9, 10)
+
+
 def test_linked_sets_share_a_key():
     rng = np.random.default_rng(4)
     for num, den in ((9, 10), (4, 5)):

@@ -229,7 +229,7 @@ def _filter_words(hashes: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
 
 
 def sets_of(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
-    """cid, members, bits of the needed classes (cid, rep, s1, s2), from the texts of their representatives.
+    """cid, members, bits of the needed classes (cid, rep, s1, s2), from the texts of their representatives: a row for each.
 
     Texts are not shuffled: a filter of bounded size drops most rows before their words are hashed again."""
     spark = docs.sparkSession
@@ -255,7 +255,9 @@ def sets_of(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
 
     found = hashed.mapInArrow(run, "rep long, s1 long, s2 long, members array<long>, bits binary")
     same = F.col("found.rep").eqNullSafe(F.col("needed.rep")) & (F.col("found.s1") == F.col("needed.s1")) & (F.col("found.s2") == F.col("needed.s2"))
-    return found.alias("found").join(needed.alias("needed"), same).select("needed.cid", "found.members", "found.bits")
+    rows = found.alias("found").join(needed.alias("needed"), same).select("needed.cid", "found.members", "found.bits")
+    # Rows that repeat a doc_id and its set, and copies without doc_id, are one class: trees count classes.
+    return rows.dropDuplicates(["cid"])
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
