@@ -59,3 +59,9 @@ def test_nulls_ties_and_empty(spark):
 def test_topics(spark):
     df = spark.createDataFrame([("a | b",), ("x*** y",), ("X!! Y",), ("All rights reserved. x",), ("words",), (" ",)], "t string")
     assert [r[0] for r in df.select(mixing.topic(F.col("t"))).collect()] == ["table", "markup", "shouted", "notice", "prose", "empty"]
+
+
+def test_notice_anywhere_in_a_text(spark):
+    texts = ["word " * 500 + end for end in ("All Rights Reserved", "see the LICENCE", "(c) copyright x", "the end")]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(mixing.topic(F.col("t"))).collect()] == ["notice", "notice", "notice", "prose"]

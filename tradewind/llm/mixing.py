@@ -33,7 +33,7 @@ def topic(text: Column) -> Column:
         .when(F.instr(text, " | ") > 0, "table")
         .when(text.rlike("[%$&*#]{3}"), "markup")
         .when(F.instr(text, "!!") > 0, "shouted")
-        .when(F.lower(F.left(text, F.lit(400))).rlike("licen[sc]e|copyright|rights reserved"), "notice")
+        .when(F.lower(text).rlike("licen[sc]e|copyright|rights reserved"), "notice")
         .otherwise("prose")
     )
 
