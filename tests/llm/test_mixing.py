@@ -65,3 +65,17 @@ def test_notice_anywhere_in_a_text(spark):
     texts = ["word " * 500 + end for end in ("All Rights Reserved", "see the LICENCE", "(c) copyright x", "the end")]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(mixing.topic(F.col("t"))).collect()] == ["notice", "notice", "notice", "prose"]
+
+
+def test_targets_are_met_under_the_cap(spark):
+    """A cell that can't give its raked share is cut, and the others are raked again: all marginals still hold."""
+    docs = {("a", "en"): 200, ("a", "de"): 200, ("b", "en"): 150, ("b", "de"): 10}
+    rows = [(f"{s}{lang}{i}", "one two three", lang, s) for (s, lang), n in docs.items() for i in range(n)]
+    want = {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.5, "de": 0.5}, "topic": {"prose": 1.0}}
+    targets = {a: spark.createDataFrame(list(v.items()), "value string, share double") for a, v in want.items()}
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id string, text string, lang string, source string"), targets, budget=0.5).collect()
+    rates = {(r.mix_source, r.mix_lang): r.mix_rate for r in out}
+    assert rates.keys() == docs.keys() and abs(rates["b", "de"] - 1) < 1e-6
+    for axis, name in enumerate(("source", "lang")):
+        for value, share in want[name].items():
+            assert abs(sum(rates[k] * n for k, n in docs.items() if k[axis] == value) / 280 - share) < 1e-4

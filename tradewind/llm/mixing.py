@@ -1,8 +1,9 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame functions alone.
 
 Documents fall into cells of source, language and topic. The cells' token weights are raked in turn to the
-target marginals of each attribute until the largest relative miss is small. A cell's rate is its raked share
-of the token budget over the tokens it has; each document is then drawn with that probability by a hash of its
+target marginals of each attribute until the largest relative miss is small, each weight cut at what its cell can
+give. A value that can't give its target gives all it has, and its attribute's other values take the rest in
+proportion. A cell's rate is its raked share of the token budget over the tokens it has; each document is then drawn with that probability by a hash of its
 id (rates over one repeat documents: the whole part always, the rest by the draw).
 
 Defined results: null texts have no tokens and are drawn at their cell's rate; a null source or language is the
@@ -22,6 +23,8 @@ ATTRIBUTES = ("source", "lang", "topic")
 #: Exponent on each attribute's own share of tokens that gives its target where none is passed.
 TEMPER = 0.5
 ROUNDS = 8
+#: Rounds of raking with cut weights at most: these converge more slowly, and stop at the same tolerance.
+BOUNDED_ROUNDS = 40
 TOLERANCE = 1e-6
 SALT = "mix"
 
@@ -90,6 +93,56 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     return cells.join(state.select(*ATTRIBUTES, "weight"), list(ATTRIBUTES), "left").fillna(0.0, ["weight"])
 
 
+def _filled(state: DataFrame, by: list[str], free: str, most: str, goal: Column, key: list[str]) -> DataFrame:
+    """Add `factor`: in each group, what `free` is to be multiplied with to sum to `goal` if each row is cut at `most`.
+
+    Rows are cut in the order of most/free. Each row, taken as the first that isn't cut, gives a factor that is
+    not above the right one; the right one is the largest."""
+    full = F.try_divide(most, free)
+    up = Window.partitionBy(*by).orderBy(full.asc_nulls_last(), *(F.col(k).asc() for k in key))
+    down = Window.partitionBy(*by).orderBy(full.desc_nulls_first(), *(F.col(k).desc() for k in key))
+    cut = F.coalesce(F.sum(most).over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    uncut = F.sum(free).over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    state = state.withColumn("factor", F.try_divide(goal - cut, uncut))
+    return state.withColumn("factor", F.greatest(F.lit(0.0), F.max("factor").over(Window.partitionBy(*by))))
+
+
+def raked_within(cells: DataFrame, targets: dict[str, DataFrame], budget: float, most: float, rounds: int = BOUNDED_ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """As raked(), but no weight asks for more than `most` of its cell's tokens at this budget."""
+    live = cells.filter("tokens > 0")
+    total = live.agg(F.sum("tokens")).first()[0] or 0
+    if not total or budget <= 0:
+        return raked(cells, targets)
+    whole = min(1.0, most / budget)
+    state = live.withColumn("free", F.col("tokens") / F.lit(float(total))).withColumn("bound", F.col("tokens") * F.lit(most / (budget * total)))
+    state, loose = written(state, "rake"), False
+    for name, t in targets.items():
+        t = t.select(F.col("value").alias(name), F.col("share").cast("double").alias("share"))
+        by = written(state.groupBy(name).agg(F.sum("bound").alias("can")).join(t, name, "left"), "goals")
+        r = by.agg(F.count("*").alias("values"), F.count("share").alias("named"), F.sum("share").alias("share"), F.sum(F.when(F.col("share").isNotNull(), F.col("can"))).alias("can")).first()
+        loose = loose or r["named"] < r["values"]
+        goal = min(whole, r["can"] or 0.0) if r["named"] == r["values"] else min(whole, r["can"] or 0.0, r["share"] or 0.0)
+        by = _filled(by.filter("share is not null"), [], "share", "can", F.lit(goal), [name])
+        state = state.join(by.select(name, F.least("can", F.col("share") * F.col("factor")).alias(f"{name}_goal")), name, "left")
+    state, weight = written(state, "rake"), F.least("free", "bound")
+    for _ in range(rounds):
+        miss = F.lit(0.0)
+        for name in targets:
+            goal = F.col(f"{name}_goal")
+            now = F.sum(weight).over(Window.partitionBy(name))
+            state = state.withColumn(f"{name}_miss", F.when(goal > 0, F.abs(now / goal - 1)).otherwise(0.0))
+            state = _filled(state, [name], "free", "bound", goal, list(ATTRIBUTES))
+            state = state.withColumn("free", F.when(goal.isNotNull(), F.col("free") * F.col("factor")).otherwise(F.col("free")))
+            miss = F.greatest(miss, F.col(f"{name}_miss"))
+        if loose:
+            state = _filled(state, [], "free", "bound", F.lit(whole), list(ATTRIBUTES))
+            state = state.withColumn("free", F.col("free") * F.col("factor"))
+        state = written(state.withColumn("miss", miss), "rake")
+        if state.agg(F.max("miss")).first()[0] <= tolerance:
+            break
+    return cells.join(state.select(*ATTRIBUTES, weight.alias("weight")), list(ATTRIBUTES), "left").fillna(0.0, ["weight"])
+
+
 def rates(cells: DataFrame, budget: float, most: float, rounds: int = ROUNDS) -> DataFrame:
     """The cells with `rate`: expected copies of each document, at most `most`; what a cell can't take goes to the others."""
     cells = written(cells, "cells")
@@ -118,7 +171,7 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: fl
     rows = measured(docs)
     cells = written(cells_of(rows), "cells")
     targets = targets or {a: targets_of(cells, a) for a in ATTRIBUTES}
-    rated = rates(raked(cells, targets), budget, most).select(*[F.col(a).alias(f"mix_{a}") for a in ATTRIBUTES], F.col("rate").alias("mix_rate"))
+    rated = rates(raked_within(cells, targets, budget, most), budget, most).select(*[F.col(a).alias(f"mix_{a}") for a in ATTRIBUTES], F.col("rate").alias("mix_rate"))
     rated = written(rated, "rates")
     # The cells are as many as distinct values allow, not as documents; they are broadcast only when few.
     few = rated.count() <= MOST_BROADCAST
