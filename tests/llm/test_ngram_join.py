@@ -2,8 +2,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from tradewind.llm import ngram_join as nj
 from tradewind.llm.components import components
@@ -72,16 +72,6 @@ def test_split_trees(spark, monkeypatch):
     assert got == brute(rows, 3, 9, 10)
 
 
-def test_sets_have_one_row_for_each_class(spark):
-    """Rows that repeat a doc_id with its text, and copies without doc_id, don't multiply a class."""
-    rows = [(d, f"a{d} b c d e f {d}") for d in range(5)] * 3 + [(None, "no id but the same words in every copy")] * 600
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    profiles = nj.profiles(docs, 3)
-    needed = profiles.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")).withColumn("cid", F.monotonically_increasing_id())
-    got = [r.cid for r in nj.sets_of(docs, nj.written(needed, "needed"), 3).collect()]
-    assert len(got) == len(set(got)) == 6
-
-
 def test_open_trees_of_repeated_rows(spark, monkeypatch):
     """A tree of as many classes as a block holds, and more rows than that, loses no link across blocks."""
     monkeypatch.setattr(nj, "BLOCK_CLASSES", 40)
@@ -90,17 +80,65 @@ def test_open_trees_of_repeated_rows(spark, monkeypatch):
     assert got == brute(rows, 3, 9, 10)
 
 
+def keys_of(sets, num, den):
+    keys, owners = nj.tree_keys(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), num, den)
+    return [set(keys[owners == i].tolist()) for i in range(len(sets))]
+
+
+def test_member_sets_equal_the_rule():
+    texts = ["", " \n", "one", "ONE two", "a b c d", "a b c d a b c d", "x\x0by\x0cz", "É é É é", "w" * 300_000 + " a b", "a b", "z", "b " + " " * 300_000 + "c d"]
+    for k in (3, 5):
+        flat, at = nj.member_sets(pa.array(texts).slice(0), k)
+        assert np.diff(at).tolist() == [len(sets_of(t, k)) for t in texts]
+        alone = [nj.member_sets(pa.array(["pad pad", t]).slice(1), k)[0].tolist() for t in texts]
+        assert alone == [flat[at[i] : at[i + 1]].tolist() for i in range(len(texts))]
+    upper, _ = nj.member_sets(pa.array(["ABC DEF GHI É", "abc def ghi É", "abc def ghi é"]), 3)
+    assert upper.tolist()[:2] == upper.tolist()[2:4] != upper.tolist()[4:6]
+
+
 def test_linked_sets_share_a_key():
     rng = np.random.default_rng(4)
     for num, den in ((9, 10), (4, 5)):
-        for n in [*range(1, 60), 100, 333, 2000]:
+        sets = []
+        for n in [*range(1, 60), *range(1, 60), *range(1, 60), 100, 333, 2000]:
             h = np.unique(rng.integers(0, 2**64, n, np.uint64))
             apart = nj.most_apart(n, num, den)
             gone = rng.integers(0, apart + 1)
             other = np.unique(np.r_[h[gone:], rng.integers(0, 2**64, apart - gone, np.uint64)])
             c = len(np.intersect1d(h, other))
             if c * den >= num * (len(h) + len(other) - c):
-                assert set(nj.tree_keys(h, num, den)) & set(nj.tree_keys(other, num, den))
+                sets += [h, other]
+        keys = keys_of(sets, num, den)
+        assert len(sets) > 100 and all(keys[i] & keys[i + 1] for i in range(0, len(keys), 2))
+
+
+def test_unrelated_sets_share_no_key():
+    rng = np.random.default_rng(5)
+    for num, den in ((9, 10), (4, 5)):
+        sets = [np.unique(rng.integers(0, 2**64, n, np.uint64)) for n in rng.integers(1, 1500, 600)]
+        keys = keys_of(sets, num, den)
+        assert len(set().union(*keys)) == sum(map(len, keys))
+        # Not many keys either: about half as many as members at most, and one tree or two for tiny sets.
+        assert sum(map(len, keys)) < sum(map(len, sets)) * (0.5 if den == 5 else 0.25)
+
+
+def test_fewer_keys_connect_the_same_sets():
+    rng = np.random.default_rng(8)
+    keys, owners = rng.integers(0, 60, 400).astype(np.uint64), np.sort(rng.integers(0, 120, 400))
+
+    def groups(at):
+        root = list(range(120))
+        for k in set(keys[at].tolist()):
+            here = owners[at][keys[at] == k]
+            for o in here:
+                root = [root[here[0]] if r == root[o] else r for r in root]
+        return [root.index(r) for r in root]
+
+    kept = nj.fewer_keys(keys, owners)
+    assert groups(kept) == groups(np.arange(400)) and len(kept) < 400
+    # A popular tree leaves one row for each set, however many keys its sets share.
+    many = nj.fewer_keys(np.tile(np.arange(100, dtype=np.uint64), 50), np.repeat(np.arange(50), 100))
+    assert len(many) == 100 + 49
 
 
 def test_dual_traversal_loses_no_pair():
@@ -109,17 +147,57 @@ def test_dual_traversal_loses_no_pair():
     sets = [np.unique(np.r_[rng.choice(base, 100 - rng.integers(0, 9), replace=False), rng.integers(0, 2**64, rng.integers(0, 5), np.uint64)]) for _ in range(150)]
     sets += [np.unique(rng.integers(0, 2**64, 100, np.uint64)) for _ in range(50)]
     labels = np.arange(200) % 190
-    blocks = [nj.Block(np.arange(200)[at], labels[at], np.array([len(s) for s in sets])[at], [nj.bitmap(s) for s in sets[at]], nj.bitmap_width(6)) for at in (slice(0, 200), slice(0, 90), slice(90, 200))]
+    blocks = [nj.Block(np.arange(200)[at], labels[at], sets[at], nj.bitmap_width(6)) for at in (slice(0, 200), slice(0, 90), slice(90, 200))]
     want = set()
     for i in range(200):
         for j in range(i + 1, 200):
             c = len(np.intersect1d(sets[i], sets[j]))
             if c * 10 >= 9 * (len(sets[i]) + len(sets[j]) - c) and labels[i] != labels[j]:
                 want.add((i, j))
-    got = set(zip(*(x.tolist() for x in nj.dual_traversal(blocks[0], blocks[0], 9, 10)), strict=True))
+    pairs = lambda x, y: set(zip(*(b.ids[at].tolist() for b, at in zip((x, y), nj.dual_traversal(x, y, 9, 10), strict=True)), strict=True))
+    got = pairs(blocks[0], blocks[0])
     assert want <= got and len(got) < 2 * len(want)
-    parts = [nj.dual_traversal(x, y, 9, 10) for x, y in ((blocks[1], blocks[1]), (blocks[2], blocks[2]), (blocks[1], blocks[2]))]
-    assert {p for a, b in parts for p in zip(a.tolist(), b.tolist(), strict=True)} == got
+    assert set().union(*(pairs(x, y) for x, y in ((blocks[1], blocks[1]), (blocks[2], blocks[2]), (blocks[1], blocks[2])))) == got
+    # Links: a forest that connects the same classes.
+    a, b = nj.links(blocks[0], blocks[0], 9, 10)
+    assert set(zip(a, b, strict=True)) <= want and len(a) < 190
+
+
+def near_copies(rng, n, words=120):
+    vocab = [f"v{i}" for i in range(5000)]
+    base = [rng.choice(vocab) for _ in range(words)]
+    for _ in range(n):
+        t = list(base)
+        for _ in range(rng.randint(1, 4)):
+            t[rng.randrange(len(t))] = rng.choice(vocab)
+        yield " ".join(t)
+
+
+def test_large_groups_leave_few_links(spark, monkeypatch):
+    """A group of near copies in many blocks: right components, and fewer links than classes."""
+    monkeypatch.setattr(nj, "BLOCK_CLASSES", 32)
+    rng = random.Random(3)
+    texts = [*near_copies(rng, 220), *(" ".join(f"u{rng.randrange(9999)}" for _ in range(rng.randint(3, 150))) for _ in range(60))] + ["same text in many copies"] * 300
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    rows = list(zip(order, texts, strict=True))
+    made = []
+    real = nj.components
+    monkeypatch.setattr(nj, "components", lambda e: made.append(e.count()) or real(e))
+    got = sorted(tuple(r) for r in nj.similarity_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 9, 10).collect())
+    assert got == brute(rows, 3, 9, 10)
+    assert made[1] < 2 * 220 and made[-1] < 3 * 220
+
+
+def test_survivors(spark):
+    one, two = "a b c d e f g h i j k l m n o p q r s t", "another text of some words that is long enough to be here"
+    rows = [(3, one, 1), (1, one, 2), (1, one, 3), (1, two, 4), (2, two, 5), (7, two + " x", 6), (4, "", 7), (5, None, 8), (5, None, 9), (None, one, 10), (None, one, 11), (6, "alone here", 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept_n int")
+    got = nj.survivors(docs, 5, 4, 5)
+    assert got.columns == docs.columns
+    got = [tuple(r) for r in got.collect()]
+    assert sorted((d or 0, t or "") for d, t, _ in got) == sorted([(1, one), (1, two), (4, ""), (5, ""), (0, one), (0, one), (6, "alone here")])
+    assert {k for d, _, k in got if d == 5} <= {8, 9}
 
 
 def test_components_of_paths_and_stars(spark):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,25 +71,68 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class WordHashes(dict):
-    """64-bit hash of a word, kept per worker; emptied before it can grow without bound."""
-
-    limit = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_words = WordHashes()
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+#: Bytes between words.
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes hashed at once; a longer word is hashed on its own.
+PIECE = 1 << 18
+
+
+@functools.cache
+def _polynomial() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A value for each byte (none for white space), and the powers of an odd factor and of its inverse, modulo 2^64."""
+    factor, inverse = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
+    values = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    values[SPACE] = 0
+    powers = [np.cumprod(np.r_[np.uint64(1), np.full(PIECE - 1, x, np.uint64)], dtype=np.uint64) for x in (factor, inverse)]
+    return values, *powers
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts of a batch, and where each starts (one more at the end)."""
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.empty(0, np.uint8)
+    return raw, at - at[0]
+
+
+def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a batch of texts: their 64-bit hashes, where each starts among the bytes, the number of the first word
+    of each text (one more at the end), and the bytes. Equal words have equal hashes anywhere; lower: so do A-Z and a-z."""
+    raw, at = text_bytes(texts)
+    gap = SPACE[raw]
+    before = np.empty(len(raw), bool)
+    before[1:] = gap[:-1]
+    before[at[:-1][at[:-1] < len(raw)]] = True
+    starts = np.flatnonzero(before & ~gap)
+    first = np.searchsorted(starts, at)
+    values, powers, inverse = _polynomial()
+    if lower:
+        values = values.copy()
+        values[65:91] = values[97:123]
+    out = np.empty(len(starts), np.uint64)
+    ends = np.r_[starts[1:], len(raw)]
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + PIECE, "right")))
+        piece = raw[starts[i] : ends[j - 1]]
+        if len(piece) > PIECE:
+            # One word with what follows it: cut into runs of PIECE bytes, whose hashes are hashed again.
+            word = values[piece[: np.argmax(np.r_[SPACE[piece], True])]]
+            runs = [(word[k : k + PIECE] * powers[: len(word[k : k + PIECE])]).sum(dtype=np.uint64) for k in range(0, len(word), PIECE)]
+            out[i] = (mix64(np.array(runs, np.uint64)) * powers[: len(runs)]).sum(dtype=np.uint64) if len(runs) > 1 else runs[0]
+        else:
+            local = starts[i:j] - starts[i]
+            out[i:j] = np.add.reduceat(values[piece] * powers[: len(piece)], local) * inverse[local]
+        i = j
+    return mix64(out), starts, first, raw
+
+
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:

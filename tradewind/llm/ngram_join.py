@@ -1,21 +1,21 @@
 """N-gram Jaccard join by a forest of signature trees.
 
-A document's set holds the distinct runs of k words (lower-cased in A-Z; a shorter text is one run). Equal sets
+A document's set holds the distinct runs of k words (lower-cased in A-Z; a shorter text is one run). Equal texts
 are one class; classes are joined, documents follow their class.
 
 Routing to trees. Two sets of a and b members with Jaccard similarity of at least t differ in at most
-(1-t)/(1+t)(a+b) members. Each set is dealt by hash ranges into more parts than a pair in its band of sizes may
-differ in, so that any pair to be linked has a part, with members, in common: each part's hash is a tree's key.
-(A set with so many empty parts that this might fail also goes to the trees of its empty parts.)
-
-Links. First every class of a tree is checked against the tree's smallest one, and what is connected by then
-gets a label. Only trees with further labels are searched: their nodes hold the OR of their sets' token bitmaps
-and their range of sizes, and a dual traversal drops pairs of nodes whose largest possible overlap is too small,
-whose sizes are too far apart, or that have one label throughout. For this, trees with classes in common are merged
-and cut by size (powers of two, a class near the lower bound going to both sides), so that a class is shipped once or
-twice, and its bitmap has at least 16 bits a member. The pairs that are left are checked on the whole sets. Large
-trees are split into blocks; the blocks of a tree are its upper nodes, and block pairs are tested the same way before
-two blocks meet in a task.
+(1-t)/(1+t)(a+b) members. Each set is dealt by hash into more parts than a pair in its band of sizes may differ
+in. If a set has members in more parts than that, one of these is the same in both sets of any linked pair: each
+part's hash is a tree's key. A set whose members fall into too few parts is dealt anew by another hash, until they
+don't; two such sets meet in the first dealing that suits one of them. So no key is free of content.
+
+Trees with classes in common are merged, and cut by size (powers of two, a class near the lower bound going to both
+sides), so that a class's members are shipped once or twice. A tree's nodes hold the OR of their sets' token bitmaps
+(at least 16 bits a member), their range of sizes and of labels; a dual traversal drops pairs of nodes whose largest
+possible overlap is too small, whose sizes are too far apart, or that have one label throughout. A pair of leaves
+that is left is checked on the whole sets, unless they are connected by then; so a block of classes gives fewer links
+than it has classes. Large trees are cut into blocks. Each block first meets a few classes of the whole tree; blocks
+are then formed anew by the labels found, and pairs of blocks with different labels are traversed in the same way.
 
 Defined results: null, empty and blank texts have no members and are their own component; rows that repeat a
 doc_id are handled each for itself; rows without doc_id link, but give no id to a component; other columns are
@@ -24,36 +24,48 @@ left out; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, gram_hashes, mix64, small_batches, word_hashes, written
+from .common import documents, gram_hashes, mix64, ranges, small_batches, words, written
 from .components import components
 
 #: Members of the sets in one block at most (but for a single larger set), and classes in one block at most.
 BLOCK_MEMBERS, BLOCK_CLASSES = 1 << 20, 512
+#: Classes of a large tree, on average, that all its blocks meet.
+HEADS = 16
 #: Children of a node.
 FAN = 8
-#: Further parts, beyond what a pair may differ in.
-SLACK = 1
-#: Bits of the filter that spares documents without a candidate a second pass, at most (a row for 64).
-FILTER_BITS = 1 << 26
+#: Keys that a task looks through at once for classes that already share a tree.
+KEYS = 1 << 20
+#: Classes with more than this share of the rows are broadcast at the end: fewer than this many.
+HOT = 10_000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def members(text: str, k: int) -> np.ndarray:
-    """The sorted hashes of a text's distinct runs of k words."""
-    words = text.encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = word_hashes(words)
-    if len(words) < k:
-        return gram_hashes(h, len(words)) + np.uint64(len(words))
-    return np.unique(gram_hashes(h, k))
+def member_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes of each text's distinct runs of k words, one text after the other, and where each text's start."""
+    h, _, first, _ = words(texts, lower=True)
+    n = np.diff(first)
+    runs = np.where(n == 0, 0, np.maximum(n - k + 1, 1))
+    at = np.r_[0, np.cumsum(runs)]
+    flat = np.empty(at[-1], np.uint64)
+    long = np.flatnonzero(n >= k)
+    grams = gram_hashes(h, k)
+    flat[ranges(at[long], runs[long])] = grams[ranges(first[long], runs[long])]
+    for d in np.flatnonzero((n > 0) & (n < k)):
+        flat[at[d]] = gram_hashes(h[first[d] : first[d + 1]], int(n[d]))[0] + np.uint64(n[d])
+    for d in long:
+        flat[at[d] : at[d + 1]].sort()
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    new[at[:-1][runs > 0]] = True
+    return flat[new], np.r_[0, np.cumsum(new)][at]
 
 
 def most_apart(size: int, num: int, den: int) -> int:
@@ -61,45 +73,76 @@ def most_apart(size: int, num: int, den: int) -> int:
     return (size + size * den // num) * (den - num) // (den + num)
 
 
-def band(n: int) -> tuple[int, int, int]:
-    """Index, least and largest size of the band that n falls into; bands grow by half."""
-    i, low = 0, 1
-    while True:
+@functools.lru_cache(maxsize=32)
+def bands(most: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bands of sizes, each half as wide as its least size, up to `most` members: largest size, what a linked pair
+    may differ in, and parts that sets are dealt into: so many that nearly all sets have members in more parts than that."""
+    highs, aparts, parts, low = [], [], [], 1
+    while not highs or highs[-1] < most:
         high = low + low // 2
-        if n <= high:
-            return i, low, high
-        i, low = i + 1, high + 1
-
-
-def tree_keys(h: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of all trees that a set belongs to."""
-    n = len(h)
-    if not n:
-        return np.empty(0, np.int64)
-    out, least = [], -(-n * num // den)
-    mixed = mix64(h ^ GOLD)
-    while True:
-        i, _, high = band(least)
         apart = most_apart(high, num, den)
-        parts = apart + 1 + SLACK if apart else 1
-        at = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        sums, used, counts = np.add.reduceat(mixed, first), at[first], np.diff(np.r_[first, n]).astype(np.uint64)
-        base = mix64(np.array([i * 4 + 1], np.uint64))
-        out.append(mix64(sums + counts * GOLD + mix64(used + base)))
-        if parts - len(used) > SLACK:
-            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), used)
-            out.append(mix64(mix64(empty + base) + np.uint64(7)))
-        if high >= n:
-            return np.unique(np.concatenate(out)).view(np.int64)
-        least = high + 1
-
-
-def set_hash(h: np.ndarray) -> tuple[int, int]:
-    """128 bits for a whole set."""
-    with np.errstate(over="ignore"):
-        a, b = mix64(h + GOLD).sum(dtype=np.uint64), mix64(h ^ np.uint64(0x51ED270B7F4A7C15)).sum(dtype=np.uint64)
-    return int(a.view(np.int64)), int(b.view(np.int64))
+        best = apart + 1
+        for p in range(apart + 1, 4 * apart + 8, max(1, apart // 64)):
+            free = p * np.exp(-low / p)
+            if apart and p - free - 2 * np.sqrt(free) > apart:
+                best = p
+                break
+        highs.append(high)
+        aparts.append(apart)
+        parts.append(best)
+        low = high + 1
+    return np.array(highs), np.array(aparts), np.array(parts)
+
+
+def _dealt(m: np.ndarray, mixed: np.ndarray, entry: np.ndarray, parts: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all parts with members, and each key's entry. Members are in order within an entry; parts and base: of an entry."""
+    at = ((m >> np.uint64(32)) * parts[entry]) >> np.uint64(32)
+    new = np.ones(len(m), bool)
+    new[1:] = (at[1:] != at[:-1]) | (entry[1:] != entry[:-1])
+    cells = np.flatnonzero(new)
+    counts = np.diff(np.r_[cells, len(m)]).astype(np.uint64)
+    return mix64(np.add.reduceat(mixed, cells) + counts * GOLD + mix64(at[cells] + base[entry[cells]])), entry[cells]
+
+
+def tree_keys(flat: np.ndarray, at: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all trees of each set, and the sets' numbers. flat, at: as from member_sets."""
+    n = np.diff(at)
+    has = np.flatnonzero(n)
+    if not len(has):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    highs, aparts, parts = bands(1 << int(n.max() - 1).bit_length(), num, den)
+    low, high = np.searchsorted(highs, -(-n[has] * num // den)), np.searchsorted(highs, n[has])
+    # An entry is a set in one of its bands.
+    owner, band = np.repeat(has, high - low + 1), ranges(low, high - low + 1)
+    entry = np.repeat(np.arange(len(owner)), n[owner])
+    where = ranges(at[owner], n[owner])
+    base = mix64(band.astype(np.uint64) * np.uint64(4) + np.uint64(1))
+    keys, of = _dealt(flat[where], mix64(flat ^ GOLD)[where], entry, parts.astype(np.uint64)[band], base)
+    all_keys, owners = [keys], [owner[of]]
+    for e in np.flatnonzero(np.bincount(of, minlength=len(owner)) <= aparts[band]):
+        h, b, deal, used = flat[at[owner[e]] : at[owner[e] + 1]], band[e], 0, 0
+        while used <= aparts[b]:
+            deal += 1
+            again = np.sort(mix64(h + np.full(1, deal, np.uint64) * GOLD))
+            keys, _ = _dealt(again, mix64(again ^ GOLD), np.zeros(len(h), np.int64), parts[b : b + 1].astype(np.uint64), mix64(base[e : e + 1] + np.uint64(deal)))
+            used = len(keys)
+            all_keys.append(keys)
+            owners.append(np.full(used, owner[e]))
+    return np.concatenate(all_keys), np.concatenate(owners)
+
+
+def fewer_keys(keys: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """Which keys to keep so that the same sets are connected: of each key its first set's, and one of each other
+    set with the same first set. So a popular tree has few rows when it is shuffled."""
+    order = np.argsort(keys, kind="stable")
+    k, o = keys[order], owners[order]
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    first = o[np.flatnonzero(new)][np.cumsum(new) - 1]
+    rest = np.flatnonzero(~new & (first != o))
+    _, one = np.unique(np.stack([first[rest], o[rest]]), axis=1, return_index=True) if len(rest) else (None, rest)
+    new[rest[one]] = True
+    return order[new]
 
 
 # Trees
@@ -110,35 +153,27 @@ def bitmap_width(octave: int) -> int:
     return max(64, 1 << (octave + 5))
 
 
-def bitmap(h: np.ndarray) -> bytes:
-    """A set's token bitmap, as wide as its own size has it."""
-    width = bitmap_width(max(1, len(h)).bit_length() - 1)
+def bitmap(h: np.ndarray, width: int) -> np.ndarray:
+    """A set's token bitmap."""
     bits = np.zeros(width, np.uint8)
     bits[(h & np.uint64(width - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
-
-
-def folded(bits: bytes, width: int) -> np.ndarray:
-    """A bitmap brought to the width of smaller sets."""
-    words = np.frombuffer(bits, np.uint64)
-    while len(words) > width // 64:
-        words = words[: len(words) // 2] | words[len(words) // 2 :]
-    return words
+    return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
 class Block:
-    """Classes in order, with their bitmaps, as the leaves of a signature tree."""
+    """Classes in order, with their sets, as the leaves of a signature tree."""
 
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, bitmaps: list[bytes], width: int):
-        self.ids = ids
-        bits = np.stack([folded(b, width) for b in bitmaps])
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], width: int):
+        self.ids, self.labels, self.sets = ids, labels, sets
+        bits = np.stack([bitmap(s, width) for s in sets])
+        sizes = np.array([len(s) for s in sets])
         ones = np.bitwise_count(bits).sum(1).astype(np.int64)
         #: Level by level from the leaves: bitmaps, least and largest size, least number of set bits, lowest and highest label.
         self.levels = [(bits, sizes, sizes, ones, labels, labels)]
         while len(self.levels[-1][0]) > 1:
             b, low, high, few, l0, l1 = self.levels[-1]
-            starts = np.arange(0, len(b), FAN)
-            self.levels.append((np.bitwise_or.reduceat(b, starts), np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts), np.minimum.reduceat(few, starts), np.minimum.reduceat(l0, starts), np.maximum.reduceat(l1, starts)))
+            at = np.arange(0, len(b), FAN)
+            self.levels.append((np.bitwise_or.reduceat(b, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.minimum.reduceat(few, at), np.minimum.reduceat(l0, at), np.maximum.reduceat(l1, at)))
 
 
 def _possible(x: tuple, y: tuple, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -155,7 +190,7 @@ def _possible(x: tuple, y: tuple, i: np.ndarray, j: np.ndarray, num: int, den: i
 
 
 def dual_traversal(x: Block, y: Block, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of classes with different labels, of two blocks (or of one, given twice), whose bitmaps allow a link."""
+    """Places of classes with different labels, of two blocks (or of one, given twice), whose bitmaps allow a link."""
     same = x is y
     depth = max(len(x.levels), len(y.levels)) - 1
     level = lambda b, d: b.levels[min(d, len(b.levels) - 1)]
@@ -178,208 +213,274 @@ def dual_traversal(x: Block, y: Block, num: int, den: int) -> tuple[np.ndarray,
             i, j = i[inside], j[inside]
     if same:
         i, j = i[i < j], j[i < j]
-    return x.ids[i], y.ids[j]
+    return i, j
+
+
+def links(x: Block, y: Block, num: int, den: int) -> tuple[list[int], list[int]]:
+    """Links between classes of two blocks (or of one, given twice), by their whole sets: as few as connect what all links connect."""
+    i, j = dual_traversal(x, y, num, den)
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while (up := root.get(v, v)) != v:
+            root[v] = v = root.get(up, up)
+        return v
+
+    a, b = [], []
+    lx, ly = x.labels.tolist(), y.labels.tolist()
+    for p, q in zip(i.tolist(), j.tolist(), strict=True):
+        one, two = find(lx[p]), find(ly[q])
+        if one != two:
+            s, t = x.sets[p], y.sets[q]
+            common = len(np.intersect1d(s, t, assume_unique=True))
+            if common * den >= num * (len(s) + len(t) - common):
+                root[max(one, two)] = min(one, two)
+                a.append(int(x.ids[p]))
+                b.append(int(y.ids[q]))
+    return a, b
 
 
 # The join
 
 
-def profiles(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, s1, s2: each row's set in brief."""
-    small_batches(docs.sparkSession)
+def text_hashes(docs: DataFrame) -> DataFrame:
+    """doc_id, text, s1, s2: 128 bits tell equal texts."""
+    return documents(docs).withColumn("s1", F.xxhash64("text")).withColumn("s2", F.xxhash64(F.lit(7), "text"))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [members(t, k) for t in b["text"].to_pylist()]
-            hashes = [set_hash(h) for h in found]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(map(len, found), pa.int64()), pa.array([x[0] for x in hashes], pa.int64()), pa.array([x[1] for x in hashes], pa.int64())], ["doc_id", "n", "s1", "s2"])
 
-    return documents(docs).mapInArrow(run, "doc_id long, n long, s1 long, s2 long")
+def _with_text(docs: DataFrame, chosen: DataFrame, *columns: str) -> DataFrame:
+    """Rows of docs that chosen (rep, s1, s2, ...) names, with its other columns."""
+    d, c = text_hashes(docs).alias("d"), chosen.alias("c")
+    same = F.col("d.doc_id").eqNullSafe(F.col("c.rep")) & (F.col("d.s1") == F.col("c.s1")) & (F.col("d.s2") == F.col("c.s2"))
+    return d.join(c, same).select("d.text", *(f"c.{x}" for x in columns))
 
 
-def routes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, s1, s2, keys: each row's set in brief, with the keys of its trees. Words are hashed again, as the keys
-    would take more room than that time is worth."""
+def routes(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """rep, s1, s2, n, keys: the size of each class's set and keys of its trees (but for those that fewer_keys spares)."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        seen: set[tuple[int, int]] = set()
+
+        def flush() -> pa.RecordBatch:
+            rows = pa.Table.from_batches([h[0] for h in held]).combine_chunks().to_batches()[0]
+            shift = np.cumsum([0, *(h[0].num_rows for h in held[:-1])])
+            keys, owners = np.concatenate([h[2] for h in held]), np.concatenate([h[3] + s for h, s in zip(held, shift, strict=True)])
+            kept = fewer_keys(keys, owners)
+            kept = kept[np.argsort(owners[kept], kind="stable")]
+            ends = np.r_[0, np.cumsum(np.bincount(owners[kept], minlength=rows.num_rows))].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[kept].view(np.int64)))
+            return pa.RecordBatch.from_arrays([rows["rep"], rows["s1"], rows["s2"], pa.array(np.concatenate([h[1] for h in held])), lists], ["rep", "s1", "s2", "n", "keys"])
+
         for b in batches:
-            n, s1, s2, keys = [], [], [], []
-            for text in b["text"].to_pylist():
-                h = members(text, k)
-                one, two = set_hash(h)
-                n.append(len(h))
-                s1.append(one)
-                s2.append(two)
-                keys.append(tree_keys(h, num, den))
-            ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
-            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "n", "s1", "s2", "keys"])
-
-    return documents(docs).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, keys array<long>")
-
-
-def _filter_words(hashes: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """A Bloom filter of column h with two bits a value: its bits, and the non-zero words with their places."""
-    count = hashes.count()
-    bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * count).bit_length()))
-    at = hashes.select(F.explode(F.array(F.pmod("h", F.lit(bits)), F.pmod(F.xxhash64("h"), F.lit(bits)))).alias("at"))
-    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).collect()
-    return bits, np.array([w[0] for w in words], np.int64), np.array([w[1] for w in words], np.int64)
-
-
-def sets_of(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
-    """cid, members, bits of the needed classes (cid, rep, s1, s2), from the texts of their representatives: a row for each.
-
-    Texts are not shuffled: a filter of bounded size drops most rows before their words are hashed again."""
+            # Rows that repeat a doc_id and its text, and copies without doc_id, are one class.
+            new = []
+            for one, two in zip(b["s1"].to_pylist(), b["s2"].to_pylist(), strict=True):
+                new.append((one, two) not in seen)
+                seen.add((one, two))
+            b = b.filter(pa.array(new, pa.bool_()))
+            if b.num_rows:
+                flat, at = member_sets(b["text"], k)
+                held.append((b.select(["rep", "s1", "s2"]), np.diff(at), *tree_keys(flat, at, num, den)))
+            if sum(len(h[2]) for h in held) >= KEYS:
+                yield flush()
+                held = []
+        if held:
+            yield flush()
+
+    return _with_text(docs, classes, "rep", "s1", "s2").mapInArrow(run, "rep long, s1 long, s2 long, n long, keys array<long>")
+
+
+def _dealt_sets(docs: DataFrame, places: DataFrame, k: int, *order: str) -> DataFrame:
+    """key, octave, salt, head, cid, label, n, members: the sets of the classes in places, brought to their trees and
+    in order there. places: rep, s1, s2, cid, label, n, key, at array<struct<octave, head, salts>>."""
     spark = docs.sparkSession
     small_batches(spark)
-    bits, places, values = _filter_words(needed.select(F.xxhash64("rep").alias("h")))
-    table = np.zeros(bits >> 6, np.int64)
-    table[places] = values
-    shared = spark.sparkContext.broadcast(table.tobytes())
-    docs = documents(docs)
-    hashed = docs.withColumn("h", F.xxhash64("doc_id")).select("doc_id", "text", F.pmod("h", F.lit(bits)).alias("p"), F.pmod(F.xxhash64("h"), F.lit(bits)).alias("q"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.frombuffer(shared.value, np.uint64)
-        has = lambda at: (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
         for b in batches:
-            p, q = (b[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("p", "q"))
-            b = b.filter(pa.array((has(p) & has(q)).astype(bool)))
-            rows = [members(t, k) for t in b["text"].to_pylist()]
-            hashes = [set_hash(h) for h in rows]
-            ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-            flat = np.concatenate(rows).view(np.int64) if rows else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([x[0] for x in hashes], pa.int64()), pa.array([x[1] for x in hashes], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(map(bitmap, rows), pa.binary())], ["rep", "s1", "s2", "members", "bits"])
-
-    found = hashed.mapInArrow(run, "rep long, s1 long, s2 long, members array<long>, bits binary")
-    same = F.col("found.rep").eqNullSafe(F.col("needed.rep")) & (F.col("found.s1") == F.col("needed.s1")) & (F.col("found.s2") == F.col("needed.s2"))
-    rows = found.alias("found").join(needed.alias("needed"), same).select("needed.cid", "found.members", "found.bits")
-    # Rows that repeat a doc_id and its set, and copies without doc_id, are one class: trees count classes.
-    return rows.dropDuplicates(["cid"])
-
-
-def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of pairs a, b those that link, by their whole sets."""
-    right = pairs.join(sets.select(F.col("cid").alias("b"), F.col("members").alias("mb")), "b")
-    both = right.join(sets.select(F.col("cid").alias("a"), F.col("members").alias("ma")), "a")
-    common = F.size(F.array_intersect("ma", "mb")).cast("long")
-    union = F.size("ma") + F.size("mb") - common
-    return both.filter(common * den >= union * num).select("a", "b")
-
-
-def _searched(trees: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs a, b that trees leave to be checked, by dual traversal. trees: key, octave, salt, heavy, cid, label, n, bits."""
-    spark = trees.sparkSession
-    small_batches(spark)
+            flat, at = member_sets(b["text"], k)
+            rows, octaves, heads, salts = [], [], [], []
+            for i, places in enumerate(b["at"].to_pylist()):
+                for place in places:
+                    for salt in place["salts"]:
+                        rows.append(i)
+                        octaves.append(place["octave"])
+                        heads.append(place["head"])
+                        salts.append(salt)
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.view(np.int64)))
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b["key"].take(take), pa.array(octaves, pa.int32()), pa.array(salts, pa.int64()), pa.array(heads, pa.bool_()), b["cid"].take(take), b["label"].take(take), lists.take(take)],
+                ["key", "octave", "salt", "head", "cid", "label", "members"],
+            )
+
+    rows = _with_text(docs, places, "key", "at", "cid", "label").mapInArrow(run, "key long, octave int, salt long, head boolean, cid long, label long, members array<long>")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    in_order = trees.repartition(parts, "key", "octave", "salt").sortWithinPartitions("key", "octave", "salt", "label", "n", "cid")
-    longs, binaries = pa.list_(pa.int64()), pa.list_(pa.binary())
-    schema = pa.schema([("key", pa.int64()), ("octave", pa.int32()), ("block", pa.string()), ("low", pa.int64()), ("high", pa.int64()), ("l0", pa.int64()), ("l1", pa.int64()), ("ids", longs), ("labels", longs), ("sizes", longs), ("bits", binaries), ("a", longs), ("b", longs)])
-    ddl = "key long, octave int, block string, low long, high long, l0 long, l1 long, ids array<long>, labels array<long>, sizes array<long>, bits array<binary>, a array<long>, b array<long>"
-    columns = ("key", "octave", "salt", "heavy", "cid", "label", "n", "bits")
+    return rows.repartition(parts, "key", "octave", "salt").sortWithinPartitions("key", "octave", "salt", *order, "cid")
+
+
+def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, int, list[tuple]]]:
+    """(key, octave, salt), number, rows (cid, label, members) of each block; a tree's heads are in all of its blocks."""
+    tree, heads, rows, total, seq = None, [], [], 0, 0
+    for batch in batches:
+        lists = batch["members"]
+        flat, at = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+        names = [batch[c].to_pylist() for c in ("key", "octave", "salt", "head", "cid", "label")]
+        for i, (key, octave, salt, head, cid, label) in enumerate(zip(*names, strict=True)):
+            n = int(at[i + 1] - at[i])
+            other = (key, octave, salt) != tree
+            if rows and (other or len(rows) >= BLOCK_CLASSES or total + n > BLOCK_MEMBERS):
+                yield tree, seq, heads + rows
+                rows, total, seq = [], 0, seq + 1
+            if other:
+                if len(heads) > 1 and not seq:
+                    yield tree, seq, heads
+                tree, heads, seq = (key, octave, salt), [], 0
+            row = (cid, label, flat[at[i] : at[i + 1]].copy())
+            if head:
+                heads.append(row)
+            else:
+                rows.append(row)
+                total += n
+    if rows or (len(heads) > 1 and not seq):
+        yield tree, seq, heads + rows
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, rows, total, seq = None, [], 0, 0
 
-        def block() -> pa.RecordBatch:
-            key, octave, salt, heavy = tree
-            ids, labels, sizes, bits = (list(c) for c in zip(*rows, strict=True))
-            whole = Block(np.array(ids), np.array(labels), np.array(sizes), bits, bitmap_width(octave))
-            a, b = dual_traversal(whole, whole, num, den)
-            kept = {"ids": ids, "labels": labels, "sizes": sizes, "bits": bits} if heavy else {"ids": [], "labels": [], "sizes": [], "bits": []}
-            row = {"key": key, "octave": octave, "block": f"{salt}-{seq}", "low": min(sizes), "high": max(sizes), "l0": min(labels), "l1": max(labels), "a": a, "b": b, **kept}
-            return pa.RecordBatch.from_pylist([row], schema=schema)
+def _block(octave: int, rows: list[tuple]) -> Block:
+    # Sets whose least hashes are equal are neighbours: their node's bitmap is not much fuller than theirs.
+    rows = sorted(rows, key=lambda r: r[2][0])
+    return Block(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [r[2] for r in rows], bitmap_width(octave))
 
-        for batch in batches:
-            for key, octave, salt, heavy, cid, label, n, bits in zip(*(batch[c].to_pylist() for c in columns), strict=True):
-                if rows and ((key, octave, salt, heavy) != tree or len(rows) >= BLOCK_CLASSES or total + n > BLOCK_MEMBERS):
-                    yield block()
-                    rows, total, seq = [], 0, seq + 1
-                tree = key, octave, salt, heavy
-                rows.append((cid, label, n, bits))
-                total += n
-        if rows:
-            yield block()
 
-    blocks = written(in_order.select(*columns).mapInArrow(run, ddl), "blocks")
-    pairs = blocks.select(F.explode(F.arrays_zip("a", "b")).alias("p")).select("p.a", "p.b")
-    upper = blocks.filter(F.size("ids") > 0)
-    brief = upper.select("key", "octave", "block", "low", "high", "l0", "l1")
+def in_blocks(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: links that connect what the blocks' own links connect."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a: list[int] = []
+        b: list[int] = []
+        for (_, octave, _), _, rows in _cut(batches):
+            if len(rows) > 1:
+                block = _block(octave, rows)
+                one, two = links(block, block, num, den)
+                a += one
+                b += two
+            if len(a) >= 8192:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                a, b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return sets.mapInArrow(run, "a long, b long")
+
+
+def across_blocks(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: links between classes of different labels, in one block of a large tree or in two."""
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("key", pa.int64()), ("octave", pa.int32()), ("block", pa.string()), ("low", pa.int64()), ("high", pa.int64()), ("l0", pa.int64()), ("l1", pa.int64()), ("ids", longs), ("labels", longs), ("sizes", longs), ("members", pa.binary()), ("a", longs), ("b", longs)])
+    ddl = "key long, octave int, block string, low long, high long, l0 long, l1 long, ids array<long>, labels array<long>, sizes array<long>, members binary, a array<long>, b array<long>"
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, octave, salt), seq, rows in _cut(batches):
+            block = _block(octave, rows)
+            sizes = [len(s) for s in block.sets]
+            a, b = links(block, block, num, den)
+            row = {"key": key, "octave": octave, "block": f"{salt}-{seq}", "low": min(sizes), "high": max(sizes), "l0": block.labels.min(), "l1": block.labels.max(), "ids": block.ids, "labels": block.labels, "sizes": sizes, "members": np.concatenate(block.sets).tobytes(), "a": a, "b": b}
+            yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+    blocks = written(sets.mapInArrow(run, ddl), "blocks")
+    brief = blocks.select("key", "octave", "block", "low", "high", "l0", "l1")
     x, y = brief.alias("x"), brief.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.octave") == F.col("y.octave")) & (F.col("x.block") < F.col("y.block")))
-    met = met.filter("not (x.l0 = x.l1 and y.l0 = y.l1 and x.l0 = y.l0)").filter((F.col("x.high") * den >= F.col("y.low") * num) & (F.col("y.high") * den >= F.col("x.low") * num))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.octave") == F.col("y.octave")) & (F.col("x.block") < F.col("y.block")) & ~F.expr("x.l0 = x.l1 and y.l0 = y.l1 and x.l0 = y.l0") & (F.col("x.high") * den >= F.col("y.low") * num) & (F.col("y.high") * den >= F.col("x.low") * num))
     met = met.select(F.col("x.key").alias("key"), F.col("x.octave").alias("octave"), F.col("x.block").alias("bx"), F.col("y.block").alias("by"))
     for side in ("x", "y"):
-        whole = upper.select("key", "octave", F.col("block").alias(f"b{side}"), F.struct("ids", "labels", "sizes", "bits").alias(side))
+        whole = blocks.select("key", "octave", F.col("block").alias(f"b{side}"), F.struct("ids", "labels", "sizes", "members").alias(side))
         met = met.join(whole, ["key", "octave", f"b{side}"])
 
     def across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for octave, *sides in zip(*(batch[c].to_pylist() for c in ("octave", "x", "y")), strict=True):
-                bx, by = (Block(np.array(s["ids"]), np.array(s["labels"]), np.array(s["sizes"]), s["bits"], bitmap_width(octave)) for s in sides)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in dual_traversal(bx, by, num, den)], ["a", "b"])
-
-    return pairs.union(met.select("octave", "x", "y").mapInArrow(across, "a long, b long"))
-
-
-def join_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, s1, s2 of each row; cid, root of each linked class with rep, s1, s2)."""
-    rows = written(profiles(docs, k), "profiles")
-    classes = rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
-    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    one = routes(docs, k, num, den).filter("n > 0").join(classes.select("s1", "s2", "rep", "cid").withColumnRenamed("s1", "c1").withColumnRenamed("s2", "c2"), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")))
-    routed = one.select(F.explode("keys").alias("key"), "cid", "n")
-    tree = Window.partitionBy("key").orderBy("n", "cid")
-    routed = routed.select("key", "cid", "n", F.first("cid").over(tree).alias("pivot"), F.lead("cid").over(tree).alias("after"))
-    trees = written(routed.filter("pivot <> cid or after <> cid").select("key", "cid", "n", "pivot"), "trees")
-
-    stars = trees.filter("cid <> pivot").groupBy(F.col("pivot").alias("a"), F.col("cid").alias("b")).agg(F.count("*").alias("votes"))
-    stars = written(stars, "stars")
-    needed = classes.join(stars.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi").select("cid", "rep", "s1", "s2")
-    sets = written(sets_of(docs, written(needed, "needed"), k), "sets")
-    # Each class is checked against the first class that it shares most trees with; then, where labels still differ, the others.
-    likely = stars.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b")
-    links = written(_checked(likely, sets, num, den), "links")
-    labels = components(links)
-    at = lambda c: labels.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    apart = stars.select("a", "b").join(likely, ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left")
-    apart = written(apart.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), "apart")
-    links = links.union(written(_checked(apart, sets, num, den), "links"))
-    labels = components(links)
-
-    named = trees.join(labels.select(F.col("node").alias("cid"), "root"), "cid", "left").select("key", "cid", "n", F.coalesce("root", "cid").alias("label"), (F.col("cid") == F.col("pivot")).alias("first"))
-    named = written(named, "named")
-    # A tree's first class has been checked against all others, so a tree is open only if further ones have several labels.
-    rest = named.filter(~F.col("first")).select("key", "cid", "n", "label")
-    still = rest.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("cid").alias("least")).filter("l0 <> l1").select("key", "least")
-    rest = written(rest.join(still, "key"), "open")
-    merged = components(rest.select(F.col("cid").alias("a"), F.col("least").alias("b")))
+                bx, by = (Block(np.array(s["ids"]), np.array(s["labels"]), np.split(np.frombuffer(s["members"], np.uint64), np.cumsum(s["sizes"])[:-1]), bitmap_width(octave)) for s in sides)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in links(bx, by, num, den)], ["a", "b"])
+
+    own = blocks.select(F.explode(F.arrays_zip("a", "b")).alias("p")).select("p.a", "p.b")
+    return own.union(met.select("octave", "x", "y").mapInArrow(across, "a long, b long"))
+
+
+def _place(octaves: Column, head: Column, salts: Column) -> Column:
+    return F.struct(octaves.cast("int").alias("octave"), head.alias("head"), salts.alias("salts"))
+
+
+def class_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, s1, s2 of each row; s1, s2, n, component, root, copies of each text). The root tells components
+    apart whose smallest doc_id is the same, as rows may repeat one."""
+    rows = written(text_hashes(docs).select("doc_id", "s1", "s2"), "rows")
+    classes = written(rows.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    routed = written(routes(docs, classes, k, num, den).withColumn("cid", F.monotonically_increasing_id()), "routes")
+    pivot = F.first("cid").over(Window.partitionBy("key").orderBy("cid"))
+    shared = routed.select(F.explode("keys").alias("key"), "cid").select(pivot.alias("a"), F.col("cid").alias("b")).filter("a <> b").distinct()
+    merged = components(shared).select(F.col("node").alias("cid"), F.col("root").alias("key"))
+
     octaves = F.array_distinct(F.transform(F.array(F.col("n"), F.ceil(F.col("n") * num / den)), lambda n: F.length(F.bin(n)) - 1))
-    placed = rest.select("cid", "n", "label").distinct().join(merged.select(F.col("node").alias("cid"), F.col("root").alias("key")), "cid")
-    placed = written(placed.select("key", F.explode(octaves).alias("octave"), "cid", "n", "label"), "placed")
-    groups = placed.groupBy("key", "octave").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("count"), F.sum("n").alias("weight")).filter("l0 <> l1")
-    heavy = ((F.col("weight") > BLOCK_MEMBERS) | (F.col("count") > BLOCK_CLASSES)).alias("heavy")
-    salts = F.ceil(F.greatest(F.col("weight") / (16 * BLOCK_MEMBERS), F.col("count") / (16 * BLOCK_CLASSES))).alias("salts")
-    open_trees = placed.join(groups.select("key", "octave", heavy, salts), ["key", "octave"]).withColumn("salt", F.pmod(F.xxhash64("label"), F.col("salts"))).join(sets.select("cid", "bits"), "cid")
-    pairs = _searched(open_trees.select("key", "octave", "salt", "heavy", "cid", "label", "n", "bits"), num, den)
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    checked = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = written(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
-    met = written(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "met")
-    more = _checked(pairs, sets.join(met, "cid", "left_semi"), num, den)
-    roots = components(links.union(more))
-    linked = classes.join(roots.withColumnRenamed("node", "cid"), "cid").select("cid", "root", "rep", "s1", "s2")
-    return rows, linked
+    placed = written(routed.select("cid", "rep", "s1", "s2", "n").join(merged, "cid").select("*", F.explode(octaves).alias("octave")), "placed")
+    groups = placed.groupBy("key", "octave").agg(F.count("*").alias("count"), F.sum("n").alias("weight")).filter("count > 1")
+    heavy = (F.col("weight") > BLOCK_MEMBERS) | (F.col("count") > BLOCK_CLASSES)
+    salts = F.ceil(F.greatest(F.col("weight") / (16 * BLOCK_MEMBERS), F.col("count") / (16 * BLOCK_CLASSES)))
+    groups = written(groups.select("key", "octave", "count", heavy.alias("heavy"), salts.alias("salts")), "groups")
+    each = placed.join(groups, ["key", "octave"])
+    names = ["rep", "s1", "s2", "cid", "key"]
+    head = F.col("heavy") & (F.pmod(F.xxhash64("cid"), F.col("count")) < HEADS)
+    salt = F.when(head, F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cid", "octave"), F.col("salts"))))
+    at = each.groupBy(*names).agg(F.collect_list(_place(F.col("octave"), head, salt)).alias("at")).withColumn("label", F.col("cid"))
+    found = written(in_blocks(_dealt_sets(docs, at, k, "head"), num, den), "links")
+    roots = components(found)
+    if not groups.filter("heavy").isEmpty():
+        labels = roots.select(F.col("node").alias("cid"), F.col("root").alias("label"))
+        named = each.filter("heavy").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        named = written(named.drop("heavy"), "named")
+        still = named.groupBy("key", "octave").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("key", "octave")
+        salt = F.array(F.pmod(F.xxhash64("label"), F.col("salts")))
+        at = named.join(still, ["key", "octave"]).groupBy(*names, "label").agg(F.collect_list(_place(F.col("octave"), F.lit(False), salt)).alias("at"))
+        more = written(across_blocks(_dealt_sets(docs, at, k, "label"), num, den), "links")
+        roots = components(found.union(more))
+
+    linked = routed.select("cid", "rep", "s1", "s2", "n").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left")
+    least = linked.filter("root is not null").groupBy("root").agg(F.min("rep").alias("least"))
+    known = linked.join(least, "root", "left").groupBy("s1", "s2").agg(F.first("n").alias("n"), F.min(F.coalesce("least", "rep")).alias("component"), F.min(F.coalesce("root", "cid")).alias("root"))
+    return rows, written(classes.select("s1", "s2", "copies").join(known, ["s1", "s2"]), "known")
 
 
 def similarity_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id of each row; links need num/den of the union in common."""
-    rows, linked = join_classes(docs, k, num, den)
-    least = linked.groupBy("root").agg(F.min("rep").alias("component"))
-    classes = linked.join(least, "root").select("s1", "s2", "component")
-    alone = rows.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("own"))
-    named = alone.join(classes, ["s1", "s2"], "left").select("s1", "s2", F.coalesce("component", "own").alias("component"))
-    joined = rows.join(named, ["s1", "s2"], "left")
+    rows, known = class_components(docs, k, num, den)
+    joined = by_text(rows, known.select("s1", "s2", "n", "component", "copies"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def by_text(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows with the columns of known, by s1 and s2. Texts with many copies, fewer than HOT of them, are broadcast; so no
+    text's copies meet in one task."""
+    many = max(64, rows.count() // HOT)
+    hot = F.broadcast(known.filter(F.col("copies") > many))
+    first = rows.join(hot, ["s1", "s2"], "left")
+    rest = first.filter("copies is null").select(*rows.columns).join(known.filter(F.col("copies") <= many), ["s1", "s2"])
+    return first.filter("copies is not null").select(*rest.columns).unionByName(rest)
+
+
+def survivors(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """The rows of docs that stay, all columns: of each component the row with the smallest doc_id, rows that repeat it
+    being one. Rows without words stay, but rows that repeat one's doc_id are one too; rows without doc_id all stay."""
+    rows, known = class_components(docs, k, num, den)
+    stays = (F.col("doc_id") == F.col("component")) | (F.col("n") == 0)
+    kept = by_text(rows.filter("doc_id is not null"), known).filter(stays).groupBy("doc_id", "s1", "s2").agg(F.count("*").alias("rows"), F.first("n").alias("n"), F.first("root").alias("root"))
+    # Different texts of one doc_id may be in one component: the least hash decides.
+    one = F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("n") > 0, F.col("root"))).orderBy("s1", "s2"))
+    kept = written(kept.select(*(F.col(c).alias(f"kept_{c}") for c in ("doc_id", "s1", "s2", "rows")), one.alias("kept_one")).filter("kept_one = 1"), "kept")
+    names = docs.columns
+    body = docs.withColumn("kept_1", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).withColumn("kept_2", F.xxhash64(F.lit(7), F.coalesce(F.col("text"), F.lit(""))))
+    same = (F.col("doc_id").cast("long") == F.col("kept_doc_id")) & (F.col("kept_1") == F.col("kept_s1")) & (F.col("kept_2") == F.col("kept_s2"))
+    found = body.join(kept, same)
+    out = found.filter("kept_rows = 1").select(*names)
+    if not kept.filter("kept_rows > 1").isEmpty():
+        out = out.unionByName(found.filter("kept_rows > 1").dropDuplicates(["kept_doc_id", "kept_s1", "kept_s2"]).select(*names))
+    return out.unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, gram_hashes, mix64, small_batches, word_hashes
+from .common import documents, gram_hashes, mix64, small_batches, words as words_of
 
 WINDOW = 13
 GRAM = 5
@@ -69,7 +69,7 @@ def anchor_rows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
         for b in batches:
             grams, places = [], []
             for text in b["text"].to_pylist():
-                g, at = anchors(word_hashes(text.encode().split()), window, gram)
+                g, at = anchors(words_of(pa.array([text]))[0], window, gram)
                 at = np.unique(at)
                 grams.append(g[at].view(np.int64))
                 places.append(at)
@@ -90,7 +90,7 @@ def seeds(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
         for b in batches:
             one, two, starts = [], [], []
             for text, wanted in zip(b["text"].to_pylist(), b["places"], strict=True):
-                h = word_hashes(text.encode().split())
+                h = words_of(pa.array([text]))[0]
                 _, at = anchors(h, window, gram)
                 p = np.flatnonzero(np.isin(at, wanted.values.to_numpy()))
                 starts.append(p)
