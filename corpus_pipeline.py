@@ -25,12 +25,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group stays; rows that repeat it are one. Rows without doc_id or words stay."""
-    found = ngram_join.similarity_components(docs, k=5, num=4, den=5)
-    stays = F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")) | (F.col("n_shingles") == 0)
-    kept = written(found.filter(stays & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "kept")
-    names = docs.columns
-    return docs.join(kept, "doc_id", "left_semi").select(*names).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """The smallest doc_id of each group stays; rows that repeat it are one. Rows without doc_id stay."""
+    return ngram_join.survivors(docs, k=5, num=4, den=5)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
