@@ -1,7 +1,9 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
-Long texts are cut where no match of the splitting pattern can cross: before white space that follows
-another character. Decoding joins the raw bytes of the ids, so it needs no valid UTF-8 in between.
+Long texts are cut where no match of the splitting pattern can cross: before white space that follows another
+character. Of a run of white space the pattern takes all but the last character as one match, or all at the end of a
+text; long runs are encoded as that match, since the pattern's engine gives up on them. Decoding joins the raw bytes
+of the ids, so it needs no valid UTF-8 in between.
 
 Defined results: a null or empty text gives no ids; repeated rows are encoded each; further columns are
 left out; an empty table gives an empty one. Strings that look like special tokens are ordinary text.
@@ -23,7 +25,12 @@ from .common import documents, small_batches
 
 #: Characters encoded at once; longer texts are cut at the next safe boundary.
 PIECE_CHARS = 1 << 14
-_SAFE = re.compile(r"(?<=\S)(?=\s)")
+#: Fixed: what the pattern's engine takes as white space (the Unicode property).
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SAFE = re.compile(rf"(?<=[^{_WHITE}])(?=[{_WHITE}])")
+#: Longer runs of white space are encoded as one match.
+RUN_CHARS = 1 << 12
+_RUN = re.compile(rf"[{_WHITE}]{{{RUN_CHARS},}}")
 
 
 @functools.lru_cache(maxsize=4)
@@ -36,23 +43,28 @@ def encoding(rank_file: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
-    """The text in order, cut at safe boundaries at least `size` characters apart."""
+def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[tuple[str, bool]]:
+    """The text in order, cut at safe boundaries at least `size` characters apart, and whether a piece is one match."""
     start = 0
-    while len(text) - start > size:
-        cut = _SAFE.search(text, start + size)
-        if cut is None:
-            break
-        yield text[start : cut.start()]
-        start = cut.start()
-    yield text[start:]
+    for run in (*_RUN.finditer(text), None):
+        end = run.start() if run else len(text)
+        while end - start > size:
+            cut = _SAFE.search(text, start + size, end)
+            if cut is None:
+                break
+            yield text[start : cut.start()], False
+            start = cut.start()
+        yield text[start:end], False
+        if run:
+            start = run.end() - (run.end() < len(text))
+            yield text[end:start], True
 
 
 def encode_text(text: str, rank_file: str, pattern: str) -> list[int]:
     enc = encoding(rank_file, pattern)
     if len(text) <= PIECE_CHARS:
         return enc.encode_ordinary(text)
-    return [i for piece in pieces(text) for i in enc.encode_ordinary(piece)]
+    return [i for piece, whole in pieces(text) for i in (enc._encode_single_piece(piece) if whole else enc.encode_ordinary(piece))]
 
 
 def decode_ids(ids: list[int], rank_file: str, pattern: str) -> bytes:
