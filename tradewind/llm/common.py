@@ -97,16 +97,21 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a batch of texts: their 64-bit hashes, where each starts among the bytes, the number of the first word
-    of each text (one more at the end), and the bytes. Equal words have equal hashes anywhere; lower: so do A-Z and a-z."""
+def word_starts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word of a batch of texts starts among the bytes, the number of the first word of each text (one more
+    at the end), and the bytes."""
     raw, at = text_bytes(texts)
     gap = SPACE[raw]
     before = np.empty(len(raw), bool)
     before[1:] = gap[:-1]
     before[at[:-1][at[:-1] < len(raw)]] = True
     starts = np.flatnonzero(before & ~gap)
-    first = np.searchsorted(starts, at)
+    return starts, np.searchsorted(starts, at), raw
+
+
+def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words' 64-bit hashes, then as from word_starts. Equal words have equal hashes anywhere; lower: so do A-Z and a-z."""
+    starts, first, raw = word_starts(texts)
     values, powers, inverse = _polynomial()
     if lower:
         values = values.copy()

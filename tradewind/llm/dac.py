@@ -17,29 +17,31 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, new_path, small_batches
+from .common import documents, new_path, ranges, small_batches, word_starts
 
 END_ID = 2
-#: A shard is closed once it has this many ids; a longer document still is one shard.
+#: A shard is closed after the batch of documents by which it has this many ids.
 SHARD_IDS = 1 << 20
-#: Words, and pieces of words, whose ids a worker keeps.
-KEPT_WORDS = 400_000
-KEPT_PIECES = 600_000
+#: Words of one generation whose ids a worker keeps.
+KEPT_WORDS = 600_000
 MAGIC = b"TDAC"
 BLOCK = 512
 
 SHARD_SCHEMA = "part int, seq int, first_doc long, n_docs long, n_ids long, payload binary"
 
 
-class _Words(dict):
-    """Ids of a word between white space: split by the file's own pattern, each piece merged by the library's model."""
+class Words:
+    """The ids of words between white space, kept by a worker: a number for each word, and flat arrays of ids by number.
+
+    A word of plain letters is split by the file's own pattern and each piece merged by the library's model; pieces are
+    kept as words are. The library itself takes words with other marks, and those with a special token's string. What
+    is kept has two generations: a word of the older one that is met again moves to the newer one."""
 
     def __init__(self, tokenizer_file: str):
         import regex
@@ -48,52 +50,103 @@ class _Words(dict):
         with open(tokenizer_file, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        steps = [n["type"] for n in spec["normalizer"]["normalizers"]]
         splits = [p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
-        self.split = regex.compile(splits[0]["pattern"]["Regex"]).findall
+        # What `pieces` does by hand must be what the file says; otherwise the library takes every word.
+        self.by_hand = steps == ["NFC", "Replace", "Lowercase"] and len(splits) == 1 and splits[0]["behavior"] == "Removed" and splits[0]["invert"]
+        self.split = regex.compile(splits[0]["pattern"]["Regex"]).findall if self.by_hand else None
         # The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on.
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in keep]
         self.alphabet = {b: 256 + i for i, b in enumerate(rest)}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-
-    def piece(self, p: str) -> tuple[int, ...]:
-        ids = self.pieces.get(p)
-        if ids is None:
-            coded = p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.alphabet)
-            if len(self.pieces) >= KEPT_PIECES:
-                self.pieces.clear()
-            ids = self.pieces[p] = tuple(t.id for t in self.model.tokenize(coded))
-        return ids
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        # Only letters and marks of plain case rules go by pieces; the library itself takes what is left.
-        if word.isascii() and word.isprintable() or (unicodedata.is_normalized("NFC", word) and max(word) < "ɐ" and "İ" not in word and "\x85" not in word and "\xa0" not in word and min(word) > " "):
-            low = word.lower()
-            if low.isalpha():
-                ids = self.piece(low)
-            elif low and low[-1] in ".," and low[:-1].isalpha():
-                ids = self.piece(low[:-1]) + self.piece(low[-1])
-            else:
-                ids = tuple(i for p in self.split(low) for i in self.piece(p))
+        self.new: dict[bytes, int] = {}
+        self.old: dict[bytes, int] = {}
+        self.starts, self.lengths, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.int32)
+        self.n_words = self.n_ids = 0
+
+    def turn(self) -> None:
+        """Before a batch: once there are KEPT_WORDS new words, they become the old ones, and the old ones go."""
+        if len(self.new) < KEPT_WORDS:
+            return
+        live = np.fromiter(self.new.values(), np.int64, len(self.new))
+        ids, lengths = self.ids[ranges(self.starts[live], self.lengths[live])], self.lengths[live]
+        self.old, self.new = dict(zip(self.new, range(len(live)), strict=True)), {}
+        self.ids, self.lengths, self.starts = ids, lengths, np.cumsum(lengths, dtype=np.int64) - lengths
+        self.n_words, self.n_ids = len(live), len(ids)
+
+    def _add(self, ids: list[int]) -> int:
+        n, m = self.n_words, self.n_ids
+        if n == len(self.starts):
+            self.starts, self.lengths = np.resize(self.starts, 2 * n), np.resize(self.lengths, 2 * n)
+        while m + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids) + len(ids))
+        self.starts[n], self.lengths[n] = m, len(ids)
+        self.ids[m : m + len(ids)] = ids
+        self.n_words, self.n_ids = n + 1, m + len(ids)
+        return n
+
+    def number(self, word: bytes) -> int:
+        """The number of a word that may be followed by white space."""
+        at = self.new.get(word)
+        if at is None:
+            at = self.old.get(word)
+            if at is None:
+                bare = word.rstrip(b" \t\n\v\f\r")
+                at = self._add(self.ids_of(bare)) if len(bare) == len(word) else self.number(bare)
+            # What is longer than a page is not kept.
+            if len(word) < 4096:
+                self.new[word] = at
+        return at
+
+    def _piece(self, p: str) -> list[int]:
+        at = self.number(p.encode())
+        return self.ids[self.starts[at] : self.starts[at] + self.lengths[at]].tolist()
+
+    def ids_of(self, word: bytes) -> list[int]:
+        s = word.decode()
+        plain = s.isascii() and s.isprintable() or (max(s) < "ɐ" and min(s) > " " and "İ" not in s and "\x85" not in s and "\xa0" not in s and unicodedata.is_normalized("NFC", s))
+        if not (plain and self.by_hand) or any(t in s for t in self.special):
+            return self.tokenizer.encode(s, add_special_tokens=False).ids
+        low = s.lower()
+        if low.isalpha():
+            pieces = [low]
+        elif low[-1] in ".," and low[:-1].isalpha():
+            pieces = [low[:-1], low[-1]]
         else:
-            ids = tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        self[word] = ids
-        return ids
+            pieces = self.split(low)
+        if len(pieces) > 1 or pieces and pieces[0] != s:
+            return [i for p in pieces for i in self._piece(p)]
+        coded = low if s.isascii() and s.isprintable() else word.decode("latin-1").translate(self.alphabet)
+        return [t.id for t in self.tokenizer.model.tokenize(coded)] if pieces else []
 
 
 @functools.lru_cache(maxsize=2)
-def words_of(tokenizer_file: str) -> _Words:
-    return _Words(tokenizer_file)
+def words_of(tokenizer_file: str) -> Words:
+    return Words(tokenizer_file)
 
 
-def encode_text(text: str, tokenizer_file: str) -> list[int]:
-    """The ids of a text. The tokenizer drops white space and no piece crosses it, so words are encoded one by one."""
+def encode_batch(texts: pa.Array, tokenizer_file: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, one after the other, and how many each has. The tokenizer drops white space and no piece
+    crosses it, so words are encoded one by one: each distinct word of the batch once."""
     known = words_of(tokenizer_file)
-    return list(chain.from_iterable(map(known.__getitem__, text.replace("\n", " ").split(" "))))
+    known.turn()
+    starts, first, raw = word_starts(texts)
+    if not len(starts):
+        return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
+    # White space after a word goes with it here, so the words lie end to end.
+    ends = np.r_[starts, len(raw)]
+    kind, offsets = (pa.binary(), ends.astype(np.int32)) if len(raw) < 1 << 31 else (pa.large_binary(), ends)
+    found = pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+    distinct = found.dictionary.to_pylist()
+    numbers = np.fromiter(map(known.number, distinct), np.int64, len(distinct))[found.indices.to_numpy()]
+    lengths = known.lengths[numbers]
+    before = np.r_[0, np.cumsum(lengths, dtype=np.int64)]
+    return known.ids[ranges(known.starts[numbers], lengths)], np.diff(before[first])
+
+
+def encode_text(text: str, tokenizer_file: str) -> list[int]:
+    return encode_batch(pa.array([text]), tokenizer_file)[0].tolist()
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -162,7 +215,7 @@ class Shard:
         return value
 
 
-def _payload(doc_ids: list, lengths: list[int], ids: np.ndarray) -> bytes:
+def _payload(doc_ids: list, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """The documents' directory, then the packed ids."""
     known = np.array([d is not None for d in doc_ids], np.uint8)
     head = struct.pack("<I", len(doc_ids)) + np.array([d or 0 for d in doc_ids], np.int64).tobytes() + known.tobytes() + np.array(lengths, np.uint32).tobytes()
@@ -187,26 +240,25 @@ def write_ids(docs: DataFrame, tokenizer_file: str, path: str, end_id: int = END
 
         part, seq = TaskContext.get().partitionId(), 0
         doc_ids: list = []
-        lengths: list[int] = []
+        lengths: list[np.ndarray] = []
         parts: list[np.ndarray] = []
         total = 0
 
         def shard() -> pa.RecordBatch:
-            ids = np.concatenate(parts)
-            row = {"part": part, "seq": seq, "first_doc": doc_ids[0], "n_docs": len(doc_ids), "n_ids": total, "payload": _payload(doc_ids, lengths, ids)}
+            row = {"part": part, "seq": seq, "first_doc": doc_ids[0], "n_docs": len(doc_ids), "n_ids": total, "payload": _payload(doc_ids, np.concatenate(lengths), np.concatenate(parts))}
             return pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())]))
 
         for b in batches:
-            for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                ids = encode_text(text, tokenizer_file)
-                ids.append(end_id)
-                doc_ids.append(doc_id)
-                lengths.append(len(ids))
-                parts.append(np.array(ids, np.uint32))
-                total += len(ids)
-                if total >= SHARD_IDS:
-                    yield shard()
-                    seq, doc_ids, lengths, parts, total = seq + 1, [], [], [], 0
+            ids, n = encode_batch(b["text"], tokenizer_file)
+            whole = np.full(len(ids) + len(n), end_id, np.uint32)
+            whole[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
+            doc_ids += b["doc_id"].to_pylist()
+            lengths.append(n + 1)
+            parts.append(whole)
+            total += len(whole)
+            if total >= SHARD_IDS:
+                yield shard()
+                seq, doc_ids, lengths, parts, total = seq + 1, [], [], [], 0
         if doc_ids:
             yield shard()
 
@@ -232,7 +284,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                     ["part", "seq", "pos", "doc_id", "local_start", "n_tokens", "ids_crc32"],
                 )
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    small_batches(spark)
     shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
     return shards.select("part", "seq", "payload").mapInArrow(run, "part int, seq int, pos int, doc_id long, local_start long, n_tokens long, ids_crc32 long")
 
