@@ -21,9 +21,11 @@ def brute(rows, k, every):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [64, 8192])
-def test_equals_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "batch"), [(64, 16), (8192, 16_384)])
+def test_equals_brute_force(spark, monkeypatch, block, batch):
+    """Also with small blocks, and with queries in several batches."""
     monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "BATCH", batch)
     rng = np.random.default_rng(3)
     rows = []
     for i in range(700):
@@ -36,12 +38,49 @@ def test_equals_brute_force(spark, monkeypatch, block):
     assert sorted(tuple(r) for r in topk.search(df, 50, 10).collect()) == brute(rows, 10, 50)
 
 
-def test_stops_early_on_proof():
+def test_takes_less_work_than_brute_force():
+    """Segments are taken once each, and not all of them: fewer multiplications than whole products, with equal results."""
     rng = np.random.default_rng(8)
-    x = np.floor(1024 * rng.normal(size=(6000, 64)) / 8).astype(np.int64)
-    q = x[:20]
-    rows, _ = topk.Segments(np.arange(6000), x).possible(q, np.arange(20), 10, np.full(20, -np.inf))
-    assert len(rows) <= 0.02 * 6000 * 20
+    x = np.floor(1024 * rng.normal(size=(12_000, 64)) / 8)
+    x[:4000] = np.floor(x[rng.integers(0, 20, 4000)] + rng.normal(size=(4000, 64)) * 20)
+    q, ids = x[:40], np.arange(40)
+    state = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in q]
+    work = 0
+    for at in (0, 6000):
+        block = topk.Segments.unpacked(topk.Segments(np.arange(at, at + 6000), x[at : at + 6000]).packed())
+        work += topk.search_block(block, ids, q, 10, state)
+    assert work < 0.85 * x.size * len(q)
+    for i, (got, scores) in enumerate(state):
+        all_scores = x @ q[i]
+        all_scores[i] = -np.inf
+        order = np.lexsort((np.arange(len(x)), -all_scores))[:10]
+        assert got.tolist() == order.tolist() and scores.tolist() == all_scores[order].tolist()
+
+
+def test_segments_hold_each_posting_once():
+    rng = np.random.default_rng(9)
+    x = np.floor(rng.normal(size=(300, 12)) * 40)
+    s = topk.Segments(np.arange(300), x)
+    seen, at = np.zeros_like(x), 0
+    for impact, dim, n in zip(s.impacts, s.dims, s.counts, strict=True):
+        rows = s.rows[at : at + n]
+        seen[rows, dim] += x[rows, dim]
+        assert ((np.abs(x[rows, dim]) >= 2.0 ** (impact - 1)) & (np.abs(x[rows, dim]) < 2.0**impact)).all()
+        at += n
+    assert (seen == x).all() and (np.diff(s.impacts) <= 0).all()
+
+
+def test_very_large_components(spark):
+    """Exact beyond longs; a score that no long holds is its limit, and such scores tie."""
+    big = float(np.float32(1e18))
+    rows = [(0, [big, 1.0]), (1, [1.0, 0.0]), (2, [-big, 0.5]), (3, [big, 2.0]), (4, [1e-3, 0.0]), (5, [3e38, 0.0]), (6, [0.0, 1.0])]
+    got = [tuple(r) for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()]
+    whole = {i: [math.floor(1024 * float(np.float32(c))) for c in v] for i, v in rows}
+    want = sorted((-min(max(sum(a * b for a, b in zip(whole[0], v)), -(2**63)), 2**63 - 1), i) for i, v in whole.items() if i)
+    assert sorted(got) == [(0, r + 1, i, -s) for r, (s, i) in enumerate(want)]
+    # Not finite once scaled: no part.
+    rows = [(0, [1.0]), (1, [1e307]), (2, [2.0])]
+    assert [r.vec_id for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()] == [2]
 
 
 def test_few_and_none(spark):
