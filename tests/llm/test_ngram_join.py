@@ -160,7 +160,13 @@ def test_dual_traversal_loses_no_pair():
     assert set().union(*(pairs(x, y) for x, y in ((blocks[1], blocks[1]), (blocks[2], blocks[2]), (blocks[1], blocks[2])))) == got
     # Links: a forest that connects the same classes.
     a, b = nj.links(blocks[0], blocks[0], 9, 10)
-    assert set(zip(a, b, strict=True)) <= want and len(a) < 190
+    assert {frozenset(p) for p in zip(a, b, strict=True)} <= {frozenset((labels[i], labels[j])) for i, j in want} and len(a) < 190
+    one, two = nj.Groups(), nj.Groups()
+    for i, j in want:
+        one.join(int(labels[i]), int(labels[j]))
+    for i, j in zip(a, b, strict=True):
+        two.join(i, j)
+    assert [one.find(i) for i in range(190)] == [two.find(i) for i in range(190)]
 
 
 def near_copies(rng, n, words=120):
@@ -200,9 +206,12 @@ def test_survivors(spark):
     assert {k for d, _, k in got if d == 5} <= {8, 9}
 
 
-def test_components_of_paths_and_stars(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(200, 200)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+def test_components_of_paths_and_stars(spark, monkeypatch):
+    from tradewind.llm import components as c
+
+    monkeypatch.setattr(c, "EDGES", 3)
+    edges = [(i, i + 1) for i in range(0, 40, 2)] + [(i, i + 1) for i in range(1, 40, 2)] + [(100, i) for i in range(101, 130)] + [(200, 200)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long").repartition(7, "a")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100)}
 
 

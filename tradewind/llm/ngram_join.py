@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, gram_hashes, mix64, ranges, small_batches, words, written
-from .components import components
+from .components import Groups, components
 
 #: Members of the sets in one block at most (but for a single larger set), and classes in one block at most.
 BLOCK_MEMBERS, BLOCK_CLASSES = 1 << 20, 512
@@ -217,15 +217,11 @@ def dual_traversal(x: Block, y: Block, num: int, den: int) -> tuple[np.ndarray,
 
 
 def links(x: Block, y: Block, num: int, den: int) -> tuple[list[int], list[int]]:
-    """Links between classes of two blocks (or of one, given twice), by their whole sets: as few as connect what all links connect."""
+    """Links between classes of two blocks (or of one, given twice), by their whole sets, as pairs of labels: as few as
+    connect what all links connect."""
     i, j = dual_traversal(x, y, num, den)
-    root: dict[int, int] = {}
-
-    def find(v: int) -> int:
-        while (up := root.get(v, v)) != v:
-            root[v] = v = root.get(up, up)
-        return v
-
+    groups = Groups()
+    find = groups.find
     a, b = [], []
     lx, ly = x.labels.tolist(), y.labels.tolist()
     for p, q in zip(i.tolist(), j.tolist(), strict=True):
@@ -234,9 +230,9 @@ def links(x: Block, y: Block, num: int, den: int) -> tuple[list[int], list[int]]
             s, t = x.sets[p], y.sets[q]
             common = len(np.intersect1d(s, t, assume_unique=True))
             if common * den >= num * (len(s) + len(t) - common):
-                root[max(one, two)] = min(one, two)
-                a.append(int(x.ids[p]))
-                b.append(int(y.ids[q]))
+                groups.join(one, two)
+                a.append(lx[p])
+                b.append(ly[q])
     return a, b
 
 
@@ -355,7 +351,7 @@ def _block(octave: int, rows: list[tuple]) -> Block:
 
 
 def in_blocks(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: links that connect what the blocks' own links connect."""
+    """a, b: links, as pairs of labels, that connect what the blocks' own links connect."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: list[int] = []
@@ -375,7 +371,7 @@ def in_blocks(sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def across_blocks(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: links between classes of different labels, in one block of a large tree or in two."""
+    """a, b: different labels with a link, in one block of a large tree or in two."""
     longs = pa.list_(pa.int64())
     schema = pa.schema([("key", pa.int64()), ("octave", pa.int32()), ("block", pa.string()), ("low", pa.int64()), ("high", pa.int64()), ("l0", pa.int64()), ("l1", pa.int64()), ("ids", longs), ("labels", longs), ("sizes", longs), ("members", pa.binary()), ("a", longs), ("b", longs)])
     ddl = "key long, octave int, block string, low long, high long, l0 long, l1 long, ids array<long>, labels array<long>, sizes array<long>, members binary, a array<long>, b array<long>"
@@ -418,7 +414,7 @@ def class_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     classes = written(rows.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     routed = written(routes(docs, classes, k, num, den).withColumn("cid", F.monotonically_increasing_id()), "routes")
     pivot = F.first("cid").over(Window.partitionBy("key").orderBy("cid"))
-    shared = routed.select(F.explode("keys").alias("key"), "cid").select(pivot.alias("a"), F.col("cid").alias("b")).filter("a <> b").distinct()
+    shared = routed.select(F.explode("keys").alias("key"), "cid").select(pivot.alias("a"), F.col("cid").alias("b")).filter("a <> b")
     merged = components(shared).select(F.col("node").alias("cid"), F.col("root").alias("key"))
 
     octaves = F.array_distinct(F.transform(F.array(F.col("n"), F.ceil(F.col("n") * num / den)), lambda n: F.length(F.bin(n)) - 1))
@@ -432,8 +428,7 @@ def class_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     head = F.col("heavy") & (F.pmod(F.xxhash64("cid"), F.col("count")) < HEADS)
     salt = F.when(head, F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cid", "octave"), F.col("salts"))))
     at = each.groupBy(*names).agg(F.collect_list(_place(F.col("octave"), head, salt)).alias("at")).withColumn("label", F.col("cid"))
-    found = written(in_blocks(_dealt_sets(docs, at, k, "head"), num, den), "links")
-    roots = components(found)
+    roots = components(in_blocks(_dealt_sets(docs, at, k, "head"), num, den))
     if not groups.filter("heavy").isEmpty():
         labels = roots.select(F.col("node").alias("cid"), F.col("root").alias("label"))
         named = each.filter("heavy").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
@@ -441,8 +436,11 @@ def class_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
         still = named.groupBy("key", "octave").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("key", "octave")
         salt = F.array(F.pmod(F.xxhash64("label"), F.col("salts")))
         at = named.join(still, ["key", "octave"]).groupBy(*names, "label").agg(F.collect_list(_place(F.col("octave"), F.lit(False), salt)).alias("at"))
-        more = written(across_blocks(_dealt_sets(docs, at, k, "label"), num, den), "links")
-        roots = components(found.union(more))
+        more = components(across_blocks(_dealt_sets(docs, at, k, "label"), num, den))
+        # Labels that links connect get one root; classes that had no link are their own label.
+        further = more.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        alone = more.join(roots, "node", "left_anti")
+        roots = roots.join(further, "root", "left").select("node", F.coalesce("further", "root").alias("root")).union(alone.select("node", "root"))
 
     linked = routed.select("cid", "rep", "s1", "s2", "n").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left")
     least = linked.filter("root is not null").groupBy("root").agg(F.min("rep").alias("least"))
