@@ -1,13 +1,15 @@
 """N-gram Jaccard join by a forest of signature trees.
 
 A document's set holds the distinct runs of k words (lower-cased in A-Z; a shorter text is one run). Equal texts
-are one class; classes are joined, documents follow their class.
+are one class; classes are joined, documents follow their class. Runs and texts are told apart by 64-bit hashes.
 
 Routing to trees. Two sets of a and b members with Jaccard similarity of at least t differ in at most
 (1-t)/(1+t)(a+b) members. Each set is dealt by hash into more parts than a pair in its band of sizes may differ
 in. If a set has members in more parts than that, one of these is the same in both sets of any linked pair: each
-part's hash is a tree's key. A set whose members fall into too few parts is dealt anew by another hash, until they
-don't; two such sets meet in the first dealing that suits one of them. So no key is free of content.
+part's hash is a tree's key. If that holds of its parts with two members or more, the others are no keys: a member
+that very many sets have, alone in its part, then brings few of them together. A set whose members fall into too few
+parts is dealt anew by another hash, until they don't; two such sets meet in the first dealing that suits one of them.
+So no key is free of content.
 
 Trees with classes in common are merged, and cut by size (powers of two, a class near the lower bound going to both
 sides), so that a class's members are shipped once or twice. A tree's nodes hold the OR of their sets' token bitmaps
@@ -29,7 +31,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, gram_hashes, mix64, ranges, small_batches, words, written
@@ -39,12 +41,16 @@ from .components import Groups, components
 BLOCK_MEMBERS, BLOCK_CLASSES = 1 << 20, 512
 #: Classes of a large tree, on average, that all its blocks meet.
 HEADS = 16
-#: Children of a node.
-FAN = 8
+#: Children of a node. Four unrelated sets' bitmaps, OR-combined, still tell two such nodes apart.
+FAN = 4
+#: Sets of a block are sorted by size, in steps of this factor, before likeness.
+STEP = 1.06
 #: Keys that a task looks through at once for classes that already share a tree.
 KEYS = 1 << 20
 #: Classes with more than this share of the rows are broadcast at the end: fewer than this many.
 HOT = 10_000
+#: Bits of the sieve that spares texts without a candidate a second pass, at most (8 MB).
+FILTER_BITS = 1 << 26
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,33 +81,31 @@ def most_apart(size: int, num: int, den: int) -> int:
 
 @functools.lru_cache(maxsize=32)
 def bands(most: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bands of sizes, each half as wide as its least size, up to `most` members: largest size, what a linked pair
-    may differ in, and parts that sets are dealt into: so many that nearly all sets have members in more parts than that."""
+    """Bands of sizes, each a quarter as wide as its least size, up to `most` members: largest size, what a linked pair
+    may differ in, and parts that sets are dealt into: so many that most sets have two members or more in more parts
+    than a pair may differ in, if that can be."""
     highs, aparts, parts, low = [], [], [], 1
     while not highs or highs[-1] < most:
-        high = low + low // 2
+        high = low + low // 4
         apart = most_apart(high, num, den)
-        best = apart + 1
-        for p in range(apart + 1, 4 * apart + 8, max(1, apart // 64)):
-            free = p * np.exp(-low / p)
-            if apart and p - free - 2 * np.sqrt(free) > apart:
-                best = p
-                break
+        p = np.unique(np.linspace(apart + 1, 3 * apart + 1, 400).astype(np.int64))
+        share = 1 - np.exp(-low / p) * (1 + low / p)
+        sure = p * share - np.sqrt(p * share * (1 - share)) - apart
         highs.append(high)
         aparts.append(apart)
-        parts.append(best)
+        parts.append(int(p[np.argmax(sure > 0) if (sure > 0).any() else np.argmax(sure)]) if apart else 1)
         low = high + 1
     return np.array(highs), np.array(aparts), np.array(parts)
 
 
-def _dealt(m: np.ndarray, mixed: np.ndarray, entry: np.ndarray, parts: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all parts with members, and each key's entry. Members are in order within an entry; parts and base: of an entry."""
+def _dealt(m: np.ndarray, mixed: np.ndarray, entry: np.ndarray, parts: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of all parts with members, each key's entry, and how many members its part has. Members are in order within an entry; parts and base: of an entry."""
     at = ((m >> np.uint64(32)) * parts[entry]) >> np.uint64(32)
     new = np.ones(len(m), bool)
     new[1:] = (at[1:] != at[:-1]) | (entry[1:] != entry[:-1])
     cells = np.flatnonzero(new)
     counts = np.diff(np.r_[cells, len(m)]).astype(np.uint64)
-    return mix64(np.add.reduceat(mixed, cells) + counts * GOLD + mix64(at[cells] + base[entry[cells]])), entry[cells]
+    return mix64(np.add.reduceat(mixed, cells) + counts * GOLD + mix64(at[cells] + base[entry[cells]])), entry[cells], counts
 
 
 def tree_keys(flat: np.ndarray, at: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,14 +121,17 @@ def tree_keys(flat: np.ndarray, at: np.ndarray, num: int, den: int) -> tuple[np.
     entry = np.repeat(np.arange(len(owner)), n[owner])
     where = ranges(at[owner], n[owner])
     base = mix64(band.astype(np.uint64) * np.uint64(4) + np.uint64(1))
-    keys, of = _dealt(flat[where], mix64(flat ^ GOLD)[where], entry, parts.astype(np.uint64)[band], base)
-    all_keys, owners = [keys], [owner[of]]
+    keys, of, counts = _dealt(flat[where], mix64(flat ^ GOLD)[where], entry, parts.astype(np.uint64)[band], base)
+    # A part of one member is no key of a set that has more larger parts than a pair may differ in: one of these is shared.
+    larger = np.bincount(of[counts > 1], minlength=len(owner)) > aparts[band]
+    kept = (counts > 1) | ~larger[of]
+    all_keys, owners = [keys[kept]], [owner[of[kept]]]
     for e in np.flatnonzero(np.bincount(of, minlength=len(owner)) <= aparts[band]):
         h, b, deal, used = flat[at[owner[e]] : at[owner[e] + 1]], band[e], 0, 0
         while used <= aparts[b]:
             deal += 1
             again = np.sort(mix64(h + np.full(1, deal, np.uint64) * GOLD))
-            keys, _ = _dealt(again, mix64(again ^ GOLD), np.zeros(len(h), np.int64), parts[b : b + 1].astype(np.uint64), mix64(base[e : e + 1] + np.uint64(deal)))
+            keys, _, _ = _dealt(again, mix64(again ^ GOLD), np.zeros(len(h), np.int64), parts[b : b + 1].astype(np.uint64), mix64(base[e : e + 1] + np.uint64(deal)))
             used = len(keys)
             all_keys.append(keys)
             owners.append(np.full(used, owner[e]))
@@ -240,81 +247,92 @@ def links(x: Block, y: Block, num: int, den: int) -> tuple[list[int], list[int]]
 
 
 def text_hashes(docs: DataFrame) -> DataFrame:
-    """doc_id, text, s1, s2: 128 bits tell equal texts."""
-    return documents(docs).withColumn("s1", F.xxhash64("text")).withColumn("s2", F.xxhash64(F.lit(7), "text"))
+    """doc_id, text, cid: equal texts are one class."""
+    return documents(docs).withColumn("cid", F.xxhash64("text"))
 
 
-def _with_text(docs: DataFrame, chosen: DataFrame, *columns: str) -> DataFrame:
-    """Rows of docs that chosen (rep, s1, s2, ...) names, with its other columns."""
-    d, c = text_hashes(docs).alias("d"), chosen.alias("c")
-    same = F.col("d.doc_id").eqNullSafe(F.col("c.rep")) & (F.col("d.s1") == F.col("c.s1")) & (F.col("d.s2") == F.col("c.s2"))
-    return d.join(c, same).select("d.text", *(f"c.{x}" for x in columns))
+def sizes(docs: DataFrame, k: int) -> DataFrame:
+    """cid, n: how many members each class's set has."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _new(batches):
+            yield pa.RecordBatch.from_arrays([b["cid"], pa.array(np.diff(member_sets(b["text"], k)[1]))], ["cid", "n"])
+
+    return text_hashes(docs).select("cid", "text").mapInArrow(run, "cid long, n long").dropDuplicates(["cid"])
+
+
+def _new(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose class the task hasn't met yet."""
+    seen: set[int] = set()
+    for b in batches:
+        new = []
+        for cid in b["cid"].to_pylist():
+            new.append(cid not in seen)
+            seen.add(cid)
+        yield b.filter(pa.array(new, pa.bool_()))
 
 
-def routes(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """rep, s1, s2, n, keys: the size of each class's set and keys of its trees (but for those that fewer_keys spares)."""
+def routes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """key, cid: the trees of each class (but for those that fewer_keys spares)."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        seen: set[tuple[int, int]] = set()
 
         def flush() -> pa.RecordBatch:
-            rows = pa.Table.from_batches([h[0] for h in held]).combine_chunks().to_batches()[0]
-            shift = np.cumsum([0, *(h[0].num_rows for h in held[:-1])])
-            keys, owners = np.concatenate([h[2] for h in held]), np.concatenate([h[3] + s for h, s in zip(held, shift, strict=True)])
+            keys, cids = (np.concatenate(c) for c in zip(*held, strict=True))
+            _, owners = np.unique(cids, return_inverse=True)
             kept = fewer_keys(keys, owners)
-            kept = kept[np.argsort(owners[kept], kind="stable")]
-            ends = np.r_[0, np.cumsum(np.bincount(owners[kept], minlength=rows.num_rows))].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[kept].view(np.int64)))
-            return pa.RecordBatch.from_arrays([rows["rep"], rows["s1"], rows["s2"], pa.array(np.concatenate([h[1] for h in held])), lists], ["rep", "s1", "s2", "n", "keys"])
+            return pa.RecordBatch.from_arrays([pa.array(keys[kept].view(np.int64)), pa.array(cids[kept])], ["key", "cid"])
 
-        for b in batches:
-            # Rows that repeat a doc_id and its text, and copies without doc_id, are one class.
-            new = []
-            for one, two in zip(b["s1"].to_pylist(), b["s2"].to_pylist(), strict=True):
-                new.append((one, two) not in seen)
-                seen.add((one, two))
-            b = b.filter(pa.array(new, pa.bool_()))
-            if b.num_rows:
-                flat, at = member_sets(b["text"], k)
-                held.append((b.select(["rep", "s1", "s2"]), np.diff(at), *tree_keys(flat, at, num, den)))
-            if sum(len(h[2]) for h in held) >= KEYS:
+        for b in _new(batches):
+            keys, owners = tree_keys(*member_sets(b["text"], k), num, den)
+            held.append((keys, b["cid"].to_numpy()[owners]))
+            if sum(len(h[0]) for h in held) >= KEYS:
                 yield flush()
                 held = []
         if held:
             yield flush()
 
-    return _with_text(docs, classes, "rep", "s1", "s2").mapInArrow(run, "rep long, s1 long, s2 long, n long, keys array<long>")
+    return text_hashes(docs).select("cid", "text").mapInArrow(run, "key long, cid long")
+
+
+def _sieve(cids: DataFrame) -> tuple[int, np.ndarray]:
+    """A Bloom filter of bounded size with two bits a value, from column cid: its width and its words."""
+    count = cids.count()
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * count).bit_length()))
+    at = cids.select(F.explode(F.array(F.pmod("cid", F.lit(bits)), F.pmod(F.xxhash64("cid"), F.lit(bits)))).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).collect()
+    table = np.zeros(bits >> 6, np.int64)
+    table[[w[0] for w in words]] = [w[1] for w in words]
+    return bits, table
 
 
 def _dealt_sets(docs: DataFrame, places: DataFrame, k: int, *order: str) -> DataFrame:
-    """key, octave, salt, head, cid, label, n, members: the sets of the classes in places, brought to their trees and
-    in order there. places: rep, s1, s2, cid, label, n, key, at array<struct<octave, head, salts>>."""
+    """key, octave, salt, head, cid, label, members: the sets of the classes in places, brought to their trees and in
+    order there. places: cid, label, key, octave, head, salts. Texts are not shuffled: a sieve drops most rows before
+    their words are hashed, and sets are joined with their places."""
     spark = docs.sparkSession
     small_batches(spark)
+    places = written(places, "places")
+    bits, table = _sieve(places.select("cid").distinct())
+    shared = spark.sparkContext.broadcast(table.tobytes())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.frombuffer(shared.value, np.uint64)
+        has = lambda at: (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
         for b in batches:
+            p, q = (b[c].to_numpy().astype(np.int64) for c in ("p", "q"))
+            b = next(_new([b.filter(pa.array((has(p) & has(q)).astype(bool)))]))
             flat, at = member_sets(b["text"], k)
-            rows, octaves, heads, salts = [], [], [], []
-            for i, places in enumerate(b["at"].to_pylist()):
-                for place in places:
-                    for salt in place["salts"]:
-                        rows.append(i)
-                        octaves.append(place["octave"])
-                        heads.append(place["head"])
-                        salts.append(salt)
-            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.view(np.int64)))
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b["key"].take(take), pa.array(octaves, pa.int32()), pa.array(salts, pa.int64()), pa.array(heads, pa.bool_()), b["cid"].take(take), b["label"].take(take), lists.take(take)],
-                ["key", "octave", "salt", "head", "cid", "label", "members"],
-            )
-
-    rows = _with_text(docs, places, "key", "at", "cid", "label").mapInArrow(run, "key long, octave int, salt long, head boolean, cid long, label long, members array<long>")
+            yield pa.RecordBatch.from_arrays([b["cid"], pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.view(np.int64)))], ["cid", "members"])
+
+    rows = text_hashes(docs).select("cid", "text", F.pmod("cid", F.lit(bits)).alias("p"), F.pmod(F.xxhash64("cid"), F.lit(bits)).alias("q"))
+    sets = rows.mapInArrow(run, "cid long, members array<long>").dropDuplicates(["cid"])
+    placed = sets.join(places, "cid").select("key", "octave", F.explode("salts").alias("salt"), "head", "cid", "label", "members")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "key", "octave", "salt").sortWithinPartitions("key", "octave", "salt", *order, "cid")
+    return placed.repartition(parts, "key", "octave", "salt").sortWithinPartitions("key", "octave", "salt", *order, "cid")
 
 
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, int, list[tuple]]]:
@@ -345,8 +363,8 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, int, list[t
 
 
 def _block(octave: int, rows: list[tuple]) -> Block:
-    # Sets whose least hashes are equal are neighbours: their node's bitmap is not much fuller than theirs.
-    rows = sorted(rows, key=lambda r: r[2][0])
+    # Sets of like size whose least hashes are equal are neighbours: their node's bitmap is not much fuller than theirs.
+    rows = sorted(rows, key=lambda r: (int(np.log(len(r[2])) / np.log(STEP)), r[2][0]))
     return Block(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [r[2] for r in rows], bitmap_width(octave))
 
 
@@ -403,65 +421,61 @@ def across_blocks(sets: DataFrame, num: int, den: int) -> DataFrame:
     return own.union(met.select("octave", "x", "y").mapInArrow(across, "a long, b long"))
 
 
-def _place(octaves: Column, head: Column, salts: Column) -> Column:
-    return F.struct(octaves.cast("int").alias("octave"), head.alias("head"), salts.alias("salts"))
-
-
 def class_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, s1, s2 of each row; s1, s2, n, component, root, copies of each text). The root tells components
-    apart whose smallest doc_id is the same, as rows may repeat one."""
-    rows = written(text_hashes(docs).select("doc_id", "s1", "s2"), "rows")
-    classes = written(rows.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    routed = written(routes(docs, classes, k, num, den).withColumn("cid", F.monotonically_increasing_id()), "routes")
+    """(doc_id, cid of each row; cid, n, component, root, copies of each class). The root tells components apart whose
+    smallest doc_id is the same, as rows may repeat one."""
+    rows = written(text_hashes(docs).select("doc_id", "cid"), "rows")
+    sized = written(sizes(docs, k), "sizes")
     pivot = F.first("cid").over(Window.partitionBy("key").orderBy("cid"))
-    shared = routed.select(F.explode("keys").alias("key"), "cid").select(pivot.alias("a"), F.col("cid").alias("b")).filter("a <> b")
+    shared = routes(docs, k, num, den).select(pivot.alias("a"), F.col("cid").alias("b")).filter("a <> b")
     merged = components(shared).select(F.col("node").alias("cid"), F.col("root").alias("key"))
 
-    octaves = F.array_distinct(F.transform(F.array(F.col("n"), F.ceil(F.col("n") * num / den)), lambda n: F.length(F.bin(n)) - 1))
-    placed = written(routed.select("cid", "rep", "s1", "s2", "n").join(merged, "cid").select("*", F.explode(octaves).alias("octave")), "placed")
+    octaves = F.array_distinct(F.transform(F.array(F.col("n"), F.ceil(F.col("n") * num / den)), lambda n: (F.length(F.bin(n)) - 1).cast("int")))
+    placed = written(sized.join(merged, "cid").select("*", F.explode(octaves).alias("octave")), "placed")
     groups = placed.groupBy("key", "octave").agg(F.count("*").alias("count"), F.sum("n").alias("weight")).filter("count > 1")
     heavy = (F.col("weight") > BLOCK_MEMBERS) | (F.col("count") > BLOCK_CLASSES)
     salts = F.ceil(F.greatest(F.col("weight") / (16 * BLOCK_MEMBERS), F.col("count") / (16 * BLOCK_CLASSES)))
-    groups = written(groups.select("key", "octave", "count", heavy.alias("heavy"), salts.alias("salts")), "groups")
+    groups = written(groups.select("key", "octave", "count", heavy.alias("heavy"), salts.alias("n_salts")), "groups")
     each = placed.join(groups, ["key", "octave"])
-    names = ["rep", "s1", "s2", "cid", "key"]
     head = F.col("heavy") & (F.pmod(F.xxhash64("cid"), F.col("count")) < HEADS)
-    salt = F.when(head, F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cid", "octave"), F.col("salts"))))
-    at = each.groupBy(*names).agg(F.collect_list(_place(F.col("octave"), head, salt)).alias("at")).withColumn("label", F.col("cid"))
-    roots = components(in_blocks(_dealt_sets(docs, at, k, "head"), num, den))
+    salt = F.when(head, F.sequence(F.lit(0).cast("long"), F.col("n_salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cid", "octave"), F.col("n_salts"))))
+    dealt = _dealt_sets(docs, each.select("cid", F.col("cid").alias("label"), "key", "octave", head.alias("head"), salt.alias("salts")), k, "head")
+    roots = components(in_blocks(dealt, num, den))
     if not groups.filter("heavy").isEmpty():
         labels = roots.select(F.col("node").alias("cid"), F.col("root").alias("label"))
-        named = each.filter("heavy").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        named = written(named.drop("heavy"), "named")
+        named = written(each.filter("heavy").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid")), "named")
         still = named.groupBy("key", "octave").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("key", "octave")
-        salt = F.array(F.pmod(F.xxhash64("label"), F.col("salts")))
-        at = named.join(still, ["key", "octave"]).groupBy(*names, "label").agg(F.collect_list(_place(F.col("octave"), F.lit(False), salt)).alias("at"))
-        more = components(across_blocks(_dealt_sets(docs, at, k, "label"), num, den))
+        # Blocks of like sizes, so that many pairs of blocks are too far apart in size.
+        step = F.floor(F.log("n") / F.log(F.lit(STEP))).cast("long")
+        salt = F.array(step * F.col("n_salts") + F.pmod(F.xxhash64("label"), F.col("n_salts")))
+        dealt = _dealt_sets(docs, named.join(still, ["key", "octave"]).select("cid", "label", "key", "octave", F.lit(False).alias("head"), salt.alias("salts")), k, "label")
+        more = components(across_blocks(dealt, num, den))
         # Labels that links connect get one root; classes that had no link are their own label.
         further = more.select(F.col("node").alias("root"), F.col("root").alias("further"))
         alone = more.join(roots, "node", "left_anti")
         roots = roots.join(further, "root", "left").select("node", F.coalesce("further", "root").alias("root")).union(alone.select("node", "root"))
 
-    linked = routed.select("cid", "rep", "s1", "s2", "n").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left")
+    classes = rows.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    linked = written(classes.join(sized, "cid").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left"), "linked")
     least = linked.filter("root is not null").groupBy("root").agg(F.min("rep").alias("least"))
-    known = linked.join(least, "root", "left").groupBy("s1", "s2").agg(F.first("n").alias("n"), F.min(F.coalesce("least", "rep")).alias("component"), F.min(F.coalesce("root", "cid")).alias("root"))
-    return rows, written(classes.select("s1", "s2", "copies").join(known, ["s1", "s2"]), "known")
+    known = linked.join(least, "root", "left").select("cid", "n", F.coalesce("least", "rep").alias("component"), F.coalesce("root", "cid").alias("root"), "copies")
+    return rows, written(known, "known")
 
 
 def similarity_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id of each row; links need num/den of the union in common."""
     rows, known = class_components(docs, k, num, den)
-    joined = by_text(rows, known.select("s1", "s2", "n", "component", "copies"))
+    joined = by_class(rows, known)
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def by_text(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """rows with the columns of known, by s1 and s2. Texts with many copies, fewer than HOT of them, are broadcast; so no
-    text's copies meet in one task."""
+def by_class(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows with the columns of known. Texts with many copies, fewer than HOT of them, are broadcast; so no text's copies
+    meet in one task."""
     many = max(64, rows.count() // HOT)
     hot = F.broadcast(known.filter(F.col("copies") > many))
-    first = rows.join(hot, ["s1", "s2"], "left")
-    rest = first.filter("copies is null").select(*rows.columns).join(known.filter(F.col("copies") <= many), ["s1", "s2"])
+    first = rows.join(hot, "cid", "left")
+    rest = first.filter("copies is null").select(*rows.columns).join(known.filter(F.col("copies") <= many), "cid")
     return first.filter("copies is not null").select(*rest.columns).unionByName(rest)
 
 
@@ -470,15 +484,16 @@ def survivors(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFr
     being one. Rows without words stay, but rows that repeat one's doc_id are one too; rows without doc_id all stay."""
     rows, known = class_components(docs, k, num, den)
     stays = (F.col("doc_id") == F.col("component")) | (F.col("n") == 0)
-    kept = by_text(rows.filter("doc_id is not null"), known).filter(stays).groupBy("doc_id", "s1", "s2").agg(F.count("*").alias("rows"), F.first("n").alias("n"), F.first("root").alias("root"))
+    seen = by_class(rows.filter("doc_id is not null"), known).groupBy("doc_id", "cid").agg(F.count("*").alias("rows"), F.first("n").alias("n"), F.first("root").alias("root"), F.first(stays).alias("stays"))
     # Different texts of one doc_id may be in one component: the least hash decides.
-    one = F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("n") > 0, F.col("root"))).orderBy("s1", "s2"))
-    kept = written(kept.select(*(F.col(c).alias(f"kept_{c}") for c in ("doc_id", "s1", "s2", "rows")), one.alias("kept_one")).filter("kept_one = 1"), "kept")
-    names = docs.columns
-    body = docs.withColumn("kept_1", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).withColumn("kept_2", F.xxhash64(F.lit(7), F.coalesce(F.col("text"), F.lit(""))))
-    same = (F.col("doc_id").cast("long") == F.col("kept_doc_id")) & (F.col("kept_1") == F.col("kept_s1")) & (F.col("kept_2") == F.col("kept_s2"))
-    found = body.join(kept, same)
-    out = found.filter("kept_rows = 1").select(*names)
-    if not kept.filter("kept_rows > 1").isEmpty():
-        out = out.unionByName(found.filter("kept_rows > 1").dropDuplicates(["kept_doc_id", "kept_s1", "kept_s2"]).select(*names))
-    return out.unionByName(docs.filter(F.col("doc_id").isNull()))
+    one = F.row_number().over(Window.partitionBy("doc_id", "stays", F.when(F.col("n") > 0, F.col("root"))).orderBy("cid")) == 1
+    seen = written(seen.select(F.col("doc_id").alias("kept_id"), F.col("cid").alias("kept_cid"), "rows", (F.col("stays") & one).alias("stays")), "seen")
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    body = docs.select(own, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("cid"))
+    same = (F.col("doc_id") == F.col("kept_id")) & (F.col("cid") == F.col("kept_cid"))
+    # What goes, and what is repeated, is the smaller part.
+    out = body.join(written(seen.filter("not stays or rows > 1").select("kept_id", "kept_cid"), "gone"), same, "left_anti").select("doc.*")
+    repeated = seen.filter("stays and rows > 1")
+    if repeated.isEmpty():
+        return out
+    return out.unionByName(body.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "cid"]).select("doc.*"))
