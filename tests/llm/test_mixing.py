@@ -79,3 +79,26 @@ def test_targets_are_met_under_the_cap(spark):
     for axis, name in enumerate(("source", "lang")):
         for value, share in want[name].items():
             assert abs(sum(rates[k] * n for k, n in docs.items() if k[axis] == value) / 280 - share) < 1e-4
+
+
+def test_clashing_and_missing_columns(spark):
+    rows = [(i, f"word {i}", "a", 0.5, "b", 7) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mix_rate string, rate double, mix_source string, mix_copies long")
+    out = mixing.mix(docs, budget=0.5)
+    assert out.columns == ["doc_id", "text", "rate", *mixing.ADDED] and {r.mix_source for r in out.collect()} == {"unknown"}
+    own = mixing.sampled(docs, budget=0.5)
+    assert own.columns == docs.columns and sorted(tuple(r) for r in own.collect()) == [r for r in rows if r[0] in {x.doc_id for x in out.collect()}]
+
+
+def test_marginals_tell_what_cannot_be_met(spark):
+    rows = [(i, "one two three four", "en", "s", "x") for i in range(90)] + [(100 + i, "a | b", "de", "t", "x") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, kept string")
+    rated, targets = mixing.rated_cells(docs, budget=0.9)
+    got = {(r.attribute, r.value): (r.wanted, r.got) for r in mixing.marginals(rated, targets).collect()}
+    cells = {(r.source, r.lang, r.topic): (r.tokens, r.rate) for r in rated.collect()}
+    total = sum(n * rate for n, rate in cells.values())
+    for axis, name in enumerate(mixing.ATTRIBUTES):
+        for value in {k[axis] for k in cells}:
+            assert abs(got[name, value][1] - sum(n * rate for k, (n, rate) in cells.items() if k[axis] == value) / total) < 1e-9
+    # The few tokens of "t" can't make up a quarter: the miss shows.
+    assert got["source", "t"][0] > 2 * got["source", "t"][1] and abs(total / sum(n for n, _ in cells.values()) - 0.9) < 1e-6
