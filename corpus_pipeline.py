@@ -37,7 +37,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn to the raked weights of source, language and topic."""
-    return mixing.mix(docs, budget=BUDGET).select(*docs.columns)
+    return mixing.sampled(docs, budget=BUDGET)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
