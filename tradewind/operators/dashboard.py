@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .reports import GMV, SELLER, SFEE, TFEE, Shelf, as_double, completed, contributions, month_of, products
+from .reports import GMV, PLATFORM, SELLER, SFEE, TFEE, Shelf, as_double, completed, contributions, month_of, products
 
 
 def category_sales(shelf: Shelf, category: str, period: str | None = None) -> DataFrame:
@@ -27,8 +27,8 @@ def monthly_gmv(shelf: Shelf) -> DataFrame:
 
 def deductions(shelf: Shelf, period: str | None = None) -> DataFrame:
     """kind, amount of what is taken from sales; only kinds over 0."""
-    s = completed(shelf, period).agg(F.sum(SELLER).alias("seller_discount"), F.sum(TFEE).alias("transaction_fee"), F.sum(SFEE).alias("service_fee"))
-    return s.unpivot([], ["seller_discount", "transaction_fee", "service_fee"], "kind", "amount").filter("amount > 0").select("kind", as_double(F.col("amount")).alias("amount"))
+    s = completed(shelf, period).agg(F.sum(SELLER).alias("seller_discount"), F.sum(PLATFORM).alias("platform_discount"), F.sum(TFEE).alias("transaction_fee"), F.sum(SFEE).alias("service_fee"))
+    return s.unpivot([], ["seller_discount", "platform_discount", "transaction_fee", "service_fee"], "kind", "amount").filter("amount > 0").select("kind", as_double(F.col("amount")).alias("amount"))
 
 
 def top_products(shelf: Shelf, n: int = 12) -> DataFrame:
@@ -37,11 +37,22 @@ def top_products(shelf: Shelf, n: int = 12) -> DataFrame:
 
 
 def price_position(shelf: Shelf) -> DataFrame:
-    """Each product's list price beside the least, median and largest price of its category's others."""
-    p = products(shelf).select("sku", "category", F.col("list_price").cast("double").alias("price"))
-    c = p.groupBy("category").agg(F.count("*").alias("listings"), F.min("price").alias("low"), F.percentile("price", F.lit(0.5)).alias("middle"), F.max("price").alias("high"))
-    label = F.when(F.col("price") < F.col("low") + (F.col("high") - F.col("low")) / 3.0, "low").when(F.col("price") > F.col("high") - (F.col("high") - F.col("low")) / 3.0, "high").otherwise("middle")
-    return p.join(c, "category").select("sku", "category", "price", "low", F.col("middle").alias("median"), "high", label.alias("position"))
+    """Each product's list price beside the least, median and largest price of its category's other products; alone there: null."""
+    p = products(shelf).select("sku", "category", F.col("list_price").cast("double").alias("price")).filter("price is not null")
+    w = Window.partitionBy("category")
+    p = p.withColumns({"place": F.row_number().over(w.orderBy("price", "sku")) - 1, "others": F.count("*").over(w) - 1})
+    # Of a category's prices in order, the two ends and the middle ones are all that a product's others can differ in.
+    one, two = F.floor((F.col("others") - 1) / 2), F.floor(F.col("others") / 2)
+    at = {"a0": F.lit(0), "a1": F.lit(1), "z0": F.col("others"), "z1": F.col("others") - 1, "m0": one, "m1": one + 1, "m2": one + 2}
+    ends = p.groupBy("category").agg(*(F.max(F.when(F.col("place") == i, F.col("price"))).alias(n) for n, i in at.items()))
+    p = p.join(ends, "category")
+    low = F.when(F.col("place") == 0, F.col("a1")).otherwise(F.col("a0"))
+    high = F.when(F.col("place") == F.col("others"), F.col("z1")).otherwise(F.col("z0"))
+    first = F.when(F.col("place") > one, F.col("m0")).otherwise(F.col("m1"))
+    second = F.when(one == two, first).when(F.col("place") > two, F.col("m1")).otherwise(F.col("m2"))
+    p = p.select("sku", "category", "price", F.when(F.col("others") > 0, low).alias("low"), F.when(F.col("others") > 0, (first + second) / 2).alias("median"), F.when(F.col("others") > 0, high).alias("high"))
+    label = F.when(F.col("price") < F.col("low"), "below").when(F.col("price") > F.col("high"), "above").when(F.col("low").isNotNull(), "within").otherwise("unknown")
+    return p.withColumn("position", label)
 
 
 def never_sold(shelf: Shelf) -> DataFrame:

@@ -15,7 +15,10 @@ from ..functions.text import header_form
 from ..schemas import REQUIRED, SPARK_TYPES, TABLES
 
 #: Fixed value aliases, by their folded form.
-STATUS = {"hoan_thanh": "completed", "da_hoan_thanh": "completed", "completed": "completed", "da_huy": "cancelled", "huy": "cancelled", "cancelled": "cancelled", "dang_giao": "shipping", "da_nhan": "received", "received": "received"}
+STATUS = {
+    "hoan_tat": "completed", "hoan_thanh": "completed", "da_hoan_thanh": "completed", "completed": "completed", "huy": "cancelled", "da_huy": "cancelled", "cancelled": "cancelled",
+    "canceled": "cancelled", "da_nhan": "received", "received": "received", "da_xac_nhan": "confirmed", "confirmed": "confirmed", "dang_xem_xet": "under_review", "under_review": "under_review",
+}
 DIRECTION = {"thu": "thu", "thu_vao": "thu", "in": "thu", "chi": "chi", "chi_ra": "chi", "out": "chi"}
 MOVEMENT = {"nhap": "inbound", "nhap_kho": "inbound", "inbound": "inbound", "xuat": "outbound", "xuat_kho": "outbound", "outbound": "outbound", "hong": "damaged", "damaged": "damaged"}
 TRUE, FALSE = ("co", "yes", "true", "1"), ("khong", "no", "false", "0")
@@ -104,13 +107,14 @@ RULES: dict[str, list[str]] = {
 
 
 def reason(table: str) -> Column:
-    """The first rule that a raw row breaks: a blank, a value of the wrong type or below 0, or a table's own rule."""
+    """The first rule that a raw row breaks: a blank, a value of the wrong type, or a count or number below 0."""
     checks: list[tuple[Column, str]] = []
     for c, kind in TABLES[table].items():
         checks.append((F.coalesce(F.trim(c), F.lit("")) == "", f"{c}: blank"))
         if kind != "s":
             checks.append((typed(table, c).isNull(), f"{c}: not a value of its type"))
-        if kind in "imf":
+        # Money may be below 0, as corrections are.
+        if kind in "if":
             checks.append((typed(table, c) < 0, f"{c}: below 0"))
     return reduce(lambda out, check: F.when(check[0], F.lit(check[1])).otherwise(out), reversed(checks), F.lit(None).cast("string"))
 

@@ -322,35 +322,39 @@ def procurement_summary(shelf: Shelf, period: str | None = None) -> DataFrame:
 
 
 def scorecard(shelf: Shelf, period: str | None = None) -> DataFrame:
-    """Every product with what is known of it: sales, stock, reviews, quality, returns and funnel.
+    """Every product with what is known of it: sales, stock, reviews, quality, returns and funnel; risks and gaps.
 
-    Each side is summed by sku before it is joined. Gaps are missing evidence, not low risk."""
+    Each side is summed by sku before it is joined. Gaps are missing evidence, not low risk: a product with gaps is never
+    recommended. The lowest contribution is that of all products (0 where none was sold), and a signal if it was sold."""
     sales = contributions(shelf, period).select("sku", "units", "gmv", "contribution")
     stock = shelf["inventory"].select("sku", (F.col("on_hand") - F.col("reserved")).alias("available"), "reorder_point")
     reviews = shelf["reviews"].filter(in_period("review_date", period)).groupBy("sku").agg(F.count("*").alias("reviews"), F.count_if(F.col("rating") <= 3).alias("low_ratings"))
-    quality = shelf["quality_checks"].filter(in_period("check_date", period)).groupBy("sku").agg(F.sum("defective_quantity").alias("defective"))
+    quality = shelf["quality_checks"].filter(in_period("check_date", period)).groupBy("sku").agg(F.sum("defective_quantity").alias("defective"), F.sum("inspected_quantity").alias("inspected"))
     returned = shelf["returns"].filter(in_period("request_date", period)).groupBy("sku").agg(F.sum("quantity").alias("returned"))
-    funnel = shelf["product_funnel"].filter(in_month(period)).groupBy("sku").agg(F.sum("views").alias("views"))
+    funnel = shelf["product_funnel"].filter(in_month(period)).groupBy("sku").agg(F.sum("views").alias("views"), F.sum("add_to_cart_count").alias("carts"))
     s = shelf["products"].select("sku", "product_name")
     for side in (sales, stock, reviews, quality, returned, funnel):
         s = s.join(side, "sku", "left")
-    sold = F.coalesce("units", F.lit(0)) > 0
+    zero = F.lit(0).cast("decimal(28,4)")
+    s = s.withColumns({"sold": F.coalesce("units", F.lit(0)) > 0, "gmv": F.coalesce("gmv", zero), "contribution": F.coalesce("contribution", zero)})
     # One-row results go out by broadcast, so that no window gathers all products.
-    low = s.agg(F.min(F.when(sold, F.struct("contribution", "sku")))["sku"].alias("low_sku"))
+    low = s.agg(F.min(F.struct("contribution", "sku"))["sku"].alias("low_sku"))
     s = s.crossJoin(F.broadcast(low))
-    lowest = F.coalesce(F.col("low_sku") == F.col("sku"), F.lit(False))
+    scarce = F.col("available") <= F.col("reorder_point")
     signals = F.array_compact(F.array(
-        F.when(F.col("available") <= F.col("reorder_point"), "low_stock"), F.when(F.col("low_ratings") > 0, "low_rating"), F.when(F.col("defective") > 0, "defect"),
-        F.when(F.col("returned") > 0, "returned"), F.when(sold & lowest, "lowest_contribution"),
+        F.when(F.col("sold") & (F.col("low_sku") == F.col("sku")), "lowest_contribution"), F.when(scarce, "low_stock"), F.when(F.col("low_ratings") > 0, "low_rating"),
+        F.when(F.col("defective") > 0, "defect"), F.when(F.col("returned") > 0, "returned"),
     ))
     gaps = F.array_compact(F.array(F.when(F.col("reviews").isNull(), "review"), F.when(F.col("defective").isNull(), "quality"), F.when(F.col("views").isNull(), "funnel")))
     s = s.withColumns({"risk_signals": F.array_join(signals, "|"), "signal_count": F.size(signals).cast("long"), "evidence_gaps": F.array_join(gaps, "|")})
-    best = s.agg(F.max(F.when(sold & (F.col("signal_count") == 0), F.struct("gmv", "contribution", "sku")))["sku"].alias("best_sku"))
-    risky = s.orderBy(F.desc("signal_count"), F.asc_nulls_last("contribution"), F.desc_nulls_last("gmv"), "sku").limit(3).select("sku", F.lit(True).alias("risky"))
-    s = s.crossJoin(F.broadcast(best)).join(F.broadcast(risky), "sku", "left")
+    eligible = (F.col("gmv") > 0) & (F.col("contribution") > 0) & ~F.coalesce(scarce, F.lit(False)) & (F.col("evidence_gaps") == "") & (F.col("signal_count") == 0)
+    best = s.filter(eligible).orderBy(F.desc("gmv"), F.desc("contribution"), "sku").limit(1).select("sku", F.lit(True).alias("best"))
+    risky = s.filter("signal_count > 0").orderBy(F.desc("signal_count"), "contribution", F.desc("gmv"), "sku").limit(3).select("sku", F.lit(True).alias("risky"))
+    s = s.join(F.broadcast(best), "sku", "left").join(F.broadcast(risky), "sku", "left")
     return s.select(
-        "sku", "product_name", F.coalesce("units", F.lit(0)).alias("units"), as_double(F.coalesce("gmv", F.lit(0))).alias("gmv"), as_double(F.col("contribution")).alias("contribution"),
-        "risk_signals", "signal_count", "evidence_gaps", F.coalesce(F.col("best_sku") == F.col("sku"), F.lit(False)).alias("recommended"), F.coalesce("risky", F.lit(False)).alias("top_risk"),
+        "sku", "product_name", F.coalesce("units", F.lit(0)).alias("units"), as_double(F.col("gmv")).alias("gmv"), as_double(F.col("contribution")).alias("contribution"),
+        F.coalesce("low_ratings", F.lit(0)).alias("low_ratings"), ratio(F.col("defective"), F.col("inspected"), 100).alias("defect_rate_percent"), F.col("views").cast("long").alias("views"), ratio(F.col("carts"), F.col("views"), 100).alias("view_to_cart_percent"),
+        "risk_signals", "signal_count", "evidence_gaps", F.coalesce("best", F.lit(False)).alias("recommended"), F.coalesce("risky", F.lit(False)).alias("top_risk"),
     )
 
 

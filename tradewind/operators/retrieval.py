@@ -1,6 +1,7 @@
 """Retrieval: BM25 over an inverted table, exact dense scores, their fusion, and context windows.
 
-Terms are joined with the queries' terms before they are counted, so only matching postings are shuffled.
+Terms are the words of a text's match form and their pairs. They are joined with the queries' terms before they are
+counted, so only matching postings are shuffled.
 Scores are sums of decimals, so that they don't depend on the order of summing."""
 
 from __future__ import annotations
@@ -17,8 +18,18 @@ VECTOR_WEIGHT, BM25_WEIGHT, BOTH_BONUS = 0.62, 0.38, 0.05
 MOST_BROADCAST_ROWS = 200_000
 
 
+#: Query vectors that are sent to every executor at once.
+VECTOR_BATCH = 1_000
+
+
 def terms(text: Column) -> Column:
-    return with_bigrams(unigrams(text))
+    return with_bigrams(text)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where its files have fewer splits than there are cores: a text takes long to cut into terms."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
@@ -40,6 +51,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
     q = queries.select("query_id", F.explode(terms(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     asked = q.select("term").distinct()
     few = asked.count() <= MOST_BROADCAST_ROWS
+    docs = spread(docs.select("doc_id", "text"))
+    # Lengths are those of the arrays, so that a text is cut once for its postings and its length.
     d = docs.select("doc_id", terms(F.col("text")).alias("t")).withColumn("length", F.size("t").cast("long"))
     postings = d.select("doc_id", "length", F.explode("t").alias("term")).join(F.broadcast(asked) if few else asked, "term", "left_semi")
     tf = postings.groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
@@ -63,16 +76,25 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
 
+def length(v: Column) -> Column:
+    return F.sqrt(dot(v, v))
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """query_id, rank, doc_id, score: cosine similarity clamped to [0, 1] of unit vectors, all candidates scored.
-
-    vectors: doc_id, vector. queries: query_id, vector; they are a stated, checked set and go to every executor."""
-    if queries.count() > MOST_BROADCAST_ROWS // 100:
-        raise ValueError("too many query vectors for exact scoring at once")
-    q = queries.select("query_id", F.col("vector").alias("qv"))
-    pairs = vectors.crossJoin(F.broadcast(q))
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(F.col("vector"), F.col("qv")))).cast("decimal(18,6)")
-    return ranked(pairs.select("query_id", "doc_id", score.alias("score")), k)
+    """query_id, rank, doc_id, score: cosine similarity clamped to [0, 1] (0 for vectors without length), all candidates scored.
+
+    vectors: doc_id, vector. queries: query_id, vector: a stated set, sent to every executor in batches of VECTOR_BATCH."""
+    q = queries.select("query_id", F.col("vector").alias("qv"), length(F.col("vector")).alias("ql"))
+    v = spread(vectors).select("doc_id", "vector", length(F.col("vector")).alias("vl"))
+    batches = max(1, -(-queries.count() // VECTOR_BATCH))
+    cosine = F.coalesce(F.try_divide(dot(F.col("vector"), F.col("qv")), F.col("vl") * F.col("ql")), F.lit(0.0))
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine)).cast("decimal(18,6)")
+    out = None
+    for n in range(batches):
+        batch = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(batches)) == n) if batches > 1 else q
+        part = ranked(v.crossJoin(F.broadcast(batch)).select("query_id", "doc_id", score.alias("score")), k)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def min_max(score: Column, by: str = "query_id") -> Column:

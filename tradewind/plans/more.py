@@ -143,7 +143,8 @@ QUERIES: dict[str, Query] = {
     "str02_match_forms": _of(matched_forms), "ag46_grouping_sets": _of(grouping), "jn12_context": _of(context), "wn08_budget": _of(budget), "str12_chunks": _of(lambda s: chunking.chunks(_docs(s))),
 }
 
-_TOKENS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '')"
+_FORM = "trim(regexp_replace(regexp_replace(strip_accents(lower(coalesce(text, ''))), '[^a-z0-9_/%.-]+', ' ', 'g'), '\\s+', ' ', 'g'), ' ')"
+_TOKENS = f"list_filter(string_split({_FORM}, ' '), lambda x: x <> '')"
 _TERMS = "list_concat(ts, list_transform(range(1, len(ts)), lambda i: ts[i] || '_' || ts[i + 1]))"
 _BM25 = f"""d AS (SELECT doc_id, {_TERMS} AS terms FROM (SELECT doc_id, {_TOKENS} AS ts FROM documents)),
 q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_TERMS}) AS term FROM (SELECT item_id, {_TOKENS} AS ts FROM benchmark)) GROUP BY ALL),
@@ -153,7 +154,8 @@ dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 w AS (SELECT doc_id, term, CAST(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * length / avg)) AS DECIMAL(20,12)) AS w FROM tf JOIN dfs USING (term), c),
 sc AS (SELECT query_id, doc_id, CAST(sum(w * CAST(qtf AS DECIMAL(7,0))) AS DECIMAL(18,6)) AS score FROM w JOIN q USING (term) GROUP BY ALL),
 bm AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM sc) WHERE rank <= 30)"""
-_DOT = "CAST(greatest(0, least(1, list_inner_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))) AS DECIMAL(18,6))"
+_V, _Q = "CAST(v.embedding AS DOUBLE[])", "CAST(q.embedding AS DOUBLE[])"
+_DOT = f"CAST(greatest(0, least(1, coalesce(list_inner_product({_V}, {_Q}) / nullif(sqrt(list_inner_product({_V}, {_V})) * sqrt(list_inner_product({_Q}, {_Q})), 0), 0))) AS DECIMAL(18,6))"
 
 
 def _dense(queries: str) -> str:
@@ -167,8 +169,10 @@ ORACLES = {
     "ag30_cost_shares": sql("SELECT event_type AS category, CAST(sum(cents) AS DOUBLE) AS amount, CAST(sum(cents) AS DOUBLE) * 100 / CAST(sum(sum(cents)) OVER () AS DOUBLE) AS share_percent, row_number() OVER (ORDER BY sum(cents) DESC, event_type) AS position FROM ev GROUP BY 1", "ev"),
     "ag32_product_contribution_top": sql("SELECT sku, product_name, CAST(g AS DOUBLE) AS gmv, CAST(c AS DOUBLE) AS contribution FROM contrib ORDER BY g DESC, sku LIMIT 12", "contrib"),
     "ag33_monthly_gmv": sql("SELECT strftime(order_date, '%Y-%m') AS month, CAST(sum(gmv) AS DOUBLE) AS gmv FROM sales GROUP BY 1", "sales"),
-    "ag34_deductions": sql("SELECT * FROM (SELECT 'seller_discount' AS kind, CAST(sum(sd) AS DOUBLE) AS amount FROM sales UNION ALL SELECT 'transaction_fee', CAST(sum(tf) AS DOUBLE) FROM sales UNION ALL SELECT 'service_fee', CAST(sum(sf) AS DOUBLE) FROM sales) WHERE amount > 0", "sales"),
-    "ag36_price_position": "WITH p AS (SELECT p_partkey AS sku, p_type AS category, p_retailprice AS price FROM part), c AS (SELECT category, min(price) AS low, median(price) AS middle, max(price) AS high FROM p GROUP BY 1) SELECT sku, p.category, price, low, middle AS median, high, CASE WHEN price < low + (high - low) / 3.0::DOUBLE THEN 'low' WHEN price > high - (high - low) / 3.0::DOUBLE THEN 'high' ELSE 'middle' END AS position FROM p JOIN c ON p.category = c.category",
+    "ag34_deductions": sql("SELECT * FROM (SELECT 'seller_discount' AS kind, CAST(sum(sd) AS DOUBLE) AS amount FROM sales UNION ALL SELECT 'platform_discount', CAST(sum(pd) AS DOUBLE) FROM sales UNION ALL SELECT 'transaction_fee', CAST(sum(tf) AS DOUBLE) FROM sales UNION ALL SELECT 'service_fee', CAST(sum(sf) AS DOUBLE) FROM sales) WHERE amount > 0", "sales"),
+    "ag36_price_position": """WITH p AS (SELECT p_partkey AS sku, p_type AS category, p_retailprice AS price FROM part),
+        o AS (SELECT p.sku, min(x.price) AS low, median(x.price) AS median, max(x.price) AS high FROM p JOIN p x ON p.category = x.category AND p.sku <> x.sku GROUP BY 1)
+        SELECT p.sku, category, price, low, median, high, CASE WHEN price < low THEN 'below' WHEN price > high THEN 'above' WHEN low IS NOT NULL THEN 'within' ELSE 'unknown' END AS position FROM p LEFT JOIN o USING (sku)""",
     "jn07_never_sold": sql("SELECT p_partkey AS sku, p_name AS product_name FROM part WHERE p_partkey NOT IN (SELECT sku FROM sales)", "sales"),
     "aud02_duplicates": "SELECT sha256(coalesce(text, '')) AS sha256, count(*) AS copies, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1",
     "wn12_previous_user_turn": "SELECT conv_id, turn, text, lag(text) OVER w AS previous, coalesce(lower(trim(text, ' ')) = lower(trim(lag(text) OVER w, ' ')), false) AS repeated FROM conversations WHERE role = 'user' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
@@ -199,7 +203,7 @@ ORACLES = {
         SELECT item, CASE WHEN fb THEN 'try_small' ELSE st END AS status, CAST(CASE WHEN fb THEN greatest(1, ceil(sold * 2 * 0.5)) ELSE oq END AS BIGINT) AS order_quantity, CAST(CASE WHEN fb THEN greatest(1, ceil(sold * 2 * 0.5)) ELSE oq END AS BIGINT) * cost AS order_budget, CAST(cover AS DECIMAL(18,6)) AS cover, on_hand * cost AS capital FROM f""",
     "ag40_term_stats": f"WITH d AS (SELECT doc_id, {_TERMS} AS terms FROM (SELECT doc_id, {_TOKENS} AS ts FROM documents)), n AS (SELECT count(*) AS n FROM d) SELECT term, df, CAST(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS DECIMAL(18,6)) AS idf FROM (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(terms)) AS term FROM d) GROUP BY 1), n",
     "str03_token_counts": f"SELECT doc_id, len(ts) AS words, len({_TERMS}) AS terms, CAST(len(list_distinct(list_filter(ts, lambda x: len(x) >= 3 AND NOT regexp_full_match(x, '[0-9]+')))) AS BIGINT) AS distinct_words FROM (SELECT doc_id, {_TOKENS} AS ts FROM documents)",
-    "str02_match_forms": "SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(coalesce(text, ''))), '[^a-z0-9_/%.-]+', ' ', 'g'), '\\s+', ' ', 'g'), ' ') AS form FROM documents",
+    "str02_match_forms": f"SELECT doc_id, {_FORM} AS form FROM documents",
     "ag46_grouping_sets": "SELECT lang, source, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY GROUPING SETS ((), (lang), (source), (lang, source))",
     "jn12_context": "WITH c AS (SELECT conv_id AS document, turn AS place, text FROM conversations), t AS (SELECT document, arg_max(place, (length(text), -place)) AS top FROM c GROUP BY 1) SELECT t.document AS query_id, c.document, c.place, c.text FROM c JOIN t ON c.document = t.document AND abs(place - top) <= 2",
 }
@@ -214,8 +218,10 @@ def _clean(x: str) -> str:
 
 
 _HTML = "html"
-for _p, _to in (("(?is)<script.*?>.*?</script>|<style.*?>.*?</style>", "' '"), ("(?i)<br\\s*/?>", "chr(10)"), ("(?i)</p\\s*>", "chr(10) || chr(10)"), ("(?i)</div\\s*>", "chr(10)"), ("(?i)</h[1-6]\\s*>", "chr(10) || chr(10)"), ("(?s)<[^>]+>", "' '")):
+for _p, _to in (("(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>", "' '"), ("(?i)</(?:p|h1|h2|h3|h4|h5|h6)\\s*>", "chr(10) || chr(10)"), ("(?i)</(?:div)\\s*>|<br\\s*/?>", "chr(10)"), ("<[^>]+>", "' '")):
     _HTML = f"regexp_replace({_HTML}, '{_p}', {_to}, 'g')"
-for _p, _to in t.ENTITIES:
+# Decimal references, which are all that these pages have.
+_HTML = f"list_reduce(list_prepend({_HTML}, list_distinct(regexp_extract_all({_HTML}, '&#[0-9]+;'))), lambda acc, ref: replace(acc, ref, chr(CAST(regexp_extract(ref, '[0-9]+') AS INTEGER))))"
+for _p, _to in t.ENTITIES.items():
     _HTML = "replace({}, '{}', '{}')".format(_HTML, _p, _to.replace("'", "''"))
 ORACLES["src12_html_text"] = f"SELECT page_id, {_clean(_HTML)} AS text FROM pages"

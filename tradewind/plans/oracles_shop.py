@@ -64,11 +64,18 @@ ORACLES = {
     "ag24_review_summary": "SELECT count(*) AS reviews, CAST(sum(event_id % 5 + 1) AS DOUBLE) / count(*) AS average_rating, count(*) FILTER (event_id % 5 + 1 <= 3) AS low_ratings FROM events WHERE value IS NOT NULL",
     "ag24_review_issues": "SELECT event_type AS issue_type, count(*) AS reviews, count(*) FILTER (event_id % 5 + 1 <= 3) AS low_ratings FROM events WHERE value IS NOT NULL GROUP BY 1",
     "ag24_procurement_summary": sql("SELECT count(*) AS purchase_orders, count(*) FILTER (l_linestatus = 'O') AS open_orders, CAST(sum(l_quantity) FILTER (l_linestatus = 'O') AS BIGINT) AS open_units, CAST(sum(CAST(l_quantity AS BIGINT) * price) FILTER (l_linestatus = 'O') AS DOUBLE) AS open_value FROM lines", "lines"),
-    "ag25_scorecard": sql("""SELECT sku, product_name, CAST(coalesce(units, 0) AS BIGINT) AS units, CAST(coalesce(g, 0) AS DOUBLE) AS gmv, CAST(c AS DOUBLE) AS contribution, array_to_string(sig, '|') AS risk_signals, CAST(len(sig) AS BIGINT) AS signal_count, array_to_string(gaps, '|') AS evidence_gaps,
-        coalesce(sku = (SELECT sku FROM t WHERE units > 0 AND len(sig) = 0 ORDER BY g DESC, c DESC, sku DESC LIMIT 1), false) AS recommended, sku IN (SELECT sku FROM t ORDER BY len(sig) DESC, c NULLS LAST, g DESC NULLS LAST, sku LIMIT 3) AS top_risk FROM t""", "contrib", "inv").replace(" SELECT sku, product_name, CAST(coalesce", """, j AS (SELECT p.sku, p.product_name, units, g, c, available, reorder_point, r.n AS reviews, low, defective, returned, views FROM products p LEFT JOIN contrib USING (sku) LEFT JOIN inv USING (sku)
-        LEFT JOIN (SELECT user_id AS sku, count(*) AS n, count(*) FILTER (event_id % 5 + 1 <= 3) AS low FROM events WHERE value IS NOT NULL GROUP BY 1) r USING (sku) LEFT JOIN (SELECT l_partkey AS sku, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS defective FROM lines GROUP BY 1) q USING (sku)
-        LEFT JOIN (SELECT l_partkey AS sku, sum(l_quantity) AS returned FROM lines WHERE l_returnflag = 'R' GROUP BY 1) z USING (sku) LEFT JOIN (SELECT user_id AS sku, count(*) FILTER (event_type = 'view') AS views FROM events GROUP BY 1) f USING (sku)),
-        t AS (SELECT *, list_filter([CASE WHEN available <= reorder_point THEN 'low_stock' END, CASE WHEN low > 0 THEN 'low_rating' END, CASE WHEN defective > 0 THEN 'defect' END, CASE WHEN returned > 0 THEN 'returned' END, CASE WHEN sku = (SELECT sku FROM j WHERE units > 0 ORDER BY c, sku LIMIT 1) THEN 'lowest_contribution' END], lambda x: x IS NOT NULL) AS sig,
+    "ag25_scorecard": sql("""SELECT sku, product_name, CAST(coalesce(units, 0) AS BIGINT) AS units, CAST(g AS DOUBLE) AS gmv, CAST(c AS DOUBLE) AS contribution,
+        coalesce(low, 0) AS low_ratings, CAST(defective AS DOUBLE) * 100 / nullif(CAST(inspected AS DOUBLE), 0) AS defect_rate_percent, CAST(views AS BIGINT) AS views, CAST(carts AS DOUBLE) * 100 / nullif(CAST(views AS DOUBLE), 0) AS view_to_cart_percent,
+        array_to_string(sig, '|') AS risk_signals, CAST(len(sig) AS BIGINT) AS signal_count, array_to_string(gaps, '|') AS evidence_gaps,
+        coalesce(sku = (SELECT sku FROM t WHERE g > 0 AND c > 0 AND NOT coalesce(available <= reorder_point, false) AND len(gaps) = 0 AND len(sig) = 0 ORDER BY g DESC, c DESC, sku LIMIT 1), false) AS recommended,
+        sku IN (SELECT sku FROM t WHERE len(sig) > 0 ORDER BY len(sig) DESC, c, g DESC, sku LIMIT 3) AS top_risk FROM t""", "contrib", "inv").replace(" SELECT sku, product_name, CAST(coalesce", """, j AS (
+        SELECT p.sku, p.product_name, units, coalesce(g, 0) AS g, coalesce(c, 0) AS c, available, reorder_point, r.n AS reviews, low, defective, inspected, returned, views, carts FROM products p LEFT JOIN contrib USING (sku) LEFT JOIN inv USING (sku)
+        LEFT JOIN (SELECT user_id AS sku, count(*) AS n, count(*) FILTER (event_id % 5 + 1 <= 3) AS low FROM events WHERE value IS NOT NULL GROUP BY 1) r USING (sku)
+        LEFT JOIN (SELECT l_partkey AS sku, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS defective, sum(l_quantity) AS inspected FROM lines GROUP BY 1) q USING (sku)
+        LEFT JOIN (SELECT l_partkey AS sku, sum(l_quantity) AS returned FROM lines WHERE l_returnflag = 'R' GROUP BY 1) z USING (sku)
+        LEFT JOIN (SELECT user_id AS sku, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type = 'click') AS carts FROM events GROUP BY 1) f USING (sku)),
+        t AS (SELECT *, list_filter([CASE WHEN units > 0 AND sku = (SELECT sku FROM j ORDER BY c, sku LIMIT 1) THEN 'lowest_contribution' END, CASE WHEN available <= reorder_point THEN 'low_stock' END, CASE WHEN low > 0 THEN 'low_rating' END,
+        CASE WHEN defective > 0 THEN 'defect' END, CASE WHEN returned > 0 THEN 'returned' END], lambda x: x IS NOT NULL) AS sig,
         list_filter([CASE WHEN reviews IS NULL THEN 'review' END, CASE WHEN defective IS NULL THEN 'quality' END, CASE WHEN views IS NULL THEN 'funnel' END], lambda x: x IS NOT NULL) AS gaps FROM j) SELECT sku, product_name, CAST(coalesce""", 1),
     "ag26_available_periods": "SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS month FROM orders JOIN lineitem ON l_orderkey = o_orderkey",
     "ag39_profit_after_overhead": sql("SELECT contribution, overhead, contribution - overhead AS profit FROM (SELECT CAST(sum(gmv - sd - tf - sf) - sum(unit_cost * quantity) AS DOUBLE) AS contribution FROM sales JOIN products USING (sku)), (SELECT CAST(sum(cents) AS DOUBLE) AS overhead FROM ev)", "sales", "products", "ev"),

@@ -57,9 +57,23 @@ def files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = (), de
 
 
 def text_of(content, encodings: tuple[str, ...] = ("UTF-8", "windows-1258", "ISO-8859-1")):
-    """Bytes as text by the first encoding that fits; a byte order mark is dropped."""
-    tries = [F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8"))] + [F.decode(content, e) for e in encodings[-1:]]
-    return F.regexp_replace(F.coalesce(*tries), "^﻿", "")
+    """Bytes as text by the first encoding that has a character for all of them; a byte order mark is dropped."""
+    utf8 = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string"))
+    tries = [utf8 if e == "UTF-8" else _one_byte(content, e) for e in encodings]
+    return F.regexp_replace(F.coalesce(*tries), "^\ufeff", "")
+
+
+def _one_byte(content, encoding: str):
+    """Text in an encoding of one byte a character, by its table; null where a byte has no character."""
+    text, table, none = F.decode(content, "ISO-8859-1"), {}, ""
+    for b in range(256):
+        try:
+            table[chr(b)] = bytes([b]).decode(encoding)
+        except UnicodeDecodeError:
+            none += chr(b)
+    other = {k: v for k, v in table.items() if k != v}
+    read = F.translate(text, "".join(other), "".join(other.values())) if other else text
+    return F.when(F.translate(text, none, "") == text, read) if none else read
 
 
 def write_csv(df: DataFrame, path: str) -> None:
