@@ -128,3 +128,35 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("daily").collect())) == sorted(map(tuple, funnel.daily(events).collect()))
+
+
+def test_page_text(spark):
+    html = "<style>p {x}</style><h1>A &amp; B</h1><!-- no <p> --><p>caf&#233; &#xe9;&#x1F600;<br>next &amp;#65; &#99999999;</p><DIV>x</DIV >y<script a='b'>z</script>"
+    assert spark.range(1).select(text.html_to_text(F.lit(html))).first()[0] == "A & B\n\ncafé é😀\nnext &#65; &#99999999;\n\nx\ny"
+
+
+def test_terms_keep_vietnamese_words(spark):
+    r = spark.range(1).select(text.unigrams(F.lit("Thống  kê API v2.0/api_key, Đơn")), text.with_bigrams(F.lit("Phí giao-dịch 5%")), text.with_bigrams(F.lit(" "))).first()
+    assert list(r) == [["thong", "ke", "api", "v2.0/api_key", "don"], ["phi", "giao-dich", "5%", "phi_giao-dich", "giao-dich_5%"], []]
+
+
+def test_encodings_are_tried_in_turn(spark):
+    rows = [("\ufeffđơn".encode(),), ("hàng hóa đ ư".encode("cp1258", "ignore"),), (b"caf\xe9 \x8a",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "b binary").select(files.text_of(F.col("b"))).collect()]
+    assert got == ["đơn", rows[1][0].decode("cp1258"), "café \x8a"]
+
+
+def test_scorecard_needs_evidence(spark):
+    """A product without reviews, checks or funnel is no candidate; the lowest contribution counts products that weren't sold."""
+    tables = {
+        "orders": [(s, "2026-08-01", q, g, 0, 0, 0, 0, "completed") for s, q, g in (("a", 2, 900), ("b", 1, 500), ("c", 1, 10))], "products": [(s, s, "x", 100, 300) for s in "abcd"], "inventory": [(s, 50, 0, 5) for s in "abcd"],
+        "reviews": [(s, "2026-08-02", 5, "") for s in "bcd"], "quality_checks": [(s, "2026-08-02", 10, 0, "") for s in "abcd"], "returns": [], "product_funnel": [("2026-08", s, 100, 10, 1) for s in "abcd"],
+    }
+    names = {
+        "orders": "sku string, order_date string, quantity int, gross_merchandise_value_vnd int, seller_discount_vnd int, platform_discount_vnd int, estimated_transaction_fee_vnd int, estimated_service_fee_vnd int, status string",
+        "products": "sku string, product_name string, category string, cost_per_unit_vnd int, list_price_vnd int", "inventory": "sku string, on_hand int, reserved int, reorder_point int", "reviews": "sku string, review_date string, rating int, issue_type string",
+        "quality_checks": "sku string, check_date string, inspected_quantity int, defective_quantity int, defect_type string", "returns": "sku string, request_date string, quantity int", "product_funnel": "month string, sku string, views int, add_to_cart_count int, order_count int",
+    }
+    got = {r.sku: r for r in reports.scorecard({n: spark.createDataFrame(rows, names[n]) for n, rows in tables.items()}).collect()}
+    assert [s for s, r in got.items() if r.recommended] == ["b"] and got["a"].evidence_gaps == "review" and got["a"].gmv > got["b"].gmv
+    assert {s for s, r in got.items() if r.top_risk} == {"c"} and got["c"].risk_signals == "lowest_contribution" and got["d"].contribution == 0 and got["b"].view_to_cart_percent == 10
