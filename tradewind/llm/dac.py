@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import struct
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, new_path, ranges, small_batches, word_starts
+from .common import SPACE, documents, new_path, ranges, small_batches, word_starts
 
 END_ID = 2
 #: A shard is closed after the batch of documents by which it has this many ids.
@@ -50,7 +52,8 @@ class Words:
         with open(tokenizer_file, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        special = [re.escape(t["content"]) for t in spec["added_tokens"]]
+        self.special = re.compile("|".join(special) or "(?!)").search
         steps = [n["type"] for n in spec["normalizer"]["normalizers"]]
         splits = [p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         # What `pieces` does by hand must be what the file says; otherwise the library takes every word.
@@ -62,51 +65,47 @@ class Words:
         self.alphabet = {b: 256 + i for i, b in enumerate(rest)}
         self.new: dict[bytes, int] = {}
         self.old: dict[bytes, int] = {}
-        self.starts, self.lengths, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.int32)
-        self.n_words = self.n_ids = 0
+        self.starts, self.lengths, self.ids = array("q"), array("i"), array("i")
 
     def turn(self) -> None:
         """Before a batch: once there are KEPT_WORDS new words, they become the old ones, and the old ones go."""
         if len(self.new) < KEPT_WORDS:
             return
         live = np.fromiter(self.new.values(), np.int64, len(self.new))
-        ids, lengths = self.ids[ranges(self.starts[live], self.lengths[live])], self.lengths[live]
+        ids, lengths = self.of(live)
         self.old, self.new = dict(zip(self.new, range(len(live)), strict=True)), {}
-        self.ids, self.lengths, self.starts = ids, lengths, np.cumsum(lengths, dtype=np.int64) - lengths
-        self.n_words, self.n_ids = len(live), len(ids)
-
-    def _add(self, ids: list[int]) -> int:
-        n, m = self.n_words, self.n_ids
-        if n == len(self.starts):
-            self.starts, self.lengths = np.resize(self.starts, 2 * n), np.resize(self.lengths, 2 * n)
-        while m + len(ids) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids) + len(ids))
-        self.starts[n], self.lengths[n] = m, len(ids)
-        self.ids[m : m + len(ids)] = ids
-        self.n_words, self.n_ids = n + 1, m + len(ids)
-        return n
+        self.ids, self.lengths = array("i", ids.tobytes()), array("i", lengths.tobytes())
+        self.starts = array("q", (np.cumsum(lengths, dtype=np.int64) - lengths).tobytes())
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after the other, and how many each has."""
+        starts, lengths = np.frombuffer(self.starts, np.int64)[numbers], np.frombuffer(self.lengths, np.int32)[numbers]
+        return np.frombuffer(self.ids, np.int32)[ranges(starts, lengths)], lengths
 
     def number(self, word: bytes) -> int:
-        """The number of a word that may be followed by white space."""
         at = self.new.get(word)
         if at is None:
             at = self.old.get(word)
             if at is None:
-                bare = word.rstrip(b" \t\n\v\f\r")
-                at = self._add(self.ids_of(bare)) if len(bare) == len(word) else self.number(bare)
+                ids = self.ids_of(word)
+                at = len(self.starts)
+                self.starts.append(len(self.ids))
+                self.lengths.append(len(ids))
+                self.ids.extend(ids)
             # What is longer than a page is not kept.
             if len(word) < 4096:
                 self.new[word] = at
         return at
 
-    def _piece(self, p: str) -> list[int]:
+    def _piece(self, p: str) -> array:
         at = self.number(p.encode())
-        return self.ids[self.starts[at] : self.starts[at] + self.lengths[at]].tolist()
+        start = self.starts[at]
+        return self.ids[start : start + self.lengths[at]]
 
     def ids_of(self, word: bytes) -> list[int]:
         s = word.decode()
         plain = s.isascii() and s.isprintable() or (max(s) < "ɐ" and min(s) > " " and "İ" not in s and "\x85" not in s and "\xa0" not in s and unicodedata.is_normalized("NFC", s))
-        if not (plain and self.by_hand) or any(t in s for t in self.special):
+        if not (plain and self.by_hand) or self.special(s):
             return self.tokenizer.encode(s, add_special_tokens=False).ids
         low = s.lower()
         if low.isalpha():
@@ -134,15 +133,16 @@ def encode_batch(texts: pa.Array, tokenizer_file: str) -> tuple[np.ndarray, np.n
     starts, first, raw = word_starts(texts)
     if not len(starts):
         return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
-    # White space after a word goes with it here, so the words lie end to end.
-    ends = np.r_[starts, len(raw)]
+    # The words' bytes end to end.
+    letter = ~SPACE[raw]
+    ends = np.r_[0, np.cumsum(np.add.reduceat(letter, starts, dtype=np.int64))]
     kind, offsets = (pa.binary(), ends.astype(np.int32)) if len(raw) < 1 << 31 else (pa.large_binary(), ends)
-    found = pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+    found = pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[letter])]).dictionary_encode()
     distinct = found.dictionary.to_pylist()
     numbers = np.fromiter(map(known.number, distinct), np.int64, len(distinct))[found.indices.to_numpy()]
-    lengths = known.lengths[numbers]
+    ids, lengths = known.of(numbers)
     before = np.r_[0, np.cumsum(lengths, dtype=np.int64)]
-    return known.ids[ranges(known.starts[numbers], lengths)], np.diff(before[first])
+    return ids, np.diff(before[first])
 
 
 def encode_text(text: str, tokenizer_file: str) -> list[int]:
