@@ -56,6 +56,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete a table that written() gave, once nothing reads it any more."""
+    spark = df.sparkSession
+    shared = shared_dir(spark).rstrip("/")
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.toUri().getPath().startswith(spark._jvm.org.apache.hadoop.fs.Path(shared).toUri().getPath() + "/"):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def documents(docs: DataFrame) -> DataFrame:
     """doc_id and text alone; null texts become empty. Other columns, of whatever name, are left out."""
     # No cast where none is needed: equal plans then share one shuffle.

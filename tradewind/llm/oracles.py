@@ -51,3 +51,60 @@ WITH v AS (
 ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+#: A round: the nearest entry of every part, then the entries anew.
+_NEAREST = """
+d{r} AS (
+    SELECT k.id, k.p, e.e, list_sum(list_transform(range(1, len(k.v) + 1), lambda i: (k.v[i] - e.v[i]) * (k.v[i] - e.v[i]))) AS d
+    FROM parts k JOIN b{r} e USING (p)
+), n{r} AS (SELECT id, p, e, d FROM (SELECT *, row_number() OVER (PARTITION BY id, p ORDER BY d, e) AS place FROM d{r}) WHERE place = 1),
+"""
+_REPLACED = """
+c{r} AS (
+    SELECT p, e, list(m ORDER BY i) AS v FROM (
+        SELECT p, e, i, (s - ((s % c) + c) % c) // c AS m FROM (
+            SELECT p, e, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS c
+            FROM (SELECT n.p, n.e, unnest(range(1, len(k.v) + 1)) AS i, unnest(k.v) AS x FROM n{r} n JOIN parts k USING (id, p)) GROUP BY p, e, i
+        )
+    ) GROUP BY p, e
+), b{n} AS (SELECT p, e, coalesce(c.v, b.v) AS v FROM b{r} b LEFT JOIN c{r} c USING (p, e)),
+"""
+
+OP11 = (
+    """
+WITH x AS (
+    SELECT row_number() OVER (ORDER BY vec_id) - 1 AS id, vec_id, label, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE """
+    + FINITE
+    + """
+), parts AS (SELECT id, p, v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4] AS v FROM x, range(4) AS t(p)),
+b0 AS (SELECT p, id AS e, v FROM parts WHERE id < 256),
+"""
+    + "".join(_NEAREST.format(r=r) + _REPLACED.format(r=r, n=r + 1) for r in range(4))
+    + _NEAREST.format(r=4)
+    + """
+digest AS (
+    SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256
+    FROM (SELECT p, e, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS c FROM b4)
+), rows AS (SELECT id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM n4 GROUP BY id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM rows JOIN x USING (id), digest
+"""
+)
+
+OP13 = (
+    """
+WITH RECURSIVE v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+    WHERE """
+    + FINITE
+    + """ AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v) AND list_cosine_similarity(x.v, y.v) >= 0.95),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, x.b FROM reach r JOIN links x ON r.b = x.a),
+least_of AS (SELECT a, min(b) AS b FROM reach GROUP BY a), counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(least_of.b, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(least_of.b, vec_id)) AS kept
+FROM embeddings LEFT JOIN least_of ON least_of.a = vec_id LEFT JOIN counts ON counts.a = vec_id
+"""
+)

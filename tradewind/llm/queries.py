@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dac, fingerprint, mixing, ngram_join, oracles, pii, quality, substring_dedup, topk, toxicity
+from . import bpe, dac, fingerprint, mixing, near_vectors, ngram_join, oracles, pii, quality, substring_dedup, topk, toxicity, vector_codes, whitening
 from .common import read
 
 
@@ -55,13 +55,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(read(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     all_of_them = (
         op1_personal_data, op2_byte_bpe, op3_ngram_join, op4_quality, op5_substring_dedup, op6_exact_top_k,
         op7_addressable_ids, op8_fingerprints, op9_source_mixing, op10_toxicity,
+        op11_vector_codes, op12_whitening, op13_near_vectors,
     )
     return {f.__name__: f for f in all_of_them}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": oracles.OP3, "op5_substring_dedup": oracles.OP5, "op6_exact_top_k": oracles.OP6}
+    return {"op3_ngram_join": oracles.OP3, "op5_substring_dedup": oracles.OP5, "op6_exact_top_k": oracles.OP6, "op11_vector_codes": oracles.OP11, "op13_near_vectors": oracles.OP13}
