@@ -1,8 +1,10 @@
 """Embedding near-duplicates: iterative quantisation, multi-index Hamming tables, then the original vectors.
 
-A rotation is learnt on a bounded sample of the distinct vectors (unit length, centred): principal axes, then rounds that
-turn the axes so that the signs of the turned vectors fit them best. Signs are a code's bits; where more bits are wanted
-than there are dimensions, further rotations are learnt from other starts. A code is cut into TABLES pieces of BITS bits,
+A rotation is learnt on a bounded sample of the distinct vectors (of unit length): principal axes, then rounds that turn
+the axes so that the signs of the turned vectors fit them best. Signs are a code's bits. The vectors aren't centred: the
+share of bits in which two differ then tells their angle even where all vectors point one way. Where more bits are wanted
+than there are dimensions, further rotations are learnt from other starts; with fewer dimensions than a table has bits,
+these are random, as the best rotation would come again and a table would hold each bit several times. A code is cut into TABLES pieces of BITS bits,
 one for each Hamming table. In its table, a vector is at home under its own piece and a guest under each piece that
 differs from it in some of its FLIPS most doubtful bits (the smallest turned components), so a pair meets in a table if
 all bits in which the two differ are doubtful ones of either. For two vectors of independent directions with a cosine of
@@ -43,14 +45,13 @@ BLOCK, PAIRS = 1024, 1 << 18
 
 @dataclass
 class Codes:
-    """Maps unit vectors of a width to codes: mean, and rotations side by side."""
+    """Maps unit vectors of a width to codes by rotations side by side."""
 
-    mean: np.ndarray
     turn: np.ndarray
 
     def of(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each vector and table, the code's piece, and a mask of its most doubtful bits."""
-        turned = ((unit - self.mean) @ self.turn).reshape(len(unit), TABLES, BITS)
+        turned = (unit @ self.turn).reshape(len(unit), TABLES, BITS)
         powers = np.int64(1) << np.arange(BITS)
         doubtful = np.argsort(np.abs(turned), axis=2, kind="stable")[:, :, :FLIPS]
         return (turned > 0) @ powers, powers[doubtful].sum(2)
@@ -66,19 +67,17 @@ def unit(x: np.ndarray) -> np.ndarray:
 def learn(x: np.ndarray, seed: int = 7) -> Codes:
     """Rotations by iterative quantisation of the unit vectors x."""
     rng = np.random.default_rng(seed)
-    mean = x.mean(0)
-    x = x - mean
     _, axes = np.linalg.eigh(x.T @ x)
     axes = axes[:, ::-1][:, : TABLES * BITS]
     v, m = x @ axes, axes.shape[1]
     turns = []
     while len(turns) * m < TABLES * BITS:
         turn, _ = np.linalg.qr(rng.standard_normal((m, m)))
-        for _ in range(LEARNING):
+        for _ in range(LEARNING if m >= BITS or not turns else 0):
             left, _, right = np.linalg.svd(np.sign(v @ turn).T @ v)
             turn = (left @ right).T
         turns.append(axes @ turn)
-    return Codes(mean, np.concatenate(turns, 1)[:, : TABLES * BITS])
+    return Codes(np.concatenate(turns, 1)[:, : TABLES * BITS])
 
 
 def _coded(classes: DataFrame, model: Codes, width: int) -> DataFrame:
