@@ -1,31 +1,37 @@
 """Exact positions within groups, without a task for each group.
 
 A window over a group sends the whole group to one task. Here rows are sorted over range partitions of group and order,
-so a large group lies over many tasks; each partition says how many rows of each group it begins and ends with (partitions
-times two numbers at most, for the groups inside a partition start and end there), these counts are summed up along the
-partitions, and each row's position is its place in its partition plus what lies before it. The sort's range bounds come
-from Spark's sampling; positions don't depend on them, as ties are broken by the whole order."""
+so a large group lies over many tasks; the sorted rows are checkpointed with their partition's number, as the ranges come
+from sampling and would differ if they were made again. Each partition then says how many rows of each group it has; for
+the groups that lie over several (fewer than there are partitions) these counts are summed up along the partitions, and
+each row's position is its place in its partition plus what lies before."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 
 def numbered(rows: DataFrame, by: list[str], order: list[Column], name: str = "position") -> DataFrame:
     """rows with their position (from 1) within each group in this order; rows in equal places get positions in any order,
     so let the order tell all rows apart. by may be empty: one group."""
-    # Sorted rows are read twice, so the partitions must be the same both times: the plan is the same, and Spark reuses
-    # its exchange.
-    keys = [F.col(c) for c in by]
-    ranged = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order) if by else rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = ranged.withColumn("_part", F.spark_partition_id())
+    spark, keys = rows.sparkSession, [F.col(c) for c in by]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
+    placed = checkpointed(ranged.withColumns({"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()}))
     counts = placed.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("_n"))
-    # A group's parts are as many as the partitions it lies over.
-    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).filter("_before > 0").drop("_n")
-    inside = Window.partitionBy("_part", *by).orderBy(*order)
-    joined = placed.withColumn("_inside", F.row_number().over(inside)).join(F.broadcast(offsets.select(F.col("_part").alias("_p"), *(F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)), "_before")), (F.col("_part") == F.col("_p")) & _same(by), "left")
+    # As many rows as a group lies over partitions.
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_before", F.sum("_n").over(before)).filter("_before > 0")
+    offsets = offsets.select(F.col("_part").alias("_p"), *(F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)), "_before")
+    if by:
+        inside = F.row_number().over(Window.partitionBy("_part", *by).orderBy("_id"))
+    else:
+        # Ids count the rows of a partition in their lower 33 bits.
+        inside = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    joined = placed.withColumn("_inside", inside).join(F.broadcast(offsets), (F.col("_part") == F.col("_p")) & _same(by), "left")
     return joined.withColumn(name, (F.col("_inside") + F.coalesce("_before", F.lit(0))).cast("long")).select(*rows.columns, name)
 
 
@@ -34,3 +40,11 @@ def _same(by: list[str]) -> Column:
     for i, c in enumerate(by):
         out = out & F.col(c).eqNullSafe(F.col(f"_by_{i}"))
     return out
+
+
+def dealt(rows: DataFrame, by: str, order: list[Column], patterns: dict[str, list[str]], name: str = "split") -> DataFrame:
+    """rows with position and what their group's pattern deals them by position, over and over; a group without a pattern
+    gets null."""
+    deal = F.create_map(*(x for group, pattern in patterns.items() for x in (F.lit(group), F.array(*map(F.lit, pattern)))))
+    own = F.try_element_at(deal, F.col(by))
+    return numbered(rows, [by], order).withColumn(name, F.get(own, F.pmod(F.col("position") - 1, F.size(own)).cast("int")))
