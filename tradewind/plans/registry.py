@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import reports as r
 from ..sources.testdata import Star
-from . import more, questions, texts
+from . import more, questions, reviews, texts
 from .oracles_shop import ORACLES as SHOP
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,8 +36,8 @@ SHOP_QUERIES: dict[str, Query] = {
 
 
 def queries() -> dict[str, Query]:
-    return SHOP_QUERIES | more.QUERIES | questions.QUERIES | texts.QUERIES
+    return SHOP_QUERIES | more.QUERIES | questions.QUERIES | texts.QUERIES | reviews.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return SHOP | more.ORACLES | questions.ORACLES | texts.ORACLES
+    return SHOP | more.ORACLES | questions.ORACLES | texts.ORACLES | reviews.ORACLES
