@@ -24,9 +24,14 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+#: Fixed: what separates the words of a match form.
+SEPARATORS = r"[^a-z0-9_/%.-]+"
+
+
 def match_form(text: Column) -> Column:
     """What questions and texts are matched by: folded letters, digits and _/%.- only."""
-    return squeeze(F.regexp_replace(fold(F.coalesce(text, F.lit(""))), r"[^a-z0-9_/%.-]+", " "))
+    # White space is a separator too, so runs of it are single spaces already.
+    return F.trim(F.regexp_replace(fold(F.coalesce(text, F.lit(""))), SEPARATORS, " "))
 
 
 def header_form(text: Column) -> Column:
@@ -36,15 +41,19 @@ def header_form(text: Column) -> Column:
 
 def unigrams(text: Column) -> Column:
     """The words of a text's match form."""
-    form = match_form(text)
-    return F.when(form == "", F.array().cast("array<string>")).otherwise(F.split(form, " "))
+    return F.array_remove(F.split(fold(F.coalesce(text, F.lit(""))), SEPARATORS), "")
+
+
+def pairs(words: Column) -> Column:
+    """Neighbouring words joined by an underscore."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit("_"), b))
 
 
 def with_bigrams(text: Column) -> Column:
     """The words of a text's match form, n of them, and the n - 1 pairs of neighbours, joined by an underscore."""
-    pairs = F.regexp_extract_all(match_form(text), F.lit(r"(?<!\S)(?=(\S+ \S+))"), F.lit(1))
-    joined = F.when(F.size(pairs) > 0, F.split(F.translate(F.array_join(pairs, "\n"), " ", "_"), "\n")).otherwise(F.array().cast("array<string>"))
-    return F.concat(unigrams(text), joined)
+    words = unigrams(text)
+    return F.concat(words, pairs(words))
 
 
 def clean_text(text: Column) -> Column:

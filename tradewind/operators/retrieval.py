@@ -1,21 +1,25 @@
 """Retrieval: BM25 over an inverted table, exact dense scores, their fusion, and context windows.
 
-Terms are the words of a text's match form and their pairs. They are joined with the queries' terms before they are
-counted, so only matching postings are shuffled.
-Scores are sums of decimals, so that they don't depend on the order of summing."""
+A text is cut into words once. Words and pairs of neighbours leave it as rows, and those that no query asks for go before
+anything is counted or shuffled; one marker row for each text brings its length along, so that the corpus' statistics come
+from the same pass. Queries may be limited to groups of texts: their terms are then joined with postings by term and
+group, so that no posting of another group is scored. Scores are sums of decimals, so that they don't depend on the order
+of summing."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import unigrams, with_bigrams
+from ..functions.text import pairs, unigrams, with_bigrams
 
 K1, B = 1.5, 0.75
 CANDIDATES, FINAL = 30, 10
 VECTOR_WEIGHT, BM25_WEIGHT, BOTH_BONUS = 0.62, 0.38, 0.05
-#: Bytes of query terms that are sent to every executor at most.
+#: Query terms that are sent to every executor at most; more are shuffled.
 MOST_BROADCAST_ROWS = 200_000
+#: Stands for a text among its terms; no term has a space.
+TEXT = " text"
 
 
 #: Query vectors that are sent to every executor at once.
@@ -42,31 +46,61 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
 def term_stats(docs: DataFrame) -> DataFrame:
     """term, df, idf."""
     n = docs.agg(F.count("*").alias("n_docs"))
-    df = docs.select("doc_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    words = docs.select("doc_id", unigrams(F.col("text")).alias("w"))
+    df = words.select("doc_id", F.explode(F.array_distinct(F.concat("w", pairs(F.col("w"))))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     return df.crossJoin(F.broadcast(n)).select("term", "df", F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """query_id, rank, doc_id, score. docs: doc_id, text. queries: query_id, question. A repeated query term counts twice."""
+def postings(docs: DataFrame, asked: DataFrame, few: bool, *kept: str) -> DataFrame:
+    """doc_id, kept columns, length, term, tf for the terms asked for, and one row with TEXT for each document."""
+    cut = spread(docs).select("doc_id", *kept, unigrams(F.col("text")).alias("w"))
+    length = F.greatest(2 * F.size("w") - 1, F.lit(0)).cast("long")
+    # Each word with its right neighbour; a text without words keeps one row of nulls.
+    words = cut.select("doc_id", *kept, length.alias("length"), F.posexplode_outer(F.arrays_zip(F.col("w").alias("w"), F.slice("w", F.lit(2), F.size("w")).alias("next"))).alias("at", "x"))
+    pair = F.when(F.col("x.next").isNotNull(), F.concat("x.w", F.lit("_"), "x.next"))
+    mark = F.when(F.coalesce("at", F.lit(0)) == 0, TEXT)
+    terms_of = words.select("doc_id", *kept, "length", F.explode(F.array(F.col("x.w"), pair, mark)).alias("term")).filter("term is not null")
+    wanted = asked.unionByName(asked.sparkSession.createDataFrame([(TEXT,)], "term string"))
+    return terms_of.join(F.broadcast(wanted) if few else wanted, "term", "left_semi").groupBy("doc_id", *kept, "length", "term").agg(F.count("*").alias("tf"))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, groups: DataFrame | None = None) -> DataFrame:
+    """query_id, rank, doc_id, score. docs: doc_id, text, with groups also source. queries: query_id, question. A repeated
+    query term counts twice. groups: query_id, source, the groups that a query is limited to; queries with none, or with
+    none that any document has, look at all documents. Statistics are those of all documents."""
     q = queries.select("query_id", F.explode(terms(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     asked = q.select("term").distinct()
     few = asked.count() <= MOST_BROADCAST_ROWS
-    docs = spread(docs.select("doc_id", "text"))
-    # Lengths are those of the arrays, so that a text is cut once for its postings and its length.
-    d = docs.select("doc_id", terms(F.col("text")).alias("t")).withColumn("length", F.size("t").cast("long"))
-    postings = d.select("doc_id", "length", F.explode("t").alias("term")).join(F.broadcast(asked) if few else asked, "term", "left_semi")
-    tf = postings.groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(docs)
-    weighted = tf.join(df, "term").crossJoin(F.broadcast(stats))
+    kept = ["source"] if groups is not None else []
+    tf = postings(docs.select("doc_id", "text", *kept), asked, few, *kept)
+    text = F.col("term") == TEXT
+    # Both read the counts as a whole, so that they share one shuffle.
+    stats = tf.filter(text).agg(F.sum("tf").alias("n_docs"), F.greatest(F.sum("length").cast("double") / F.sum("tf"), F.lit(1.0)).alias("avg_length"))
+    df = tf.filter(~text).groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    weighted = tf.filter(~text).join(df, "term").crossJoin(F.broadcast(stats))
     idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length"))
     weight = (idf * F.col("tf") * (K1 + 1) / norm).cast("decimal(20,12)")
-    hits = weighted.select("term", "doc_id", weight.alias("w")).join(F.broadcast(q) if few else q, "term")
+    scores = weighted.select("term", "doc_id", *kept, weight.alias("w"))
+    sent = F.broadcast if few else (lambda x: x)
+    if groups is None:
+        hits = scores.join(sent(q), "term")
+    else:
+        limited = limits(docs, groups)
+        free = q.join(F.broadcast(limited.select("query_id").distinct()), "query_id", "left_anti")
+        own = q.join(F.broadcast(limited), "query_id")
+        hits = scores.join(sent(free), "term").drop("source").unionByName(scores.join(sent(own), ["term", "source"]).drop("source"))
     scored = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qtf").cast("decimal(7,0)")).cast("decimal(18,6)").alias("score"))
     return ranked(scored, k)
 
 
+def limits(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """query_id, source: a query's groups; those of a query go if no document is in any of them."""
+    there = docs.select("source").distinct()
+    met = groups.join(there, "source", "left_semi").select("query_id").distinct()
+    return groups.select("query_id", "source").distinct().join(met, "query_id", "left_semi")
+
+
 def ranked(scored: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return scored.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
@@ -80,19 +114,25 @@ def length(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
+def dense(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES, groups: DataFrame | None = None) -> DataFrame:
     """query_id, rank, doc_id, score: cosine similarity clamped to [0, 1] (0 for vectors without length), all candidates scored.
 
-    vectors: doc_id, vector. queries: query_id, vector: a stated set, sent to every executor in batches of VECTOR_BATCH."""
+    vectors: doc_id, vector, with groups also source. queries: query_id, vector: a stated set, sent to every executor in
+    batches of VECTOR_BATCH. groups: as for bm25; a vector of another group is not scored."""
     q = queries.select("query_id", F.col("vector").alias("qv"), length(F.col("vector")).alias("ql"))
-    v = spread(vectors).select("doc_id", "vector", length(F.col("vector")).alias("vl"))
+    kept, met = ["doc_id", "vector"], F.lit(True)
+    if groups is not None:
+        own = limits(vectors, groups).groupBy("query_id").agg(F.collect_set("source").alias("sources"))
+        q, met, kept = q.join(own, "query_id", "left"), F.col("sources").isNull() | F.array_contains("sources", F.col("source")), [*kept, "source"]
+    v = spread(vectors.select(*kept)).withColumn("vl", length(F.col("vector")))
     batches = max(1, -(-queries.count() // VECTOR_BATCH))
     cosine = F.coalesce(F.try_divide(dot(F.col("vector"), F.col("qv")), F.col("vl") * F.col("ql")), F.lit(0.0))
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine)).cast("decimal(18,6)")
     out = None
     for n in range(batches):
         batch = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(batches)) == n) if batches > 1 else q
-        part = ranked(v.crossJoin(F.broadcast(batch)).select("query_id", "doc_id", score.alias("score")), k)
+        both = v.crossJoin(F.broadcast(batch)) if groups is None else v.join(F.broadcast(batch), met)
+        part = ranked(both.select("query_id", "doc_id", score.alias("score")), k)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -104,13 +144,23 @@ def min_max(score: Column, by: str = "query_id") -> Column:
     return F.when(F.abs(high - low) <= F.greatest(F.abs(high), F.abs(low)) * 1e-9, 1.0).otherwise((score - low) / F.nullif(high - low, F.lit(0.0)))
 
 
-def fused(dense_hits: DataFrame, bm25_hits: DataFrame, k: int = FINAL) -> DataFrame:
-    """query_id, rank, doc_id, score, vector_rank, bm25_rank: both candidate lists by weight, with a bonus for being in both."""
-    side = lambda df, p: df.select("query_id", "doc_id", F.col("rank").alias(f"{p}_rank"), min_max(F.col("score").cast("double")).alias(f"{p}_norm"))
+def candidates(dense_hits: DataFrame, bm25_hits: DataFrame) -> DataFrame:
+    """query_id, doc_id, vector_rank, bm25_rank, vector_score, bm25_score, base: both candidate lists by weight, with a
+    bonus for being in both."""
+    side = lambda df, p: df.select("query_id", "doc_id", F.col("rank").alias(f"{p}_rank"), F.col("score").alias(f"{p}_score"), min_max(F.col("score").cast("double")).alias(f"{p}_norm"))
     both = side(dense_hits, "vector").join(side(bm25_hits, "bm25"), ["query_id", "doc_id"], "full")
     bonus = F.when(F.col("vector_rank").isNotNull() & F.col("bm25_rank").isNotNull(), BOTH_BONUS).otherwise(0.0)
-    score = VECTOR_WEIGHT * F.coalesce("vector_norm", F.lit(0.0)) + BM25_WEIGHT * F.coalesce("bm25_norm", F.lit(0.0)) + bonus
-    scored = both.withColumn("score", score.cast("decimal(18,6)"))
+    base = VECTOR_WEIGHT * F.coalesce("vector_norm", F.lit(0.0)) + BM25_WEIGHT * F.coalesce("bm25_norm", F.lit(0.0)) + bonus
+    return both.select("query_id", "doc_id", "vector_rank", "bm25_rank", "vector_score", "bm25_score", base.alias("base"))
+
+
+def fused(dense_hits: DataFrame, bm25_hits: DataFrame, k: int = FINAL, bonus: DataFrame | None = None) -> DataFrame:
+    """query_id, rank, doc_id, score, vector_rank, bm25_rank: the best of both candidate lists. bonus: query_id, doc_id,
+    bonus of candidates, added before they are ranked."""
+    both = candidates(dense_hits, bm25_hits)
+    if bonus is not None:
+        both = both.join(bonus, ["query_id", "doc_id"], "left").withColumn("base", F.col("base") + F.coalesce(F.col("bonus").cast("double"), F.lit(0.0)))
+    scored = both.withColumn("score", F.col("base").cast("decimal(18,6)"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")).cast("long")
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score", "vector_rank", "bm25_rank")
 

@@ -5,7 +5,7 @@ phrases, and leaves one bit for each group of phrases it holds one of. Rules are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -43,10 +43,17 @@ class Test:
     def groups(self) -> list[Test]:
         return [self] if self.kind == "any" else [g for p in self.parts for g in p.groups()]
 
+    def over(self, name: dict[Test, str]) -> Column:
+        """The test where each group of phrases has been looked for and has a boolean column."""
+        return self._column(lambda group: F.col(name[group]))
+
     def column(self, bit: dict[Test, int]) -> Column:
+        """The test over bits()."""
+        return self._column(lambda group: F.col("_bits")[bit[group] // BITS].bitwiseAND(F.lit(1 << (bit[group] % BITS))) != 0)
+
+    def _column(self, held: Callable[[Test], Column]) -> Column:
         if self.kind == "any":
-            word, place = divmod(bit[self], BITS)
-            return F.col("_bits")[word].bitwiseAND(F.lit(1 << place)) != 0
+            return held(self)
         if self.kind == "is":
             return F.regexp_replace(F.col(self.view), r"^[ .]+|[ .]+$", "").isin(list(self.phrases))
         if self.kind == "topic":
@@ -55,7 +62,7 @@ class Test:
             return reduce(Column.__or__, (F.col(self.view).rlike(p) for p in self.phrases))
         if self.kind == "flag":
             return F.col(self.view)
-        parts = [p.column(bit) for p in self.parts]
+        parts = [p._column(held) for p in self.parts]
         return ~parts[0] if self.kind == "no" else reduce(Column.__and__ if self.kind == "all" else Column.__or__, parts)
 
 
@@ -67,8 +74,8 @@ def holds_all(*phrases: str, view: str = "form") -> Test:
     return reduce(Test.__and__, (holds(p, view=view) for p in phrases))
 
 
-def equals(*phrases: str) -> Test:
-    return Test("is", phrases)
+def equals(*phrases: str, view: str = "form") -> Test:
+    return Test("is", phrases, view=view)
 
 
 def topic(*names: str) -> Test:
