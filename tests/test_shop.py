@@ -94,14 +94,6 @@ def test_text(spark):
     assert r[2].n == ["12", "3", "12_3"]
 
 
-def test_plans(spark):
-    rows = [(1, "Doanh thu tháng 8 là bao nhiêu?"), (2, "Chính sách hoàn tiền"), (3, "Thời tiết hôm nay"), (4, "GMV tháng 13 và chính sách phí, tính tỷ lệ"), (5, "tồn kho tháng 12 năm 2025")]
-    got = {r.id: (r.period, r.tools, r.intent) for r in planner.plans(spark.createDataFrame(rows, "id int, question string")).collect()}
-    assert got[1] == ("2026-08", ["shop_data"], "shop_analytics")
-    assert got[2][1:] == (["rag"], "policy_rag") and got[3][1:] == ([], "out_of_scope")
-    assert got[4] == (None, ["rag", "shop_data", "calculator"], "combined") and got[5][0] == "2025-12"
-
-
 def test_budget_skips_and_goes_on(spark):
     rows = [(1, 1, "a" * 40), (1, 2, "b" * 90), (1, 3, "c" * 40), (1, 4, "a" * 40), (1, 5, "d" * 20), (1, 6, "e" * 1)]
     df = spark.createDataFrame(rows, "q int, place long, text string")

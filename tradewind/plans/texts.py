@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import html_to_text
-from ..operators import evidence, lines, ordinals
+from ..operators import evidence, followups, lines, ordinals
+from ..sources.questions import QUESTIONS_SQL, questions
 from ..sources.testdata import Star
 from .more import ORACLES as MORE
 from .more import _clean
+from .questions import form_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -96,3 +98,24 @@ ORACLES = {
     + " END AS split FROM n",
     "wn01_positions_of_all": "SELECT l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS position FROM lineitem",
 }
+
+
+def follow_ups(s: Star) -> DataFrame:
+    """Questions made of the user's turns; every fifth asks the same as the one before."""
+    q = questions(s.raw("conversations"))
+    again = F.when(F.col("turn") % 4 == 2, F.concat(F.lit("Nó dùng để làm gì "), F.col("conv_id").cast("string"))).when(F.col("turn") % 8 == 4, F.concat(F.lit("NÓ dùng để làm gì? "), F.col("conv_id").cast("string"))).otherwise(F.col("question"))
+    return followups.batch(q.select("conv_id", "turn", "role", again.alias("text")))
+
+
+QUERIES["pl04_follow_ups"] = _of(follow_ups)
+
+_LEANS = " OR ".join(f"form = '{m.strip()}' OR starts_with(form, '{m}') OR contains(form, '{m.strip()}')" for m in followups.MARKERS)
+_INTENT = " ".join(
+    f"WHEN previous <> '' AND ({' OR '.join(f'contains(form, {p!r})' for p in phrases)}) THEN '{followups.BASED_ON}' || previous || '. {followups.REQUESTS[intent]} {followups.NOW}' || question" for intent, phrases in followups.INTENTS.items()
+)
+ORACLES["pl04_follow_ups"] = f"""WITH {QUESTIONS_SQL}, t AS (SELECT conv_id, turn, role, CASE WHEN turn % 4 = 2 THEN 'Nó dùng để làm gì ' || conv_id WHEN turn % 8 = 4 THEN 'NÓ dùng để làm gì? ' || conv_id ELSE question END AS text FROM qs),
+    u AS (SELECT conv_id, turn, coalesce(text, '') AS question, lag(text) OVER w AS previous, lag(turn) OVER w AS since FROM t WHERE role = 'user' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    a AS (SELECT u.conv_id, u.turn, arg_max(t.text, t.turn) AS last_answer FROM u JOIN t ON t.conv_id = u.conv_id AND t.role = 'assistant' AND t.turn > since AND t.turn < u.turn GROUP BY ALL),
+    f AS (SELECT u.*, last_answer, {form_sql("question")} AS form, {form_sql("previous")} AS before FROM u LEFT JOIN a USING (conv_id, turn))
+    SELECT conv_id, turn, question, previous, last_answer, CASE WHEN previous IS NOT NULL AND len(string_split(form, ' ')) <= 10 AND ({_LEANS}) THEN '{followups.PREVIOUS}' || previous || chr(10) || '{followups.NEXT}' || question ELSE question END AS resolved,
+    CASE {_INTENT} ELSE question END AS query, CASE WHEN previous <> '' AND coalesce(last_answer, '') <> '' AND form = before THEN last_answer END AS repeat_answer FROM f"""
