@@ -57,7 +57,7 @@ def test_missing_tables(spark, shop, tmp_path):
 
 def test_validation(spark):
     names = "movement_id,movement_date,sku,movement_type,quantity,reference,note"
-    rows = [(2, "m1", "2026-08-01", "A", "inbound", "3", "r", "n"), (3, "m2", "2026-13-01", "A", "inbound", "3", "r", "n"), (4, "m3", "2026-08-01", "A", "lost", "3", "r", "n"), (5, "m4", "2026-08-01", " ", "inbound", "-1", "r", "n")]
+    rows = [(2, "m1", "2026-08-01", "A", "inbound", "3", "r", "n"), (3, "m2", "2026-13-01", "A", "inbound", "3", "r", "n"), (4, "m3", "2026-08-01", "A", "lost", "-3", "r", "n"), (5, "m4", "2026-08-01", " ", "inbound", "-1", "r", "n")]
     df = spark.createDataFrame(rows, "_row int, " + ", ".join(f"{c} string" for c in names.split(",")))
     found = {r.row: r.reason for r in ingest.errors(df, "inventory_movements").collect()}
     assert set(found) == {3, 4, 5} and found[3] == "movement_date: not a value of its type" and found[5] == "sku: blank"

@@ -19,8 +19,8 @@ STATUS = {
     "hoan_tat": "completed", "hoan_thanh": "completed", "da_hoan_thanh": "completed", "completed": "completed", "huy": "cancelled", "da_huy": "cancelled", "cancelled": "cancelled",
     "canceled": "cancelled", "da_nhan": "received", "received": "received", "da_xac_nhan": "confirmed", "confirmed": "confirmed", "dang_xem_xet": "under_review", "under_review": "under_review",
 }
-DIRECTION = {"thu": "thu", "thu_vao": "thu", "in": "thu", "chi": "chi", "chi_ra": "chi", "out": "chi"}
-MOVEMENT = {"nhap": "inbound", "nhap_kho": "inbound", "inbound": "inbound", "xuat": "outbound", "xuat_kho": "outbound", "outbound": "outbound", "hong": "damaged", "damaged": "damaged"}
+DIRECTION = {"tien_thu": "thu", "thu": "thu", "tien_chi": "chi", "chi": "chi"}
+MOVEMENT = {"nhap_kho": "Nhập kho", "ban_ra": "Bán ra", "hang_loi_huy": "Hàng lỗi/hủy"}
 TRUE, FALSE = ("co", "yes", "true", "1"), ("khong", "no", "false", "0")
 MOST_BYTES = 10 * 1024 * 1024
 
@@ -91,30 +91,38 @@ def not_blank(df: DataFrame) -> DataFrame:
 def prepare(df: DataFrame, table: str, aliases: Mapping[str, str] | None = None) -> DataFrame:
     """The table with mapped headers and values, still as strings, other columns dropped."""
     df = not_blank(mapped_headers(df, table, aliases).select(*TABLES[table]))
-    by_column = {("orders", "status"): STATUS, ("purchase_orders", "status"): STATUS, ("shipping_performance", "status"): STATUS, ("cash_flow", "direction"): DIRECTION, ("inventory_movements", "movement_type"): MOVEMENT}
-    return df.select(*((aliased(F.col(c), by_column[table, c]) if (table, c) in by_column else F.trim(c)).alias(c) for c in TABLES[table]))
-
-
-#: Fixed rules beyond types: what must hold of a typed row.
+    by_column = {"status": STATUS} | {"cash_flow": {"direction": DIRECTION}, "inventory_movements": {"movement_type": MOVEMENT}}.get(table, {})
+    return df.select(*((aliased(F.col(c), by_column[c]) if c in by_column else F.trim(c)).alias(c) for c in TABLES[table]))
+
+
+#: Fixed: columns that can't be below 0, table by table. Other money may be: corrections are.
+NOT_NEGATIVE: dict[str, tuple[str, ...]] = {
+    "orders": ("quantity",), "inventory": ("on_hand", "reserved", "reorder_point"), "purchase_orders": ("quantity",), "returns": ("quantity",), "operating_costs": ("amount_vnd",),
+    "inventory_movements": ("quantity",), "quality_checks": ("inspected_quantity", "defective_quantity"), "cash_flow": ("amount_vnd",), "supplier_performance": ("average_lead_time_days", "order_count"),
+    "customer_segments": ("customer_count", "order_count", "repeat_order_count"), "product_funnel": ("views", "add_to_cart_count", "order_count"), "co_purchase": ("joint_order_count",),
+    "price_promotions": ("list_price_vnd", "final_price_vnd", "seller_discount_vnd"),
+    "ads_sku_daily": ("impressions", "clicks", "add_to_cart_count", "attributed_orders", "spend_vnd", "attributed_revenue_vnd"), "inventory_batches": ("available_units", "unit_cost_vnd"),
+    "search_performance": ("impressions", "clicks"), "shipping_performance": ("processing_hours",), "settlements": ("marketplace_payable_vnd", "actual_fee_vnd", "received_amount_vnd"),
+    "competitor_catalog": ("price_vnd", "review_count", "estimated_monthly_units"),
+}
+#: Fixed: what else must hold of a typed row.
 RULES: dict[str, list[str]] = {
-    "reviews": ["rating between 1 and 5"], "quality_checks": ["defective_quantity <= inspected_quantity"], "cash_flow": ["direction in ('thu', 'chi')"],
-    "supplier_performance": ["on_time_delivery_rate_percent between 0 and 100", "defect_rate_percent between 0 and 100", "average_lead_time_days >= 0"],
+    "reviews": ["rating between 1 and 5"], "quality_checks": ["defective_quantity <= inspected_quantity"], "cash_flow": ["lower(direction) in ('thu', 'chi')"],
+    "supplier_performance": ["on_time_delivery_rate_percent between 0 and 100", "defect_rate_percent between 0 and 100"],
     "product_funnel": ["order_count <= add_to_cart_count", "add_to_cart_count <= views"], "co_purchase": ["sku <> paired_sku"], "price_promotions": ["final_price_vnd <= list_price_vnd"],
     "ads_sku_daily": ["attributed_orders <= add_to_cart_count", "add_to_cart_count <= clicks", "clicks <= impressions"], "search_performance": ["clicks <= impressions", "average_position > 0"],
-    "inventory_movements": ["movement_type in ('inbound', 'outbound', 'damaged')"], "shipping_performance": ["processing_hours >= 0"], "competitor_catalog": ["rating between 0 and 5"],
-    "customer_segments": ["repeat_order_count <= order_count"],
+    "competitor_catalog": ["rating between 0 and 5"],
 }
 
 
 def reason(table: str) -> Column:
-    """The first rule that a raw row breaks: a blank, a value of the wrong type, or a count or number below 0."""
+    """The first rule that a raw row breaks: a blank, a value of the wrong type, or one below 0 that can't be."""
     checks: list[tuple[Column, str]] = []
     for c, kind in TABLES[table].items():
         checks.append((F.coalesce(F.trim(c), F.lit("")) == "", f"{c}: blank"))
         if kind != "s":
             checks.append((typed(table, c).isNull(), f"{c}: not a value of its type"))
-        # Money may be below 0, as corrections are.
-        if kind in "if":
+        if c in NOT_NEGATIVE.get(table, ()):
             checks.append((typed(table, c) < 0, f"{c}: below 0"))
     return reduce(lambda out, check: F.when(check[0], F.lit(check[1])).otherwise(out), reversed(checks), F.lit(None).cast("string"))
 
@@ -145,3 +153,10 @@ def check_bundle(names: set[str]) -> None:
     missing, unknown = sorted(set(REQUIRED) - names), sorted(names - set(TABLES))
     if missing or unknown:
         raise ValueError("; ".join(x for x in (f"missing: {', '.join(missing)}" * bool(missing), f"unknown: {', '.join(unknown)}" * bool(unknown)) if x))
+
+
+def sized(files: DataFrame, most: int = MOST_BYTES) -> DataFrame:
+    """path, bytes, reason of files (path, bytes) that can't be taken: empty ones, and those over `most` bytes. Sizes come
+    from the listing, so no such file is read."""
+    reason = F.when(F.coalesce("bytes", F.lit(0)) <= 0, "empty").when(F.col("bytes") > most, "too_large")
+    return files.select("path", "bytes", reason.alias("reason")).filter("reason is not null")

@@ -13,6 +13,9 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import header_form
+from .ordinals import numbered, running
+
 Shelf = Mapping[str, DataFrame]
 
 
@@ -152,12 +155,22 @@ def operating_costs(shelf: Shelf, period: str | None = None) -> DataFrame:
     return by_label(shelf["operating_costs"].filter(in_month(period)), "cost_category", "amount_vnd", "amount", "Chưa phân loại")
 
 
+#: Fixed: the kinds of stock movements that a summary names, and what one without a kind is called.
+MOVEMENTS, NO_MOVEMENT = {"inbound": "nhập kho", "outbound": "bán ra", "damaged": "hàng lỗi/hủy"}, "chưa phân loại"
+
+
 def inventory_movements(shelf: Shelf, period: str | None = None) -> DataFrame:
     kind = F.lower(F.trim("movement_type"))
-    of = lambda k: F.coalesce(F.sum(F.when(kind == k, F.col("quantity"))), F.lit(0)).cast("long").alias(k)
+    of = lambda k: F.coalesce(F.sum(F.when(kind == MOVEMENTS[k], F.col("quantity"))), F.lit(0)).cast("long").alias(k)
     return shelf["inventory_movements"].filter(in_period("movement_date", period)).agg(F.count("*").alias("movement_count"), of("inbound"), of("outbound"), of("damaged"))
 
 
+def movements_by_type(shelf: Shelf, period: str | None = None) -> DataFrame:
+    kind = F.coalesce(F.nullif(F.lower(F.trim("movement_type")), F.lit("")), F.lit(NO_MOVEMENT))
+    m = shelf["inventory_movements"].filter(in_period("movement_date", period)).groupBy(kind.alias("movement_type")).agg(F.sum("quantity").cast("long").alias("units"))
+    return m.orderBy(F.desc("units"), "movement_type")
+
+
 def quality_summary(shelf: Shelf, period: str | None = None) -> DataFrame:
     q = shelf["quality_checks"].filter(in_period("check_date", period)).agg(F.count("*").alias("check_count"), total("inspected_quantity").cast("long").alias("inspected"), total("defective_quantity").cast("long").alias("defective"))
     return q.withColumn("defect_rate_percent", ratio(F.col("defective"), F.col("inspected"), 100))
@@ -182,10 +195,12 @@ def supplier_ranking(shelf: Shelf, period: str | None = None) -> DataFrame:
     """Suppliers from best to worst, with flags for the lowest punctuality and the longest lead time."""
     s = shelf["supplier_performance"].filter(in_month(period))
     order = [F.desc("on_time_delivery_rate_percent"), F.asc("defect_rate_percent"), F.asc("average_lead_time_days"), F.asc("supplier_id")]
-    s = s.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("long"))
-    late = F.row_number().over(Window.orderBy("on_time_delivery_rate_percent", "position")) == 1
-    slow = F.row_number().over(Window.orderBy(F.desc("average_lead_time_days"), "position")) == 1
-    return s.select("position", "supplier_id", "supplier_name", "on_time_delivery_rate_percent", "defect_rate_percent", "average_lead_time_days", late.alias("least_punctual"), slow.alias("slowest"))
+    s = numbered(s, [], order)
+    best = s.agg(F.min_by("position", F.struct("on_time_delivery_rate_percent", "position")).alias("late"), F.min_by("position", F.struct(-F.col("average_lead_time_days"), F.col("position"))).alias("slow"))
+    return s.crossJoin(F.broadcast(best)).select(
+        "position", "supplier_id", "supplier_name", "on_time_delivery_rate_percent", "defect_rate_percent", "average_lead_time_days",
+        (F.col("position") == F.col("late")).alias("least_punctual"), (F.col("position") == F.col("slow")).alias("slowest"),
+    )
 
 
 def customer_retention(shelf: Shelf, period: str | None = None) -> DataFrame:
@@ -205,14 +220,22 @@ def product_funnel(shelf: Shelf, period: str | None = None) -> DataFrame:
     median = f.agg(F.percentile("views", F.lit(0.5)).alias("median_views"))
     f = f.crossJoin(F.broadcast(median))
     enough, much = F.col("views") >= 20, F.col("views") >= F.col("median_views")
-    cart = Window.partitionBy(enough).orderBy(F.coalesce("cart_to_order_percent", F.lit(0.0)), "views", "sku", "month")
-    view = Window.partitionBy(much).orderBy(F.asc_nulls_last("view_to_cart_percent"), F.desc("views"), "sku", "month")
-    return f.select(
+    # The weakest row of each kind is a smallest struct, found by partial sums; it goes back as one row.
+    row = F.struct("sku", "month")
+    cart = F.struct(F.coalesce("cart_to_order_percent", F.lit(0.0)).alias("a"), F.col("views").alias("b"), row.alias("r"))
+    view = F.struct(F.col("view_to_cart_percent").isNull().alias("n"), F.col("view_to_cart_percent").alias("a"), (-F.col("views")).alias("b"), row.alias("r"))
+    weak = f.agg(F.min(F.when(enough, cart))["r"].alias("weak_cart"), F.min(F.when(much, view))["r"].alias("weak_view"))
+    return f.crossJoin(F.broadcast(weak)).select(
         "month", "sku", "product_name", "views", F.col("add_to_cart_count").alias("carts"), F.col("order_count").alias("orders"), "view_to_cart_percent", "cart_to_order_percent", "median_views",
-        (enough & (F.row_number().over(cart) == 1)).alias("weak_cart_to_order"), (much & (F.row_number().over(view) == 1)).alias("weak_view_to_cart"),
+        F.coalesce(enough & (row == F.col("weak_cart")), F.lit(False)).alias("weak_cart_to_order"), F.coalesce(much & (row == F.col("weak_view")), F.lit(False)).alias("weak_view_to_cart"),
     )
 
 
+def funnel_totals(shelf: Shelf, period: str | None = None) -> DataFrame:
+    t = shelf["product_funnel"].filter(in_month(period)).agg(F.countDistinct("sku").alias("products"), *(total(c).cast("long").alias(n) for n, c in (("views", "views"), ("carts", "add_to_cart_count"), ("orders", "order_count"))))
+    return t.withColumns({"view_to_cart_percent": ratio(F.col("carts"), F.col("views"), 100), "cart_to_order_percent": ratio(F.col("orders"), F.col("carts"), 100)})
+
+
 def co_purchases(shelf: Shelf, period: str | None = None, top: int = 10) -> DataFrame:
     """Pairs bought together, of known products: those with stock first."""
     p = products(shelf)
@@ -254,29 +277,56 @@ def batch_ages(shelf: Shelf, as_of: date, top: int = 20) -> DataFrame:
     return b.select("batch_id", "sku", "product_name", "available_units", "age_days").orderBy(F.desc("age_days"), F.desc("available_units"), "batch_id").limit(top)
 
 
-def search_terms(shelf: Shelf, period: str | None = None) -> DataFrame:
+def _terms(shelf: Shelf, period: str | None) -> DataFrame:
     s = shelf["search_performance"].filter(in_period("date", period)).groupBy("search_term").agg(
         F.sum("impressions").cast("long").alias("impressions"), F.sum("clicks").cast("long").alias("clicks"),
         (F.sum(F.col("average_position").cast("decimal(18,4)")).cast("double") / F.count("average_position")).alias("average_position"), F.countDistinct("sku").alias("skus"),
     )
-    return s.withColumn("ctr_percent", ratio(F.col("clicks"), F.col("impressions"), 100)).orderBy(F.desc("clicks"), "search_term")
+    s = s.withColumn("ctr_percent", ratio(F.col("clicks"), F.col("impressions"), 100))
+    # Terms are compared by what a report shows: two places.
+    return s.withColumns({"_position": F.round("average_position", 2), "_ctr": F.round("ctr_percent", 2)})
+
+
+def search_terms(shelf: Shelf, period: str | None = None, top: int = 20) -> DataFrame:
+    """The terms with most clicks, then those found higher up."""
+    return _terms(shelf, period).orderBy(F.desc("clicks"), "_position", "search_term").limit(top).drop("_position", "_ctr")
 
 
 def search_leaders(shelf: Shelf, period: str | None = None) -> DataFrame:
-    """The terms with most impressions, most clicks, the best rate and the best position."""
-    s = search_terms(shelf, period)
-    first = lambda order: F.min_by("search_term", F.struct(order, F.col("search_term")))
-    return s.agg(first(-F.col("impressions")).alias("most_seen"), first(-F.col("clicks")).alias("most_clicked"), first(-F.col("ctr_percent")).alias("best_rate"), first(F.col("average_position")).alias("best_position"))
+    """The terms with most impressions, most clicks, the best rate and the best position; what settles ties differs."""
+    best = lambda pick, *order: pick("search_term", F.struct(*order))
+    term, clicks, position = F.col("search_term"), F.col("clicks"), F.col("_position")
+    return _terms(shelf, period).agg(
+        best(F.max_by, F.col("impressions"), clicks, term).alias("most_seen"), best(F.min_by, -clicks, position, term).alias("most_clicked"),
+        F.max_by("search_term", F.when(F.col("_ctr").isNotNull(), F.struct(F.col("_ctr"), clicks, -position, term))).alias("best_rate"), best(F.min_by, position, -clicks, term).alias("best_position"),
+    )
+
+
+#: Fixed: states of orders that are cancelled, and of settlements that are done, in header form; a reason that none gave.
+CANCELLED, SETTLED, NO_REASON = ("huy", "cancelled", "canceled", "da_huy"), ("da_nhan", "received", "completed", "hoan_tat"), "Chưa ghi lý do"
+
+
+def _cancelled() -> Column:
+    return F.coalesce(header_form(F.col("status")).isin(*CANCELLED), F.lit(False))
 
 
 def shipping_summary(shelf: Shelf, period: str | None = None) -> DataFrame:
-    cancelled = F.lower(F.trim("status")).isin("cancelled", "canceled")
     s = shelf["shipping_performance"].filter(in_period("order_date", period))
-    return s.agg(F.count("*").alias("order_count"), F.count_if("is_late").alias("late"), F.count_if(cancelled).alias("cancelled"), (F.sum(F.col("processing_hours").cast("decimal(18,4)")).cast("double") / F.count("processing_hours")).alias("average_hours"))
+    summary = s.agg(F.count("*").alias("order_count"), F.count_if("is_late").alias("late"), F.count_if(_cancelled()).alias("cancelled"), (F.sum(F.col("processing_hours").cast("decimal(18,4)")).cast("double") / F.count("processing_hours")).alias("average_hours"))
+    top = cancellation_reasons(shelf, period).agg(F.min_by(F.struct("reason", "orders"), F.struct(-F.col("orders"), F.col("reason"))).alias("t"))
+    return summary.crossJoin(F.broadcast(top)).select("order_count", "late", "cancelled", "average_hours", F.col("t.reason").alias("top_reason"), F.coalesce("t.orders", F.lit(0)).alias("top_reason_orders"))
+
+
+def cancellation_reasons(shelf: Shelf, period: str | None = None) -> DataFrame:
+    s = shelf["shipping_performance"].filter(in_period("order_date", period) & _cancelled())
+    reason = F.coalesce(F.nullif(F.trim("cancellation_reason"), F.lit("")), F.lit(NO_REASON))
+    return s.groupBy(reason.alias("reason")).agg(F.count("*").alias("orders")).orderBy(F.desc("orders"), "reason")
 
 
 def settlement_summary(shelf: Shelf, period: str | None = None) -> DataFrame:
-    s = shelf["settlements"].filter(in_period("settlement_date", period)).agg(F.count("*").alias("settlement_count"), total("marketplace_payable_vnd").alias("p"), total("actual_fee_vnd").alias("f"), total("received_amount_vnd").alias("r"), F.count_if(F.lower(F.trim("status")) == "pending").alias("pending"))
+    """Whatever isn't settled in so many words is pending."""
+    open_ = ~F.coalesce(header_form(F.col("status")).isin(*SETTLED), F.lit(False))
+    s = shelf["settlements"].filter(in_period("settlement_date", period)).agg(F.count("*").alias("settlement_count"), total("marketplace_payable_vnd").alias("p"), total("actual_fee_vnd").alias("f"), total("received_amount_vnd").alias("r"), F.count_if(open_).alias("pending"))
     expected = F.col("p") - F.col("f")
     return s.select("settlement_count", as_double(F.col("p")).alias("payable"), as_double(F.col("f")).alias("fees"), as_double(expected).alias("expected"), as_double(F.col("r")).alias("received"), as_double(F.col("r") - expected).alias("difference"), "pending")
 
@@ -284,13 +334,23 @@ def settlement_summary(shelf: Shelf, period: str | None = None) -> DataFrame:
 def competitor_summary(shelf: Shelf, period: str | None = None) -> DataFrame:
     """The upper median of all prices, and the true medians over listings of own products."""
     c = shelf["competitor_catalog"].filter(in_period("observed_date", period))
-    n = Window.partitionBy()
-    upper = c.select("price_vnd", F.row_number().over(Window.orderBy("price_vnd")).alias("at"), F.count("*").over(n).alias("n"))
-    upper = upper.agg(F.count("*").alias("listing_count"), F.max(F.when(F.col("at") == F.floor(F.col("n") / 2) + 1, F.col("price_vnd"))).cast("double").alias("upper_median_price"))
+    # Prices are counted before they are summed up, and the running sums lie over many tasks.
+    counts = c.groupBy("price_vnd").agg(F.count("*").alias("n"))
+    sums = running(counts, [], [F.col("price_vnd")], {"upto": F.col("n")})
+    all_of = c.agg(F.count("*").alias("listing_count"))
+    middle = F.floor(F.col("listing_count") / 2) + 1
+    upper = sums.crossJoin(F.broadcast(all_of)).agg(F.min(F.when(F.col("upto") >= middle, F.col("price_vnd"))).cast("double").alias("upper_median_price"))
     matched = c.join(products(shelf).select(F.col("sku").alias("reference_sku"), "list_price"), "reference_sku")
     median = lambda x: F.percentile(x.cast("double"), F.lit(0.5))
     m = matched.agg(F.count("*").alias("matched"), median(F.col("price_vnd")).alias("matched_median"), median(F.col("list_price")).alias("own_median"), median(F.col("price_vnd") - F.col("list_price")).alias("median_difference"))
-    return upper.crossJoin(m)
+    return all_of.crossJoin(F.broadcast(upper)).crossJoin(F.broadcast(m))
+
+
+def competitor_listings(shelf: Shelf, period: str | None = None, top: int = 20) -> DataFrame:
+    """The listings that sell most, then the better rated, then the cheaper; ties by shop and product."""
+    c = shelf["competitor_catalog"].filter(in_period("observed_date", period))
+    order = [F.desc("estimated_monthly_units"), F.desc("rating"), F.asc("price_vnd"), F.asc("competitor_shop"), F.asc("reference_sku"), F.asc("observed_date")]
+    return c.select("reference_sku", "competitor_shop", F.col("price_vnd").cast("double").alias("price"), "rating", "estimated_monthly_units", "observed_date", "price_vnd").orderBy(*order).limit(top).drop("price_vnd")
 
 
 def returns_summary(shelf: Shelf, period: str | None = None) -> DataFrame:
@@ -308,9 +368,23 @@ def review_summary(shelf: Shelf, period: str | None = None) -> DataFrame:
     return r.agg(F.count("*").alias("reviews"), ratio(F.sum("rating"), F.count("rating")).alias("average_rating"), F.count_if(F.col("rating") <= 3).alias("low_ratings"))
 
 
+#: Fixed: what a review that names no issue is about.
+NO_ISSUE = "Không nêu vấn đề"
+
+
 def review_issues(shelf: Shelf, period: str | None = None) -> DataFrame:
-    r = shelf["reviews"].filter(in_period("review_date", period)).groupBy("issue_type").agg(F.count("*").alias("reviews"), F.count_if(F.col("rating") <= 3).alias("low_ratings"))
-    return r.orderBy(F.desc("low_ratings"), F.desc("reviews"), "issue_type")
+    issue = F.coalesce(F.nullif(F.trim("issue_type"), F.lit("")), F.lit(NO_ISSUE))
+    r = shelf["reviews"].filter(in_period("review_date", period)).groupBy(issue.alias("issue_type")).agg(F.count("*").alias("reviews"), F.count_if(F.col("rating") <= 3).alias("low_ratings"))
+    return r.orderBy(F.desc("reviews"), "issue_type")
+
+
+def review_priority(shelf: Shelf, period: str | None = None) -> DataFrame:
+    """The issue that most low ratings name, and how many low ratings name none."""
+    low = shelf["reviews"].filter(in_period("review_date", period) & (F.col("rating") <= 3))
+    issue = F.coalesce(F.trim("issue_type"), F.lit(""))
+    by = low.groupBy(issue.alias("issue")).agg(F.count("*").alias("n"))
+    named_issue = F.when(F.col("issue") != "", F.struct(-F.col("n"), F.col("issue")))
+    return by.agg(F.min_by("issue", named_issue).alias("priority_issue"), F.coalesce(F.sum(F.when(F.col("issue") == "", F.col("n"))), F.lit(0)).alias("unclassified"))
 
 
 def procurement_summary(shelf: Shelf, period: str | None = None) -> DataFrame:

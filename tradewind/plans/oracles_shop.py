@@ -9,10 +9,11 @@ TABLES = {
     "sales": "SELECT l_orderkey AS order_id, order_date, l_partkey AS sku, CAST(l_quantity AS BIGINT) AS quantity, CAST(price AS DECIMAL(18,4)) AS gmv, CAST(price * CAST(l_discount AS DECIMAL(4,2)) AS DECIMAL(18,4)) AS sd, CAST(price * CAST(0.01 AS DECIMAL(4,2)) AS DECIMAL(18,4)) AS pd, CAST(price * CAST(l_tax AS DECIMAL(4,2)) AS DECIMAL(18,4)) AS tf, CAST(price * CAST(0.02 AS DECIMAL(4,2)) AS DECIMAL(18,4)) AS sf FROM lines WHERE o_orderstatus = 'F'",
     "products": "SELECT p_partkey AS sku, p_name AS product_name, CAST(CAST(p_retailprice AS DECIMAL(18,2)) * CAST(0.6 AS DECIMAL(4,2)) AS DECIMAL(18,4)) AS unit_cost, CAST(p_retailprice AS DECIMAL(18,2)) AS list_price FROM part",
     "inv": "SELECT p_partkey AS sku, p_size - p_partkey % 7 AS available, 12 AS reorder_point FROM part",
+    "why": "SELECT CASE WHEN l_linenumber = 1 THEN 'Chưa ghi lý do' ELSE o_orderpriority END AS reason, count(*) AS n FROM lines WHERE o_orderstatus = 'P' GROUP BY 1",
     "ev": "SELECT *, strftime(ts, '%Y-%m') AS month, CAST(CAST(floor(value * 100) AS DECIMAL(18,0)) / 100 AS DECIMAL(18,2)) AS cents FROM events",
     "contrib": "SELECT sku, product_name, units, g, g - d - unit_cost * units AS c FROM (SELECT sku, sum(quantity) AS units, sum(gmv) AS g, sum(sd + tf + sf) AS d FROM sales GROUP BY sku) JOIN products USING (sku)",
 }
-NEEDS = {"sales": ["lines"], "contrib": ["lines", "sales", "products"]}
+NEEDS = {"why": ["lines"], "sales": ["lines"], "contrib": ["lines", "sales", "products"]}
 
 
 def sql(body: str, *tables: str) -> str:
@@ -37,7 +38,7 @@ ORACLES = {
     "ag07_advertising_summary": sql("SELECT count(DISTINCT (month, user_id % 5)) AS campaign_count, CAST(sum(CASE WHEN event_type = 'click' THEN cents ELSE 0 END) AS DOUBLE) AS spend, CAST(sum(CASE WHEN event_type = 'purchase' THEN cents ELSE 0 END) AS DOUBLE) AS revenue, count(*) FILTER (event_type = 'purchase') AS orders, CAST(sum(CASE WHEN event_type = 'purchase' THEN cents ELSE 0 END) AS DOUBLE) / CAST(sum(CASE WHEN event_type = 'click' THEN cents ELSE 0 END) AS DOUBLE) AS roas FROM ev", "ev"),
     "ag08_profitability_summary": sql("SELECT CAST(sum(gmv - sd - tf - sf) AS DOUBLE) AS net_revenue, CAST(sum(unit_cost * quantity) AS DOUBLE) AS cogs, CAST(sum(gmv - sd - tf - sf) - sum(unit_cost * quantity) AS DOUBLE) AS contribution FROM sales JOIN products USING (sku)", "sales", "products"),
     "ag09_operating_costs": sql("SELECT event_type AS label, CAST(sum(cents) AS DOUBLE) AS amount, CAST(sum(cents) AS DOUBLE) * 100 / CAST(sum(sum(cents)) OVER () AS DOUBLE) AS share_percent FROM ev GROUP BY 1", "ev"),
-    "ag10_inventory_movements": sql("SELECT count(*) AS movement_count, CAST(coalesce(sum(l_quantity) FILTER (l_returnflag <> 'R' AND l_linestatus = 'O'), 0) AS BIGINT) AS inbound, CAST(coalesce(sum(l_quantity) FILTER (l_returnflag <> 'R' AND l_linestatus <> 'O'), 0) AS BIGINT) AS outbound, CAST(coalesce(sum(l_quantity) FILTER (l_returnflag = 'R'), 0) AS BIGINT) AS damaged FROM lines", "lines"),
+    "ag10_inventory_movements": sql("SELECT count(*) AS movement_count, CAST(coalesce(sum(l_quantity) FILTER (l_returnflag <> 'R' AND l_linestatus = 'O'), 0) AS BIGINT) AS inbound, CAST(coalesce(sum(l_quantity) FILTER (l_returnflag <> 'R' AND l_linestatus <> 'O' AND l_linenumber <> 7), 0) AS BIGINT) AS outbound, CAST(coalesce(sum(l_quantity) FILTER (l_returnflag = 'R'), 0) AS BIGINT) AS damaged FROM lines", "lines"),
     "ag11_quality_summary": sql("SELECT count(*) AS check_count, CAST(sum(l_quantity) AS BIGINT) AS inspected, CAST(sum(l_quantity) FILTER (l_returnflag = 'R') AS BIGINT) AS defective, sum(l_quantity) FILTER (l_returnflag = 'R') * 100 / sum(l_quantity) AS defect_rate_percent FROM lines", "lines"),
     "ag11_defects_by_type": sql("SELECT o_orderpriority AS defect_type, CAST(sum(l_quantity) AS BIGINT) AS defective FROM lines WHERE l_returnflag = 'R' AND l_quantity >= 1 GROUP BY 1", "lines"),
     "ag12_cash_flow_summary": sql("SELECT CAST(sum(price) FILTER (l_linestatus = 'O') AS DOUBLE) AS inflow, CAST(sum(price) FILTER (l_linestatus <> 'O') AS DOUBLE) AS outflow, CAST(sum(CASE WHEN l_linestatus = 'O' THEN price ELSE -price END) AS DOUBLE) AS net FROM lines", "lines"),
@@ -54,16 +55,21 @@ ORACLES = {
     "ag17_price_promotions": sql("SELECT sku, product_name, n AS rows, CAST(l AS DOUBLE) / n AS average_list_price, CAST(l - d AS DOUBLE) / n AS average_final_price, CAST(d AS DOUBLE) / n AS average_seller_discount, CAST(d AS DOUBLE) * 100 / CAST(l AS DOUBLE) AS discount_percent, v AS voucher_sources FROM (SELECT l_partkey AS sku, count(*) AS n, sum(price) AS l, sum(price * CAST(l_discount AS DECIMAL(4,2))) AS d, array_to_string(list_sort(list(DISTINCT o_orderpriority)), '|') AS v FROM lines WHERE l_discount > 0 GROUP BY 1) JOIN products USING (sku)", "lines", "products"),
     "ag18_ads_by_sku": sql("SELECT sku, i AS impressions, c AS clicks, a AS carts, o AS orders, CAST(s AS DOUBLE) AS spend, CAST(r AS DOUBLE) AS revenue, c * 100.0::DOUBLE / nullif(i, 0) AS ctr_percent, a * 100.0::DOUBLE / nullif(c, 0) AS click_to_cart_percent, CAST(r AS DOUBLE) / nullif(CAST(s AS DOUBLE), 0) AS roas FROM (SELECT user_id AS sku, count(*) FILTER (event_type = 'view') AS i, count(*) FILTER (event_type = 'click') AS c, count(*) FILTER (event_type = 'signup') AS a, count(*) FILTER (event_type = 'purchase') AS o, coalesce(sum(cents) FILTER (event_type = 'click'), 0) AS s, coalesce(sum(cents) FILTER (event_type = 'purchase'), 0) AS r FROM ev GROUP BY 1)", "ev"),
     "ag19_batch_ages": sql("SELECT batch_id, b.sku, product_name, available_units, age_days FROM (SELECT l_partkey || '/' || CAST(ship_date AS VARCHAR) AS batch_id, l_partkey AS sku, CAST(sum(l_quantity) AS BIGINT) AS available_units, CAST(greatest(DATE '2002-01-01' - ship_date, 0) AS BIGINT) AS age_days FROM lines GROUP BY l_partkey, ship_date) b JOIN products p ON b.sku = p.sku ORDER BY age_days DESC, available_units DESC, batch_id LIMIT 20", "lines", "products"),
-    "ag20_search_terms": sql("SELECT event_type || (user_id % 20) AS search_term, CAST(sum(event_id % 9 + 1) AS BIGINT) AS impressions, CAST(sum(event_id % 3) AS BIGINT) AS clicks, sum((event_id % 50) / 4.0::DOUBLE) / count(*) AS average_position, count(DISTINCT user_id) AS skus, CAST(sum(event_id % 3) AS DOUBLE) * 100 / CAST(sum(event_id % 9 + 1) AS DOUBLE) AS ctr_percent FROM ev GROUP BY 1", "ev"),
-    "ag20_search_leaders": sql("SELECT (SELECT t FROM s ORDER BY i DESC, t LIMIT 1) AS most_seen, (SELECT t FROM s ORDER BY c DESC, t LIMIT 1) AS most_clicked, (SELECT t FROM s ORDER BY c * 100.0::DOUBLE / i DESC, t LIMIT 1) AS best_rate, (SELECT t FROM s ORDER BY a, t LIMIT 1) AS best_position", "ev").replace(" SELECT (SELECT", ", s AS (SELECT event_type || (user_id % 20) AS t, sum(event_id % 9 + 1)::DOUBLE AS i, sum(event_id % 3)::DOUBLE AS c, sum((event_id % 50) / 4.0::DOUBLE) / count(*) AS a FROM ev GROUP BY 1) SELECT (SELECT", 1),
-    "ag21_shipping_summary": sql("SELECT count(*) AS order_count, count(*) FILTER (ship_date - order_date > 60) AS late, count(*) FILTER (o_orderstatus = 'P') AS cancelled, CAST(sum(greatest(ship_date - order_date, 0)) AS DOUBLE) / count(*) AS average_hours FROM lines", "lines"),
-    "ag22_settlement_summary": sql("SELECT count(*) AS settlement_count, CAST(sum(price) AS DOUBLE) AS payable, CAST(sum(f) AS DOUBLE) AS fees, CAST(sum(price) - sum(f) AS DOUBLE) AS expected, CAST(sum(price - f - 1) AS DOUBLE) AS received, CAST(sum(price - f - 1) - (sum(price) - sum(f)) AS DOUBLE) AS difference, count(*) FILTER (l_linestatus = 'O') AS pending FROM (SELECT *, price * CAST(l_tax AS DECIMAL(4,2)) AS f FROM lines)", "lines"),
+    "ag20_search_terms": "WITH s AS (SELECT event_type || (user_id % 20) AS t, CAST(sum(event_id % 9 + 1) AS BIGINT) AS i, CAST(sum(event_id % 3) AS BIGINT) AS c, sum((event_id % 50) / 4.0::DOUBLE) / count(*) AS a, count(DISTINCT user_id) AS skus FROM events GROUP BY 1), r AS (SELECT *, c * 100.0::DOUBLE / i AS ctr, round(a, 2) AS ra, round(c * 100.0::DOUBLE / i, 2) AS rc FROM s) SELECT t AS search_term, i AS impressions, c AS clicks, a AS average_position, skus, ctr AS ctr_percent FROM r ORDER BY c DESC, ra, t LIMIT 20",
+    "ag20_search_leaders": "WITH s AS (SELECT event_type || (user_id % 20) AS t, CAST(sum(event_id % 9 + 1) AS BIGINT) AS i, CAST(sum(event_id % 3) AS BIGINT) AS c, sum((event_id % 50) / 4.0::DOUBLE) / count(*) AS a, count(DISTINCT user_id) AS skus FROM events GROUP BY 1), r AS (SELECT *, c * 100.0::DOUBLE / i AS ctr, round(a, 2) AS ra, round(c * 100.0::DOUBLE / i, 2) AS rc FROM s) SELECT (SELECT t FROM r ORDER BY i DESC, c DESC, t DESC LIMIT 1) AS most_seen, (SELECT t FROM r ORDER BY c DESC, ra, t LIMIT 1) AS most_clicked, (SELECT t FROM r ORDER BY rc DESC, c DESC, ra, t DESC LIMIT 1) AS best_rate, (SELECT t FROM r ORDER BY ra, c DESC, t LIMIT 1) AS best_position",
+    "ag21_shipping_summary": sql("SELECT count(*) AS order_count, count(*) FILTER (ship_date - order_date > 60) AS late, count(*) FILTER (o_orderstatus = 'P') AS cancelled, CAST(sum(greatest(ship_date - order_date, 0)) AS DOUBLE) / count(*) AS average_hours, (SELECT reason FROM why ORDER BY n DESC, reason LIMIT 1) AS top_reason, coalesce((SELECT n FROM why ORDER BY n DESC, reason LIMIT 1), 0) AS top_reason_orders FROM lines", "lines", "why"),
+    "ag22_settlement_summary": sql("SELECT count(*) AS settlement_count, CAST(sum(price) AS DOUBLE) AS payable, CAST(sum(f) AS DOUBLE) AS fees, CAST(sum(price) - sum(f) AS DOUBLE) AS expected, CAST(sum(price - f - 1) AS DOUBLE) AS received, CAST(sum(price - f - 1) - (sum(price) - sum(f)) AS DOUBLE) AS difference, count(*) FILTER (l_linestatus = 'O' OR l_returnflag = 'R') AS pending FROM (SELECT *, price * CAST(l_tax AS DECIMAL(4,2)) AS f FROM lines)", "lines"),
     "ag23_competitor_summary": sql("SELECT * FROM (SELECT count(*) AS listing_count, CAST(max(price) FILTER (r = n // 2 + 1) AS DOUBLE) AS upper_median_price FROM (SELECT price, row_number() OVER (ORDER BY price) AS r, count(*) OVER () AS n FROM lines)), (SELECT count(*) AS matched, median(CAST(price AS DOUBLE)) AS matched_median, median(CAST(list_price AS DOUBLE)) AS own_median, median(CAST(price - list_price AS DOUBLE)) AS median_difference FROM lines JOIN products ON sku = l_partkey * 2)", "lines", "products"),
     "ag24_returns_summary": sql("SELECT count(*) AS requests, CAST(sum(l_quantity) AS BIGINT) AS units, CAST(sum(price) AS DOUBLE) AS refunds FROM lines WHERE l_returnflag = 'R'", "lines"),
     "ag24_returns_by_reason": sql("SELECT o_orderpriority AS reason, CAST(sum(l_quantity) AS BIGINT) AS units FROM lines WHERE l_returnflag = 'R' GROUP BY 1", "lines"),
     "ag24_review_summary": "SELECT count(*) AS reviews, CAST(sum(event_id % 5 + 1) AS DOUBLE) / count(*) AS average_rating, count(*) FILTER (event_id % 5 + 1 <= 3) AS low_ratings FROM events WHERE value IS NOT NULL",
-    "ag24_review_issues": "SELECT event_type AS issue_type, count(*) AS reviews, count(*) FILTER (event_id % 5 + 1 <= 3) AS low_ratings FROM events WHERE value IS NOT NULL GROUP BY 1",
+    "ag24_review_issues": "SELECT CASE WHEN event_id % 7 = 0 THEN 'Không nêu vấn đề' ELSE event_type END AS issue_type, count(*) AS reviews, count(*) FILTER (event_id % 5 + 1 <= 3) AS low_ratings FROM events WHERE value IS NOT NULL GROUP BY 1",
     "ag24_procurement_summary": sql("SELECT count(*) AS purchase_orders, count(*) FILTER (l_linestatus = 'O') AS open_orders, CAST(sum(l_quantity) FILTER (l_linestatus = 'O') AS BIGINT) AS open_units, CAST(sum(CAST(l_quantity AS BIGINT) * price) FILTER (l_linestatus = 'O') AS DOUBLE) AS open_value FROM lines", "lines"),
+    "ag10_movements_by_type": sql("SELECT CASE WHEN l_returnflag = 'R' THEN 'hàng lỗi/hủy' WHEN l_linestatus = 'O' THEN 'nhập kho' WHEN l_linenumber = 7 THEN 'chưa phân loại' ELSE 'bán ra' END AS movement_type, CAST(sum(l_quantity) AS BIGINT) AS units FROM lines GROUP BY 1", "lines"),
+    "ag15_funnel_totals": "SELECT *, carts * 100.0::DOUBLE / nullif(views, 0) AS view_to_cart_percent, orders * 100.0::DOUBLE / nullif(carts, 0) AS cart_to_order_percent FROM (SELECT count(DISTINCT user_id) AS products, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type = 'click') AS carts, count(*) FILTER (event_type = 'purchase') AS orders FROM events)",
+    "ag21_cancellation_reasons": sql("SELECT reason, n AS orders FROM why", "lines", "why"),
+    "ag23_competitor_listings": sql("SELECT l_partkey * 2 AS reference_sku, l_suppkey AS competitor_shop, CAST(price AS DOUBLE) AS price, l_linenumber % 5 + 0.5::DOUBLE AS rating, CAST(l_quantity AS BIGINT) AS estimated_monthly_units, order_date AS observed_date FROM lines ORDER BY CAST(l_quantity AS BIGINT) DESC, 4 DESC, price, l_suppkey, l_partkey, order_date LIMIT 20", "lines"),
+    "ag24_review_priority": "WITH b AS (SELECT CASE WHEN event_id % 7 = 0 THEN '' ELSE event_type END AS issue, count(*) AS n FROM events WHERE value IS NOT NULL AND event_id % 5 + 1 <= 3 GROUP BY 1) SELECT (SELECT issue FROM b WHERE issue <> '' ORDER BY n DESC, issue LIMIT 1) AS priority_issue, coalesce((SELECT n FROM b WHERE issue = ''), 0) AS unclassified",
     "ag25_scorecard": sql("""SELECT sku, product_name, CAST(coalesce(units, 0) AS BIGINT) AS units, CAST(g AS DOUBLE) AS gmv, CAST(c AS DOUBLE) AS contribution,
         coalesce(low, 0) AS low_ratings, CAST(defective AS DOUBLE) * 100 / nullif(CAST(inspected AS DOUBLE), 0) AS defect_rate_percent, CAST(views AS BIGINT) AS views, CAST(carts AS DOUBLE) * 100 / nullif(CAST(views AS DOUBLE), 0) AS view_to_cart_percent,
         array_to_string(sig, '|') AS risk_signals, CAST(len(sig) AS BIGINT) AS signal_count, array_to_string(gaps, '|') AS evidence_gaps,

@@ -31,7 +31,8 @@ SHOP_QUERIES: dict[str, Query] = {
     "ag20_search_leaders": _shop(r.search_leaders), "ag21_shipping_summary": _shop(r.shipping_summary), "ag22_settlement_summary": _shop(r.settlement_summary),
     "ag23_competitor_summary": _shop(r.competitor_summary), "ag24_returns_summary": _shop(r.returns_summary), "ag24_returns_by_reason": _shop(r.returns_by_reason),
     "ag24_review_summary": _shop(r.review_summary), "ag24_review_issues": _shop(r.review_issues), "ag24_procurement_summary": _shop(r.procurement_summary),
-    "ag25_scorecard": _shop(r.scorecard), "ag26_available_periods": _shop(r.available_periods), "ag39_profit_after_overhead": _shop(r.profit_after_overhead),
+    "ag10_movements_by_type": _shop(r.movements_by_type), "ag15_funnel_totals": _shop(r.funnel_totals), "ag21_cancellation_reasons": _shop(r.cancellation_reasons), "ag23_competitor_listings": _shop(r.competitor_listings),
+    "ag24_review_priority": _shop(r.review_priority), "ag25_scorecard": _shop(r.scorecard), "ag26_available_periods": _shop(r.available_periods), "ag39_profit_after_overhead": _shop(r.profit_after_overhead),
 }
 
 

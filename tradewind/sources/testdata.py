@@ -60,14 +60,14 @@ class Star(dict):
 
     def _reviews(self) -> DataFrame:
         rated = self.raw("events").filter(F.col("value").isNotNull())
-        return rated.select(F.col("ts").cast("date").alias("review_date"), F.col("user_id").alias("sku"), (F.col("event_id") % 5 + 1).alias("rating"), F.col("event_type").alias("issue_type"))
+        return rated.select(F.col("ts").cast("date").alias("review_date"), F.col("user_id").alias("sku"), (F.col("event_id") % 5 + 1).alias("rating"), F.when(F.col("event_id") % 7 != 0, F.col("event_type")).otherwise(" ").alias("issue_type"))
 
     def _operating_costs(self) -> DataFrame:
         e = self.raw("events")
         return e.select(F.date_format("ts", "yyyy-MM").alias("month"), F.col("event_type").alias("cost_category"), self._dec(F.floor(F.col("value") * 100).cast("decimal(18,0)") / F.lit(100)).alias("amount_vnd"))
 
     def _inventory_movements(self) -> DataFrame:
-        kind = F.when(F.col("l_returnflag") == "R", "damaged").when(F.col("l_linestatus") == "O", "Inbound").otherwise(" outbound ")
+        kind = F.when(F.col("l_returnflag") == "R", "Hàng lỗi/hủy").when(F.col("l_linestatus") == "O", "Nhập kho").when(F.col("l_linenumber") == 7, " ").otherwise(" bán ra ")
         return self["lines"].select(F.col("ship_date").alias("movement_date"), F.col("l_partkey").alias("sku"), kind.alias("movement_type"), F.col("l_quantity").cast("long").alias("quantity"))
 
     def _cash_flow(self) -> DataFrame:
@@ -124,12 +124,12 @@ class Star(dict):
 
     def _shipping_performance(self) -> DataFrame:
         days = F.datediff("ship_date", "order_date")
-        return self["lines"].select(F.col("l_orderkey").alias("order_id"), "order_date", F.when(F.col("o_orderstatus") == "P", "cancelled").otherwise("shipped").alias("status"), (days > 60).alias("is_late"), F.col("o_orderpriority").alias("cancellation_reason"), F.greatest(days, F.lit(0)).cast("double").alias("processing_hours"))
+        return self["lines"].select(F.col("l_orderkey").alias("order_id"), "order_date", F.when(F.col("o_orderstatus") == "P", F.get(F.array(F.lit("Đã hủy"), F.lit("CANCELLED "), F.lit("hủy")), F.col("l_linenumber").cast("int") % 3)).otherwise("shipped").alias("status"), (days > 60).alias("is_late"), F.when(F.col("l_linenumber") != 1, F.col("o_orderpriority")).otherwise(" ").alias("cancellation_reason"), F.greatest(days, F.lit(0)).cast("double").alias("processing_hours"))
 
     def _settlements(self) -> DataFrame:
         price = self._dec("l_extendedprice")
         fee = (price * self._dec("l_tax")).cast("decimal(18,4)")
-        return self["lines"].select(F.col("ship_date").alias("settlement_date"), price.cast("decimal(18,4)").alias("marketplace_payable_vnd"), fee.alias("actual_fee_vnd"), (price - fee - F.lit(1)).cast("decimal(18,4)").alias("received_amount_vnd"), F.when(F.col("l_linestatus") == "O", "pending").otherwise("paid").alias("status"))
+        return self["lines"].select(F.col("ship_date").alias("settlement_date"), price.cast("decimal(18,4)").alias("marketplace_payable_vnd"), fee.alias("actual_fee_vnd"), (price - fee - F.lit(1)).cast("decimal(18,4)").alias("received_amount_vnd"), F.when(F.col("l_linestatus") == "O", "pending").when(F.col("l_returnflag") == "R", "disputed").when(F.col("l_linenumber") % 2 == 0, "Đã nhận ").otherwise("Hoàn tất").alias("status"))
 
     def _competitor_catalog(self) -> DataFrame:
-        return self["lines"].select(F.col("order_date").alias("observed_date"), (F.col("l_partkey") * 2).alias("reference_sku"), F.col("l_suppkey").alias("competitor_shop"), self._dec("l_extendedprice").cast("decimal(18,4)").alias("price_vnd"))
+        return self["lines"].select(F.col("order_date").alias("observed_date"), (F.col("l_partkey") * 2).alias("reference_sku"), F.col("l_suppkey").alias("competitor_shop"), self._dec("l_extendedprice").cast("decimal(18,4)").alias("price_vnd"), (F.col("l_linenumber") % 5 + 0.5).cast("double").alias("rating"), F.col("l_quantity").cast("long").alias("estimated_monthly_units"))
