@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .reports import GMV, PLATFORM, SELLER, SFEE, TFEE, Shelf, as_double, completed, contributions, month_of, products
+from .reports import GMV, PLATFORM, SELLER, SFEE, TFEE, Shelf, as_double, completed, contributions, in_period, month_of, products
 
 
 def category_sales(shelf: Shelf, category: str, period: str | None = None) -> DataFrame:
@@ -15,6 +17,38 @@ def category_sales(shelf: Shelf, category: str, period: str | None = None) -> Da
     return s.groupBy(month_of("order_date").alias("month")).agg(F.count("*").alias("order_count"), F.sum(GMV).cast("double").alias("gmv")).orderBy("month")
 
 
+#: Fixed: the tables of the dashboard, by whether they are limited by sku and by which column of dates or months.
+LIMITED = {
+    "products": ("sku",), "inventory": ("sku",), "orders": ("sku", "order_date"), "ads": ("month",), "purchase_orders": ("sku", "order_date"), "returns": ("sku", "request_date"),
+    "reviews": ("sku", "review_date"), "operating_costs": ("month",), "inventory_movements": ("sku", "movement_date"), "quality_checks": ("sku", "check_date"), "cash_flow": ("date",),
+    "supplier_performance": ("month",), "customer_segments": ("month",), "product_funnel": ("sku", "month"), "co_purchase": ("sku", "paired_sku", "month"),
+}
+
+
+def limited(shelf: Shelf, categories: list[str], months: list[str]) -> dict[str, DataFrame]:
+    """The dashboard's 15 tables for the products of some categories and for some months. Products are limited by a semi
+    join on their skus (for pairs, on both), months by ranges of dates that reach the scan."""
+    skus = shelf["products"].filter(F.col("category").isin(categories)).select("sku")
+    out = {}
+    for table, columns in LIMITED.items():
+        rows = shelf[table]
+        for c in columns:
+            if c.endswith("sku"):
+                rows = rows.join(skus.select(F.col("sku").alias(c)), c, "left_semi")
+            elif c == "month":
+                rows = rows.filter(F.col(c).isin(months))
+            else:
+                rows = rows.filter(reduce(Column.__or__, (in_period(c, m) for m in months), F.lit(False)))
+        out[table] = rows
+    return out
+
+
+def percentage(part: DataFrame, whole: DataFrame) -> DataFrame:
+    """percent: what one number is of another (one row each: value); an error if the whole is 0."""
+    both = part.select(F.col("value").cast("double").alias("p")).crossJoin(F.broadcast(whole.select(F.col("value").cast("double").alias("w"))))
+    return both.select(F.when(F.col("w") == 0, F.raise_error(F.lit("a percentage of 0")).cast("double")).otherwise(F.col("p") / F.col("w") * 100).alias("percent"))
+
+
 def cost_shares(shelf: Shelf) -> DataFrame:
     c = shelf["operating_costs"].groupBy(F.col("cost_category").alias("category")).agg(F.sum("amount_vnd").alias("n"))
     share = F.coalesce(F.try_divide(F.col("n").cast("double") * 100.0, F.sum("n").over(Window.partitionBy()).cast("double")), F.lit(0.0))

@@ -194,9 +194,9 @@ ORACLES = {
     "ev05_tool_metrics": "WITH x AS (SELECT doc_id AS id, list_filter([CASE WHEN quality = 1 THEN 'rag' END, CASE WHEN toxic = 1 THEN 'shop_data' END], lambda x: x IS NOT NULL) AS e, list_filter([CASE WHEN doc_id % 2 = 0 THEN 'rag' END, CASE WHEN doc_id % 3 = 0 THEN 'shop_data' END], lambda x: x IS NOT NULL) AS p FROM labels), y AS (SELECT id, e = p AS same_sequence, CASE WHEN len(e) = 0 AND len(p) = 0 THEN 1.0::DOUBLE ELSE coalesce(len(list_intersect(e, p))::DOUBLE / nullif(len(p), 0), 0) END AS precision, CASE WHEN len(e) = 0 AND len(p) = 0 THEN 1.0::DOUBLE ELSE coalesce(len(list_intersect(e, p))::DOUBLE / nullif(len(e), 0), 0) END AS recall FROM x) SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM y",
     "mk03_price_bands": "WITH p AS (SELECT p_brand AS brand, p_retailprice AS price, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice) AS lo, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC) AS hi FROM part), b AS (SELECT brand, count(*) AS listings, 1000 * round_even(max(price) FILTER (lo = 2) / 1000, 0) AS lower, 1000 * round_even(median(price) / 1000, 0) AS typical, 1000 * round_even(max(price) FILTER (hi = 2) / 1000, 0) AS upper FROM p GROUP BY 1), o AS (SELECT brand, 1000 * round_even(median(price) / 1000, 0) AS own_price FROM p WHERE p_size > 45 AND price > 0 GROUP BY 1) SELECT *, CASE WHEN own_price IS NULL THEN 'unknown' WHEN own_price < lower THEN 'below' WHEN own_price > upper THEN 'above' ELSE 'within' END AS position FROM b LEFT JOIN o USING (brand)",
     "mk04_opportunities": sql("SELECT p_type, CAST(v AS DECIMAL(18,6)) AS volume_score, CAST(r AS DECIMAL(18,6)) AS revenue_score, s AS opportunity_score, CASE WHEN s >= 80 THEN 'try_small' WHEN s >= 68 THEN 'watch' ELSE 'wait' END AS advice, row_number() OVER (ORDER BY s DESC, p_type) AS rank FROM (SELECT *, CAST(least(v, r) * 0.30::DOUBLE + (v + r) / 2 * 0.15::DOUBLE + fit * 0.20::DOUBLE + reviews * 0.20::DOUBLE + longevity * 0.15::DOUBLE AS DECIMAL(18,6)) AS s FROM (SELECT *, units::DOUBLE / max(units::DOUBLE) OVER () * 100 AS v, revenue::DOUBLE / max(revenue::DOUBLE) OVER () * 100 AS r FROM (SELECT p_type, CAST(sum(u) AS BIGINT) AS units, sum(rev) AS revenue, CAST(count(*) % 35 + 62 AS DOUBLE) AS fit, CAST(sum(p_size) % 30 + 68 AS DOUBLE) AS reviews, CAST(max(p_size) % 38 + 58 AS DOUBLE) AS longevity FROM part JOIN (SELECT l_partkey AS p_partkey, sum(l_quantity) AS u, sum(price) AS rev FROM lines GROUP BY 1) USING (p_partkey) GROUP BY 1)))", "lines"),
-    "mk07_what_if": sql("SELECT shop, CAST(units * (1.144::DOUBLE * 1.0::DOUBLE * 1.048::DOUBLE) * st AS DECIMAL(18,4)) AS estimated_units, CAST(gmv * (1.144::DOUBLE * 1.0::DOUBLE * 1.048::DOUBLE * 0.88::DOUBLE) * st AS DECIMAL(18,4)) AS estimated_gmv, 'high' AS risk FROM (SELECT *, 1 + least(0.10::DOUBLE, 100.0::DOUBLE / greatest(units, 1) * 0.8::DOUBLE) AS st FROM (SELECT l_suppkey AS shop, CAST(sum(l_quantity) AS BIGINT) AS units, CAST(sum(price) AS DOUBLE) AS gmv FROM lines GROUP BY 1))", "lines"),
+    "mk07_what_if": sql("SELECT shop, eu AS estimated_units, eg AS estimated_gmv, floor((eg / gmv - 1) * 100 * 10 + 0.5::DOUBLE) / 10 AS gmv_change_percent, 'high' AS risk FROM (SELECT *, CAST(round_even(units * (1.144::DOUBLE * 1.0::DOUBLE * 1.048::DOUBLE) * st, 0) AS BIGINT) AS eu, CAST(round_even(gmv * (1.144::DOUBLE * 1.0::DOUBLE * 1.048::DOUBLE * 0.88::DOUBLE) * st, 0) AS BIGINT) AS eg FROM (SELECT *, 1 + least(0.10::DOUBLE, 100.0::DOUBLE / greatest(units, 1) * 0.8::DOUBLE) AS st FROM (SELECT l_suppkey AS shop, CAST(sum(l_quantity) AS BIGINT) AS units, CAST(sum(price) AS DOUBLE) AS gmv FROM lines GROUP BY 1)))", "lines"),
     "mk08_stock_risk": """WITH p AS (SELECT p_partkey AS item, CAST(floor(p_retailprice) AS BIGINT) AS price, greatest(1, CAST(p_partkey % 23 AS DOUBLE)) AS sold, CAST(p_size AS BIGINT) AS on_hand, p_partkey * 29 % 100 AS idle, p_partkey % 50 + 45 AS score FROM part),
-        q AS (SELECT *, CAST(floor(price * (58 + item % 39) / 100) AS BIGINT) AS cost, CAST(floor(price * 12 / 100) AS BIGINT) AS reserve, on_hand / sold AS cover FROM p),
+        q AS (SELECT *, CAST(floor(price * (58 + item % 39) / 100) AS BIGINT) AS cost, CAST(floor(price * 12 / 100) AS BIGINT) AS reserve, floor(on_hand / sold * 10 + 0.5::DOUBLE) / 10 AS cover FROM p),
         r AS (SELECT *, price - cost - reserve AS margin, CASE WHEN price - cost - reserve <= 0 THEN 'loss' WHEN idle >= 60 THEN 'idle' WHEN cover >= 3.5 THEN 'tied_up' WHEN cover < 0.8 AND score >= 62 THEN 'reorder' ELSE 'watch' END AS st FROM q),
         u AS (SELECT *, CASE WHEN st = 'reorder' THEN greatest(1, ceil(sold * 2 - on_hand)) ELSE 0 END AS oq FROM r), k AS (SELECT count(*) FILTER (oq > 0) AS n, arg_min(item, (cover, item)) FILTER (margin > 0 AND idle < 60) AS pick FROM u),
         f AS (SELECT *, n = 0 AND item = pick AS fb FROM u, k)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import reports as r
 from ..sources.testdata import Star
-from . import answers, more, questions, reviews, texts
+from . import answers, more, questions, reviews, texts, wording
 from .oracles_shop import ORACLES as SHOP
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,8 +37,8 @@ SHOP_QUERIES: dict[str, Query] = {
 
 
 def queries() -> dict[str, Query]:
-    return SHOP_QUERIES | more.QUERIES | answers.QUERIES | questions.QUERIES | texts.QUERIES | reviews.QUERIES
+    return SHOP_QUERIES | more.QUERIES | answers.QUERIES | questions.QUERIES | texts.QUERIES | reviews.QUERIES | wording.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return SHOP | more.ORACLES | answers.ORACLES | questions.ORACLES | texts.ORACLES | reviews.ORACLES
+    return SHOP | more.ORACLES | answers.ORACLES | questions.ORACLES | texts.ORACLES | reviews.ORACLES | wording.ORACLES
