@@ -123,8 +123,8 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_page_text(spark):
-    html = "<style>p {x}</style><h1>A &amp; B</h1><!-- no <p> --><p>caf&#233; &#xe9;&#x1F600;<br>next &amp;#65; &#99999999;</p><DIV>x</DIV >y<script a='b'>z</script>"
-    assert spark.range(1).select(text.html_to_text(F.lit(html))).first()[0] == "A & B\n\ncafé é😀\nnext &#65; &#99999999;\n\nx\ny"
+    html = "<style>p {x}</style><h1>A &amp; B</h1><!-- no <p> --><p>caf&#233; &#xe9;&#x1F600;<br>next &amp;#65; &#99999999; &amp;lt;&lt;&hellip;&#150;&nope;&</p><DIV>x</DIV >y<script a='b'>z</script>"
+    assert spark.range(1).select(text.html_to_text(F.lit(html))).first()[0] == "A & B\n\ncafé é😀\nnext &#65; \ufffd &lt;<…–&nope;&\n\nx\ny"
 
 
 def test_terms_keep_vietnamese_words(spark):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,22 +69,30 @@ def clean_text(text: Column) -> Column:
 
 #: Fixed: what stands for an element's end in plain text. Every other tag is a space.
 BREAKS = {"\n\n": ("p", "h1", "h2", "h3", "h4", "h5", "h6"), "\n": ("div",)}
-#: Fixed: the named entities of XML, and white space. The ampersand's comes last, so that nothing is unescaped twice.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
-
-
-def _numbered(text: Column) -> Column:
-    """Character references by number, decimal or hexadecimal, as their characters."""
-
-    def replaced(acc: Column, ref: Column) -> Column:
-        digits = F.regexp_extract(ref, "&#[xX]?([0-9a-fA-F]+);", 1)
-        code = F.when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("int")
-        # UTF-32 names every character; what is none stays as it is.
+#: The named characters of HTML that end in a semicolon, from Python's own table of the standard.
+NAMED = {name.removesuffix(";"): character for name, character in html5.items() if name.endswith(";")}
+# And the numbers that mean another character than their own: those of windows-1252.
+NAMED |= {f"#{n}": c for n in range(128, 160) if (c := bytes([n]).decode("windows-1252", "ignore"))}
+
+
+def unescaped(text: Column) -> Column:
+    """Character references by name or number as their characters; others stay. Each is read once: what it gives is no
+    reference again. Numbers from 128 to 159 mean what they do in windows-1252; those of no character, U+FFFD."""
+    names = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")
+
+    def read(part: Column) -> Column:
+        name = F.regexp_extract(part, "^(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        digits = F.regexp_replace(name, "^#[xX]?", "")
+        code = F.when(name.rlike("^#[xX]"), F.conv(digits, 16, 10)).when(name.startswith("#"), digits).try_cast("int")
+        wide = lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")
         known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        return F.when(known, F.replace(acc, ref, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))).otherwise(acc)
+        by_number = F.when(known, F.coalesce(F.try_element_at(names, F.concat(F.lit("#"), code.cast("string"))), wide(code))).when(code.isNotNull(), "\ufffd")
+        character = F.coalesce(by_number, F.try_element_at(names, name))
+        return F.when((name != "") & character.isNotNull(), F.concat(character, F.substring(part, F.length(name) + 2, F.length(part)))).otherwise(F.concat(F.lit("&"), part))
 
-    refs = F.array_distinct(F.regexp_extract_all(text, F.lit("&#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"), F.lit(0)))
-    return F.when(F.contains(text, F.lit("&#")), F.aggregate(refs, text, replaced)).otherwise(text)
+    parts = F.split(text, "&", -1)
+    rest = F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), read), "")
+    return F.when(F.contains(text, F.lit("&")), F.concat(F.get(parts, F.lit(0)), rest)).otherwise(text)
 
 
 def html_to_text(html: Column) -> Column:
@@ -91,9 +102,7 @@ def html_to_text(html: Column) -> Column:
     for line, elements in BREAKS.items():
         ends = f"</(?:{'|'.join(elements)})\\s*>" + (r"|<br\s*/?>" if line == "\n" else "")
         text = F.regexp_replace(text, f"(?i){ends}", line)
-    text = _numbered(F.regexp_replace(text, "<[^>]+>", " "))
-    for name, character in ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(character))
+    text = unescaped(F.regexp_replace(text, "<[^>]+>", " "))
     return clean_text(text)
 
 

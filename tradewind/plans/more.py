@@ -220,8 +220,10 @@ def _clean(x: str) -> str:
 _HTML = "html"
 for _p, _to in (("(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>", "' '"), ("(?i)</(?:p|h1|h2|h3|h4|h5|h6)\\s*>", "chr(10) || chr(10)"), ("(?i)</(?:div)\\s*>|<br\\s*/?>", "chr(10)"), ("<[^>]+>", "' '")):
     _HTML = f"regexp_replace({_HTML}, '{_p}', {_to}, 'g')"
-# Decimal references, which are all that these pages have.
-_HTML = f"list_reduce(list_prepend({_HTML}, list_distinct(regexp_extract_all({_HTML}, '&#[0-9]+;'))), lambda acc, ref: replace(acc, ref, chr(CAST(regexp_extract(ref, '[0-9]+') AS INTEGER))))"
-for _p, _to in t.ENTITIES.items():
-    _HTML = "replace({}, '{}', '{}')".format(_HTML, _p, _to.replace("'", "''"))
+# The references that these pages have, each read once, from left to right.
+_NAMES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "''", "nbsp": "\u00a0", "copy": "©", "middot": "·", "hellip": "…", "eacute": "é", "euro": "€", "ndash": "–", "mdash": "—"}
+_PARTS = f"string_split({_HTML}, '&')"
+_REF = "regexp_extract(x, '^(#[0-9]{1,8}|[A-Za-z][A-Za-z0-9]*);', 1)"
+_CHARACTER = "CASE {r} {n} WHEN '' THEN NULL ELSE CASE WHEN {r}[1] = '#' THEN chr(CAST({r}[2:] AS INTEGER)) END END".format(r=_REF, n=" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _NAMES.items()))
+_HTML = f"list_reduce(list_prepend({_PARTS}[1], list_transform({_PARTS}[2:], lambda x: coalesce({_CHARACTER} || x[length({_REF}) + 2:], '&' || x))), lambda a, b: a || b)"
 ORACLES["src12_html_text"] = f"SELECT page_id, {_clean(_HTML)} AS text FROM pages"
