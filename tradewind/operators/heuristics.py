@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import match_form, unigrams
+from .retrieval import bm25, candidates, dense, fused
 from .router import Test, equals, flagged, holds, holds_all, routed
 
 # The words that send a question to a group of sources, in their order.
@@ -231,3 +232,47 @@ def context_strings(chunks: DataFrame) -> DataFrame:
     block = F.concat(head, F.lit("\nNội dung:\n"), F.trim(F.coalesce("text", F.lit(""))))
     rows = chunks.withColumn("_n", number).select("query_id", F.struct("_n", block.alias("b")).alias("x"))
     return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["b"]), "\n\n").alias("context"))
+
+
+#: Fixed: the one group whose questions are answered from words alone.
+WORDS_ONLY = "shopee_policy"
+
+
+def search(docs: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, k: int = 3) -> DataFrame:
+    """query_id, rank, doc_id, score, mode of the k best results: questions are routed to groups, candidates found by words
+    and by vectors, fused and given their bonus. Questions about policies alone, and all of them without vectors, are
+    answered by words alone. docs: doc_id, title, source, text, page, document_id; words are looked for in title, source
+    and text. queries: query_id, question. vectors: doc_id, vector, source. query_vectors: query_id, vector."""
+    groups = source_groups(queries)
+    routes = groups.groupBy("query_id").agg(F.collect_set("source").alias("s"))
+    plain = routes.filter(F.col("s") == F.array(F.lit(WORDS_ONLY))).select("query_id")
+    indexed = docs.withColumn("text", F.concat_ws("\n", *(F.coalesce(c, F.lit("")) for c in ("title", "source", "text"))))
+    words = bm25(indexed.select("doc_id", "text", "source"), queries, groups=groups)
+    if vectors is None or query_vectors is None:
+        near = queries.sparkSession.createDataFrame([], words.schema)
+    else:
+        near = dense(vectors, query_vectors.join(plain, "query_id", "left_anti"), groups=groups)
+    both = candidates(near, words)
+    found = fused(near, words, k, bonuses(both, queries, docs)).join(F.broadcast(plain).withColumn("_plain", F.lit(True)), "query_id", "left")
+    mode = F.when(F.col("_plain"), "bm25_fast_path").otherwise("bm25_without_vector_db" if vectors is None else "hybrid_with_heuristic")
+    return found.select("query_id", "rank", "doc_id", "score", mode.alias("mode"))
+
+
+#: Fixed: what is kept of a chunk beside its text.
+METADATA = (
+    "document_id", "chunk_index", "title", "document_type", "source_group", "source", "source_owner", "source_url", "organization", "published_year", "effective_date", "language", "file_path",
+    "detected_file_path", "sha256", "data_authenticity", "verification_status", "location_type", "location", "page", "page_start", "page_end", "pages", "char_count",
+)
+
+
+def index_metadata(chunks: DataFrame) -> DataFrame:
+    """The 24 fields of an index as text: those that are missing or null as empty text, lists and structs as JSON."""
+
+    def kept(name: str) -> Column:
+        if name not in chunks.columns:
+            return F.lit("").alias(name)
+        kind = dict(chunks.dtypes)[name]
+        value = F.to_json(name) if kind.startswith(("array", "struct", "map")) else F.col(name)
+        return F.coalesce(value.cast("string"), F.lit("")).alias(name)
+
+    return chunks.select(*(kept(n) for n in METADATA))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import gibberish, match_form
-from .router import Test, equals, flag, holds, holds_all, like, routed, topic
+from .router import Test, equals, flag, flagged, holds, holds_all, like, routed, topic
 
 # The phrases of every rule.
 API_CONTEXT = ("shopee", "merchant api", "shop api", "public api", "open platform", "base_string", "base string", "signature")
@@ -145,3 +145,45 @@ def prepared(questions: DataFrame) -> DataFrame:
 def quick_routes(questions: DataFrame) -> DataFrame:
     """questions with route: the first rule that answers without retrieval, or "retrieval"."""
     return routed(prepared(questions), RULES, "retrieval").drop("form", "alias", "gibberish")
+
+
+# Phrases that are on the subject, and some that aren't; what asks for files, for the last source, for detail.
+ON_SUBJECT = (
+    "shopee", "shop", "nguoi ban", "nguoi mua", "phi", "tra hang", "hoan tien", "api", "base_string", "partner key", "gmv", "thuong mai dien tu", "bao ve du lieu", "nguoi tieu dung", "don hang",
+    "doanh thu", "ton kho", "quang cao", "san pham", "van chuyen",
+)
+OFF_SUBJECT = ("bitcoin", "btc", "ethereum", "thoi tiet", "bong da", "world cup", "gia vang", "chung khoan", "ty gia", "lich thi dau", "du bao thoi tiet")
+DATA_FILES = ("toi can cung cap file gi", "can cung cap file gi", "gui file gi", "can du lieu gi", "can cung cap du lieu gi", "toi can gui gi")
+LAST_SOURCE = ("nguon vua roi", "tai lieu vua roi", "lay dung nhom tai lieu", "ket qua vua roi lay tu dau")
+DETAIL = (
+    "chi tiet", "cu the", "giai thich", "vi sao", "tai sao", "phan tich", "so sanh", "vi du", "lam the nao", "cach tinh", "tung buoc", "dieu kien", "neu ro", "ky hon", "the nao", "kiem tra",
+    "cai thien", "truoc khi",
+)
+GREETINGS = ("hi", "hello", "xin chao", "chao", "chao ban", "alo", "hey")
+AGREED = ("ok", "oke", "okay", "duoc", "duoc roi", "roi", "tiep", "tiep di", "hieu roi")
+ABLE = ("ban co the giup gi", "ban co the giup gi cho toi", "ban giup duoc gi", "ban lam duoc gi", "toi co the hoi gi")
+WHO = ("ban la ai", "ban la tro ly gi")
+SMALLTALK: list[tuple[str, Test]] = [
+    ("greeting", flag("greets")), ("thanks", like("^cam on")), ("agreed", flag("agrees")), ("able", flag("asks_able") | holds_all("ban", "giup", "gi")), ("who", flag("asks_who")),
+]
+#: Fixed: topics whose answer names its own figures.
+FOCUSED = (
+    "product_gmv", "product_contribution", "sales_comparison", "price_promotions", "ads_sku_daily", "inventory_batches", "slow_inventory", "product_funnel", "reviews", "returns", "quality",
+    "cash_flow", "suppliers", "customer_retention", "strategy", "price_strategy", "restock_strategy", "ad_strategy", "search_performance", "shipping_performance", "settlements",
+    "competitor_catalog",
+)
+
+
+def manner(questions: DataFrame) -> DataFrame:
+    """questions (question) with off_subject (words on the subject win), asks_files, asks_source, wants_detail, and smalltalk:
+    the kind of a polite phrase, or null."""
+    form = F.col("form")
+    q = questions.withColumn("form", match_form(F.col("question")))
+    q = q.withColumns({"greets": form.isin(*GREETINGS), "agrees": form.isin(*AGREED), "asks_able": form.isin(*ABLE), "asks_who": form.isin(*WHO)})
+    tests = {"off_subject": holds(*OFF_SUBJECT) & ~holds(*ON_SUBJECT), "asks_files": holds(*DATA_FILES), "asks_source": holds(*LAST_SOURCE), "wants_detail": holds(*DETAIL)}
+    return routed(flagged(q, tests), SMALLTALK).withColumnRenamed("route", "smalltalk").drop("form", "greets", "agrees", "asks_able", "asks_who")
+
+
+def shows_totals(tags: Column) -> Column:
+    """Whether an answer on these tags leaves room for general figures below it."""
+    return ~F.arrays_overlap(tags, F.array(*map(F.lit, FOCUSED)))

@@ -8,8 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import files, quick_rules
 from ..operators import heuristics as h
 from ..operators import retrieval as rt
+from ..sources.questions import QUESTIONS_SQL, questions
 from ..sources.testdata import Star
 from .questions import any_sql, form_sql
 
@@ -229,3 +231,76 @@ ORACLES = {
     "ret14_source_labels": f"""WITH {_BASE} SELECT doc_id, concat_ws(' | ', nullif(title, ''), 'trang ' || page, 'nhóm ' || source) AS label, {_YEAR} AS year, {any_sql(h.OWN_DATA, form_sql("text"))} AS own_data FROM dt""",
     "ret15_context_strings": f"""WITH {_BASE}, {_RESULTS} SELECT query_id, string_agg('[NGUỒN ' || rank || ']' || CASE WHEN title <> '' THEN chr(10) || 'Tài liệu: ' || title ELSE '' END || chr(10) || 'Trang: ' || page || chr(10) || 'Nhóm: ' || source || chr(10) || 'Nội dung:' || chr(10) || trim(coalesce(text, ''), ' '), chr(10) || chr(10) ORDER BY rank) AS context FROM rs WHERE rank <= 3 GROUP BY query_id""",
 }
+
+
+def search(s: Star) -> DataFrame:
+    """The whole way from question to the three best results, of three modes."""
+    return h.search(_docs(s), _questions(s), _vectors(s), _asked_vectors(s))
+
+
+def search_by_words(s: Star) -> DataFrame:
+    return h.search(_docs(s), _questions(s))
+
+
+def index_metadata(s: Star) -> DataFrame:
+    d = _docs(s).select("document_id", "doc_id", "title", F.col("source").alias("source_group"), "page").withColumns({"chunk_index": F.when(F.col("doc_id") % 3 != 0, F.col("doc_id")), "pages": F.array(F.col("page").cast("int"))})
+    return h.index_metadata(d).select("document_id", "chunk_index", "title", "source_group", "page", "pages", "sha256")
+
+
+def manner(s: Star) -> DataFrame:
+    return quick_rules.manner(questions(s.raw("conversations"))).select("id", "off_subject", "asks_files", "asks_source", "wants_detail", "smalltalk")
+
+
+#: Rules for the file names that pages' addresses give.
+DRAFTS, RULES = ("thsh", "Dự thảo"), [(("ing", "thion"), "a_ing.pdf"), (("er",), "b_er.pdf"), (("th",), "c_th.pdf")]
+
+
+def _files(s: Star) -> DataFrame:
+    """A file for each page: by its site, some with a name of the standard, some with an extension twice."""
+    n, site = F.col("page_id"), F.regexp_extract("url", "^https?://([^/]+)/", 1)
+    name = F.when(n % 10 == 0, F.concat(F.lit("law_"), n.cast("string"))).when(n % 101 == 1, F.lit("law_a_ing")).when(n % 17 == 0, F.concat(F.lit("abcdefghijklmnop"), n.cast("string"))).otherwise(F.concat(site, F.lit("_"), (n % 97).cast("string")))
+    return s.raw("pages").select(F.concat(F.element_at(F.split(site, r"\."), -1), F.lit("/"), name, F.when(n % 13 == 0, ".pdf.pdf").otherwise(".pdf")).alias("path"), F.sha2((n % 40).cast("string"), 256).alias("sha256")).groupBy("path").agg(F.min("sha256").alias("sha256"))
+
+
+def file_groups(s: Star) -> DataFrame:
+    return files.groups(_files(s).select("path"))
+
+
+def file_classes(s: Star) -> DataFrame:
+    return files.classified(_files(s), DRAFTS, RULES, "law_").groupBy("status", "target").agg(F.count("*").alias("files"))
+
+
+QUERIES |= {
+    "ret06_search": _of(search),
+    "ret06_search_by_words": _of(search_by_words),
+    "prj03_index_metadata": _of(index_metadata),
+    "pl07_manner": _of(manner),
+}
+
+_INDEXED = "di AS (SELECT doc_id, source, concat_ws(chr(10), title, source, coalesce(text, '')) AS text FROM dt)"
+_SEARCHED = _ROUTED.replace("FROM dt))", "FROM di))")
+_PLAIN_ONES = "po AS (SELECT query_id FROM gr GROUP BY 1 HAVING count(*) = 1 AND min(source) = 'shopee_policy')"
+_FUSED = f"""x AS (SELECT query_id, doc_id, rank AS vr, {_NORM} AS vn FROM (SELECT *, CAST(score AS DOUBLE) AS s FROM dm) WINDOW w AS (PARTITION BY query_id)), y AS (SELECT query_id, doc_id, rank AS br, {_NORM} AS bn FROM (SELECT *, CAST(score AS DOUBLE) AS s FROM bm) WINDOW w AS (PARTITION BY query_id)),
+    k AS (SELECT query_id, doc_id, 0.62::DOUBLE * coalesce(vn, 0) + 0.38::DOUBLE * coalesce(bn, 0) + CASE WHEN vr IS NOT NULL AND br IS NOT NULL THEN 0.05::DOUBLE ELSE 0 END AS base FROM x FULL JOIN y USING (query_id, doc_id)),
+    z AS (SELECT query_id, doc_id, CAST(base + coalesce(CAST({_BONUS} AS DOUBLE), 0) AS DECIMAL(18,6)) AS score FROM k JOIN qf USING (query_id) LEFT JOIN df2 USING (doc_id)),
+    best AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM z) WHERE rank <= 3)"""
+_ORDER = f"WITH {_BASE}, {_FORMS}, {_INDEXED}, {_SEARCHED}, {_PLAIN_ONES}"
+ORACLES |= {
+    "ret06_search": f"{_ORDER}, {_DENSE}, dm AS (SELECT * FROM dn WHERE query_id NOT IN (SELECT query_id FROM po)), {_FUSED} SELECT query_id, rank, doc_id, score, CASE WHEN query_id IN (SELECT query_id FROM po) THEN 'bm25_fast_path' ELSE 'hybrid_with_heuristic' END AS mode FROM best",
+    "ret06_search_by_words": f"{_ORDER}, dm AS (SELECT * FROM bm WHERE false), {_FUSED} SELECT query_id, rank, doc_id, score, CASE WHEN query_id IN (SELECT query_id FROM po) THEN 'bm25_fast_path' ELSE 'bm25_without_vector_db' END AS mode FROM best",
+    "prj03_index_metadata": f"WITH {_BASE} SELECT document_id, CASE WHEN doc_id % 3 <> 0 THEN CAST(doc_id AS VARCHAR) ELSE '' END AS chunk_index, title, source AS source_group, page, '[' || page || ']' AS pages, '' AS sha256 FROM dt",
+    "pl07_manner": f"""WITH {QUESTIONS_SQL}, f AS (SELECT id, {form_sql("question")} AS form FROM qs) SELECT id, {any_sql(quick_rules.OFF_SUBJECT)} AND NOT {any_sql(quick_rules.ON_SUBJECT)} AS off_subject, {any_sql(quick_rules.DATA_FILES)} AS asks_files,
+        {any_sql(quick_rules.LAST_SOURCE)} AS asks_source, {any_sql(quick_rules.DETAIL)} AS wants_detail, CASE WHEN form IN ({", ".join(repr(x) for x in quick_rules.GREETINGS)}) THEN 'greeting' WHEN starts_with(form, 'cam on') THEN 'thanks'
+        WHEN form IN ({", ".join(repr(x) for x in quick_rules.AGREED)}) THEN 'agreed' WHEN form IN ({", ".join(repr(x) for x in quick_rules.ABLE)}) OR (contains(form, 'ban') AND contains(form, 'giup') AND contains(form, 'gi')) THEN 'able' WHEN form IN ({", ".join(repr(x) for x in quick_rules.WHO)}) THEN 'who' END AS smalltalk FROM f""",
+}
+
+QUERIES |= {"aud03_file_groups": _of(file_groups), "aud04_file_classes": _of(file_classes)}
+_SITE = "regexp_extract(url, '^https?://([^/]+)/', 1)"
+_FILES = f"""n AS (SELECT page_id AS n, {_SITE} AS site FROM pages), p AS (SELECT string_split(site, '.')[-1] || '/' || CASE WHEN n % 10 = 0 THEN 'law_' || n WHEN n % 101 = 1 THEN 'law_a_ing' WHEN n % 17 = 0 THEN 'abcdefghijklmnop' || n ELSE site || '_' || (n % 97) END
+    || CASE WHEN n % 13 = 0 THEN '.pdf.pdf' ELSE '.pdf' END AS path, sha256(CAST(n % 40 AS VARCHAR)) AS sha FROM n), fs AS (SELECT path, min(sha) AS sha FROM p GROUP BY path)"""
+ORACLES["aud03_file_groups"] = f"WITH {_FILES} SELECT string_split(path, '/')[1] AS \"group\", count(*) AS files FROM fs GROUP BY 1"
+ORACLES["aud04_file_classes"] = f"""WITH {_FILES}, a AS (SELECT *, string_split(path, '/')[-1] AS name, trim(regexp_replace(regexp_replace(lower(regexp_replace(string_split(path, '/')[-1], '\\.[^.]*$', '')), '[^a-z0-9]+', ' ', 'g'), '\\s+', ' ', 'g'), ' ') AS form FROM fs),
+    k AS (SELECT *, CASE WHEN starts_with(name, 'law_') THEN 'standard' WHEN contains(form, 'thsh') OR contains(form, 'du thao') THEN 'excluded_draft' WHEN regexp_full_match(replace(form, ' ', ''), '[a-z0-9]{{15,}}') THEN 'manual_review' END AS kind FROM a),
+    t AS (SELECT *, CASE WHEN kind IS NULL THEN CASE WHEN contains(form, 'ing') OR contains(form, 'thion') THEN 'a_ing.pdf' WHEN contains(form, 'er') THEN 'b_er.pdf' WHEN contains(form, 'th') THEN 'c_th.pdf' END END AS target FROM k),
+    o AS (SELECT target, arg_min(path, (late, path)) AS owner, arg_min(sha, (late, path)) AS osha FROM (SELECT name AS target, 0 AS late, path, sha FROM t WHERE kind = 'standard' UNION ALL SELECT target, 1, path, sha FROM t WHERE target IS NOT NULL) GROUP BY target)
+    SELECT status, target, count(*) AS files FROM (SELECT t.target, coalesce(kind, CASE WHEN t.target IS NULL THEN 'unrecognized' WHEN owner = path THEN 'renamed' WHEN osha = sha THEN 'duplicate' ELSE 'conflict' END) AS status FROM t LEFT JOIN o USING (target)) GROUP BY ALL"""
