@@ -3,18 +3,34 @@
 from __future__ import annotations
 
 import json
+import unicodedata
 from html.entities import html5
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
-#: Fixed: accented Vietnamese and Latin letters and the plain letters they fold to, row by row.
-FOLDED = {
-    "a": "àáảãạăằắẳẵặâầấẩẫậäåā", "c": "çćč", "d": "đ", "e": "èéẻẽẹêềếểễệëē", "i": "ìíỉĩịîïī", "n": "ñń", "o": "òóỏõọôồốổỗộơờớởỡợöøō",
-    "u": "ùúủũụưừứửữựûüū", "y": "ỳýỷỹỵÿ", "s": "śš", "z": "źżž",
-}
-_FROM = "".join(FOLDED.values())
-_TO = "".join(k * len(v) for k, v in FOLDED.items())
+from ..session import ship_package
+
+def _folding() -> tuple[str, str]:
+    """The characters that folding replaces, and by what; those without a counterpart go. By Unicode's own rule: a lower
+    case letter whose canonical decomposition is a plain letter and marks is that letter, and marks are nothing. The d with
+    a stroke has no decomposition; it counts as d."""
+    known, marks = {"đ": "d"}, []
+    for code in range(0x80, 0x10000):
+        character = chr(code)
+        if unicodedata.category(character) == "Mn":
+            marks.append(character)
+            continue
+        plain = "".join(c for c in unicodedata.normalize("NFD", character) if unicodedata.category(c) != "Mn").lower()
+        if plain != character and len(plain) == 1 and plain.isascii():
+            known[character] = plain
+    return "".join(known) + "".join(marks), "".join(known.values())
+
+
+_FROM, _TO = _folding()
 
 
 def fold(text: Column) -> Column:
@@ -22,6 +38,20 @@ def fold(text: Column) -> Column:
     return F.translate(F.lower(text), _FROM, _TO)
 
 
+@pandas_udf(StringType())
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
+def composed(text: Column) -> Column:
+    """A text in composed form, with plain spaces, quotes and breaks: hard spaces as spaces, curly quotes as straight ones,
+    spaces squeezed, at most one blank line in a row. Null is an empty text."""
+    ship_package(SparkSession.active())
+    # Fixed: the characters that stand for others.
+    plain = F.translate(_composed(F.coalesce(text, F.lit(""))), "\u00a0\u201c\u201d\u2019", " \"\"'")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"[ \t]+", " "), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+
+
 def squeeze(text: Column) -> Column:
     """White space as single spaces, none at the ends."""
     return F.trim(F.regexp_replace(text, r"\s+", " "))

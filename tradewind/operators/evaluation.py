@@ -1,4 +1,4 @@
-"""Evaluation: ranking metrics, classification metrics, their summaries, planner metrics and error classes."""
+"""Evaluation: ranking metrics, classification metrics, their summaries, and planner metrics."""
 
 from __future__ import annotations
 

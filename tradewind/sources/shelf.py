@@ -76,8 +76,14 @@ def _one_byte(content, encoding: str):
     return F.when(F.translate(text, none, "") == text, read) if none else read
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, mark: bool = True) -> bool:
+    """CSV files with a header, each after a byte order mark; no rows write nothing, and give False."""
+    if df.isEmpty():
+        return False
+    first = df.columns[0]
+    named = df.withColumnRenamed(first, f"\ufeff{first}") if mark else df
+    named.write.mode("overwrite").option("header", True).csv(path)
+    return True
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
