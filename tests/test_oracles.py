@@ -41,7 +41,7 @@ def test_query_equals_sql(spark, con, name):
 
 def test_every_query_is_there():
     assert set(registry.oracle_sql()) <= set(registry.queries())
-    assert set(registry.queries()) - set(registry.oracle_sql()) == {"wn08_budget", "str12_chunks", "snk07_manifest"}
+    assert set(registry.queries()) - set(registry.oracle_sql()) == {"str12_chunks"}
 
 
 def test_entry(spark):

@@ -187,3 +187,37 @@ def lenient_boolean(text: Column) -> Column:
 
 def lenient_number(text: Column) -> Column:
     return F.coalesce(F.trim(text).try_cast("double"), F.lit(0.0))
+
+
+# What a question asks for, the first kind that applies; and what a text must hold to answer it.
+KINDS = {
+    "duration": ("bao lau", "thoi han"), "number": ("bao nhieu", "muc phi", "ty le", "gmv"), "formula": ("tinh nhu the nao", "cong thuc", "base_string", "chu ky"),
+    "list": ("nhung san pham nao", "danh sach", "bi cam"), "obligation": ("trach nhiem", "nghia vu", "bao ve"),
+}
+ANSWERS = {
+    "duration": (r"(?iu)(?<![\p{L}\p{N}_])\d+\s*(ngày|giờ|tháng|năm)(?![\p{L}\p{N}_])", ("trong vong", "thoi han", "moc thoi gian")), "number": (r"\d", ()),
+    "formula": ("=", ("base_string", "partner_id", "api_path", "cach tinh", "cong thuc", "phi xu ly giao dich", "muc phi")),
+    "list": ("(?!)", ("danh sach", "bi cam", "khong duoc phep", "4.1", "4.2", "4.3")),
+}
+DEADLINE = (r"người\s*bán.{0,140}phản\s*hồi.{0,80}\d+\s*(ngày|giờ)", r"phản\s*hồi.{0,80}\d+\s*(ngày|giờ).{0,140}người\s*bán", r"trong\s*vòng\s*\d+\s*(ngày|giờ).{0,120}phản\s*hồi")
+
+
+def _any(form: Column, phrases: tuple[str, ...]) -> Column:
+    return reduce(Column.__or__, (F.contains(form, F.lit(p)) for p in phrases), F.lit(False))
+
+
+def question_kind(question: Column) -> Column:
+    """What a question asks for: a duration, number, formula, list or obligation, else something general."""
+    return _let(match_form(question), lambda f: reduce(lambda chain, kind: chain.when(_any(f, KINDS[kind]), kind), KINDS, F).otherwise("general"))
+
+
+def answers(kind: Column, context: Column) -> Column:
+    """Whether a text can answer a question of that kind; an empty one answers none."""
+    raw = F.coalesce(context, F.lit(""))
+    found = _let(match_form(raw), lambda f: reduce(lambda chain, k: chain.when(kind == k, raw.rlike(ANSWERS[k][0]) | _any(f, ANSWERS[k][1])), ANSWERS, F).otherwise(True))
+    return (raw != "") & found
+
+
+def names_deadline(context: Column) -> Column:
+    """Whether a text says within how many days or hours a seller must reply."""
+    return reduce(Column.__or__, (F.coalesce(context, F.lit("")).rlike(f"(?isu){p}") for p in DEADLINE))

@@ -227,3 +227,9 @@ _REF = "regexp_extract(x, '^(#[0-9]{1,8}|[A-Za-z][A-Za-z0-9]*);', 1)"
 _CHARACTER = "CASE {r} {n} WHEN '' THEN NULL ELSE CASE WHEN {r}[1] = '#' THEN chr(CAST({r}[2:] AS INTEGER)) END END".format(r=_REF, n=" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _NAMES.items()))
 _HTML = f"list_reduce(list_prepend({_PARTS}[1], list_transform({_PARTS}[2:], lambda x: coalesce({_CHARACTER} || x[length({_REF}) + 2:], '&' || x))), lambda a, b: a || b)"
 ORACLES["src12_html_text"] = f"SELECT page_id, {_clean(_HTML)} AS text FROM pages"
+_EMPTY = "{'used': CAST(0 AS BIGINT), 'seen': CAST([] AS VARCHAR[]), 'kept': CAST([] AS BIGINT[]), "
+ORACLES["wn08_budget"] = (
+    f"WITH n AS ({ORACLES['jn12_context']}), i AS (SELECT query_id, list({_EMPTY}'o': CAST(place AS BIGINT), 'n': CAST(length(text) AS BIGINT), 'f': left(text, 250)}} ORDER BY place) AS items FROM n GROUP BY query_id), "
+    f"r AS (SELECT query_id, list_reduce(list_prepend({_EMPTY}'o': CAST(0 AS BIGINT), 'n': CAST(0 AS BIGINT), 'f': ''}}, items), lambda acc, x: CASE WHEN acc.used + x.n <= 1200 AND len(acc.kept) < 4 AND NOT list_contains(acc.seen, x.f) "
+    "THEN {'used': acc.used + x.n, 'seen': list_append(acc.seen, x.f), 'kept': list_append(acc.kept, x.o), 'o': CAST(0 AS BIGINT), 'n': CAST(0 AS BIGINT), 'f': ''} ELSE acc END) AS z FROM i) SELECT query_id, unnest(z.kept) AS place FROM r"
+)

@@ -223,3 +223,15 @@ ORACLES = {
     "src23_posts": """WITH t AS (SELECT *, trim(regexp_replace(coalesce(html, 'Bài viết không có nội dung'), '\\s+', ' ', 'g'), ' ') AS m FROM pages)
         SELECT left(m, 110) || CASE WHEN length(m) > 110 THEN '…' ELSE '' END AS title, 'Facebook Page đã cấp quyền' AS creator, '2026-02-03' AS published_at, CASE WHEN page_id % 3 <> 0 THEN url ELSE '' END AS url FROM t""",
 }
+
+
+def _digest(table: str, columns: dict[str, str]) -> str:
+    """A table's digest: sums of four parts of its rows' digests, of their JSON with names in order."""
+    row = "sha256('{' || " + " || ',' || ".join(f"'\"{c}\":' || coalesce(" + (f"CAST(to_json({c}) AS VARCHAR)" if kind == "text" else f"CAST({c} AS VARCHAR)") + ", 'null')" for c, kind in sorted(columns.items())) + " || '}')"
+    sums = ", ".join(f"CAST(coalesce(sum(CAST('0x' || substr(h, {1 + 16 * n}, 16) AS UBIGINT)), 0) % 18446744073709551616::HUGEINT AS VARCHAR)" for n in range(4))
+    return f"SELECT '{table}' AS \"table\", count(*) AS rows, sha256(concat_ws(',', '{','.join(sorted(columns))}', CAST(count(*) AS VARCHAR), {sums})) AS sha256, 'retrieval' AS evaluation, '{{\"bonus\":\"no\",\"k\":\"10\"}}' AS configuration, 'draft' AS status FROM (SELECT {row} AS h FROM {table})"
+
+
+ORACLES["snk07_manifest"] = " UNION ALL ".join((
+    _digest("labels", {"doc_id": "number", "quality": "number", "toxic": "number"}), _digest("benchmark", {"item_id": "number", "text": "text"}), _digest("region", {"r_regionkey": "number", "r_name": "text"}),
+))

@@ -287,3 +287,22 @@ ORACLES["flt08_dashboard_rows"] = sql(
     )),
     "lines", "ev",
 ).replace(" SELECT 'products'", ", od AS (SELECT DISTINCT strftime(order_date, '%Y-%m') AS month, l_orderkey AS k, l_partkey AS sku FROM lines) SELECT 'products'", 1)
+
+
+CONTEXTS = ("Phản hồi trong vòng 3 ngày, người bán", "Trong vòng 12 giờ phải phản hồi", "Danh sách sản phẩm bị cấm 4.1", "a = b", "không có gì", "Người bán có 2 Ngày để phản hồi trong 5 ngày", "5 ngàyx")
+ASKED = ("bao lâu", "tỷ lệ bao nhiêu", "công thức", "danh sách bị cấm", "trách nhiệm", "xin chào")
+
+
+def answerable(s: Star) -> DataFrame:
+    """Whether each document answers a question of its number."""
+    n = F.col("doc_id")
+    d = s.raw("documents").select("doc_id", F.concat_ws(" ", _at(CONTEXTS, n), F.when(n % 3 != 0, F.translate("text", "0123456789=", ""))).alias("context"), w.question_kind(_at(ASKED, n)).alias("kind"))
+    return d.select("doc_id", "kind", w.answers(F.col("kind"), F.col("context")).alias("answered"), w.names_deadline(F.col("context")).alias("deadline"))
+
+
+QUERIES["str21_answerable"] = _of(answerable)
+_HAS = lambda view, words: "(" + " OR ".join(f"contains({view}, '{x}')" for x in words) + ")"
+ORACLES["str21_answerable"] = f"""WITH d AS (SELECT doc_id, concat_ws(' ', {_pick(CONTEXTS, "doc_id")}, CASE WHEN doc_id % 3 <> 0 THEN regexp_replace(text, '[0-9=]', '', 'g') END) AS c, ['duration', 'number', 'formula', 'list', 'obligation', 'general'][doc_id % 6 + 1] AS kind FROM documents), f AS (SELECT *, {_FORM("c")} AS form FROM d)
+    SELECT doc_id, kind, CASE kind WHEN 'duration' THEN regexp_matches(c, '(?i)(^|[^\\p{{L}}\\p{{N}}_])\\d+\\s*(ngày|giờ|tháng|năm)($|[^\\p{{L}}\\p{{N}}_])') OR {_HAS("form", ("trong vong", "thoi han", "moc thoi gian"))} WHEN 'number' THEN regexp_matches(c, '[0-9]')
+    WHEN 'formula' THEN contains(c, '=') OR {_HAS("form", ("base_string", "partner_id", "api_path", "cach tinh", "cong thuc", "phi xu ly giao dich", "muc phi"))} WHEN 'list' THEN {_HAS("form", ("danh sach", "bi cam", "khong duoc phep", "4.1", "4.2", "4.3"))} ELSE true END AS answered,
+    regexp_matches(c, '(?is)người\\s*bán.{{0,140}}phản\\s*hồi.{{0,80}}\\d+\\s*(ngày|giờ)') OR regexp_matches(c, '(?is)phản\\s*hồi.{{0,80}}\\d+\\s*(ngày|giờ).{{0,140}}người\\s*bán') OR regexp_matches(c, '(?is)trong\\s*vòng\\s*\\d+\\s*(ngày|giờ).{{0,120}}phản\\s*hồi') AS deadline FROM f"""
