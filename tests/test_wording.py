@@ -118,3 +118,17 @@ def test_manner(spark):
     rows = [("Cảm ơn bạn",), ("xin chào",), ("giá bitcoin",), ("giá bitcoin trên shopee",), ("bạn giúp tôi cái gì",), (None,)]
     got = [(r.off_subject, r.smalltalk) for r in quick_rules.manner(spark.createDataFrame(rows, "question string")).collect()]
     assert got == [(False, "thanks"), (False, "greeting"), (True, None), (False, None), (False, "able"), (False, None)]
+
+
+def test_listing_and_bad_lines(spark, tmp_path):
+    (tmp_path / "raw" / "law" / "deep").mkdir(parents=True)
+    (tmp_path / "raw" / "law" / "a.PDF").write_bytes(b"x")
+    (tmp_path / "raw" / "law" / "deep" / "b.txt").write_bytes(b"zz")
+    (tmp_path / "raw" / "c.csv").write_bytes(b"y")
+    got = {r.path.rsplit("/", 1)[1]: (r.group, r.extension, r.bytes, r.status) for r in shelf.files(spark, str(tmp_path / "raw")).collect()}
+    assert got == {"a.PDF": ("law", ".pdf", 1, "ok"), "b.txt": ("law", ".txt", 2, "ok"), "c.csv": ("", ".csv", 1, "ok")}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text("".join('{"a": 1}\n' if n % 7 else ("\n" if n % 2 else f"[{n}]\n") for n in range(50)), encoding="utf-8")
+    (tmp_path / "in" / "b.jsonl").write_text('{"a"\n{}\nnull\n', encoding="utf-8")
+    bad = sorted((r.path.rsplit("/", 1)[1], r.line, r.value) for r in shelf.bad_json_lines(spark, str(tmp_path / "in")).collect())
+    assert bad == sorted([("a.jsonl", n + 1, f"[{n}]") for n in range(0, 50, 14)] + [("b.jsonl", 1, '{"a"'), ("b.jsonl", 3, "null")])

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ingest
+from ..operators.ordinals import running
 from ..schemas import REQUIRED, TABLES, raw_schema, typed_schema
 
 
@@ -44,11 +47,25 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def bad_json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, line, value of the lines that hold no JSON object; blank lines are passed over but counted. Lines are numbered
+    by where their file's blocks begin and their order in a block, over many tasks."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    parsed = F.try_parse_json("value")
+    bad = ~F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False)) & (F.trim("value") != "")
+    # Only numbers and marks are sorted; of the values, those of bad lines.
+    marked = rows.select("path", "block", "id", F.when(bad, F.col("value")).alias("value"))
+    numbered_rows = running(marked, ["path"], [F.col("block"), F.col("id")], {"line": F.lit(1)})
+    return numbered_rows.filter("value is not null").select("path", "line", "value")
+
+
 def files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = (), denied: tuple[str, ...] = ()) -> DataFrame:
-    """path, extension, bytes, sha256 of a folder's files, recursively, filtered by extension and by folder name."""
+    """path, group (its first folder below `folder`), extension, bytes, sha256, status (ok, too_large) of a folder's
+    files, recursively, filtered by extension and by folder name. Spark lists no empty files."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    df = df.select("path", ext.alias("extension"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    below = F.regexp_extract("path", re.escape("/" + folder.rstrip("/").rsplit("/", 1)[-1]) + "/(?:([^/]+)/)?[^/]*", 1)
+    df = df.select("path", below.alias("group"), ext.alias("extension"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.when(F.col("length") > ingest.MOST_BYTES, "too_large").otherwise("ok").alias("status"))
     if extensions:
         df = df.filter(F.col("extension").isin(*extensions))
     for d in denied:
