@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import dropped, small_batches, written
 
 ROUNDS = 60
 #: Edges that a task brings to stars at once before the first round.
@@ -82,7 +82,8 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: hang a node and its smaller neighbours on the smallest of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         lower = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = written(lower.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        before, edges = edges, written(lower.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        dropped(before)
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, gram_hashes, mix64, ranges, small_batches, words, written
+from .common import documents, dropped, gram_hashes, mix64, ranges, small_batches, words, written
 from .components import Groups, components
 
 #: Members of the sets in one block at most (but for a single larger set), and classes in one block at most.
@@ -309,10 +309,10 @@ def _sieve(cids: DataFrame) -> tuple[int, np.ndarray]:
     return bits, table
 
 
-def _dealt_sets(docs: DataFrame, places: DataFrame, k: int, *order: str) -> DataFrame:
+def _dealt_sets(docs: DataFrame, places: DataFrame, k: int, *order: str) -> tuple[DataFrame, DataFrame]:
     """key, octave, salt, head, cid, label, members: the sets of the classes in places, brought to their trees and in
     order there. places: cid, label, key, octave, head, salts. Texts are not shuffled: a sieve drops most rows before
-    their words are hashed, and sets are joined with their places."""
+    their words are hashed, and sets are joined with their places. Also the places as they were written."""
     spark = docs.sparkSession
     small_batches(spark)
     places = written(places, "places")
@@ -332,7 +332,7 @@ def _dealt_sets(docs: DataFrame, places: DataFrame, k: int, *order: str) -> Data
     sets = rows.mapInArrow(run, "cid long, members array<long>").dropDuplicates(["cid"])
     placed = sets.join(places, "cid").select("key", "octave", F.explode("salts").alias("salt"), "head", "cid", "label", "members")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartition(parts, "key", "octave", "salt").sortWithinPartitions("key", "octave", "salt", *order, "cid")
+    return placed.repartition(parts, "key", "octave", "salt").sortWithinPartitions("key", "octave", "salt", *order, "cid"), places
 
 
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, int, list[tuple]]]:
@@ -388,8 +388,8 @@ def in_blocks(sets: DataFrame, num: int, den: int) -> DataFrame:
     return sets.mapInArrow(run, "a long, b long")
 
 
-def across_blocks(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: different labels with a link, in one block of a large tree or in two."""
+def across_blocks(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """a, b: different labels with a link, in one block of a large tree or in two; and the blocks as they were written."""
     longs = pa.list_(pa.int64())
     schema = pa.schema([("key", pa.int64()), ("octave", pa.int32()), ("block", pa.string()), ("low", pa.int64()), ("high", pa.int64()), ("l0", pa.int64()), ("l1", pa.int64()), ("ids", longs), ("labels", longs), ("sizes", longs), ("members", pa.binary()), ("a", longs), ("b", longs)])
     ddl = "key long, octave int, block string, low long, high long, l0 long, l1 long, ids array<long>, labels array<long>, sizes array<long>, members binary, a array<long>, b array<long>"
@@ -418,7 +418,7 @@ def across_blocks(sets: DataFrame, num: int, den: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in links(bx, by, num, den)], ["a", "b"])
 
     own = blocks.select(F.explode(F.arrays_zip("a", "b")).alias("p")).select("p.a", "p.b")
-    return own.union(met.select("octave", "x", "y").mapInArrow(across, "a long, b long"))
+    return own.union(met.select("octave", "x", "y").mapInArrow(across, "a long, b long")), blocks
 
 
 def class_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -439,8 +439,10 @@ def class_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     each = placed.join(groups, ["key", "octave"])
     head = F.col("heavy") & (F.pmod(F.xxhash64("cid"), F.col("count")) < HEADS)
     salt = F.when(head, F.sequence(F.lit(0).cast("long"), F.col("n_salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cid", "octave"), F.col("n_salts"))))
-    dealt = _dealt_sets(docs, each.select("cid", F.col("cid").alias("label"), "key", "octave", head.alias("head"), salt.alias("salts")), k, "head")
+    dealt, used = _dealt_sets(docs, each.select("cid", F.col("cid").alias("label"), "key", "octave", head.alias("head"), salt.alias("salts")), k, "head")
     roots = components(in_blocks(dealt, num, den))
+    # Each table goes when what is made of it has been written.
+    done = [sized, placed, groups, used, merged, roots]
     if not groups.filter("heavy").isEmpty():
         labels = roots.select(F.col("node").alias("cid"), F.col("root").alias("label"))
         named = written(each.filter("heavy").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid")), "named")
@@ -448,8 +450,10 @@ def class_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
         # Blocks of like sizes, so that many pairs of blocks are too far apart in size.
         step = F.floor(F.log("n") / F.log(F.lit(STEP))).cast("long")
         salt = F.array(step * F.col("n_salts") + F.pmod(F.xxhash64("label"), F.col("n_salts")))
-        dealt = _dealt_sets(docs, named.join(still, ["key", "octave"]).select("cid", "label", "key", "octave", F.lit(False).alias("head"), salt.alias("salts")), k, "label")
-        more = components(across_blocks(dealt, num, den))
+        dealt, used = _dealt_sets(docs, named.join(still, ["key", "octave"]).select("cid", "label", "key", "octave", F.lit(False).alias("head"), salt.alias("salts")), k, "label")
+        across, blocks = across_blocks(dealt, num, den)
+        more = components(across)
+        done += [named, used, blocks, more]
         # Labels that links connect get one root; classes that had no link are their own label.
         further = more.select(F.col("node").alias("root"), F.col("root").alias("further"))
         alone = more.join(roots, "node", "left_anti")
@@ -459,7 +463,10 @@ def class_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     linked = written(classes.join(sized, "cid").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left"), "linked")
     least = linked.filter("root is not null").groupBy("root").agg(F.min("rep").alias("least"))
     known = linked.join(least, "root", "left").select("cid", "n", F.coalesce("least", "rep").alias("component"), F.coalesce("root", "cid").alias("root"), "copies")
-    return rows, written(known, "known")
+    known = written(known, "known")
+    for table in [*done, linked]:
+        dropped(table)
+    return rows, known
 
 
 def similarity_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -493,7 +500,10 @@ def survivors(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFr
     same = (F.col("doc_id") == F.col("kept_id")) & (F.col("cid") == F.col("kept_cid"))
     # What goes, and what is repeated, is the smaller part.
     out = body.join(written(seen.filter("not stays or rows > 1").select("kept_id", "kept_cid"), "gone"), same, "left_anti").select("doc.*")
+    dropped(rows)
+    dropped(known)
     repeated = seen.filter("stays and rows > 1")
     if repeated.isEmpty():
+        dropped(seen)
         return out
     return out.unionByName(body.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "cid"]).select("doc.*"))
