@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import dropped, small_batches, written
 from .components import components
 from .vectors import finite, looked_up, matrix
 
@@ -194,8 +194,9 @@ def _compared(placed: DataFrame, width: int, threshold: float) -> DataFrame:
     return placed.mapInArrow(run, "a long, b long, n long")
 
 
-def _blocks(homes: DataFrame, guests: DataFrame) -> DataFrame:
-    """place, left, right, role, rep: which vectors meet in which block pairs. Places where nobody meets are left out."""
+def _blocks(homes: DataFrame, guests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """place, left, right, role, rep: which vectors meet in which block pairs. Places where nobody meets are left out. Also
+    the table that these are made of."""
     guests = guests.join(homes.select("place").distinct().hint("shuffle_hash"), "place", "left_semi")
     both = written(homes.withColumn("home", F.lit(1)).unionByName(guests.withColumn("home", F.lit(0))), "near_places")
     size = both.groupBy("place").agg(F.count(F.lit(1)).alias("rows"), F.sum("home").alias("at_home")).filter("rows > 1 and at_home > 0")
@@ -208,7 +209,7 @@ def _blocks(homes: DataFrame, guests: DataFrame) -> DataFrame:
     as_left = F.when(F.col("home") == 1, F.transform(others, lambda i: pair(own, i, 1))).otherwise(F.array().cast("array<struct<left:int,right:int,role:int>>"))
     as_right = F.transform(others, lambda i: pair(i, own, 2))
     itself = F.array(pair(own, own, 2).withField("role", F.when(F.col("home") == 1, 3).otherwise(2)))
-    return known.select("place", "rep", F.explode(F.when(n == 1, F.array(one)).otherwise(F.concat(as_left, as_right, itself))).alias("m")).select("place", "m.*", "rep")
+    return known.select("place", "rep", F.explode(F.when(n == 1, F.array(one)).otherwise(F.concat(as_left, as_right, itself))).alias("m")).select("place", "m.*", "rep"), both
 
 
 def links(classes: DataFrame, model: Codes, width: int, threshold: float = COSINE) -> DataFrame:
@@ -217,9 +218,11 @@ def links(classes: DataFrame, model: Codes, width: int, threshold: float = COSIN
     small_batches(classes.sparkSession)
     coded = _coded(classes, model, width)
     homes, guests = _places(coded)
-    blocks = _blocks(homes, guests)
+    blocks, places = _blocks(homes, guests)
     placed = blocks.join(coded, "rep").repartition("place", "left", "right").sortWithinPartitions("place", "left", "right")
     found = written(_compared(placed.select("place", "left", "right", "role", "rep", "copies", "v", "codes"), width, threshold), "near_links")
+    dropped(places)
+    dropped(coded)
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     roots = components(found.filter("a <> b").select("a", "b"))
     return counts.join(roots.select(F.col("node").alias("rep"), "root"), "rep")
