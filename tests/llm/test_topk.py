@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -87,3 +88,17 @@ def test_few_and_none(spark):
     schema = "vec_id long, embedding array<float>"
     assert topk.search(spark.createDataFrame([], schema)).count() == 0
     assert [tuple(r) for r in topk.search(spark.createDataFrame([(0, [0.5]), (1, [0.25])], schema)).collect()] == [(0, 1, 1, 512 * 256)]
+
+
+def test_equal_vectors_take_bounded_memory():
+    """A whole block of equal vectors against as many queries as are scored together: nothing can be dropped."""
+    x = np.ones((topk.BLOCK, 64))
+    block = topk.Segments(np.arange(topk.BLOCK), x)
+    q_ids = np.arange(topk.TOGETHER) * 100
+    state = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in q_ids]
+    tracemalloc.start()
+    topk.search_block(block, q_ids, np.ones((topk.TOGETHER, 64)), 10, state)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6, peak
+    assert all(s[0].tolist() == [i for i in range(12) if i != own][:10] and set(s[1].tolist()) == {64} for own, s in zip(q_ids, state))

@@ -153,13 +153,13 @@ def search_block(block: Segments, q_ids: np.ndarray, q: np.ndarray, k: int, stat
         rows, cols, taken = block.possible(q[some], q_ids[some], k, known)
         work += taken * len(known) + len(rows) * wide
         order = np.argsort(cols, kind="stable")
-        rows, cols = rows[order], cols[order]
-        scores = _exact(x[rows], q[some][cols])
-        ends = np.searchsorted(cols, np.arange(len(known) + 1))
+        rows, ends = rows[order], np.searchsorted(cols[order], np.arange(len(known) + 1))
         for c in range(len(known)):
-            mine = slice(ends[c], ends[c + 1])
+            # A query's candidates at a time: where nothing can be dropped, these are a block's vectors.
+            mine = rows[ends[c] : ends[c + 1]]
+            scores = _exact(x[mine], np.broadcast_to(q[at + c], (len(mine), x.shape[1])))
             ids, old = state[at + c]
-            ids, all_scores = np.r_[ids, block.ids[rows[mine]]], np.concatenate([old, scores[mine]])
+            ids, all_scores = np.r_[ids, block.ids[mine]], np.concatenate([old, scores])
             top = best(ids, all_scores, k)
             state[at + c] = (ids[top], all_scores[top])
     return work
