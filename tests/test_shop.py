@@ -152,3 +152,10 @@ def test_scorecard_needs_evidence(spark):
     got = {r.sku: r for r in reports.scorecard({n: spark.createDataFrame(rows, names[n]) for n, rows in tables.items()}).collect()}
     assert [s for s, r in got.items() if r.recommended] == ["b"] and got["a"].evidence_gaps == "review" and got["a"].gmv > got["b"].gmv
     assert {s for s, r in got.items() if r.top_risk} == {"c"} and got["c"].risk_signals == "lowest_contribution" and got["d"].contribution == 0 and got["b"].view_to_cart_percent == 10
+
+
+def test_search_terms_are_all_there(spark):
+    rows = [("2026-08-01", f"s{i % 7}", f"t{i:02d}", 10, i // 2, float(i % 4)) for i in range(45)] + [("2026-07-01", "s0", "old", 10, 1, 1.0)]
+    shop = {"search_performance": spark.createDataFrame(rows, "date string, sku string, search_term string, impressions int, clicks int, average_position double")}
+    got = [r.search_term for r in reports.search_terms(shop, "2026-08").collect()]
+    assert got == [f"t{i:02d}" for i in sorted(range(45), key=lambda i: (-(i // 2), i % 4, i))]

@@ -287,9 +287,9 @@ def _terms(shelf: Shelf, period: str | None) -> DataFrame:
     return s.withColumns({"_position": F.round("average_position", 2), "_ctr": F.round("ctr_percent", 2)})
 
 
-def search_terms(shelf: Shelf, period: str | None = None, top: int = 20) -> DataFrame:
-    """The terms with most clicks, then those found higher up."""
-    return _terms(shelf, period).orderBy(F.desc("clicks"), "_position", "search_term").limit(top).drop("_position", "_ctr")
+def search_terms(shelf: Shelf, period: str | None = None) -> DataFrame:
+    """All terms: those with most clicks first, then those found higher up."""
+    return _terms(shelf, period).orderBy(F.desc("clicks"), "_position", "search_term").drop("_position", "_ctr")
 
 
 def search_leaders(shelf: Shelf, period: str | None = None) -> DataFrame:
