@@ -37,7 +37,7 @@ class Groups:
         return a != b
 
 
-def _stars(edges: DataFrame) -> DataFrame:
+def stars(edges: DataFrame) -> DataFrame:
     """a, b: the edges of each task's part as stars around their smallest nodes, a > b."""
     small_batches(edges.sparkSession)
 
@@ -71,7 +71,7 @@ def _settled(edges: DataFrame) -> bool:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node of each component, for every node that has an edge to another. edges: a, b long."""
-    edges = written(_stars(edges).distinct(), "edges")
+    edges = written(stars(edges).distinct(), "edges")
     for _ in range(ROUNDS):
         if _settled(edges):
             break

@@ -27,15 +27,16 @@ left out; an empty table gives an empty one.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, dropped, gram_hashes, mix64, ranges, small_batches, words, written
-from .components import Groups, components
+from .components import Groups, components, stars
 
 #: Members of the sets in one block at most (but for a single larger set), and classes in one block at most.
 BLOCK_MEMBERS, BLOCK_CLASSES = 1 << 20, 512
@@ -47,6 +48,10 @@ FAN = 4
 STEP = 1.06
 #: Keys that a task looks through at once for classes that already share a tree.
 KEYS = 1 << 20
+#: Passes in which near-duplicates' keys are shuffled, some 230 a class at 4/5.
+PASSES = 2
+#: Members of the sets that a task holds, and of those that it reads against them, when blocks of a tree meet.
+HELD_MEMBERS, READ_MEMBERS = 1 << 21, 1 << 23
 #: Classes with more than this share of the rows are broadcast at the end: fewer than this many.
 HOT = 10_000
 #: Bits of the sieve that spares texts without a candidate a second pass, at most (8 MB).
@@ -273,8 +278,8 @@ def _new(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.filter(pa.array(new, pa.bool_()))
 
 
-def routes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """key, cid: the trees of each class (but for those that fewer_keys spares)."""
+def routes(docs: DataFrame, k: int, num: int, den: int, part: int = 0, parts: int = 1) -> DataFrame:
+    """key, cid: the trees of each class (but for those that fewer_keys spares) whose key modulo parts is part."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,6 +293,9 @@ def routes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
         for b in _new(batches):
             keys, owners = tree_keys(*member_sets(b["text"], k), num, den)
+            if parts > 1:
+                own = keys % np.uint64(parts) == part
+                keys, owners = keys[own], owners[own]
             held.append((keys, b["cid"].to_numpy()[owners]))
             if sum(len(h[0]) for h in held) >= KEYS:
                 yield flush()
@@ -309,6 +317,22 @@ def _sieve(cids: DataFrame) -> tuple[int, np.ndarray]:
     return bits, table
 
 
+def _sieved(cids: DataFrame) -> Callable[[Column], Column]:
+    """A test whether a long may be in column cid: true for all that are, and for few others."""
+    bits, table = _sieve(cids)
+    shared = cids.sparkSession.sparkContext.broadcast(table.tobytes())
+
+    @F.pandas_udf("boolean")
+    def has(p: pd.Series, q: pd.Series) -> pd.Series:
+        words = np.frombuffer(shared.value, np.uint64)
+        in_both = np.ones(len(p), np.uint64)
+        for at in (p.to_numpy(), q.to_numpy()):
+            in_both &= words[at >> 6] >> (at & 63).astype(np.uint64)
+        return pd.Series((in_both & np.uint64(1)).astype(bool))
+
+    return lambda cid: has(F.pmod(cid, F.lit(bits)), F.pmod(F.xxhash64(cid), F.lit(bits)))
+
+
 def _dealt_sets(docs: DataFrame, places: DataFrame, k: int, *order: str) -> tuple[DataFrame, DataFrame]:
     """key, octave, salt, head, cid, label, members: the sets of the classes in places, brought to their trees and in
     order there. places: cid, label, key, octave, head, salts. Texts are not shuffled: a sieve drops most rows before
@@ -388,8 +412,8 @@ def in_blocks(sets: DataFrame, num: int, den: int) -> DataFrame:
     return sets.mapInArrow(run, "a long, b long")
 
 
-def across_blocks(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """a, b: different labels with a link, in one block of a large tree or in two; and the blocks as they were written."""
+def across_blocks(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
+    """a, b: different labels with a link, in one block of a large tree or in two; and the tables written for it."""
     longs = pa.list_(pa.int64())
     schema = pa.schema([("key", pa.int64()), ("octave", pa.int32()), ("block", pa.string()), ("low", pa.int64()), ("high", pa.int64()), ("l0", pa.int64()), ("l1", pa.int64()), ("ids", longs), ("labels", longs), ("sizes", longs), ("members", pa.binary()), ("a", longs), ("b", longs)])
     ddl = "key long, octave int, block string, low long, high long, l0 long, l1 long, ids array<long>, labels array<long>, sizes array<long>, members binary, a array<long>, b array<long>"
@@ -403,31 +427,56 @@ def across_blocks(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataF
             yield pa.RecordBatch.from_pylist([row], schema=schema)
 
     blocks = written(sets.mapInArrow(run, ddl), "blocks")
-    brief = blocks.select("key", "octave", "block", "low", "high", "l0", "l1")
+    # Pairs of blocks are dealt by cells: some neighbours in size, which a task holds, by more of them, which it reads one
+    # by one. So a block is shipped to each cell that it is in, not for each other block that it meets.
+    tree = Window.partitionBy("key", "octave").orderBy("low", "block")
+    before = F.sum(F.length("members") / 8).over(tree.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.coalesce(before, F.lit(0))
+    brief = blocks.select("key", "octave", "block", "low", "high", "l0", "l1", F.row_number().over(tree).alias("place"), F.floor(before / HELD_MEMBERS).alias("held"), F.floor(before / READ_MEMBERS).alias("read"))
+    brief = written(brief, "brief")
     x, y = brief.alias("x"), brief.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.octave") == F.col("y.octave")) & (F.col("x.block") < F.col("y.block")) & ~F.expr("x.l0 = x.l1 and y.l0 = y.l1 and x.l0 = y.l0") & (F.col("x.high") * den >= F.col("y.low") * num) & (F.col("y.high") * den >= F.col("x.low") * num))
-    met = met.select(F.col("x.key").alias("key"), F.col("x.octave").alias("octave"), F.col("x.block").alias("bx"), F.col("y.block").alias("by"))
-    for side in ("x", "y"):
-        whole = blocks.select("key", "octave", F.col("block").alias(f"b{side}"), F.struct("ids", "labels", "sizes", "members").alias(side))
-        met = met.join(whole, ["key", "octave", f"b{side}"])
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.octave") == F.col("y.octave")) & (F.col("x.place") < F.col("y.place")) & ~F.expr("x.l0 = x.l1 and y.l0 = y.l1 and x.l0 = y.l0") & (F.col("x.high") * den >= F.col("y.low") * num) & (F.col("y.high") * den >= F.col("x.low") * num))
+    sides = F.explode(F.array(*(F.struct(F.lit(i).alias("side"), F.col(f"{t}.block").alias("block"), F.col(f"{t}.place").alias("place")) for i, t in enumerate("xy")))).alias("s")
+    cells = met.select("x.key", "x.octave", "x.held", "y.read", sides).select("key", "octave", "held", "read", "s.*").distinct()
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cells.join(blocks.select("key", "octave", "block", "ids", "labels", "sizes", "members"), ["key", "octave", "block"])
+    dealt = dealt.repartition(parts, "key", "octave", "held", "read").sortWithinPartitions("key", "octave", "held", "read", "side", "place")
 
     def across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
         for batch in batches:
-            for octave, *sides in zip(*(batch[c].to_pylist() for c in ("octave", "x", "y")), strict=True):
-                bx, by = (Block(np.array(s["ids"]), np.array(s["labels"]), np.split(np.frombuffer(s["members"], np.uint64), np.cumsum(s["sizes"])[:-1]), bitmap_width(octave)) for s in sides)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in links(bx, by, num, den)], ["a", "b"])
+            names = [batch[c].to_pylist() for c in ("key", "octave", "held", "read", "side", "place")]
+            for i, (*here, side, place) in enumerate(zip(*names, strict=True)):
+                if here != cell:
+                    cell, held = here, []
+                ids, labels, sizes = (np.array(batch[c][i].as_py()) for c in ("ids", "labels", "sizes"))
+                block = Block(ids, labels, np.split(np.frombuffer(batch["members"][i].as_py(), np.uint64), np.cumsum(sizes)[:-1]), bitmap_width(here[1]))
+                if side == 0:
+                    held.append((place, block))
+                    continue
+                for other in (b for p, b in held if p < place):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in links(other, block, num, den)], ["a", "b"])
 
     own = blocks.select(F.explode(F.arrays_zip("a", "b")).alias("p")).select("p.a", "p.b")
-    return own.union(met.select("octave", "x", "y").mapInArrow(across, "a long, b long")), blocks
+    return own.union(dealt.mapInArrow(across, "a long, b long")), [blocks, brief]
 
 
-def class_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> tuple[DataFrame, DataFrame]:
+def shared_trees(docs: DataFrame, k: int, num: int, den: int, passes: int) -> DataFrame:
+    """a, b: classes of one tree, as stars. Keys are far more than texts, so they are shuffled in passes, each with its
+    share of all keys; only its stars are left when the next begins."""
+    pivot = F.first("cid").over(Window.partitionBy("key").orderBy("cid"))
+    each = (routes(docs, k, num, den, part, passes).select(pivot.alias("a"), F.col("cid").alias("b")).filter("a <> b") for part in range(passes))
+    if passes == 1:
+        return next(each)
+    return functools.reduce(DataFrame.union, [written(stars(edges).distinct(), "trees") for edges in each])
+
+
+def class_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, passes: int = 1) -> tuple[DataFrame, DataFrame]:
     """(doc_id, cid of each row; cid, n, component, root, copies of each class). The root tells components apart whose
     smallest doc_id is the same, as rows may repeat one."""
     rows = written(text_hashes(docs).select("doc_id", "cid"), "rows")
     sized = written(sizes(docs, k), "sizes")
-    pivot = F.first("cid").over(Window.partitionBy("key").orderBy("cid"))
-    shared = routes(docs, k, num, den).select(pivot.alias("a"), F.col("cid").alias("b")).filter("a <> b")
+    shared = shared_trees(docs, k, num, den, passes)
     merged = components(shared).select(F.col("node").alias("cid"), F.col("root").alias("key"))
 
     octaves = F.array_distinct(F.transform(F.array(F.col("n"), F.ceil(F.col("n") * num / den)), lambda n: (F.length(F.bin(n)) - 1).cast("int")))
@@ -442,7 +491,7 @@ def class_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     dealt, used = _dealt_sets(docs, each.select("cid", F.col("cid").alias("label"), "key", "octave", head.alias("head"), salt.alias("salts")), k, "head")
     roots = components(in_blocks(dealt, num, den))
     # Each table goes when what is made of it has been written.
-    done = [sized, placed, groups, used, merged, roots]
+    done = [sized, placed, groups, used, merged, roots, *([shared] if passes > 1 else [])]
     if not groups.filter("heavy").isEmpty():
         labels = roots.select(F.col("node").alias("cid"), F.col("root").alias("label"))
         named = written(each.filter("heavy").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid")), "named")
@@ -451,9 +500,9 @@ def class_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
         step = F.floor(F.log("n") / F.log(F.lit(STEP))).cast("long")
         salt = F.array(step * F.col("n_salts") + F.pmod(F.xxhash64("label"), F.col("n_salts")))
         dealt, used = _dealt_sets(docs, named.join(still, ["key", "octave"]).select("cid", "label", "key", "octave", F.lit(False).alias("head"), salt.alias("salts")), k, "label")
-        across, blocks = across_blocks(dealt, num, den)
+        across, tables = across_blocks(dealt, num, den)
         more = components(across)
-        done += [named, used, blocks, more]
+        done += [named, used, *tables, more]
         # Labels that links connect get one root; classes that had no link are their own label.
         further = more.select(F.col("node").alias("root"), F.col("root").alias("further"))
         alone = more.join(roots, "node", "left_anti")
@@ -489,7 +538,7 @@ def by_class(rows: DataFrame, known: DataFrame) -> DataFrame:
 def survivors(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The rows of docs that stay, all columns: of each component the row with the smallest doc_id, rows that repeat it
     being one. Rows without words stay, but rows that repeat one's doc_id are one too; rows without doc_id all stay."""
-    rows, known = class_components(docs, k, num, den)
+    rows, known = class_components(docs, k, num, den, passes=PASSES)
     stays = (F.col("doc_id") == F.col("component")) | (F.col("n") == 0)
     seen = by_class(rows.filter("doc_id is not null"), known).groupBy("doc_id", "cid").agg(F.count("*").alias("rows"), F.first("n").alias("n"), F.first("root").alias("root"), F.first(stays).alias("stays"))
     # Different texts of one doc_id may be in one component: the least hash decides.
@@ -498,8 +547,10 @@ def survivors(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFr
     own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
     body = docs.select(own, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("cid"))
     same = (F.col("doc_id") == F.col("kept_id")) & (F.col("cid") == F.col("kept_cid"))
-    # What goes, and what is repeated, is the smaller part.
-    out = body.join(written(seen.filter("not stays or rows > 1").select("kept_id", "kept_cid"), "gone"), same, "left_anti").select("doc.*")
+    # What goes, and what is repeated, is the smaller part: a sieve tells most other rows, whose texts then aren't shuffled.
+    gone = written(seen.filter("not stays or rows > 1").select("kept_id", "kept_cid"), "gone")
+    perhaps = _sieved(gone.select(F.xxhash64("kept_id", "kept_cid").alias("cid")))(F.xxhash64("doc_id", "cid"))
+    out = body.filter(~perhaps).select("doc.*").union(body.filter(perhaps).join(gone, same, "left_anti").select("doc.*"))
     dropped(rows)
     dropped(known)
     repeated = seen.filter("stays and rows > 1")
