@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +37,8 @@ class Groups:
 
 
 def stars(edges: DataFrame) -> DataFrame:
-    """a, b: the edges of each task's part as stars around their smallest nodes, a > b."""
+    """a, b: the edges of each task's part as stars around their smallest nodes, a > b. An edge is brought to one task
+    alone: so there are no more rows than different edges, into however many tasks they came."""
     small_batches(edges.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,17 +49,15 @@ def stars(edges: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(map(groups.find, nodes), pa.int64())], ["a", "b"])
 
         for batch in batches:
-            a, b = (batch[c].to_numpy() for c in ("a", "b"))
-            new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.empty(0, bool)
-            for one, two in zip(a[new].tolist(), b[new].tolist(), strict=True):
+            for one, two in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
                 groups.join(one, two)
-            n += len(a)
+            n += len(batch)
             if n >= EDGES:
                 yield flush()
                 groups, n = Groups(), 0
         yield flush()
 
-    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+    return edges.select("a", "b").distinct().mapInArrow(run, "a long, b long")
 
 
 def _settled(edges: DataFrame) -> bool:
