@@ -463,9 +463,10 @@ def across_blocks(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, list[
 
 def shared_trees(docs: DataFrame, k: int, num: int, den: int, passes: int) -> DataFrame:
     """a, b: classes of one tree, as stars. Keys are far more than texts, so they are shuffled in passes, each with its
-    share of all keys; only its stars are left when the next begins."""
+    share of all keys; only its stars are left when the next begins. A class's edges, at most one a key, are brought to
+    one task and made distinct there: so stars have no more rows than different edges, into however many tasks keys fall."""
     pivot = F.first("cid").over(Window.partitionBy("key").orderBy("cid"))
-    each = (routes(docs, k, num, den, part, passes).select(pivot.alias("a"), F.col("cid").alias("b")).filter("a <> b") for part in range(passes))
+    each = (routes(docs, k, num, den, part, passes).select(pivot.alias("a"), F.col("cid").alias("b")).filter("a <> b").repartition("b").distinct() for part in range(passes))
     if passes == 1:
         return next(each)
     return functools.reduce(DataFrame.union, [written(stars(edges).distinct(), "trees") for edges in each])
