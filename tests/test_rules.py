@@ -176,3 +176,12 @@ def test_bonus_may_be_negative(spark):
     docs = spark.createDataFrame([(1, "Ngành hàng hạn chế khuyến mãi", "x", "other", "1", "D"), (2, "Cấm hạn chế sản phẩm", "Danh sách sản phẩm cấm", None, None, None)], "doc_id int, title string, text string, source string, page string, document_id string")
     got = {(r.query_id, r.doc_id): float(r.bonus) for r in heuristics.bonuses(pairs, queries, docs).collect()}
     assert got == {(1, 1): -0.45, (1, 2): 0.52, (2, 1): 0.0, (2, 2): 0.0}
+
+
+def test_a_phrase_named_twice_sets_its_own_groups_bit_alone(spark):
+    texts = spark.createDataFrame([(1, "so sanh roas"), (2, "tra hang")], "id long, form string")
+    got = router.flagged(texts, {"twice": router.holds("roas", "gmv", "roas"), "next": router.holds("tra hang")})
+    assert [(r.twice, r.next) for r in got.orderBy("id").collect()] == [(True, False), (False, True)]
+    asked = spark.createDataFrame([(1, "so sánh roas")], "id long, question string")
+    plan = planner.plans(asked).first()
+    assert (plan.intent, plan.tools) == ("shop_analysis", ["shop_data", "calculator"])

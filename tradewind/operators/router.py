@@ -95,7 +95,7 @@ def bits(groups: list[Test]) -> Column:
     views = sorted({g.view for g in groups})
     wanted: dict[str, dict[str, list[int]]] = {v: {} for v in views}
     for number, g in enumerate(groups):
-        for p in g.phrases:
+        for p in dict.fromkeys(g.phrases):  # A phrase that a group names twice counts once: twice its bit is the next group's.
             wanted[g.view].setdefault(p, []).append(number)
     words = -(-len(groups) // BITS)
     masks = {v: {p: [sum(1 << (n % BITS) for n in numbers if n // BITS == w) for w in range(words)] for p, numbers in found.items()} for v, found in wanted.items()}
