@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import match_form, unigrams
-from .retrieval import bm25, candidates, dense, fused
+from .retrieval import bm25, candidates, dense, fused, sent
 from .router import Test, equals, flagged, holds, holds_all, routed
 
 # The words that send a question to a group of sources, in their order.
@@ -110,7 +110,7 @@ def bonuses(pairs: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
     asked = {name[g]: g for g in groups if g.view == "q"}
     held = {name[g]: g for g in groups if g.view != "q"}
     q = flagged(queries.select("query_id", match_form(F.col("question")).alias("q")), asked).drop("q")
-    wanted = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+    wanted = docs.join(sent(pairs.select("doc_id").distinct()), "doc_id", "left_semi")
     plain = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
     d = wanted.select(
         "doc_id", match_form(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))).alias("form"), match_form(F.coalesce("title", F.lit(""))).alias("title_form"),

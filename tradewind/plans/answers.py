@@ -95,7 +95,8 @@ def _results(s: Star) -> DataFrame:
     """BM25's results with what is known of their documents."""
     hits = rt.bm25(_docs(s), _questions(s)).filter("rank <= 5").withColumnRenamed("score", "bm25_score")
     known = _docs(s).select("doc_id", "title", "page", "source", "text")
-    return hits.join(known, "doc_id").join(_questions(s), "query_id").withColumns({"hybrid_score": 1.0 / F.col("rank"), "vector_score": (F.col("doc_id") % 10) / 9.0})
+    # The hits are few; the texts stay where they are.
+    return known.join(rt.sent(hits), "doc_id").join(_questions(s), "query_id").withColumns({"hybrid_score": 1.0 / F.col("rank"), "vector_score": (F.col("doc_id") % 10) / 9.0})
 
 
 def citations(s: Star) -> DataFrame:
