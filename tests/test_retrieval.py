@@ -100,3 +100,13 @@ def test_texts_and_postings_are_not_shuffled(spark, shuffled):
     before = shuffled()
     assert heuristics.search(docs, queries).count() == 60
     assert shuffled() - before < 0.2 * sum(len(r[1]) for r in rows)
+
+
+def test_token_counts_cut_a_text_once(spark):
+    rows = [(1, "Phí phi 12 ab abc a_b"), (2, None), (3, ""), (4, " ! "), (5, "abc"), (6, "123 1234 12a"), (None, "é éé ééé")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = retrieval.token_counts(df)
+    w = text.unigrams(F.col("text"))
+    want = df.select("doc_id", F.size(w).cast("long"), F.size(retrieval.terms(F.col("text"))).cast("long"), F.size(text.token_set(F.col("text"))).cast("long"))
+    assert sorted(map(str, got.collect())) == sorted(str(r) for r in want.toDF(*got.columns).collect())
+    assert "translate" not in more.QUERIES["str03_token_counts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()

@@ -66,6 +66,26 @@ def term_stats(docs: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(n)).select("term", "df", F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
+def token_counts(docs: DataFrame) -> DataFrame:
+    """doc_id, words, terms (words and pairs of neighbours), distinct_words (of three letters or more, no numbers)."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, first = words_of(batch.column("text"))
+            n = np.diff(first)
+            coded = found.dictionary_encode()
+            counted = pc.and_(pc.greater_equal(pc.binary_length(coded.dictionary), 3), pc.match_substring_regex(coded.dictionary, "[^0-9]")).to_numpy(zero_copy_only=False).astype(bool)
+            word, text = coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(n)), n)
+            code = np.unique((text * max(len(counted), 1) + word)[counted[word]])
+            distinct = np.bincount(code // max(len(counted), 1), minlength=len(n))
+            columns = (n, np.maximum(2 * n - 1, 0), distinct)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "words", "terms", "distinct_words"])
+
+    schema = StructType([docs.schema["doc_id"], *(StructField(c, LongType()) for c in ("words", "terms", "distinct_words"))])
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
 def postings(docs: DataFrame, asked: DataFrame, few: bool, *kept: str) -> DataFrame:
     """doc_id, kept columns, length, term, tf for the terms asked for, and one row with TEXT for each document."""
     cut = spread(docs).select("doc_id", *kept, unigrams(F.col("text")).alias("w"))
