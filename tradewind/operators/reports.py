@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import header_form
+from ..session import settled, without_shuffles
 from .ordinals import numbered, running
 
 Shelf = Mapping[str, DataFrame]
@@ -238,10 +240,11 @@ def funnel_totals(shelf: Shelf, period: str | None = None) -> DataFrame:
 
 def co_purchases(shelf: Shelf, period: str | None = None, top: int = 10) -> DataFrame:
     """Pairs bought together, of known products: those with stock first."""
+    best = _best_pairs(shelf, period, top)
     p = products(shelf)
     side = lambda s, key: p.select(F.col("sku").alias(key), F.col("product_name").alias(f"{s}_name"), F.col("unit_cost").alias(f"{s}_cost"), F.col("list_price").alias(f"{s}_price"))
     stock = lambda s, key: shelf["inventory"].select(F.col("sku").alias(key), (F.col("on_hand") - F.col("reserved")).alias(f"{s}_stock"))
-    c = shelf["co_purchase"].filter(in_month(period)).join(side("a", "sku"), "sku").join(side("b", "paired_sku"), "paired_sku")
+    c = best.join(side("a", "sku"), "sku").join(side("b", "paired_sku"), "paired_sku")
     c = c.join(stock("a", "sku"), "sku", "left").join(stock("b", "paired_sku"), "paired_sku", "left")
     price, cost = F.col("a_price") + F.col("b_price"), F.col("a_cost") + F.col("b_cost")
     least = F.when(F.col("a_stock").isNotNull() & F.col("b_stock").isNotNull(), F.least("a_stock", "b_stock"))
@@ -250,6 +253,42 @@ def co_purchases(shelf: Shelf, period: str | None = None, top: int = 10) -> Data
     return c.orderBy(*order).limit(top).select("month", "sku", "paired_sku", "a_name", "b_name", "joint_order_count", "combined_price", "combined_cost", "trial_price", "least_stock")
 
 
+def _best_pairs(shelf: Shelf, period: str | None, top: int) -> DataFrame:
+    """month, sku, paired_sku, joint_order_count of the pairs that the first `top` rows are among. Pairs meet no more than
+    whether their products are known and in stock: names and prices are for the few that are shown. The table may come in
+    parts, one after the other. Once enough pairs in stock are known, pairs of fewer orders can't be among the first, and
+    go before they meet anything; the pairs of most orders are looked at first for that."""
+    spark = shelf["inventory"].sparkSession
+    stock = F.col("on_hand") - F.col("reserved")
+    state = F.when(stock.isNull(), 2).when(stock <= 0, 1).otherwise(0)
+    known = products(shelf).select("sku").distinct().join(shelf["inventory"], "sku", "left").select("sku", state.alias("state")).distinct()
+    of = lambda key, name: known.select(F.col("sku").alias(key), F.col("state").alias(name))
+    names, by_count = ["month", "sku", "paired_sku", "joint_order_count"], [F.desc("joint_order_count"), "sku", "paired_sku", "month"]
+    rows, least, schema = [], None, None
+
+    def met(c: DataFrame) -> DataFrame:
+        return c.join(of("sku", "_a"), "sku").join(of("paired_sku", "_b"), "paired_sku").select(*names, F.greatest("_a", "_b").alias("state")).distinct().orderBy("state", *by_count).limit(top)
+
+    in_parts = hasattr(shelf, "parts_of")
+    for part in shelf.parts_of("co_purchase") if in_parts else [shelf["co_purchase"]]:
+        c = part.filter(in_month(period)).select(*names)
+        if least is None:
+            c = settled(c)
+        for some in (c.orderBy(*by_count).limit(100 * top), c) if least is None else (c,):
+            found = met(some if least is None else some.filter(F.col("joint_order_count") >= least))
+            schema = schema or found.schema
+            with without_shuffles(spark):
+                rows = spark.createDataFrame(rows + found.collect(), schema).distinct().orderBy("state", *by_count).limit(top).collect()
+            if rows and len(rows) == top and rows[-1]["state"] == 0:
+                least = rows[-1]["joint_order_count"]
+    best = spark.createDataFrame(rows, schema).drop("state").distinct()
+    if in_parts:
+        return best
+    # A table that is given may say a row twice.
+    table = shelf["co_purchase"]
+    return table.join(F.broadcast(best), reduce(Column.__and__, (table[c].eqNullSafe(best[c]) for c in names)), "left_semi").select(*names)
+
+
 def price_promotions(shelf: Shelf, period: str | None = None) -> DataFrame:
     p = shelf["price_promotions"].filter(in_period("date", period)).groupBy("sku").agg(
         F.count("*").alias("rows"), F.sum("list_price_vnd").alias("l"), F.sum("final_price_vnd").alias("f"), F.sum("seller_discount_vnd").alias("d"),

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import settled
+
+#: Pairs of parts that are counted at once.
+PAIRS_AT_ONCE = 30_000_000
+
 
 class Star(dict):
     """Reads a bound table when it is asked for."""
@@ -92,11 +97,32 @@ class Star(dict):
         of = lambda t: F.count_if(F.col("event_type") == t)
         return self.raw("events").groupBy(F.date_format("ts", "yyyy-MM").alias("month"), F.col("user_id").alias("sku")).agg(of("view").alias("views"), of("click").alias("add_to_cart_count"), of("purchase").alias("order_count"))
 
+    def _baskets(self) -> DataFrame:
+        """Orders' parts, each once, as one row for each order: an order has few lines. Written, and what was shuffled goes."""
+        date = F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM").alias("month")
+        months = self.raw("orders").groupBy(F.col("o_orderkey").alias("l_orderkey")).agg(F.collect_set(F.struct(date)).alias("months"))
+        parts = self.raw("lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_partkey")).alias("skus"))
+        return settled(parts.filter(F.size("skus") > 1).join(months, "l_orderkey").select("months", "skus"))
+
+    def _pairs(self, part: int = 0, parts: int = 1) -> DataFrame:
+        """month, sku, paired_sku, joint_order_count of the pairs whose first part falls to this part of all."""
+        baskets = self["baskets"].select(F.explode("months").alias("m"), F.size("months").alias("n"), "skus").select("m.month", "n", "skus", F.posexplode("skus").alias("at", "sku"))
+        mine = baskets.filter(F.pmod(F.xxhash64("sku"), F.lit(parts)) == part) if parts > 1 else baskets
+        pairs = mine.select("month", "n", "sku", F.explode(F.slice("skus", F.col("at") + 2, F.size("skus"))).alias("paired_sku"))
+        return pairs.groupBy("month", "sku", "paired_sku").agg(F.sum("n").alias("joint_order_count"))
+
     def _co_purchase(self) -> DataFrame:
-        """Pairs of parts of one order: an order has few lines, so its pairs are few."""
-        once = self["lines"].select(F.date_format("order_date", "yyyy-MM").alias("month"), "l_orderkey", F.col("l_partkey").alias("sku")).distinct()
-        other = once.select("l_orderkey", F.col("sku").alias("paired_sku"))
-        return once.join(other, "l_orderkey").filter("sku < paired_sku").groupBy("month", "sku", "paired_sku").agg(F.count("*").alias("joint_order_count"))
+        """Pairs of parts of one order."""
+        return self._pairs()
+
+    def parts_of(self, table: str) -> list[DataFrame]:
+        """A table as parts of a bounded number of rows before they are grouped, which together are the table."""
+        if table != "co_purchase":
+            return [self[table]]
+        n = F.size("skus").cast("long")
+        pairs = self["baskets"].agg(F.sum(F.size("months") * n * (n - 1) / 2).alias("n")).first()["n"] or 0
+        parts = max(1, -(-int(pairs) // PAIRS_AT_ONCE))
+        return [self._pairs(i, parts) for i in range(parts)]
 
     def _price_promotions(self) -> DataFrame:
         price = self._dec("l_extendedprice")
